@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontam, lmscore, mixing, quality, secrets, sharding, simhash, urls
 
 MIX_WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 2, "src8": 2, "src9": 2} | {f"src{i}": 1 for i in range(10, 20)}
 MIX_OTHER, MIX_BLOCK = 2, 64
 
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +22,27 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK).select("doc_id", "source", "mix_source", "block", "slot", "position")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the test items that it holds; clean ones have none."""
+    out = decontam.with_matches(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return out.select("doc_id", (F.size("matches") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["distance"])).alias("distance"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"), budget=3, width=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,8 +53,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op7_simhash": op7_simhash, "op8_shard": op8_shard}
+    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore}
 
 
 def oracle_sql() -> dict[str, str]:
