@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lmscore, mixing, quality, secrets, sharding, simhash, urls
+from . import decontam, lmscore, mixing, quality, secrets, sharding, simhash, substring, topk, urls
 
 MIX_WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 2, "src8": 2, "src9": 2} | {f"src{i}": 1 for i in range(10, 20)}
 MIX_OTHER, MIX_BLOCK = 2, 64
@@ -27,6 +27,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -57,9 +61,45 @@ def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_read(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_read(spark, sf_dir, "documents"), width=35).drop("kept_text")
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore}
+    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore, "op10_substring": op10_substring}
+
+
+def _op1_sql() -> str:
+    """Earliest deadline first over one period, slot by slot, then block by block."""
+    names, w = [*MIX_WEIGHTS, mixing.OTHER], [*MIX_WEIGHTS.values(), MIX_OTHER]
+    groups = ", ".join(f"({i}, '{n}', {x})" for i, (n, x) in enumerate(zip(names, w)))
+    known, total = ", ".join(f"'{n}'" for n in MIX_WEIGHTS), sum(w)
+    jobs = f"SELECT g, name, w, k, k * {total} // w AS release, ((k + 1) * {total} + w - 1) // w AS deadline FROM groups, range({total}) r(k) WHERE k < w"
+    return f"""
+WITH RECURSIVE groups(g, name, w) AS (VALUES {groups}),
+jobs AS ({jobs}),
+listed AS (SELECT list(struct_pack(d := deadline, g := g, k := k, r := release) ORDER BY deadline, g, k) AS js FROM jobs),
+sched(t, js, g, k) AS (
+  SELECT -1, js, NULL::INT, NULL::BIGINT FROM listed
+  UNION ALL
+  SELECT t + 1, list_filter(js, lambda x: NOT (x.g = p.g AND x.k = p.k)), p.g, p.k
+  FROM (SELECT t, js, list_filter(js, lambda x: x.r <= t + 1)[1] AS p FROM sched WHERE t + 1 < {total})),
+slots AS (SELECT s.t, s.k, groups.name, groups.w FROM sched s JOIN groups USING (g) WHERE s.t >= 0),
+r AS (SELECT doc_id, source, CASE WHEN source IN ({known}) THEN source ELSE '{mixing.OTHER}' END AS mix_source FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY mix_source ORDER BY md5(doc_id::VARCHAR)) - 1 AS i FROM r),
+b AS (SELECT *, i // {MIX_BLOCK} AS block FROM n),
+p AS (SELECT b.*, (block // slots.w) * {total} + slots.t AS slot FROM b JOIN slots ON slots.name = b.mix_source AND slots.k = b.block % slots.w)
+SELECT doc_id, source, mix_source, block::BIGINT AS block, slot::BIGINT AS slot, (row_number() OVER (ORDER BY slot, i) - 1)::BIGINT AS position FROM p"""
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix": _op1_sql(), "op3_topk": OP3_SQL}

@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3, id_col: st
 def keep_one(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
     """The columns of docs, one document of each component: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id give one row: the one with the smallest text.  Rows without a doc_id stay
-    where nothing else shares their component.
+    Rows that repeat that doc_id give one row: the one with the smallest text.  Rows without a doc_id cannot be
+    named and all stay.
     """
     classes = near_duplicates(docs, budget, width).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
