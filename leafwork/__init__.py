@@ -1 +1,8 @@
 """Spark-native document analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
