@@ -18,10 +18,10 @@ def area(b: Column) -> Column:
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
-    """Shared area over the area of a, which counts as 1 at least."""
+    """Shared area over the area of a, which counts as 1 at least; 0 if a box is missing."""
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
-    return F.when((w > 0) & (h > 0), w * h / F.greatest(area(a), F.lit(1.0))).otherwise(0.0)
+    return F.when(a.isNotNull() & b.isNotNull() & (w > 0) & (h > 0), w * h / F.greatest(area(a), F.lit(1.0))).otherwise(0.0)
 
 
 def centre_inside(a: Column, b: Column, padding: float = 0.0) -> Column:

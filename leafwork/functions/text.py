@@ -129,7 +129,8 @@ def figure_refs(text: Column) -> Column:
         ("fig.", r"(?<!Supplementary\s)\bFigure\s*(\d+)"),
         ("fig.", r"(?<!补充)\b图\s*(\d+)"),
     ]
-    found = [F.transform(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)), lambda n, k=k: F.concat(F.lit(k), n)) for k, p in spellings]
+    keyed = lambda kind: lambda n: F.concat(F.lit(kind), n)
+    found = [F.transform(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)), keyed(k)) for k, p in spellings]
     return F.array_distinct(F.concat(*found))
 
 

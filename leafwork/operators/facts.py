@@ -126,7 +126,8 @@ def _filled(template: str, values: dict[str, Column], strings_empty: bool = True
     return out
 
 
-_order = [F.col("_item"), F.col("_pattern"), F.col("_start")]
+def _order() -> list[Column]:
+    return [F.col("_item"), F.col("_pattern"), F.col("_start"), F.col("source_text")]
 
 
 def device_performance(found: DataFrame) -> DataFrame:
@@ -148,8 +149,8 @@ def device_performance(found: DataFrame) -> DataFrame:
         "source_page": F.col("page"), "source_figure": F.col("figure_id"),
     }
     rows = rows.select("doc_id", F.col("item").alias("_item"), F.col("pattern").alias("_pattern"), F.col("start").alias("_start"), *_filled(schemas.DEVICE, values))
-    rows = unique_first(rows, ["doc_id", "pce_percent"], F.col("source_text"), _order)
-    return dedupe_devices(rows, _order).drop("_item", "_pattern", "_start")
+    rows = unique_first(rows, ["doc_id", "pce_percent"], F.col("source_text"), _order())
+    return dedupe_devices(rows, _order()).drop("_item", "_pattern", "_start")
 
 
 def stability_tests(found: DataFrame, compat: bool = False) -> DataFrame:
@@ -173,8 +174,8 @@ def stability_tests(found: DataFrame, compat: bool = False) -> DataFrame:
         "source_text": s, "source_page": F.col("page"), "source_figure": F.col("figure_id"),
     }
     rows = rows.select("doc_id", F.col("item").alias("_item"), F.col("pattern").alias("_pattern"), F.col("start").alias("_start"), *_filled(schemas.STABILITY, values))
-    rows = unique_first(rows, ["doc_id", "retained_pce_percent", "duration_h", "cycles"], F.col("source_text"), _order)
-    return dedupe_stability(rows, _order, not compat).drop("_item", "_pattern", "_start")
+    rows = unique_first(rows, ["doc_id", "retained_pce_percent", "duration_h", "cycles"], F.col("source_text"), _order())
+    return dedupe_stability(rows, _order(), not compat).drop("_item", "_pattern", "_start")
 
 
 def characterization_methods(items: DataFrame) -> DataFrame:
