@@ -172,7 +172,7 @@ def dedup(docs: DataFrame, width: int = 35, broadcast_rows: int = 16_000_000, id
                 yield finish(b, found)
 
         return _text(rows.mapInArrow(remove, out_type))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so that every reader sees the same numbers
     hits = _windows_of(rows, width).join(repeated, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def remove_at(batches):
