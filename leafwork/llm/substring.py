@@ -66,9 +66,13 @@ def anchors(words: list[bytes], width: int):
     return h, grams, _slide(grams, width - GRAM + 1, np.minimum)
 
 
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    return _grams(h, width, 0xC2B2AE3D27D4EB4F).view(np.int64)
+
+
 def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes, of 64 and 32 bits, of each window."""
-    return _grams(h, width, 0xC2B2AE3D27D4EB4F).view(np.int64), (_grams(h, width, 0x165667B19E3779F9) >> _u(32)).astype(np.uint32).view(np.int32)
+    return window_hashes(h, width), (_grams(h, width, 0x165667B19E3779F9) >> _u(32)).astype(np.uint32).view(np.int32)
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -167,7 +171,7 @@ def dedup(docs: DataFrame, width: int = 35, broadcast_rows: int = 16_000_000, id
                     got = anchors(words, width)
                     starts = np.empty(0, np.int64)
                     if got and len(at := np.flatnonzero(_among(got[2].view(np.int64), few))):
-                        starts = at[_among(windows(got[0], width)[0][at], seen)]
+                        starts = at[_among(window_hashes(got[0], width)[at], seen)]
                     found.append(result(words, starts, width))
                 yield finish(b, found)
 
