@@ -201,7 +201,7 @@ def marked_parts(text: Column, expected: int) -> Column:
     """The texts after the marks <<<0>>> .. <<<expected-1>>> as an array; null without marks; the last of equal marks counts."""
     text = strip(F.coalesce(text, F.lit("")))
     marks = F.transform(F.regexp_extract_all(text, F.lit(r"<<<\s*(\d+)\s*>>>"), F.lit(1)), lambda m: m.try_cast("int"))
-    parts = F.slice(F.transform(F.split(text, r"<<<\s*\d+\s*>>>"), strip), 2, 1 << 30)
+    parts = F.slice(F.transform(F.split(text, r"<<<\s*\d+\s*>>>"), lambda p: strip(p)), 2, 1 << 30)
     pick = lambda i: F.coalesce(F.get(parts, F.size(marks) - F.array_position(F.reverse(marks), i).cast("int")), F.lit(""))
     picked = F.transform(F.sequence(F.lit(0), F.lit(expected - 1)), lambda i: F.when(F.array_contains(marks, i), pick(i)).otherwise(""))
     return F.when(F.size(marks) > 0, picked)

@@ -256,6 +256,9 @@ def markdown_to_html(markdown: str, title: str = "") -> str:
             out.append("<p>" + "\n".join(map(_inline, block)) + "</p>")
         block.clear()
 
+    def kind(line: str) -> str:
+        return next((k for k in ("- ", "> ", "|") if line.startswith(k)), "")
+
     code: list[str] | None = None
     for line in markdown.split("\n"):
         if line.startswith("```"):
@@ -273,7 +276,7 @@ def markdown_to_html(markdown: str, title: str = "") -> str:
         elif not line.strip() or line.startswith("<!--"):
             close()
         else:
-            if block and block[-1][:2] != line[:2] and (block[-1].startswith(("- ", "> ", "|")) or line.startswith(("- ", "> ", "|"))):
+            if block and kind(block[-1]) != kind(line):
                 close()
             block.append(line)
     close()

@@ -38,7 +38,8 @@ def stream_status(spark: SparkSession, source: DataFrame, name: str):
 
 def arriving_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files as they arrive in an inbox."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    fields = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(fields).option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.xxhash64("path").alias("doc_id"), "length", "content")
 
 
