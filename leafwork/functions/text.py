@@ -207,6 +207,11 @@ def marked_parts(text: Column, expected: int) -> Column:
     return F.when(F.size(marks) > 0, picked)
 
 
+def base64(content: Column) -> Column:
+    """Base64 in one line, whatever the session's line breaks are."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 def safe_slug(path: Column) -> Column:
     """The stem of a file name, with characters that file systems refuse as _."""
     name = F.regexp_extract(F.regexp_replace(path, "/+$", ""), r"([^/]*)$", 1)

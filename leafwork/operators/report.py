@@ -88,7 +88,7 @@ def summary_appendix(docs: DataFrame, facts: dict[str, DataFrame], part: int = 9
 
 def figure_lines(caption: Column, image: Column, mime: Column, warning: Column) -> Column:
     """Image (or why there is none) and caption, as an array of lines (K3)."""
-    picture = F.concat(F.lit("!["), F.left(F.replace(caption, F.lit("\n"), F.lit(" ")), F.lit(120)), F.lit("](data:"), mime, F.lit(";base64,"), F.base64(image), F.lit(")"))
+    picture = F.concat(F.lit("!["), F.left(F.replace(caption, F.lit("\n"), F.lit(" ")), F.lit(120)), F.lit("](data:"), mime, F.lit(";base64,"), T.base64(image), F.lit(")"))
     failed = F.concat(F.lit("> 图片裁切失败："), F.coalesce(T.nullif(warning), F.lit("未识别到图片区域")))
     return F.array(F.coalesce(picture, failed), F.concat(F.lit("*"), caption, F.lit("*")), F.lit(""))
 
@@ -221,7 +221,7 @@ def pretty_json(text: Column) -> Column:
 
 def redacted(image: Column) -> Column:
     """An image in a table that people read (K8)."""
-    return F.when(image.isNotNull() & (F.length(image) > 0), F.concat(F.lit("<base64 length="), F.length(F.base64(image)), F.lit(">"))).otherwise("")
+    return F.when(image.isNotNull() & (F.length(image) > 0), F.concat(F.lit("<base64 length="), F.length(T.base64(image)), F.lit(">"))).otherwise("")
 
 
 _page = "<!doctype html>\n<html lang=\"zh\"><head><meta charset=\"utf-8\"><title>{title}</title><style>body{{max-width:60rem;margin:auto;font-family:sans-serif}}img{{max-width:100%}}</style></head><body>\n{body}\n</body></html>"

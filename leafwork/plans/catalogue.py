@@ -600,6 +600,154 @@ def corpus_blocks(spark, sf_dir):
     return B.classify(raw, body, B.preview_documents(raw)).select("doc_id", "seq", "page", "kind", "heading_level", "text")
 
 
+# ---------------------------------------------------------------- bibliography and reports
+
+
+def _paragraphs(spark, sf_dir, rows) -> DataFrame:
+    """Paragraphs of one-page documents, one document per order.  rows: (seq, y0, text)."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c"))
+    out = None
+    for seq, y0, text in rows:
+        df = orders.select("doc_id", F.lit(seq).cast("long").alias("seq"), F.lit(1).alias("page"), F.lit("paragraph").alias("kind"), G.box(72, y0, 400, y0 + 20).alias("box"), text.alias("text"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("""SELECT o_orderkey AS doc_id, 'On the making of ' || o_custkey || ' kinds of cells' AS title, 'Ann Lee|Bob Fox|Cy Day' AS authors FROM orders""")
+def title_authors_synth(spark, sf_dir):
+    rows = _paragraphs(spark, sf_dir, [(1, 20, F.lit("Received: 5 May")), (2, 60, _words("Article: On the making of ", F.col("c"), " kinds of cells.")), (3, 100, F.lit("Ann Lee1, Bob Fox2,3 and Cy Day*")), (4, 130, F.lit("Al Other, Bo Other, Cy Other"))])
+    titles = bibliography.title(rows)
+    names = bibliography.authors(rows, titles)
+    return titles.join(names, "doc_id").select("doc_id", "title", F.array_join("authors", "|").alias("authors"))
+
+
+@query("""SELECT o_orderkey AS doc_id, 'Text ' || o_custkey || ' ' || repeat('of some words ', 20) || 'end' AS abstract FROM orders""")
+def layout_abstract_synth(spark, sf_dir):
+    long = _words("Text ", F.col("c"), " ", F.repeat(F.lit("of some words "), 20), "end")
+    rows = _paragraphs(spark, sf_dir, [(1, 100, long), (2, 300, _words("lower ", long)), (3, 250, long), (4, 200, F.lit("Short")), (5, 400, _words("Later ", long))])
+    return bibliography.layout_abstract(rows, rows.select("doc_id", F.lit("").alias("title")).distinct())
+
+
+@query(f"""
+WITH {LINES}, s AS (SELECT l.doc_id, l.n, {_sq('l.line')} AS t, {_sq('d.text')} AS a FROM lines l JOIN documents d USING (doc_id))
+SELECT doc_id, n, a <> '' AND length(t) > 120 AND (contains(a, t) OR starts_with(a, left(t, 120)) OR starts_with(t, left(a, 120))) AS hit FROM s""")
+def duplicate_abstract(spark, sf_dir):
+    rows = _lines(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", "n", rules.is_duplicate_abstract(F.col("line"), F.col("text")).alias("hit"))
+
+
+@query(f"""
+WITH {LINES} SELECT doc_id, left(string_agg('[page 1] ' || trim(line), chr(10) ORDER BY n), 2000) AS prompt FROM lines WHERE length(line) >= 40 GROUP BY doc_id""")
+def prompt_views(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("seq"), F.lit(0).alias("part"), F.lit(1).alias("page"), F.when(F.length("line") < 40, "heading").otherwise("paragraph").alias("kind"), F.lit("results").alias("section_title"), F.col("line").alias("text"))
+    return report.prompt_text(rows, fixed.RESULT_SECTIONS, 2000)
+
+
+@query("""SELECT page_id, '<base64 length=' || (4 * ((strlen(html) + 2) // 3)) || '>' AS redacted, '（p.' || (page_id + 1) || '，Fig. 1）' AS suffix FROM pages""")
+def redacted_figures(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    return pages.select("page_id", report.redacted(F.col("html").cast("binary")).alias("redacted"), report.page_suffix(F.col("page_id") + 1, F.lit("Fig. 1")).alias("suffix"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT doc_id, (2 + 5 * 3 + 4 + least(n, 10))::BIGINT AS lines FROM s""")
+def summary_caps(spark, sf_dir):
+    """Lines of the structured summary where each document has only experimental methods: five headings, four notes, at most ten rows."""
+    li = _t(spark, sf_dir, "lineitem")
+    docs = li.select(F.col("l_orderkey").alias("doc_id")).distinct()
+    methods = li.select(F.col("l_orderkey").alias("doc_id"), F.lit("spin").alias("method_name"), _words("step ", F.col("l_partkey")).alias("description"), F.col("l_linenumber").alias("source_page"))
+    found = facts.matches(_built(spark, sf_dir, F.lit("nothing")).where("false"))
+    items = facts.first_sentences(_built(spark, sf_dir, F.lit("nothing")).where("false"))
+    tables_ = {"key_innovations": facts.key_innovations(items), "experimental_methods": methods, "device_performance": facts.device_performance(found), "stability_tests": facts.stability_tests(found), "characterization_methods": facts.characterization_methods(items)}
+    return report.summary_appendix(docs, tables_).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_suppkey % 2 = 0 AS two FROM lineitem)
+SELECT doc_id, k, CASE WHEN two THEN 'Words that stand in front of the heading here.' END AS before, CASE WHEN two THEN 'Device Fabrication' END AS title, CASE WHEN two THEN 'And ' || k || ' words that follow after the heading.' END AS after FROM s""")
+def embedded_headings(spark, sf_dir):
+    text = _words("Words that stand in front of the heading here. ", F.when(F.col("l_suppkey") % 2 == 0, "Device Fabrication. ").otherwise("Device fabrications "), "And ", F.col("l_linenumber"), " words that follow after the heading.")
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), text.alias("text"))
+    rows = rows.withColumn("e", rules.split_embedded_heading(F.col("text")))
+    return rows.select("doc_id", "k", "e.before", "e.title", "e.after")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS doc_id, o_custkey % 3 = 0 AS hit FROM orders)
+SELECT doc_id, hit AS preview FROM s""")
+def preview_flag(spark, sf_dir):
+    text = F.when(F.col("o_custkey") % 3 == 0, "An Accelerated  Article\nPreview of it").otherwise("An article preview")
+    return B.preview_documents(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(2).alias("page"), text.alias("text")))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, (l_suppkey % 7 + 8)::DOUBLE AS size FROM lineitem)
+SELECT doc_id, list_extract(list_sort(list(size)), (count(*) // 2 + 1)::INTEGER) AS body_font FROM s GROUP BY doc_id""")
+def body_font_synth(spark, sf_dir):
+    span = F.struct(F.lit("a span of text over thirty characters").alias("text"), (F.col("l_suppkey") % 7 + 8).cast("double").alias("size"), F.lit("F").alias("font"), F.lit(0).alias("flags"))
+    lines = F.array(F.struct(F.array(span).alias("spans")))
+    return B.body_font(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block_type"), lines.alias("lines")))
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber AS k, 'ab' || l_suppkey || chr(10) || 'c' AS text, 10.0::DOUBLE AS font_size, l_suppkey % 2 = 0 AS is_bold FROM lineitem""")
+def layout_spans(spark, sf_dir):
+    span = lambda text, bold: F.struct(text.alias("text"), F.lit(10.0).alias("size"), F.when(bold, "X-Bold").otherwise("X").alias("font"), F.lit(0).alias("flags"))
+    bold = F.col("l_suppkey") % 2 == 0
+    lines = F.array(F.struct(F.array(span(F.lit("ab"), F.lit(False)), span(F.col("l_suppkey").cast("string"), bold)).alias("spans")), F.struct(F.array(span(F.lit("c"), F.lit(False))).alias("spans")))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("block_no"), G.box(0, 0, 1, 1).alias("box"), F.lit(1.0).alias("page_w"), F.lit(1.0).alias("page_h"), F.lit(0).alias("block_type"), lines.alias("lines"))
+    return B.blocks_from_layout(rows).select("doc_id", F.col("block_no").alias("k"), "text", "font_size", "is_bold")
+
+
+@query(f"""
+WITH {BOXES}, c AS (SELECT * FROM b WHERE seq = 1), o AS (SELECT doc_id, min(y0) AS y0, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE seq = 2 GROUP BY doc_id),
+j AS (SELECT c.doc_id, greatest(0.0, o.x0 - 8) AS x0, greatest(0.0, o.y0 - 8) AS y0, least(612.0, o.x1 + 8) AS x1, least(792.0, o.y1 + 8) AS y1 FROM (SELECT DISTINCT doc_id, y0 FROM c) c JOIN o ON o.doc_id = c.doc_id AND o.y1 < c.y0 + 10)
+SELECT DISTINCT doc_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM j""")
+def content_box(spark, sf_dir):
+    rows = _boxes(spark, sf_dir)
+    images = rows.where("seq = 2").groupBy("doc_id", "page").agg(G.union_all(F.col("box")).alias("box"))
+    return figures.content_boxes(rows.where("seq = 1"), images, images.where("false")).select("doc_id", "content_box.*").distinct()
+
+
+@query(f"""
+WITH {BOXES}, c AS (SELECT * FROM b WHERE seq = 1),
+d AS (SELECT c.doc_id, max(o.y1) FILTER (WHERE o.y0 > c.y1 + 6 AND o.y0 < c.y1 + 792 * 0.45::DOUBLE) AS dense FROM c JOIN b o ON o.doc_id = c.doc_id AND o.seq <> 1 GROUP BY c.doc_id),
+t AS (SELECT c.*, coalesce(d.dense + 8, 792.0 - 44) AS low, least(792.0 - 120, c.y1 + 3) AS t0 FROM c LEFT JOIN d USING (doc_id))
+SELECT doc_id, greatest(40.0, t0)::DOUBLE AS y0, least(greatest(t0 + 80, low), 784.0)::DOUBLE AS y1 FROM t""")
+def table_crop(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumn("text", F.lit("plain"))
+    found = rows.where("seq = 1").withColumns({"caption_kind": F.lit("table"), "figure_id": F.lit("Table 1")})
+    return figures.crop_boxes(found, rows).select("doc_id", "crop.y0", "crop.y1")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, l_suppkey % 5 = 0 AS head FROM lineitem),
+f AS (SELECT doc_id, min(page) AS first FROM s WHERE head GROUP BY doc_id)
+SELECT s.doc_id, s.page, s.head OR coalesce(s.page BETWEEN f.first AND f.first + 3, false) AS legend_only FROM (SELECT doc_id, page, bool_or(head) AS head FROM s GROUP BY 1, 2) s LEFT JOIN f USING (doc_id)""")
+def legend_captions(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), (F.col("l_suppkey") % 5 == 0).alias("head"))
+    place = lambda y: G.box(50, y, 300, y + 10).alias("box")
+    heads = rows.where("head").select("doc_id", "page", place(50), F.lit("Figure Legends").alias("text")).distinct()
+    caps = rows.select("doc_id", "page", place(100), F.lit("Fig. 1 | The cell").alias("text")).distinct()
+    return figures.legend_only(caps, heads.unionByName(caps)).select("doc_id", "page", "legend_only")
+
+
+@query()
+def merge_fragments(spark, sf_dir):
+    lines = tables.blocks_from_text(_t(spark, sf_dir, "documents")).where("text <> ''")
+    rows = lines.withColumns({"seq": (F.col("page") * 1000 + F.col("block_no")).cast("long"), "part": F.lit(0), "kind": F.lit("paragraph"), "section_id": F.lit(0).cast("long")})
+    return sections.merge_fragments(rows.select("doc_id", "seq", "part", "page", "section_id", "kind", "text")).select("doc_id", "seq", "kind", "text")
+
+
+@query()
+def nested_reports(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    info = orders.select(F.col("o_orderkey").alias("doc_id"), _words("Title ", F.col("o_custkey")).alias("title"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("value"))
+    return report.nested_json(info, {"rows": rows})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without those repeated across documents, numbered by section, and the lines of each section counted."""
     kept = B.without_repeated_lines(_t(spark, sf_dir, "documents"))
