@@ -124,13 +124,12 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
     docs = docs.withColumn(out, F.lit(1.0))
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     spot, text_at = docs.columns.index(out), docs.columns.index("text")
 
-    def run(batches):
+    def run(batches):  # the model, vectors of a bounded sample, travels with the task function
         for b in batches:
             texts = [t.encode() if isinstance(t, str) else t for t in b.column(text_at).to_pylist()]
-            yield b.set_column(spot, b.schema.field(spot).name, pa.array(sent.value.score(texts), pa.float64()))
+            yield b.set_column(spot, b.schema.field(spot).name, pa.array(model.score(texts), pa.float64()))
 
     return docs.mapInArrow(run, docs.schema)
 
