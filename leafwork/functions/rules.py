@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..fixed import any_of
-from .text import find, has, squeeze, strip
+from .text import find, has, mentions, squeeze, strip
 
 _label = "^(?:" + "|".join(fixed.CAPTION_LABELS) + ")"
 _section = rf"^{any_of(fixed.SECTION_WORDS)}\b"
@@ -80,7 +80,7 @@ def is_non_content(text: Column, caption: Column, heading: Column) -> Column:
     noise = (
         is_preview_noise(text)
         | has(text, "check for updates")
-        | has(text, any_of(fixed.BOILERPLATE))
+        | mentions(text, fixed.BOILERPLATE)
         | has(bare, r"^Research\s+Article\s*S?$")
         | has(bare, r"^(?:SCIENCE|Science)\s+\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\s*\d*$", False)
         | (has(bare, r"^[A-Z][A-Z\s]{4,40}$", False) & (F.length(bare) < 45))
@@ -115,7 +115,7 @@ def is_margin(text: Column, box: Column, width: Column, height: Column) -> Colum
 
 def is_watermark(text: Column, box: Column, width: Column, height: Column, font: Column, max_chars: int | None = None) -> Column:
     """A watermark word, or a large wide centred line (F10).  ``max_chars`` limits the words to short texts."""
-    word = has(text, any_of(fixed.WATERMARKS))
+    word = mentions(text, fixed.WATERMARKS)
     if max_chars:
         word = word & (F.length(text) <= max_chars)
     centred = (F.abs((box["x0"] + box["x1"]) / 2 - width / 2) < width * 0.15) & (F.abs((box["y0"] + box["y1"]) / 2 - height / 2) < height * 0.35)
@@ -140,7 +140,7 @@ def skips_translation(text: Column) -> Column:
     """Blank, digits, short metadata or boilerplate."""
     text = squeeze(F.coalesce(text, F.lit("")))
     short = (F.length(text) < 25) & has(text, r"\b(?:article|doi|volume|issue|page)\b")
-    return (text == "") | has(text, r"^\d+$", False) | short | has(text, any_of(fixed.UNTRANSLATED))
+    return (text == "") | has(text, r"^\d+$", False) | short | mentions(text, fixed.UNTRANSLATED)
 
 
 def is_stability_sentence(text: Column) -> Column:

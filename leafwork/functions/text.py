@@ -29,13 +29,42 @@ def sub(text: Column, pattern: str, by: str = "", ignore_case: bool = True) -> C
     return F.regexp_replace(text, rx(pattern, ignore_case), by)
 
 
-def strip(text: Column, chars: str = r"\s") -> Column:
-    return F.regexp_replace(text, f"(?U)^[{chars}]+|[{chars}]+$", "")
+#: White space, for trimming.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What is not yet single spaces: runs, or one white space other than a space.  Plain prose has few of either.
+LOOSE = r"(?U)\s{2,}|[^\S ]"
+LOOSE_IN_LINE = r"(?U)[^\S\n]{2,}|[^\S\n ]"
+
+
+def strip(text: Column, chars: str = SPACES) -> Column:
+    return F.btrim(text, F.lit(chars))
 
 
 def squeeze(text: Column) -> Column:
     """White space as single spaces, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, LOOSE, " "))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def mentions(text: Column, words: list[str]) -> Column:
+    """Whether any of the words stands anywhere, whatever its case.  Plain words are found as substrings; only entries with
+    pattern syntax cost a regular expression."""
+    plain = [w.lower() for w in words if not set(w) & set("\\?[](){}|*+^$.")]
+    patterns = [w for w in words if set(w) & set("\\?[](){}|*+^$.")]
+    tests = [lambda t, w=w: F.contains(t, F.lit(w)) for w in plain]
+    if patterns:
+        tests.append(lambda t: t.rlike(rx(any_of(patterns))))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda t: reduce(Column.__or__, [f(t) for f in tests]))
+
+
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines as an array: lower case, white space as single spaces."""
+    flat = F.regexp_replace(F.lower(text), LOOSE_IN_LINE, " ")
+    return F.transform(F.split(flat, "\n"), lambda line: F.trim(line))
 
 
 def nullif(text: Column) -> Column:
@@ -70,7 +99,7 @@ def fuzzy_key(text: Column) -> Column:
 
 
 def clean_title(text: Column) -> Column:
-    text = strip(squeeze(text), r" .;:\-")
+    text = strip(squeeze(text), " .;:-")
     text = strip(sub(text, rf"^{any_of(fixed.TITLE_PREFIXES)}\b[:.\s-]*"))
     text = strip(sub(text, r"^Nature Communications Article in Press\b[:.\s-]*"))
     return strip(sub(text, rf"^{any_of(fixed.TITLE_BANNERS)}\s*(?=[A-Z])", "", False))

@@ -148,7 +148,7 @@ def labelled_abstract(pages: DataFrame) -> DataFrame:
     texts = pages.where("page <= 8").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     flat = squeeze(F.array_join(F.transform("p", lambda x: x["text"]), "\n"))
     found = F.regexp_extract_all(flat, F.lit(rx(rf"\bAbstract\b\s*(?:[-—:]\s*)?(.+?)(?=\b{any_of(fixed.ABSTRACT_STOPS)}\b)")), F.lit(1))
-    found = F.filter(F.transform(found, lambda x: strip(squeeze(x), r" .:\-—")), lambda x: (F.length(x) >= 120) & ~has(x, "^(?:ARTICLE IN PRESS|maximum power point)"))
+    found = F.filter(F.transform(found, lambda x: strip(squeeze(x), " .:-—")), lambda x: (F.length(x) >= 120) & ~has(x, "^(?:ARTICLE IN PRESS|maximum power point)"))
     longest = F.aggregate(found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     return texts.select("doc_id", longest.alias("abstract"))
 

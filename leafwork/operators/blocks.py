@@ -150,7 +150,7 @@ def mask_title(paragraphs: DataFrame, info: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(key, docs, uses) of lines that stand in three documents or more: A1 over plain text, documents for pages."""
-    keyed = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", T.repeat_key(F.col("line")).alias("key"))
+    keyed = docs.select("doc_id", F.explode(T.line_keys(F.col("text"))).alias("key"))
     keyed = keyed.where((F.col("key") != "") & ~F.col("key").rlike(r"^\d+$"))
     # One row per (document, line) first: a line that every document holds meets few rows in the second step.
     once = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("uses"))
@@ -159,6 +159,10 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(doc_id, text): documents rebuilt from their lines without those repeated across documents, each line cleaned."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("key", T.repeat_key(F.col("line")))
-    kept = lines.join(repeated_lines(docs, min_docs), "key", "left_anti").withColumn("line", T.clean_text(F.col("line"))).where("line <> ''")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    both = F.arrays_zip(F.split("text", "\n").alias("line"), T.line_keys(F.col("text")).alias("key"))
+    lines = docs.select("doc_id", F.posexplode(both).alias("pos", "b")).select("doc_id", "pos", F.col("b.line").alias("line"), F.col("b.key").alias("key"))
+    kept = lines.join(repeated_lines(docs, min_docs), "key", "left_anti")
+    # Empty lines go after the lines are gathered: a filter before that would clean every line twice.
+    rows = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", T.clean_text(F.col("line")).alias("line")))).alias("x"))
+    text = F.array_join(F.filter(F.transform("x", lambda v: v["line"]), lambda v: v != ""), "\n")
+    return rows.select("doc_id", text.alias("text")).where("text <> ''")

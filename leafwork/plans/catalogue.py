@@ -109,7 +109,7 @@ def topk_per_doc(spark, sf_dir):
 @query(f"""
 WITH {LINES} SELECT doc_id, n, regexp_matches(line, '(?i){_re(fixed.BOILERPLATE)}') AS hit FROM lines""")
 def boilerplate_filter(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "n", T.has(F.col("line"), any_of(fixed.BOILERPLATE)).alias("hit"))
+    return _lines(spark, sf_dir).select("doc_id", "n", T.mentions(F.col("line"), fixed.BOILERPLATE).alias("hit"))
 
 
 @query(f"""
