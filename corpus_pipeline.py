@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwork.llm import decontam, mixing, quality, sharding, simhash
+from leafwork.llm import decontam, mixing, nearcopy, quality, sharding
 from leafwork.llm.common import cut
 from leafwork.llm.queries import MIX_BLOCK, MIX_OTHER, MIX_WEIGHTS
 
@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, budget=3, width=3)
+    return nearcopy.keep_one(docs, width=5, num=4, den=5)
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,11 @@ from .common import cut
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of the word shingles of UTF-8 text, as a signed 64-bit integer; 0 without words."""
+def shingle_hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """Hashes of the word shingles of UTF-8 text, repeats and all; of the whole text if it has no more words than that."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
@@ -36,13 +36,22 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         shingles = [joined[a:b] for a, b in zip((ends - sizes).tolist(), ends[width - 1 :].tolist())]
-    h = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
+    return np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
+
+
+def simhash(h: np.ndarray) -> int:
+    """SimHash of shingle hashes, as a signed 64-bit integer; 0 without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of the word shingles of UTF-8 text, as a signed 64-bit integer; 0 without words."""
+    return simhash(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp).  A null text has no words."""
 
@@ -187,7 +196,12 @@ def keep_one(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
     Rows that repeat that doc_id give one row: the one with the smallest text.  Rows without a doc_id cannot be
     named and all stay.
     """
-    classes = near_duplicates(docs, budget, width).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return keep_smallest(docs, near_duplicates(docs, budget, width))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one for components that are known: rows (doc_id, component_id)."""
+    classes = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
