@@ -2,12 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  The first three drop rows (poor, near-duplicate
 and contaminated documents), mixing keeps every row and lays them out in mixed order, and sharding returns each
-document's shard and slot.
+document's shard and its slot, in mixed order within the shard.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafwork.llm import decontam, mixing, nearcopy, quality, sharding
 from leafwork.llm.common import cut
@@ -27,11 +30,19 @@ def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_order(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
+    """Rows in mixed order.  A table keeps no order of rows, so the schedule goes with it as metadata of doc_id."""
+    plan = {"weights": json.dumps(MIX_WEIGHTS), "other": MIX_OTHER, "block_rows": MIX_BLOCK}
+    out = mixing.mixed_order(docs, MIX_WEIGHTS, MIX_OTHER, MIX_BLOCK)
+    return out.select(*[F.col(c).alias(c, metadata={"mixed": plan}) if c == "doc_id" else c for c in out.columns])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, shards=40)
+    """Shards of 40; where the stage before has mixed the rows, slots follow their mixed position."""
+    plan = docs.schema["doc_id"].metadata.get("mixed")
+    if plan is None:
+        return sharding.shard(docs, shards=40)
+    placed = mixing.mix(docs.select("doc_id", "source", "text"), json.loads(plan["weights"]), plan["other"], plan["block_rows"])
+    return sharding.shard(placed, shards=40, order_col="position")
 
 
 STAGES = [("quality classifier", good_quality), ("SimHash near-dedup", no_near_copies), ("benchmark decontamination", no_test_items), ("mixing sources", mixed), ("sharding", sharded)]

@@ -42,14 +42,14 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def with_rank(df: DataFrame, keys: list[str], ident: Column, out: str, then: list[Column] | None = None) -> DataFrame:
+def with_rank(df: DataFrame, keys: list[str], ident: Column, out: str, then: list[Column] | None = None, place: Column | None = None) -> DataFrame:
     """Add ``out``: the gapless rank (from 0) of each row among the rows of its keys, in order of md5(ident).
 
     No task holds all rows of a key: rows are dealt by key and four hex digits of the hash, ranked
     there, and shifted by counts summed over at most 256 buckets at each of two levels.  ``then``
-    breaks ties of equal identities.  Keys may not be null.
+    breaks ties of equal identities.  Keys may not be null.  ``place``: hex digits to order by in place of the hash.
     """
-    df = df.withColumns({"_h": F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))})
+    df = df.withColumns({"_h": F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) if place is None else place})
     df = df.withColumns({"_b1": F.substring("_h", 1, 2), "_b2": F.substring("_h", 3, 2)})
     leaf = df.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

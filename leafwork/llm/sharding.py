@@ -62,16 +62,17 @@ def best_fit_decreasing(runs: list[tuple[int, int]], shards: int | None = None,
     return out
 
 
-def shard(docs: DataFrame, shards: int | None = 40, capacity: int | None = None, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 40, capacity: int | None = None, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     Size is the text's UTF-8 bytes plus ``overhead``; a null text counts as empty.  Documents with equal texts form
     one group and share a shard.  Repeated rows are documents of their own.  An empty table gives no rows.
+    Slots follow ``order_col``, whole numbers from 0, or else the hash of the id.
     """
     if overhead < 1:
         raise ValueError("overhead must be positive")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("same")))
+    base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("same"), *([] if order_col is None else [F.col(order_col).cast("long").alias("_order")])))
     groups = base.groupBy("same").agg((F.count(F.lit(1)) * F.first("size")).alias("total"))
     groups = cut(with_rank(groups, ["total"], F.hex("same"), "nth"))
 
@@ -86,4 +87,8 @@ def shard(docs: DataFrame, shards: int | None = 40, capacity: int | None = None,
     plan = cut(sizes.mapInPandas(pack, "total long, places array<struct<upto: long, shard: int>>"))
     where = groups.join(plan, "total").select("same", F.expr("filter(places, p -> nth < p.upto)[0].shard").alias("shard"))
     placed = base.join(cut(where), "same").drop("same")
-    return with_rank(cut(placed), ["shard"], F.col("doc_id"), "slot", [F.col("text_crc32"), F.col("size")])
+    place = None
+    if order_col is not None:  # the leading digits spread the order evenly over with_rank's buckets
+        last = base.agg(F.max("_order")).first()[0] or 0
+        place = F.concat(F.lpad(F.hex(F.floor(F.col("_order") / (last + 1) * 65536)), 4, "0"), F.lpad(F.hex("_order"), 16, "0"))
+    return with_rank(cut(placed), ["shard"], F.col("doc_id"), "slot", [F.col("text_crc32"), F.col("size")], place).drop("_order")
