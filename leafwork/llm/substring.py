@@ -1,17 +1,20 @@
-"""Exact removal of repeated word windows, within and across documents.
+"""Exact removal of repeated word windows, within and across documents, by suffix automata of reference shards.
 
-Every window of ``width`` words has an anchor: the smallest hash among its 8-word grams.  Equal windows have equal
-anchors, so only windows whose anchor stands in two places can repeat, and anchors are a fraction of the words.
-Pass one counts anchors, pass two counts the windows under repeated anchors, pass three removes the words that
-repeated windows cover.  Each pass streams whole documents.
+Every document is a reference, so references are routed instead of broadcast whole.  A window of ``width`` words has an
+anchor, the smallest hash among its 8-word grams; equal windows have equal anchors.  A run of windows under one anchor is a
+piece: at most 28 windows and the words they cover.  Pass one counts anchors; a filter of fixed size, built from those that
+stand in two places, is broadcast.  Pass two sends the pieces whose anchor passes it to the shard of their anchor, equal
+pieces as one.  A shard, of bounded size, builds the suffix automaton of its pieces, streams each of them through it and
+marks the windows that occur twice.  Pass three removes, document by document, the words that marked windows cover.
 
-Suffix automata of all documents, broadcast shard by shard, would find the same spans, but as every document
-is a reference here, their number grows with the corpus and each must stream all of it; see the README for figures.
+Hashes of words and grams only decide where a piece goes; windows are compared word by word in the automaton.  Whole
+pieces and texts are told apart by cryptographic digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -22,30 +25,25 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-GRAM = 8
+GRAM, MOST = 8, 28
 _word = partial(xxhash.xxh3_64_intdigest, seed=0)
+_digest = partial(hashlib.blake2b, digest_size=16)
 _u = np.uint64
 
 
-def _join(x: np.ndarray, y: np.ndarray, c: int) -> np.ndarray:
-    z = (x ^ (x >> _u(29))) * _u(c) + y
+def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = (x ^ (x >> _u(29))) * _u(0xD6E8FEB86659FD93) + y
     z ^= z >> _u(32)
     return z * _u(0x9E3779B97F4A7C15)
 
 
-def _grams(h: np.ndarray, n: int, c: int) -> np.ndarray:
-    """Hashes of all runs of n values, put together from runs whose lengths are powers of two."""
-    out, used, run, size = None, 0, h, 1
-    rest = len(h) - n + 1
-    while size <= n:
-        if n & size:
-            part = run[used : used + rest]
-            out = part if out is None else _join(out, part, c)
-            used += size
-        if 2 * size <= n:
-            run = _join(run[:-size], run[size:], c)
+def _grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM values."""
+    size = 1
+    while size < GRAM:
+        h = _join(h[:-size], h[size:])
         size *= 2
-    return _join(out, out, c)
+    return h
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -57,30 +55,120 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
-def anchors(words: list[bytes], width: int):
-    """(hashes of words, grams, anchor of each window); None for texts shorter than a window."""
+def anchors(words: list[bytes], width: int, hash_bits: int = 64):
+    """(grams, anchor of each window); None for texts shorter than a window."""
     if len(words) < width:
         return None
     h = np.fromiter(map(_word, words), np.uint64, len(words))
-    grams = _grams(h, GRAM, 0xD6E8FEB86659FD93)
-    return h, grams, _slide(grams, width - GRAM + 1, np.minimum)
+    if hash_bits < 64:
+        h &= _u((1 << hash_bits) - 1)
+    grams = _grams(h)
+    return grams, _slide(grams, width - GRAM + 1, np.minimum)
+
+
+def pieces(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of windows under one anchor, MOST windows at most."""
+    start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    size = np.diff(np.r_[start, len(least)])
+    parts = -(-size // MOST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(start, parts) + MOST * nth
+    return first, np.minimum(first + MOST, np.repeat(start + size, parts))
 
 
-def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    return _grams(h, width, 0xC2B2AE3D27D4EB4F).view(np.int64)
+def _bits(x: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each value in a filter of 2 ** log_bits bits."""
+    shift = _u(64 - log_bits)
+    return x * _u(0x9FB21C651E98DF25) >> shift, (x ^ (x >> _u(31))) * _u(0xA0761D6478BD642F) >> shift
 
 
-def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 32 bits, of each window."""
-    return window_hashes(h, width), (_grams(h, width, 0x165667B19E3779F9) >> _u(32)).astype(np.uint32).view(np.int32)
+def passes(x: np.ndarray, words: np.ndarray, log_bits: int) -> np.ndarray:
+    ok = np.ones(len(x), bool)
+    for p in _bits(x, log_bits):
+        ok &= (words[p >> _u(6)] >> (p & _u(63))) & _u(1) > 0
+    return ok
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(known, x)
-    i[i == len(known)] = 0
-    return known[i] == x
+def _filter(anchor: DataFrame, log_bits: int) -> np.ndarray:
+    """The filter's words; at most 2 ** (log_bits - 6) rows reach the driver, whatever the number of anchors."""
+
+    def run(batches):
+        for b in batches:
+            p = np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), log_bits))
+            word, at = np.unique(p >> _u(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, at, _u(1) << (p & _u(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    rows = anchor.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (log_bits - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+class Automaton:
+    """Suffix automaton of a sequence, with the number of places where each state's strings end."""
+
+    def __init__(self, sequence):
+        self.next, self.link, self.length, self.count = [{}], [-1], [0], [0]
+        nxt, link, length, count, last = self.next, self.link, self.length, self.count, 0
+        for c in sequence:
+            new = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            count.append(1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                else:
+                    twin = len(nxt)
+                    nxt.append(nxt[q].copy())
+                    length.append(length[p] + 1)
+                    count.append(0)
+                    link.append(link[q])
+                    link[q] = link[new] = twin
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = twin
+                        p = link[p]
+            last = new
+        for v in np.argsort(-np.array(length), kind="stable")[:-1].tolist():
+            count[link[v]] += count[v]
+
+    def repeats(self, sequence, width: int) -> list[bool]:
+        """Whether each run of width values of the sequence occurs twice in the automaton's own, from matching statistics."""
+        nxt, link, length = self.next, self.link, self.length
+        v = matched = 0
+        out = []
+        for k, c in enumerate(sequence, 1):
+            while v and c not in nxt[v]:
+                v = link[v]
+                matched = length[v]
+            if c in nxt[v]:
+                v, matched = nxt[v][c], matched + 1
+            while v and length[link[v]] >= width:
+                v = link[v]
+                matched = length[v]
+            if k >= width:
+                out.append(matched >= width and self.count[v] > 1)
+        return out
+
+
+def marked(group: list[bytes], width: int) -> list[int]:
+    """For each of a shard's pieces, all different, a mask of its windows that stand twice in the shard."""
+    known: dict[bytes, int] = {}
+    split = [[known.setdefault(w, len(known)) for w in x.split(b" ")] for x in group]
+    joined: list[int] = []
+    for i, x in enumerate(split):
+        joined += x
+        joined.append(-1 - i)
+    machine = Automaton(joined)
+    return [sum(1 << j for j, hit in enumerate(machine.repeats(x, width)) if hit) for x in split]
 
 
 def result(words: list[bytes], starts: np.ndarray, width: int) -> tuple[int, int, str, bytes]:
@@ -93,115 +181,135 @@ def result(words: list[bytes], starts: np.ndarray, width: int) -> tuple[int, int
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
-def _few(df: DataFrame, column: str, limit: int) -> np.ndarray | None:
-    """The values of a column, sorted; None if there are more than ``limit``."""
-    if df.count() > limit:
-        return None
-    return np.sort(df.select(column).toArrow()[column].to_numpy())
+def _windows(x: bytes, width: int) -> list[bytes]:
+    words = x.split(b" ")
+    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+
+
+def _marks(found: DataFrame, width: int, shard_pieces: int) -> DataFrame:
+    """Rows (anchor, digest, mask) of the pieces in ``found`` (anchor, digest, n, windows, piece) that hold repeated windows."""
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    many = cut(found.join(kinds, "anchor").select("anchor", "digest", "n", "piece", "kinds"))
+
+    def shard(batches):
+        """Shards of whole anchors: closed as soon as they hold shard_pieces pieces, so never twice as many."""
+        held: list[tuple] = []
+
+        def close():
+            masks = marked([x[2] for x in held], width)
+            cols = list(zip(*[(a, d, m) for (a, d, _), m in zip(held, masks) if m])) or [(), (), ()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["anchor", "digest", "mask"])
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if len(held) >= shard_pieces and held[-1][0] != row[0]:
+                    yield close()
+                held.append(row)
+        if held:
+            yield close()
+
+    few = many.where(F.col("kinds") <= shard_pieces).select("anchor", "digest", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    small = few.mapInArrow(shard, "anchor long, digest binary, mask long")
+
+    def alone(batches):
+        for b in batches:
+            masks = [marked([x], width)[0] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(masks, pa.int64())], ["anchor", "digest", "mask"])
+
+    # A window that stands twice in one piece of w windows repeats its words after fewer than w.
+    loops = found.where("n = 1").where(F.size(F.array_distinct(F.split(F.col("piece").cast("string"), " "))) < F.col("windows"))
+    loops = loops.select("anchor", "digest", "piece").mapInArrow(alone, "anchor long, digest binary, mask long")
+
+    def windows(batches):
+        for b in batches:
+            out = [(a, d, n, j, _digest(w).digest()) for a, d, n, x in zip(*(b.column(k).to_pylist() for k in range(4))) for j, w in enumerate(_windows(x, width))]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "digest", "n", "j", "window"])
+
+    # An anchor with more kinds of pieces than a shard holds: its windows are counted, wherever they are.
+    each = cut(many.where(F.col("kinds") > shard_pieces).select("anchor", "digest", "n", "piece").mapInArrow(windows, "anchor long, digest binary, n long, j int, window binary"))
+    twice = each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    hot = each.join(twice, "window").select("anchor", "digest", F.expr("shiftleft(1L, j)").alias("mask"))
+    whole = found.where("n > 1").select("anchor", "digest", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    return small.unionByName(loops).unionByName(hot).unionByName(whole).groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask"))
 
 
-def dedup(docs: DataFrame, width: int = 35, broadcast_rows: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = 35, log_bits: int = 27, shard_pieces: int = 256, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Each word goes that lies in a window of ``width`` words whose sequence starts anywhere else too, in the same document
     or another.  Null and empty texts have no words; texts shorter than a window stay whole; repeated rows repeat each
-    other's windows and so lose all words of texts of ``width`` words or more.  Repeated anchors and windows are broadcast
-    (8 bytes each) while there are at most ``broadcast_rows``; beyond that they are joined, with equal results.
+    other's windows and so lose all words of texts of ``width`` words or more.  Words that are not UTF-8 are compared as bytes
+    and kept text shows them as Spark does.  An empty table gives no rows; columns other than the two read are ignored.
+
+    ``log_bits`` sets the size of the anchor filter (2 ** 27 bits are 16 MB): a fuller filter lets more pieces through, never fewer.
     """
-    if width < GRAM:
-        raise ValueError(f"width must be at least {GRAM}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    if not GRAM <= width or not 6 < log_bits < 34 or shard_pieces < 1:
+        raise ValueError(f"width must be at least {GRAM}, log_bits from 7 to 33 and shard_pieces positive")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("key")
     span = width - GRAM + 1
 
     def count_anchors(batches):
+        edge = np.zeros(span - 1, np.uint64)
         for b in batches:
             found = []
             for t in b.column(0).to_pylist():
-                got = anchors((t or b"").split(), width)
+                got = anchors(t.split(), width, hash_bits)
                 if got:
-                    _, grams, least = got
-                    edge = np.zeros(span - 1, np.uint64)
+                    grams, least = got
                     found.append(grams[_slide(np.concatenate([edge, least, edge]), span, np.maximum) == grams])
             if found:
                 a, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
-    texts = rows.select("text")
-    common = cut(texts.mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    sc = docs.sparkSession.sparkContext
-    few = _few(common, "anchor", broadcast_rows)
-    if few is not None:
-        few_sent = sc.broadcast(few)
-
-        def count_windows(batches):
-            few = few_sent.value
-            for b in batches:
-                found = []
-                for t in b.column(0).to_pylist():
-                    got = anchors((t or b"").split(), width)
-                    if got and (at := _among(got[2].view(np.int64), few)).any():
-                        x, y = windows(got[0], width)
-                        found.append(np.rec.fromarrays([x[at], y[at]], names="a,b"))
-                if found:
-                    u, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u["a"])), pa.array(np.ascontiguousarray(u["b"])), pa.array(n)], ["a", "b", "n"])
-
-        counted = texts.mapInArrow(count_windows, "a long, b int, n long")
-    else:
-        places = _windows_of(rows, width)
-        counted = places.join(common, "anchor", "left_semi").select("a", "b", F.lit(1).cast("long").alias("n"))
-    repeated = cut(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"))
-    seen = _few(repeated, "a", broadcast_rows)
-    out_type = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-
-    def finish(b, found):
-        n, gone, sha, kept = zip(*found) if found else ((),) * 4
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names)
-
-    if few is not None and seen is not None:
-        seen_sent = sc.broadcast(seen)
-
-        def remove(batches):
-            few, seen = few_sent.value, seen_sent.value
-            for b in batches:
-                found = []
-                for t in b.column("text").to_pylist():
-                    words = (t or b"").split()
-                    got = anchors(words, width)
-                    starts = np.empty(0, np.int64)
-                    if got and len(at := np.flatnonzero(_among(got[2].view(np.int64), few))):
-                        starts = at[_among(window_hashes(got[0], width)[at], seen)]
-                    found.append(result(words, starts, width))
-                yield finish(b, found)
-
-        return _text(rows.mapInArrow(remove, out_type))
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # written, so that every reader sees the same numbers
-    hits = _windows_of(rows, width).join(repeated, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
-
-    def remove_at(batches):
-        for b in batches:
-            yield finish(b, [result((t or b"").split(), np.array(s or [], np.int64), width) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())])
-
-    return _text(rows.join(hits, "row", "left").select("doc_id", "text", "starts").mapInArrow(remove_at, out_type))
-
-
-def _text(out: DataFrame) -> DataFrame:
-    return out.withColumn("kept_text", F.col("kept_text").cast("string"))
+    common = rows.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(common, log_bits))
+    names = ["anchor", "digest", "piece", "windows", "key", "start", "n"]
 
-
-def _windows_of(rows: DataFrame, width: int) -> DataFrame:
-    """All windows as rows (row, start, anchor, a, b)."""
-    if "row" not in rows.columns:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
-
-    def run(batches):
+    def send_pieces(batches):
+        known = sent.value
         for b in batches:
-            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = anchors((t or b"").split(), width)
-                if got:
-                    x, y = windows(got[0], width)
-                    n = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.arange(n)), pa.array(got[2].view(np.int64)), pa.array(x), pa.array(y)], ["row", "start", "anchor", "a", "b"])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, start long, anchor long, a long, b int")
+            copies = Counter(b.column(0).to_pylist())
+            texts = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            out: list[list] = [[] for _ in names]
+            for k, t in texts.items():
+                words = t.split()
+                got = anchors(words, width, hash_bits)
+                if not got:
+                    continue
+                first, end = pieces(got[1])
+                at = np.flatnonzero(passes(got[1][first], known, log_bits))
+                if not len(at):
+                    continue
+                joined = b" ".join(words)
+                stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                first, end = first[at], end[at]
+                begin = np.where(first > 0, stop[first - 1], 0)
+                body = [joined[x:y] for x, y in zip(begin.tolist(), (stop[end + width - 2] - 1).tolist())]
+                for column, more in zip(out, (got[1][first].view(np.int64).tolist(), [_digest(x).digest() for x in body], body, (end - first).tolist(), [k] * len(at), first.tolist(), [copies[k]] * len(at))):
+                    column += more
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
+    sent_pieces = cut(rows.select(key, "text").mapInArrow(send_pieces, "anchor long, digest binary, piece binary, windows int, key binary, start int, n long"))
+    found = cut(sent_pieces.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("piece").alias("piece")))
+    masks = cut(_marks(found, width, shard_pieces))
+    hits = sent_pieces.select("anchor", "digest", "key", "start").join(masks, ["anchor", "digest"]).select("key", "start", "mask").distinct()
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+
+    def remove(batches):
+        for b in batches:
+            found = []
+            for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                starts = [x["start"] + j for x in at or () for j in range(MOST) if x["mask"] >> j & 1]
+                found.append(result(t.split(), np.array(starts, np.int64), width))
+            n, gone, sha, kept = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    joined = rows.withColumn("key", key).join(hits, "key", "left").select("doc_id", "text", "hits")
+    out = joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
+    return out.withColumn("kept_text", F.col("kept_text").cast("string"))

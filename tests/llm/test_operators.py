@@ -530,8 +530,8 @@ def test_piece_scores_sum_to_one():
 # ---------------------------------------------------------------- substrings
 
 
-@pytest.mark.parametrize("width,limit", [(35, 16_000_000), (35, 0), (12, 16_000_000), (8, 0)])
-def test_substring_dedup(docs, empty, width, limit):
+@pytest.mark.parametrize("width,options", [(35, {}), (35, {"hash_bits": 2, "log_bits": 7}), (12, {"shard_pieces": 1}), (8, {"hash_bits": 6, "shard_pieces": 3})])
+def test_substring_dedup(docs, empty, width, options):
     rows = docs.collect()
     tokens = [words(r["text"], False) for r in rows]
     seen = collections.Counter(tuple(t[i : i + width]) for t in tokens for i in range(len(t) - width + 1))
@@ -543,7 +543,23 @@ def test_substring_dedup(docs, empty, width, limit):
                 gone[i : i + width] = [True] * width
         kept = " ".join(w for w, g in zip(t, gone) if not g)
         want.append((str(r["doc_id"]), len(t), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    got = substring.dedup(clashing(docs), width, limit).collect()
+    got = substring.dedup(clashing(docs), width, **options).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in got) == sorted(want)
     assert any(w[2] for w in want) and any(not w[2] for w in want)
-    assert substring.dedup(empty, width, limit).count() == 0
+    assert substring.dedup(empty, width, **options).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_automaton_marks_windows_that_stand_twice(seed):
+    r = random.Random(seed)
+    group = sorted({b" ".join(r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(1, 30))) for _ in range(12)})
+    width = r.randint(1, 6)
+    split = [x.split(b" ") for x in group]
+    seen = collections.Counter(tuple(x[i : i + width]) for x in split for i in range(len(x) - width + 1))
+    assert substring.marked(group, width) == [sum(1 << i for i in range(len(x) - width + 1) if seen[tuple(x[i : i + width])] > 1) for x in split]
+
+
+def test_pieces_cover_every_window_once():
+    least = np.array([5] * 70 + [3, 4, 4], np.uint64)
+    first, end = substring.pieces(least)
+    assert [i for a, b in zip(first, end) for i in range(a, b)] == list(range(73)) and max(end - first) == substring.MOST
