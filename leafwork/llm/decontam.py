@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, free
+
 MATCHES = "array<struct<item_id: long, start: long, end: long, distance: int>>"
 _matches = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
 
@@ -52,14 +54,18 @@ def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds items, as (item_id, text) with a budget of floor(rate x length), in normalised texts."""
+    """Finds items, as (item_id, text) with a budget of floor(rate x length), in normalised texts.
+
+    Items under ``short`` characters have no budget and count only as whole words: between spaces or the ends of a text.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = 32):
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= short else -1) for i, t in items]
         self.machine = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            cuts = [len(t) * p // (k + 1) for p in range(k + 2)]
+            parts = max(k, 0) + 1
+            cuts = [len(t) * p // parts for p in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(t[a:b], []).append((n, a))
         for piece, owners in pieces.items():
@@ -78,6 +84,10 @@ class Matcher:
         out = []
         for n, starts in hits.items():
             item, t, k = self.items[n]
+            if k < 0:
+                whole = [s for s in starts if text[s - 1 : s] in ("", " ") and text[s + len(t) : s + len(t) + 1] in ("", " ")]
+                out += [{"item_id": item, "start": s, "end": s + len(t), "distance": 0} for s in whole]
+                continue
             starts.sort()
             first = last = starts[0]
             windows = []
@@ -99,47 +109,76 @@ class Matcher:
         return sorted(out, key=lambda x: (x["item_id"], x["start"]))
 
 
-def _chunks(benchmark: DataFrame, min_chars: int, chunk_bytes: int):
-    """Lists of (item_id, normalised text) of at most chunk_bytes characters (or one item); streamed, never held whole."""
-    chunk, held = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        t = normal(r[1])
-        if len(t) < min_chars:
-            continue
-        if chunk and held + len(t) > chunk_bytes:
-            yield chunk
-            chunk, held = [], 0
-        chunk.append((r[0], t))
-        held += len(t)
-    if chunk:
-        yield chunk
+def _texts(column) -> list[str]:
+    """Strings of a column; null as empty, bytes that are not UTF-8 as replacement characters."""
+    return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _items(benchmark: DataFrame, chunk_chars: int) -> tuple[DataFrame, int]:
+    """Rows (item_id, text, chunk) of normalised items, dealt by hash to chunks of about chunk_chars characters; and the number of chunks."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(normal, _texts(b.column(1))), pa.string())], ["item_id", "text"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows = cut(rows.mapInArrow(run, "item_id long, text string").where("text <> ''").distinct())
+    chunks = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk_chars)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("text"), F.lit(max(chunks, 1)))), chunks
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches", rate: float = 0.06, min_chars: int = 32, chunk_bytes: int = 4_000_000, text_col: str = "text") -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches", rate: float = 0.06, short: int = 32, chunk_chars: int = 1_000_000, text_col: str = "text") -> DataFrame:
     """docs with a column of matches: item_id, start and end in the normalised text, edit distance.
 
-    A benchmark larger than ``chunk_bytes`` is sent in chunks, each in a pass of its own over the rows as they stream, so
-    no task ever holds more than one chunk's automaton per pass.  Items without an id or shorter than ``min_chars``
-    normalised characters are too short to tell and match nothing.  Null and empty texts have no matches.
+    Every item with an id and a word is looked for: items under ``short`` normalised characters exactly, as whole words,
+    longer ones with up to rate x length edits.  Null and empty texts have no matches; bytes that are not UTF-8 read as
+    replacement characters; repeated rows match alike, repeated items once, and an item id with several texts by each.  An
+    empty benchmark matches nothing.  A column named ``out`` is replaced; all other columns stay.
+
+    One automaton holds about ``chunk_chars`` characters of items.  A larger benchmark takes one pass over the texts for
+    each chunk, which writes the matches it found by digest of the text, and one join brings them together, so no task
+    or driver ever holds more than one chunk.
     """
     if not 0 <= rate < 0.5:
         raise ValueError("rate must be from 0 to 0.5")
-    docs = docs.withColumn(out, F.array().cast(MATCHES))
-    spot, text_at = docs.columns.index(out), docs.columns.index(text_col)
-    for chunk in _chunks(benchmark, min_chars, chunk_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(chunk)
+    items, chunks = _items(benchmark, chunk_chars)
+    sc = docs.sparkSession.sparkContext
+
+    def send(k):
+        got = items.where(F.col("chunk") == k).orderBy("item_id", "text").toArrow()
+        return sc.broadcast(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())))
+
+    if chunks <= 1:
+        docs = docs.withColumn(out, F.array().cast(MATCHES))
+        spot, text_at, sent = docs.columns.index(out), docs.columns.index(text_col), send(0)
+
+        def run(batches):
+            matcher = Matcher(sent.value, rate, short)
+            for b in batches:
+                yield b.set_column(spot, b.schema.field(spot).name, pa.array([matcher.find(normal(t)) for t in _texts(b.column(text_at))], _matches))
+
+        return docs.mapInArrow(run, docs.schema)
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)), 1, 16)
+    rows = docs.select(digest.alias("key"), F.col(text_col).cast("binary").alias("text"))
+    found = None
+    for k in range(chunks):
+        sent = send(k)
 
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, rate)
+        def search(batches, sent=sent):
+            matcher = Matcher(sent.value, rate, short)
             for b in batches:
-                got = [(old or []) + matcher.find(normal(t)) for t, old in zip(b.column(text_at).to_pylist(), b.column(spot).to_pylist())]
-                yield b.set_column(spot, b.schema.field(spot).name, pa.array(got, _matches))
+                got = [matcher.find(normal(t)) for t in _texts(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, _matches)], ["key", "found"]).filter(pa.array(map(bool, got), pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        part = cut(rows.mapInArrow(search, f"key binary, found {MATCHES}").distinct())
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    key, own = free(docs, "_key"), free(docs, "_found")
+    by = found.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias(own))
+    return docs.withColumn(key, digest).join(by, key, "left").withColumn(out, F.coalesce(own, F.array().cast(MATCHES))).select(*dict.fromkeys([*docs.columns, out]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows and columns of docs without those that hold a test item."""
-    name = "_matches"
+    """The rows and columns of docs without those that hold a test item, as with_matches finds them; repeated rows stay or go together."""
+    name = free(docs, "_matches")
     return with_matches(docs, benchmark, name, **options).where(F.size(name) == 0).drop(name)
