@@ -182,7 +182,7 @@ def test_top_k_is_exact(spark):
     vs += [(900, None), (800, [1.0, None]), (801, [float("nan")] * 8), (802, [float("inf")] * 8), (None, [1.0] * 8), (803, []), (804, [2.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vs], "vec_id long, embedding array<float>, score int, rank int").repartition(3)
     got = collections.defaultdict(list)
-    for x in topk.top_k(df, F.col("vec_id") % 100 == 0, k=10, pivots=7, sample_rows=100, slice_rows=130, wave_rows=3).collect():
+    for x in topk.top_k(df, F.col("vec_id") % 100 == 0, k=10, pivots=7, sample_rows=100, cell_rows=60, wave_rows=3).collect():
         got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
     assert {q: sorted(x) for q, x in got.items()} == brute_top(vs, 10)
     few = topk.top_k(df.where("vec_id < 4"), F.col("vec_id") % 100 == 0, k=10).collect()
@@ -190,6 +190,24 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_queries_visit_few_annuli_of_clustered_vectors():
+    r = np.random.default_rng(3)
+    centres = 1000 * r.standard_normal((40, 16))
+    x = np.floor(centres[r.integers(0, 40, 20_000)] + 30 * r.standard_normal((20_000, 16)))
+    layout = topk.Layout(x[:2000], 64, 200)
+    near, dist = layout.nearest(x)
+    of = layout.cell(near, dist)
+    cell = np.unique(of)
+    lo, hi, top = (np.array([f(v[of == c]) for c in cell]) for f, v in ((np.min, dist), (np.max, dist), (np.max, np.linalg.norm(x, axis=1))))
+    q = x[:200]
+    tenth = -np.sort(-(q @ x.T), axis=1)[:, 9]
+    who, where = topk.annuli(layout, q, tenth, cell, lo, hi, top, False)
+    assert len(cell) > 100 and len(who) < 0.1 * len(q) * len(cell)
+    for i in range(len(q)):  # no annulus of a result is left out
+        best = set(np.unique(of[(x @ q[i]) >= tenth[i]]))
+        assert best <= {*cell[where[who == i]], *cell[topk.annuli(layout, q[i : i + 1], tenth, cell, lo, hi, top, True)[1]]}
+
+
 # ---------------------------------------------------------------- secrets
 
 
