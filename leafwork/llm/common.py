@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,39 @@ def with_rank(df: DataFrame, keys: list[str], ident: Column, out: str, then: lis
     own = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_h", *(then or []))
     df = df.withColumn("_i", F.row_number().over(own)).join(base, [*keys, "_b1", "_b2"])
     return df.withColumn(out, F.col("_base") + F.col("_i") - 1).drop("_h", "_b1", "_b2", "_i", "_base")
+
+
+def _places(x: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each 64-bit value in a filter of 2 ** log_bits bits."""
+    u = np.uint64
+    shift = u(64 - log_bits)
+    return x * u(0x9FB21C651E98DF25) >> shift, (x ^ (x >> u(31))) * u(0xA0761D6478BD642F) >> shift
+
+
+def passes(x: np.ndarray, words: np.ndarray, log_bits: int) -> np.ndarray:
+    """Whether each 64-bit value may be one of those that a filter was made of; true for all that are."""
+    u, ok = np.uint64, np.ones(len(x), bool)
+    for p in _places(x, log_bits):
+        ok &= (words[p >> u(6)] >> (p & u(63))) & u(1) > 0
+    return ok
+
+
+def bit_filter(values: DataFrame, log_bits: int) -> np.ndarray:
+    """The words of a filter of 2 ** log_bits bits that all values (one column of longs) pass.
+
+    At most 2 ** (log_bits - 6) rows reach the driver, whatever the number of values.
+    """
+    u = np.uint64
+
+    def run(batches):
+        for b in batches:
+            p = np.concatenate(_places(b.column(0).to_numpy().view(u), log_bits))
+            word, at = np.unique(p >> u(6), return_inverse=True)
+            bits = np.zeros(len(word), u)
+            np.bitwise_or.at(bits, at, u(1) << (p & u(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    rows = values.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (log_bits - 6), u)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(u)
+    return out

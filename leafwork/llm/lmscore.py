@@ -160,8 +160,9 @@ def piece_counts(lexicon: DataFrame, model: bytes, scores=None) -> list[tuple[in
         total: dict = {}
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not (lattice and lattice.expected(w.decode(), n, total)):
-                    for i in sp.encode(w.decode()):
+                word = w.decode("utf-8", "replace")
+                if not (lattice and lattice.expected(word, n, total)):
+                    for i in sp.encode(word):
                         total[sp.id_to_piece(i)] = total.get(sp.id_to_piece(i), 0.0) + n
         if total:
             ids = [sp.piece_to_id(x if isinstance(x, str) else f"<0x{x:02X}>") for x in total]
@@ -193,7 +194,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, hot_words: int = 65_536
 
     Tokens are the words, A-Z lowered, and one end.  A null text counts as empty: one token, the end.  A null id
     counts as the empty text when the rows are split.  Repeated rows count each time.  At most ``hot_words``
-    words are broadcast, the most frequent; all others are joined.  Without training rows no word is known.
+    words are broadcast, the most frequent; all others are joined.  Without training rows no word is known.  Words that
+    are not UTF-8 are counted as bytes and scored with replacement characters.  An empty table gives no rows; columns other
+    than the two read are ignored.
     """
     with open(vocabulary, "rb") as f:
         model = f.read()
@@ -213,7 +216,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, hot_words: int = 65_536
     def weigh(batches):
         lattice = Lattice(*sent.value)
         for b in batches:
-            lp = [lattice.log_probability(w.decode()) / _ln10 for w in b.column(0).to_pylist()]
+            lp = [lattice.log_probability(w.decode("utf-8", "replace")) / _ln10 for w in b.column(0).to_pylist()]
             base = [math.log10(c + 0.1) - size for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.float64()), pa.array(lp, pa.float64())], ["word", "c", "base", "lp"])
 

@@ -25,7 +25,7 @@ _access = re.compile(r"AKIA[A-Z0-9]{16,}")
 _hex = re.compile(r"[0-9a-f]{24,}")
 _word = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _token = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_armour = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_armour = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(\s*Proc-Type: *4, *ENCRYPTED\s+DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]+\s)?([A-Za-z0-9+/=\s]+)-----END \1-----")
 _named = ("passw", "secret", "token", "api")
 
 
@@ -60,13 +60,13 @@ def _der(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: RSA numbers, an elliptic-curve key, or a wrapped key, plain or encrypted."""
+    """A private key: the numbers of RSA or DSA, an elliptic-curve key, or a wrapped key, plain or encrypted."""
     top = _der(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     inner = _der(data, *top[0][1:])
     tags = [t for t, _, _ in inner or ()]
-    if tags[:9] == [2] * 9 or tags[:2] == [2, 4]:
+    if tags[:9] == [2] * 9 or tags == [2] * 6 or tags[:2] == [2, 4]:
         return True
     if tags[:3] == [2, 0x30, 4] or tags == [0x30, 4]:
         algorithm = _der(data, *inner[tags.index(0x30)][1:])
@@ -97,11 +97,24 @@ def is_container_key(data: bytes) -> bool:
 def is_signed_token(header: str, body: str) -> bool:
     try:
         top, claims = json.loads(_decode(header)), json.loads(_decode(body))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested beyond reason
         return False
     return isinstance(top, dict) and isinstance(top.get("alg"), str) and isinstance(claims, dict)
 
 
+def is_key(data: bytes) -> bool:
+    """A key in one of the binary forms, or one armoured block of text around such a key."""
+    if is_der_key(data) or is_container_key(data):
+        return True
+    return b"-----BEGIN" in data and any(is_armoured_key(m) for m in _armour.finditer(data.decode("latin-1")))
+
+
+def is_armoured_key(m: re.Match) -> bool:
+    """The block's payload parses; of an encrypted one, whose headers name cipher and salt, whole cipher blocks are enough."""
+    data = _decode("".join(m[3].split()))
+    return bool(data) and (len(data) % 8 == 0 if m[2] else is_der_key(data) or is_container_key(data))
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start, then kind."""
     text = text or ""
@@ -113,10 +126,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in _access.finditer(text)]
         out += [("hex", *m.span()) for m in _hex.finditer(text)]
         out += [("jwt", *m.span()) for m in _token.finditer(text) if is_signed_token(m[1], m[2])]
-        armoured = [m for m in _armour.finditer(text) if (d := _decode("".join(m[2].split()))) and (is_der_key(d) or is_container_key(d))] if "-----BEGIN" in text else []
+        armoured = [m for m in _armour.finditer(text) if is_armoured_key(m)] if "-----BEGIN" in text else []
         out += [("pem", *m.span()) for m in armoured]
         inside = [m.span() for m in armoured]
-        out += [("key", *m.span()) for m in _word.finditer(text) if not any(a <= m.start() < b for a, b in inside) and (d := _decode(m[0])) and (is_der_key(d) or is_container_key(d))]
+        out += [("key", *m.span()) for m in _word.finditer(text) if not any(a <= m.start() < b for a, b in inside) and (d := _decode(m[0])) and is_key(d)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -127,13 +140,15 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, findings (kind, start, end), n_assign, n_access, n_hex, base_sha256, spans.
 
-    Whole texts are read; a null text counts as empty and has no findings.  Repeated rows are reported alike.
+    Whole texts are read; a null text counts as empty and has no findings.  Bytes that are not UTF-8 count as one
+    replacement character each run, as Python decodes them.  Repeated rows are reported alike, an empty table gives no
+    rows, and columns other than the two read are ignored.
     """
     findings = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            found = [find(t) for t in b.column(1).to_pylist()]
+            found = [find((t or b"").decode("utf-8", "replace")) for t in b.column(1).to_pylist()]
             base = [[s for s in f if s[0] in KINDS[:3]] for f in found]
             n = [pa.array([sum(s[0] == k for s in f) for f in base], pa.int64()) for k in KINDS[:3]]
             yield pa.RecordBatch.from_arrays(
@@ -142,5 +157,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 ["doc_id", "findings", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, findings array<struct<kind: string, start: long, end: long>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -193,8 +193,8 @@ def near_duplicates(docs: DataFrame, budget: int = 3, width: int = 3, id_col: st
 def keep_one(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
     """The columns of docs, one document of each component: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id give one row: the one with the smallest text.  Rows without a doc_id cannot be
-    named and all stay.
+    Rows that repeat that doc_id give one row: the one with the smallest text, any of those with equal texts.  Rows
+    without a doc_id cannot be named and all stay.  Columns of any type and name are kept.  An empty table stays empty.
     """
     return keep_smallest(docs, near_duplicates(docs, budget, width))
 
@@ -205,5 +205,5 @@ def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
     twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    rest = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return once.unionByName(rest.select("doc_id", "r.*").select(*docs.columns))
+    rest = kept.join(twice, "doc_id", "left_semi").select(F.struct("*").alias("r")).groupBy("r.doc_id").agg(F.min_by("r", F.coalesce("r.text", F.lit(""))).alias("r"))
+    return once.unionByName(rest.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
