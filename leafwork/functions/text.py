@@ -151,16 +151,11 @@ def figure_key(figure: Column, page: Column) -> Column:
 
 def figure_refs(text: Column) -> Column:
     """Keys of the figures that a text refers to: extended data first, then by the order of each spelling, without repeats."""
-    no_supplement = r"(?<!Supplementary\s)(?<!Supplementary\sFig\.\s)(?<!Supplementary\sFigure\s)"
-    spellings = [
-        ("extendeddatafig.", rf"{no_supplement}\bExtended\s+Data\s+Fig\.?\s*(\d+)"),
-        ("fig.", rf"{no_supplement}(?<!Extended\sData\s)\bFig\.?\s*(\d+)"),
-        ("fig.", r"(?<!Supplementary\s)\bFigure\s*(\d+)"),
-        ("fig.", r"(?<!补充)\b图\s*(\d+)"),
-    ]
-    keyed = lambda kind: lambda n: F.concat(F.lit(kind), n)
-    found = [F.transform(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)), keyed(k)) for k, p in spellings]
-    return F.array_distinct(F.concat(*found))
+    low = F.lower(text)
+    none = F.array().cast("array<string>")
+    gated = lambda kind, word, pattern: F.when(F.contains(low, F.lit(word)), F.transform(F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(1)), lambda n: F.concat(F.lit(kind), n))).otherwise(none)
+    found = F.concat(*[gated(k, w, p) for k, w, p in fixed.FIGURE_REFERENCES])
+    return F.when(F.contains(low, F.lit("fig")) | F.contains(text, F.lit("图")), F.array_distinct(found)).otherwise(F.when(text.isNotNull(), none))
 
 
 def operator_number(text: Column) -> Column:

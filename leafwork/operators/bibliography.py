@@ -71,21 +71,22 @@ def _tidy(x: Column) -> Column:
 
 
 def _apply(df: DataFrame, rule: Rule) -> DataFrame:
-    source = F.col(rule.source)
-    hit = has(source, rule.pattern, rule.ignore_case)
-    got = {f: _tidy(find(source, rule.pattern, g, rule.ignore_case)) for f, g in rule.groups.items()}
+    """Search for the rule's pattern once; hits and groups are then read from the short text that it matched."""
+    df = df.withColumn("_m", find(F.col(rule.source), rule.pattern, 0, rule.ignore_case))
+    group = lambda g: find(F.col("_m"), rule.pattern, g, rule.ignore_case)
+    hit = F.col("_m") != EMPTY
+    got = {f: _tidy(group(g)) for f, g in rule.groups.items()}
     if rule.check_journal:
-        hit = hit & rules.is_journal(find(source, rule.pattern, rule.groups["journal"], rule.ignore_case))
+        hit = hit & rules.is_journal(group(rule.groups["journal"]))
     if rule.unless_set:
         hit = hit & (F.greatest(*[(F.col(f) == EMPTY).cast("int") for f in rule.unless_set]) == 1)
     got |= {f: F.lit(v) for f, v in rule.constants.items()}
     if rule.clear_others:
         got = {f: got.get(f, F.lit(EMPTY)) for f in FIELDS}
-    df = df.withColumn("_hit", hit)
-    out = {f: F.when(F.col("_hit") if rule.overwrite else F.col("_hit") & (F.col(f) == EMPTY), v).otherwise(F.col(f)) for f, v in got.items()}
+    out = {f: F.when(hit if rule.overwrite else hit & (F.col(f) == EMPTY), v).otherwise(F.col(f)) for f, v in got.items()}
     if "journal" in out and "journal" not in rule.constants:
-        out["journal"] = F.when(F.col("_hit"), T.clean_journal(out["journal"])).otherwise(F.col("journal"))
-    return df.withColumns(out).drop("_hit")
+        out["journal"] = F.when(hit, T.clean_journal(out["journal"])).otherwise(F.col("journal"))
+    return df.withColumns(out).drop("_m")
 
 
 def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -103,33 +104,31 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
     df = df.withColumns({f: F.lit(EMPTY) for f in FIELDS})
     for rule in RULES:
         df = _apply(df, rule)
-    which = F.lit(0)
-    for n, (p, _) in reversed(list(enumerate(PIPES, 1))):
-        which = F.when(has(F.col("text"), p, False), n).otherwise(which)
-    df = df.withColumn("_pipe", which)
-    pick = lambda f: F.coalesce(*[F.when(F.col("_pipe") == n, strip(find(F.col("text"), p, g[f], False), " .,:;|") if f in g else F.lit(EMPTY)) for n, (p, g) in enumerate(PIPES, 1)], F.col(f))
-    df = df.withColumns({f: T.clean_journal(pick(f)) if f == "journal" else pick(f) for f in FIELDS}).drop("_pipe")
+    df = df.withColumns({f"_p{n}": find(F.col("text"), p, 0, False) for n, (p, _) in enumerate(PIPES)})
+    pick = lambda f: F.coalesce(*[F.when(F.col(f"_p{n}") != EMPTY, strip(find(F.col(f"_p{n}"), p, g[f], False), " .,:;|") if f in g else F.lit(EMPTY)) for n, (p, g) in enumerate(PIPES)], F.col(f))
+    df = df.withColumns({f: T.clean_journal(pick(f)) if f == "journal" else pick(f) for f in FIELDS}).drop(*[f"_p{n}" for n in range(len(PIPES))])
     known = find(F.col("text"), rf"\b({'|'.join(fixed.JOURNALS)})\b")
     df = df.withColumn("journal", F.when(F.col("journal") == EMPTY, T.clean_journal(known)).otherwise(F.col("journal")))
     for rule in LATER:
         df = _apply(df, rule)
     t = F.col("text")
     vol_issue = rf"\b(?:vol(?:ume)?\.?\s*)?{_vol}\s*\(([^)]+)\)\s*[:;,]\s*{_page}"
-    df = df.withColumn("_hit", (F.col("volume") == EMPTY) & has(t, vol_issue))
-    issue = strip(find(t, vol_issue, 2))
+    df = df.withColumn("_m", F.when(F.col("volume") == EMPTY, find(t, vol_issue, 0)).otherwise(EMPTY))
+    m, hit = F.col("_m"), F.col("_m") != EMPTY
+    issue = strip(find(m, vol_issue, 2))
     df = df.withColumns({
-        "volume": F.when(F.col("_hit"), find(t, vol_issue, 1)).otherwise(F.col("volume")),
-        "issue": F.when(F.col("_hit"), F.when(has(issue, r"\b(?:has|ref|refs|figure|table)\b"), EMPTY).otherwise(issue)).otherwise(F.col("issue")),
-        "pages": F.when(F.col("_hit"), _tidy(find(t, vol_issue, 3))).otherwise(F.col("pages")),
-    }).drop("_hit")
+        "volume": F.when(hit, find(m, vol_issue, 1)).otherwise(F.col("volume")),
+        "issue": F.when(hit, F.when(has(issue, r"\b(?:has|ref|refs|figure|table)\b"), EMPTY).otherwise(issue)).otherwise(F.col("issue")),
+        "pages": F.when(hit, _tidy(find(m, vol_issue, 3))).otherwise(F.col("pages")),
+    }).drop("_m")
     fill = lambda f, value: F.when(F.col(f) == EMPTY, value).otherwise(F.col(f))
     df = df.withColumn("volume", fill("volume", find(t, rf"\bvol(?:ume)?\.?\s*{_vol}\b")))
     number = find(t, r"\b(?:issue|no\.?)\s+([A-Za-z0-9.-]+)\b")
     df = df.withColumn("issue", fill("issue", F.when(has(number, r"\b(?:has|for|with|and|the|of|limits?)\b"), EMPTY).otherwise(number)))
     df = df.withColumn("pages", fill("pages", _tidy(find(t, rf"\b(?:pp?\.?|pages?|article\s*(?:number|no\.?)?)\s*{_page}\b"))))
     piped = rf"\|\s*\({_year}\)\s*{_vol}\s*[:;,]\s*{_page}"
-    df = df.withColumn("_hit", (F.col("pages") == EMPTY) & has(t, piped))
-    df = df.withColumns({f: F.when(F.col("_hit") & (F.col(f) == EMPTY), _tidy(find(t, piped, g))).otherwise(F.col(f)) for f, g in (("year", 1), ("volume", 2), ("pages", 3))}).drop("_hit")
+    df = df.withColumn("_m", F.when(F.col("pages") == EMPTY, find(t, piped, 0)).otherwise(EMPTY))
+    df = df.withColumns({f: F.when(hit & (F.col(f) == EMPTY), _tidy(find(m, piped, g))).otherwise(F.col(f)) for f, g in (("year", 1), ("volume", 2), ("pages", 3))}).drop("_m")
     said = find(t, rf"\b(?:Published(?: online)?|Copyright|Cite This:|Cite this article as:)[^.;]{{0,160}}\b{_year}\b")
     year = F.coalesce(nullif(said), nullif(find(t, rf"\bAccepted:[^.;]{{0,80}}\b{_year}\b")), find(t, rf"\b{_year}\b"))
     return df.withColumn("year", fill("year", year)).select("doc_id", *FIELDS)

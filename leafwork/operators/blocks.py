@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text as T
 from ..functions.rules import is_caption
+from ..tables import cut
 
 DOC = ["doc_id"]
 
@@ -47,6 +48,14 @@ def upper_median(ordered: Column) -> Column:
     return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
 
 
+def upper_median_by(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """(key, out): the upper median of each key's values, from how often each value comes, so that no key's rows ever meet."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key)
+    each = each.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "_all": F.sum("_n").over(w)})
+    return each.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min(value).alias(out))
+
+
 def preview_documents(blocks: DataFrame, pages: int = 5) -> DataFrame:
     """(doc_id, preview): whether the banner of an early version stands on the first pages (F1)."""
     return blocks.where(F.col("page") <= pages).groupBy(*DOC).agg(F.coalesce(F.max(rules.is_preview_banner(F.col("text"))), F.lit(False)).alias("preview"))
@@ -159,10 +168,11 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(doc_id, text): documents rebuilt from their lines without those repeated across documents, each line cleaned."""
+    repeats = cut(repeated_lines(docs, min_docs).select("key"))  # written, so that its size decides how it is joined
     both = F.arrays_zip(F.split("text", "\n").alias("line"), T.line_keys(F.col("text")).alias("key"))
     lines = docs.select("doc_id", F.posexplode(both).alias("pos", "b")).select("doc_id", "pos", F.col("b.line").alias("line"), F.col("b.key").alias("key"))
-    kept = lines.join(repeated_lines(docs, min_docs), "key", "left_anti")
-    # Empty lines go after the lines are gathered: a filter before that would clean every line twice.
-    rows = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", T.clean_text(F.col("line")).alias("line")))).alias("x"))
-    text = F.array_join(F.filter(F.transform("x", lambda v: v["line"]), lambda v: v != ""), "\n")
+    kept = lines.where("key <> ''").join(repeats, "key", "left_anti")
+    rows = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    cleaned = F.transform("x", lambda v: T.clean_text(v["line"]))
+    text = F.array_join(F.filter(cleaned, lambda v: v != ""), "\n")
     return rows.select("doc_id", text.alias("text")).where("text <> ''")

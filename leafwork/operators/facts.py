@@ -7,6 +7,7 @@ matches with the sentence around each; all rules, labels and dedupe steps after
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed, schemas
 from ..fixed import COUNT, SIGNED, any_of
 from ..functions import rules, text as T
+from ..tables import spread
 
 _period = f"({COUNT})\\s*({'|'.join(fixed.PERIODS)})"
 _efficiency, _retained, _lost = any_of(fixed.EFFICIENCY), any_of(fixed.RETAINED), any_of(fixed.LOST)
@@ -26,28 +28,50 @@ PATTERNS = {
     "stability_reverse": (rf"(?:after|for)\s+{_period}[^.]{{0,180}}?{_retained}[^.]{{0,120}}?({SIGNED})\s*%", (0, 3, 1, 2)),
     "loss": (rf"(?:after|for)\s+{_period}[^.]{{0,180}}?{_lost}[^.]{{0,80}}?({SIGNED})\s*%", (0, 3, 1, 2)),
 }
-_compiled = {name: (re.compile(p, re.I), groups) for name, (p, groups) in PATTERNS.items()}
-_stop = re.compile(r"(?<!\d)\.|\.(?!\d)|[!?。！？]|\n\n")
+#: name -> lists of words; a text without a word of each list has no match.
+GATES = {
+    "pce": [fixed.EFFICIENCY], "pce_reverse": [fixed.EFFICIENCY], "stability": [fixed.RETAINED, fixed.SPANS], "stability_reverse": [fixed.RETAINED, fixed.SPANS], "loss": [fixed.LOST, fixed.SPANS],
+}
+_compiled = [(name, re.compile(p, re.I), groups, [[w.casefold() for w in ws] for ws in GATES[name]]) for name, (p, groups) in PATTERNS.items()]
+_stop = re.compile(fixed.SENTENCE_END)
 
 
-def sentence_around(text: str, pos: int, reach: int = 320, short: int = 40, more: int = 160) -> str:
+def sentence_ends(text: str) -> list[int]:
+    return [m.end() for m in _stop.finditer(text)]
+
+
+def sentence_around(text: str, pos: int, reach: int = 320, short: int = 40, more: int = 160, ends: list[int] | None = None) -> str:
     """The sentence that holds a position: between sentence ends or blank lines, not longer than ``reach`` without an end.
 
     A sentence under ``short`` characters takes the next one with it if that ends within ``more``.  A period
-    between digits is a decimal point (X9).
+    between digits is a decimal point (X9).  ``ends``: those of the text, where many positions of it are asked for.
     """
     pos = max(pos, 0)
-    start = max((m.end() for m in _stop.finditer(text, 0, len(text)) if m.end() <= pos), default=0)
+    ends = sentence_ends(text[: pos + 2]) if ends is None else ends
+    before = bisect_right(ends, pos)
+    start = ends[before - 1] if before else 0
     last = _stop.search(text, pos)
     end = min(len(text), pos + reach) if last is None else last.start() if last[0] == "\n\n" else last.end()
     out = text[start:end].strip(" .;")
     if len(out) < short and end < len(text):
-        after = next((m for m in _stop.finditer(text, end) if m[0] != "\n\n"), None)
+        after = next((m for m in _stop.finditer(text, end, end + more + 2) if m[0] != "\n\n"), None)
         if after and after.start() < end + more:
             out = text[start : after.end()].strip(" .;")
     return out
 
 
+def _text_matches(text: str):
+    """Tuples (pattern, start, qualifier, number, count, unit, sentence) of one text; sentence ends are looked for once."""
+    if "%" not in text:
+        return
+    low, ends = text.casefold(), None
+    for name, pattern, groups, gates in _compiled:
+        if all(any(w in low for w in words) for words in gates):
+            for m in pattern.finditer(text):
+                ends = sentence_ends(text) if ends is None else ends
+                yield (name, m.start(), *[m[g] if g else None for g in groups], sentence_around(text, m.start(), ends=ends))
+
+
 def matches(evidence: DataFrame) -> DataFrame:
     """Evidence rows (doc_id, item, page, section, figure_id, text) as rows of matches: pattern, start, qualifier, number, count, unit, sentence."""
     carried = ["doc_id", "item", "page", "section", "figure_id"]
@@ -57,17 +81,17 @@ def matches(evidence: DataFrame) -> DataFrame:
         for b in batches:
             at, found = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                for name, (pattern, groups) in _compiled.items():
-                    for m in pattern.finditer(text or ""):
-                        at.append(i)
-                        found.append((name, m.start(), *[m[g] if g else None for g in groups], sentence_around(text, m.start())))
+                for row in _text_matches(text):
+                    at.append(i)
+                    found.append(row)
             kept = [b.column(c).take(pa.array(at, pa.int64())) for c in carried]
             new = list(zip(*found)) if found else [()] * 7
             types = [pa.string(), pa.int32(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, t) for v, t in zip(new, types)]], names)
 
     kinds = "doc_id long, item long, page int, section string, figure_id string, pattern string, start int, qualifier string, number string, count string, unit string, sentence string"
-    return evidence.select(*carried, "text").mapInArrow(run, kinds)
+    told = evidence.where(F.contains("text", F.lit("%"))).where(T.mentions(F.col("text"), [*fixed.EFFICIENCY, *fixed.RETAINED, *fixed.LOST]))
+    return spread(told.select(*carried, "text")).mapInArrow(run, kinds)
 
 
 def first_sentences(evidence: DataFrame) -> DataFrame:
@@ -75,7 +99,7 @@ def first_sentences(evidence: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def first(texts):
-        return texts.map(lambda t: sentence_around(t or "", 0))
+        return texts.map(lambda t: sentence_around(t or "", 0, ends=[]))
 
     return evidence.withColumn("sentence", first("text"))
 

@@ -15,6 +15,7 @@ from ..functions import geometry as G, rules, text as T
 from ..operators import bibliography, blocks as B, facts, figures, report, sections, translation
 from ..sources import tables
 from ..streaming import jobs
+from ..tables import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,8 +35,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(_t(spark, sf_dir, "documents"))
+
+
 def _lines(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
 # The same rows in SQL.
@@ -58,7 +64,7 @@ def _re(words: list[str]) -> str:
 WITH {LINES}, k AS (SELECT doc_id, {_sq('lower(line)')} AS key FROM lines)
 SELECT key, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM k WHERE key <> '' AND NOT regexp_full_match(key, '[0-9]+') GROUP BY key HAVING count(DISTINCT doc_id) >= 3""")
 def repeated_lines(spark, sf_dir):
-    return B.repeated_lines(_t(spark, sf_dir, "documents"))
+    return B.repeated_lines(_docs(spark, sf_dir))
 
 
 _CLEAN = (
@@ -72,7 +78,7 @@ _CLEAN = "trim(regexp_replace(regexp_replace(" + _CLEAN + r", '-\n([a-z])', '\1'
 
 @query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents")
 def clean_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return _docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 @query(f"""
@@ -81,7 +87,7 @@ rep AS (SELECT key FROM k WHERE key <> '' AND NOT regexp_full_match(key, '[0-9]+
 c AS (SELECT doc_id, n, {_CLEAN.format('line')} AS line FROM k WHERE key NOT IN (SELECT key FROM rep))
 SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM c WHERE line <> '' GROUP BY doc_id""")
 def without_repeated_lines(spark, sf_dir):
-    return B.without_repeated_lines(_t(spark, sf_dir, "documents"))
+    return B.without_repeated_lines(_docs(spark, sf_dir))
 
 
 @query(f"""
@@ -203,7 +209,7 @@ def chunk_text(spark, sf_dir):
 @query("""
 SELECT source, list_extract(list_sort(list(n_chars)), (count(*) // 2 + 1)::INTEGER) AS median FROM documents GROUP BY source""")
 def median_upper(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list("n_chars")).alias("v")).select("source", B.upper_median(F.col("v")).alias("median"))
+    return B.upper_median_by(_t(spark, sf_dir, "documents"), "source", "n_chars", "median")
 
 
 @query("""
@@ -446,7 +452,7 @@ SELECT l_orderkey AS doc_id, l_linenumber AS k, array_to_string(CASE WHEN a = b
 FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_suppkey % 9 + 1 AS b FROM lineitem)""")
 def figure_refs(spark, sf_dir):
     text = _words("See Fig. ", F.col("l_linenumber"), "a and Figure ", F.col("l_suppkey") % 9 + 1, ", Supplementary Fig. 99, and Extended Data Fig. ", F.col("l_linenumber"), ".")
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.array_join(T.figure_refs(text), " ").alias("refs"))
+    return spread(_t(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.array_join(T.figure_refs(text), " ").alias("refs"))
 
 
 @query("""
@@ -472,7 +478,7 @@ def name_cleanup(spark, sf_dir):
 SELECT o_orderkey AS doc_id, 'Journal of Tests' AS journal, (o_custkey % 900 + 1)::VARCHAR AS volume, '' AS issue, (o_orderkey + 1)::VARCHAR AS pages, (1950 + o_orderkey % 70)::VARCHAR AS year FROM orders""")
 def publication_synth(spark, sf_dir):
     text = _words("Journal of Tests ", F.col("o_custkey") % 900 + 1, " (", 1950 + F.col("o_orderkey") % 70, ") ", F.col("o_orderkey") + 1, " and more")
-    return bibliography.publication(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text")))
+    return bibliography.publication(spread(_t(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text")))
 
 
 @query("""
