@@ -215,10 +215,25 @@ def preview_abstract(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def paper_info(pages: DataFrame, paragraphs: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
-    """One row per document: title, authors, doi, publication fields and abstract."""
+    """One row per document: title, authors, doi, publication fields and abstract.
+
+    ``metadata``: (doc_id, title, subject, author) of the files; its author stands in where no author line is found (S4).  The
+    abstract is the labelled one, else, in early versions, that of the manuscript, else the layout's; a label over
+    the noise of an early version does not count (W10).
+    """
     docs = pages.select("doc_id").distinct()
     titles = title(paragraphs, metadata)
     out = docs.join(titles, "doc_id", "left").join(authors(paragraphs, titles), "doc_id", "left").join(doi(pages), "doc_id", "left").join(publication(pages, metadata), "doc_id", "left")
-    out = out.join(labelled_abstract(pages).withColumnRenamed("abstract", "a1"), "doc_id", "left").join(layout_abstract(paragraphs, titles).withColumnRenamed("abstract", "a2"), "doc_id", "left")
+    out = out.join(labelled_abstract(pages).withColumnRenamed("abstract", "a1"), "doc_id", "left").join(layout_abstract(paragraphs, titles).withColumnRenamed("abstract", "a3"), "doc_id", "left")
+    labelled, early = nullif(F.col("a1")), F.lit(None).cast("string")
+    if "preview" in paragraphs.columns:
+        out = out.join(preview_abstract(paragraphs.where("preview"), titles).select("doc_id", F.col("abstract").alias("a2")), "doc_id", "left")
+        out = out.join(paragraphs.where("preview").select("doc_id", F.lit(True).alias("is_early")).distinct(), "doc_id", "left")
+        labelled = F.when(~(F.coalesce("is_early", F.lit(False)) & rules.is_preview_noise(F.col("a1"))), labelled)
+        early = nullif(F.col("a2"))
+    names = F.coalesce("authors", F.array().cast("array<string>"))
+    if metadata is not None and "author" in metadata.columns:
+        out = out.join(metadata.select("doc_id", F.col("author").alias("own")), "doc_id", "left")
+        names = F.when(F.size(names) > 0, names).otherwise(T.author_names(F.col("own")))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return out.select("doc_id", text("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), text("doi"), *map(text, FIELDS), F.coalesce(nullif(F.col("a1")), F.col("a2"), F.lit("")).alias("abstract"))
+    return out.select("doc_id", text("title"), names.alias("authors"), text("doi"), *map(text, FIELDS), F.coalesce(labelled, early, F.col("a3"), F.lit("")).alias("abstract"))

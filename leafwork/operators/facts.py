@@ -244,10 +244,46 @@ def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True)
 
 
+#: The tables of the model's replies, by the view of the text that is asked about.
+ASKED = {"performance": ["device_performance", "stability_tests"], "methods": ["experimental_methods", "characterization_methods"], "insights": ["key_innovations", "new_knowledge", "limitations"]}
+PATTERNS_FIRST = {"experimental_methods", "characterization_methods"}
+LIMITATIONS = "limitation string, source_text string, source_page int"
+
+
+def schema_of(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "doc_id")
+
+
+def with_model(found: dict[str, DataFrame], told: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The patterns' tables and the model's together: for each document the model's rows if it has some, else the patterns';
+    the other way round for methods (J9)."""
+    out = dict(found)
+    for name, rows in told.items():
+        if name not in found:
+            out[name] = rows
+        elif name in PATTERNS_FIRST:
+            out[name] = prefer(found[name], rows.select(*found[name].columns))
+        else:
+            out[name] = prefer(rows.select(*found[name].columns), found[name])
+    return out
+
+
+#: Order of a document's rows in tables and reports.
+ORDERS = {
+    "device_performance": lambda: [F.col("source_page"), F.col("pce_percent").desc(), F.col("source_text")],
+    "stability_tests": lambda: [F.col("source_page"), F.col("source_text"), F.col("duration_h"), F.col("retained_pce_percent")],
+}
+
+
+def in_order(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of one document together and in order: devices by page and falling efficiency, tests by page."""
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *ORDERS[name]()) if name in ORDERS else rows
+
+
 def extract(evidence_rows: DataFrame, keep=lambda df: df) -> dict[str, DataFrame]:
     """All fact tables of a corpus (E1).  ``keep`` may write the two tables that they are all made from."""
     found, items = keep(matches(evidence_rows)), keep(first_sentences(evidence_rows))
     return {
-        "device_performance": device_performance(found), "stability_tests": stability_tests(found), "characterization_methods": characterization_methods(items),
+        "device_performance": in_order("device_performance", device_performance(found)), "stability_tests": in_order("stability_tests", stability_tests(found)), "characterization_methods": characterization_methods(items),
         "experimental_methods": experimental_methods(items), "key_innovations": key_innovations(items), "new_knowledge": new_knowledge(items),
     }

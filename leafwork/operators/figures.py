@@ -5,10 +5,15 @@ All joins are on (doc_id, page) with the geometry as a residual condition, so th
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G, rules, text as T
+from ..tables import cut
 
 PAGE = ["doc_id", "page"]
 
@@ -55,7 +60,8 @@ def crop_boxes(found: DataFrame, blocks: DataFrame) -> DataFrame:
 def content_boxes(found: DataFrame, images: DataFrame, drawings: DataFrame) -> DataFrame:
     """(doc_id, page, seq, content_box, image_source): the largest image or drawing above each caption, padded.
 
-    Boxes too small or too near the head of the page count only where no other stands above; images come before drawings then.
+    Boxes too small or too near the head of the page count only where no other stands above; images come before drawings
+    then.  A box that ends more than 40 % of the page above its caption is not its figure.
     """
     boxes = images.select(*PAGE, F.col("box").alias("o"), F.lit("embedded").alias("source"), F.lit(0).alias("rank"))
     boxes = boxes.unionByName(drawings.select(*PAGE, F.col("box").alias("o"), F.lit("drawing").alias("source"), F.lit(1).alias("rank")))
@@ -64,7 +70,7 @@ def content_boxes(found: DataFrame, images: DataFrame, drawings: DataFrame) -> D
     strict = (F.col("o.y0") > F.col("page_h") * 0.03) & (area > F.col("page_w") * F.col("page_h") * 0.015)
     tier = F.when(strict, 0).otherwise(F.col("rank") + 1)
     w = Window.partitionBy("doc_id", "page", "seq").orderBy(tier, area.desc(), "rank", "o.y0", "o.x0")
-    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").where(F.col("box.y0") - F.col("o.y1") <= F.col("page_h") * 0.4)
     return best.select("doc_id", "page", "seq", G.padded(F.col("o"), F.col("page_w"), F.col("page_h")).alias("content_box"), F.col("source").alias("image_source"))
 
 
@@ -133,11 +139,91 @@ def mask_figure_text(paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("_hit"), "non_content").otherwise(F.col("kind"))).drop("_hit")
 
 
-def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFrame | None = None) -> DataFrame:
-    """Figures of a corpus: id, page, caption, box, caption box, image source and warning.
+class Renderer(Protocol):
+    """Cuts pixels from a file; a library that is not here.  Must be picklable; it is used inside tasks."""
+
+    def pixels(self, content: bytes, page: int, box: tuple[float, float, float, float], zoom: float) -> np.ndarray:
+        """Rows x columns x 3 of the part of a page."""
+
+    def encode(self, pixels: np.ndarray, mime: str, compress: bool) -> bytes: ...
+
+
+def region_score(pixels: np.ndarray, most: int = 120_000) -> float:
+    """How much there is to see: shares of pixels that are not white, coloured (1.8 times) and dark (a quarter), of every n-th pixel."""
+    flat = np.asarray(pixels).reshape(-1, 3)
+    flat = flat[:: max(1, len(flat) // most)].astype(int)
+    if not len(flat):
+        return 0.0
+    high, low = flat.max(axis=1), flat.min(axis=1)
+    return float((high < 245).mean() + 1.8 * (high - low > 25).mean() + 0.25 * (high < 120).mean())
+
+
+def _by_document(figures: DataFrame, files: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
+    """one(content, row) for each figure, file by file; ``columns`` of the figure go with it.  Rows are joined as one array per file."""
+    def run(frames):
+        for pdf in frames:
+            rows = [one(None if c is None else bytes(c), r) | {"doc_id": d, "fig_seq": r["fig_seq"]} for d, c, rs in zip(pdf["doc_id"], pdf["content"], pdf["rows"]) for r in rs]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    grouped = figures.groupBy("doc_id").agg(F.collect_list(F.struct("fig_seq", *columns)).alias("rows"))
+    return grouped.join(files.select("doc_id", "content"), "doc_id", "left").select("doc_id", "content", "rows").mapInPandas(run, f"{schema}, doc_id long, fig_seq int")
+
+
+def _corners(box) -> tuple[float, float, float, float]:
+    return tuple(box[k] for k in ("x0", "y0", "x1", "y1"))
+
+
+def swapped(figures: DataFrame, files: DataFrame | None, renderer: Renderer | None) -> DataFrame:
+    """Figures low on a page move to the head of the next one where that has more than 1.35 times as much to see."""
+    if renderer is None or files is None:
+        return figures
+
+    def score(content, page, box):
+        x0, y0, x1, y1 = box
+        if content is None or x1 - x0 < 50 or y1 - y0 < 50:
+            return 0.0
+        try:
+            return region_score(renderer.pixels(content, page, box, 0.55))
+        except Exception:  # a renderer may fail in any way
+            return 0.0
+
+    def one(content, r):
+        return {"swap": score(content, r["page"] + 1, _corners(r["next_box"])) > 1.35 * score(content, r["page"], _corners(r["box"]))}
+
+    asked = figures.where(F.col("try_next") & F.col("next_box").isNotNull())
+    found = _by_document(asked, files, ["page", "box", "next_box"], one, "swap boolean")
+    out = figures.join(found, ["doc_id", "fig_seq"], "left")
+    return out.withColumns({"box": F.when(F.col("swap"), F.col("next_box")).otherwise(F.col("box")), "page": F.when(F.col("swap"), F.col("page") + 1).otherwise(F.col("page"))}).drop("swap")
+
+
+def cropped(figures: DataFrame, files: DataFrame | None, renderer: Renderer | None, mime: str = "image/png", compress: bool = True, zoom: float = 2.5) -> DataFrame:
+    """Add image, image_mime and payload; captions among legends get no crop, and what cannot be cut leaves a warning."""
+    legend, small = "legend without an image", "the box is too small to be a figure"
+    if renderer is None or files is None:
+        warning = F.when(F.col("legend_only"), legend).otherwise("")
+        return figures.withColumns({"image": F.lit(None).cast("binary"), "image_mime": F.lit(None).cast("string"), "payload": F.lit(0), "warning": warning})
+
+    def one(content, r):
+        x0, y0, x1, y1 = _corners(r["box"])
+        if x1 - x0 < 20 or y1 - y0 < 20:
+            return {"image": None, "why": small}
+        try:
+            return {"image": renderer.encode(renderer.pixels(content, r["page"], (x0, y0, x1, y1), zoom), mime, compress), "why": ""}
+        except Exception as e:
+            return {"image": None, "why": str(e) or type(e).__name__}
+
+    found = _by_document(figures.where(~F.col("legend_only")), files, ["page", "box"], one, "image binary, why string")
+    out = figures.join(found, ["doc_id", "fig_seq"], "left")
+    size = F.coalesce(F.length("image"), F.lit(0))
+    return out.withColumns({"image_mime": F.when(F.col("image").isNotNull(), mime), "payload": size, "warning": F.when(F.col("legend_only"), legend).otherwise(F.coalesce("why", F.lit("")))}).drop("why")
+
+
+def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFrame | None = None, files: DataFrame | None = None, renderer: Renderer | None = None, mime: str = "image/png", zoom: float = 2.5) -> DataFrame:
+    """Figures of a corpus: id, page, caption, box, caption box, image, image source and warning.
 
-    Boxes come from content where there is some, else from the layout.  Pixels are cut by a renderer, which is an adapter; a figure
-    without an image carries a warning.
+    Boxes come from content where there is some, else from the layout.  With ``files`` (doc_id, content) and a renderer
+    figures may move to the next page and pixels are cut; without, figures have no image.
     """
     found = legend_only(caption_texts(captions(blocks), blocks), blocks)
     found = crop_boxes(found, blocks)
@@ -145,11 +231,15 @@ def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFr
         found = found.join(content_boxes(found, usable_images(images), merged_drawings(drawings)), ["doc_id", "page", "seq"], "left")
     else:
         found = found.withColumns({"content_box": F.lit(None).cast(G.BOX), "image_source": F.lit(None).cast("string")})
+    heads = blocks.groupBy("doc_id", (F.col("page") - 1).alias("page")).agg(F.max("page_w").alias("nw"), F.max("page_h").alias("nh"), F.min(F.when(rules.is_caption(F.col("text")), F.col("box.y0"))).alias("nc"))
+    found = found.join(heads, PAGE, "left").withColumn("next_box", F.when(F.col("nw").isNotNull(), G.next_page_crop(F.col("nw"), F.col("nh"), F.col("nc"))))
     use = F.when(F.col("caption_kind") == "table", F.lit(None)).otherwise(F.col("content_box"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq"))
     out = found.select(
         "doc_id", order.alias("fig_seq"), "figure_id", "page", "caption", F.coalesce(use, F.col("crop")).alias("box"), "caption_box",
-        F.when(use.isNotNull(), F.col("image_source")).otherwise("heuristic").alias("image_source"),
-        F.when(F.col("legend_only"), "legend without an image").otherwise("").alias("warning"), F.lit(0).alias("payload"),
+        F.when(use.isNotNull(), F.col("image_source")).otherwise("heuristic").alias("image_source"), "legend_only", "try_next", "next_box",
     )
-    return dedupe_figures(out)
+    if renderer is not None:
+        out = cut(out)
+    out = cropped(swapped(out, files, renderer), files, renderer, mime, zoom=zoom).drop("legend_only", "try_next", "next_box")
+    return dedupe_figures(cut(out) if renderer is not None else out)

@@ -201,14 +201,70 @@ def prompt_text(paragraphs: DataFrame, titles: list[str] | None, max_chars: int)
     return got.select("doc_id", F.left(F.array_join(F.transform("x", lambda v: v["l"]), "\n"), F.lit(max_chars)).alias("prompt"))
 
 
-def nested_json(info: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
-    """(doc_id, json): one document's data and fact tables as one JSON object (K6)."""
+def _view(paragraphs: DataFrame, sections: list[str] | None, heads: list[DataFrame], figures: DataFrame | None, limit: int, skip: list[str] = ("non_content", "heading"), page: str = "[p.") -> DataFrame:
+    rows = paragraphs.where(~F.col("kind").isin(*skip) & (T.strip(F.col("text")) != ""))
+    if sections is not None:
+        rows = rows.where(rules.in_sections(F.col("section_title"), sections))
+    out = lines(rows, 2, F.col("seq") * 4 + F.col("part"), 0, F.concat(F.lit(page), F.col("page"), F.lit("] "), T.strip(F.col("text"))))
+    for h in heads:
+        out = out.unionByName(h)
+    if figures is not None:
+        told = figures.where("coalesce(caption, '') <> ''")
+        out = out.unionByName(lines(told, 3, F.col("fig_seq"), 0, F.concat(F.lit(page), F.col("page"), F.lit(", "), F.col("figure_id"), F.lit("] "), F.col("caption"))))
+    return joined(out, "prompt").select("doc_id", F.left("prompt", F.lit(limit)).alias("prompt"))
+
+
+def prompts(info: DataFrame, paragraphs: DataFrame, figures: DataFrame, max_chars: int = 70_000, summary_chars: int = 60_000) -> dict[str, DataFrame]:
+    """(doc_id, prompt) for each question to a model: the parts of a document that it is about, cut to its input."""
+    of = lambda label, col, n: lines(info.where(F.coalesce(col, F.lit("")) != ""), 1, n, 0, F.concat(F.lit(label), F.col(col)))
+    title, abstract = of("标题：", "title", 0), of("摘要：", "abstract", 1)
+    names = paragraphs.where("kind <> 'non_content'").groupBy("doc_id", "section_id", "section_title").agg(F.min(F.col("seq") * 4 + F.col("part")).alias("at"))
+    heads = lines(names, 2, F.col("at"), -1, F.concat(F.lit("\n## "), F.col("section_title")))
+    return {
+        "performance": _view(paragraphs, fixed.PERFORMANCE_SECTIONS, [abstract], figures, max_chars),
+        "methods": _view(paragraphs, fixed.METHOD_SECTIONS, [], None, max_chars // 2),
+        "insights": _view(paragraphs, fixed.RESULT_SECTIONS, [abstract], None, max_chars),
+        "evidence": _view(paragraphs, None, [title, abstract, heads], figures, max_chars),
+        "summary": _view(paragraphs, None, [of("", "title", 0), of("", "abstract", 1), heads], figures, summary_chars, ("non_content", "heading", "caption"), "[page "),
+    }
+
+
+def summary_prompts(info: DataFrame, nested: DataFrame, views: DataFrame) -> DataFrame:
+    """(doc_id, prompt): title, abstract, the fact tables as JSON, the text, and the outline that the summary must follow."""
+    rows = info.join(nested, "doc_id").join(views.withColumnRenamed("prompt", "view"), "doc_id", "left")
+    outline = "\n".join(f"- {h}" for h in fixed.SUMMARY_OUTLINE)
+    parts = [F.lit("论文标题："), F.col("title"), F.lit("\n摘要："), F.col("abstract"), F.lit("\n\n已抽取结构化数据：\n"), F.col("json"), F.lit("\n\n全文片段：\n"), F.coalesce("view", F.lit("")), F.lit(f"\n\n请按以下标题输出：\n{outline}")]
+    return rows.select("doc_id", F.concat(*parts).alias("prompt"))
+
+
+def nested_json(info: DataFrame, facts: dict[str, DataFrame], paragraphs: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): one document's data and fact tables as one JSON object.
+
+    Devices come by page and falling efficiency, tests by page, other rows by their fields.  With ``paragraphs`` the titles of the
+    sections are listed, and with ``warnings`` what went wrong.
+    """
     out = info.select("doc_id", F.struct(*[c for c in info.columns if c != "doc_id"]).alias("paper_info"))
-    for name, rows in facts.items():
-        cols = [c for c in rows.columns if c != "doc_id"]
-        nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    tables = dict(facts)
+    if paragraphs is not None:
+        titles = paragraphs.groupBy("doc_id", "section_id", "section_title").agg(F.min("seq").alias("at"))
+        tables = {"sections": titles.select("doc_id", "section_title", T.glossary_replace(F.col("section_title")).alias("section_title_zh"), F.col("at").alias("_at"))} | tables
+    for name, rows in tables.items():
+        cols = [c for c in rows.columns if c not in ("doc_id", "_at")]
+        if name == "device_performance":
+            key = F.struct(F.coalesce("source_page", F.lit(0)), -F.coalesce("pce_percent", F.lit(0.0)), "source_text").alias("k")
+        elif name == "stability_tests":
+            key = F.struct(F.coalesce("source_page", F.lit(0)), F.col("source_text"), F.coalesce("duration_h", F.lit(0.0))).alias("k")
+        else:
+            key = F.struct("_at" if "_at" in rows.columns else F.lit(0)).alias("k")
+        nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(key, F.struct(*cols).alias("v")))).alias("x"))
+        nested = nested.select("doc_id", F.transform("x", lambda x: x["v"]).alias(name))
         out = out.join(nested, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
-    return out.select("doc_id", F.to_json(F.struct("paper_info", *facts), {"ignoreNullFields": "false"}).alias("json"))
+    names = ["paper_info", *tables]
+    if warnings is not None:
+        said = warnings.groupBy("doc_id").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
+        out = out.join(said, "doc_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+        names.append("warnings")
+    return out.select("doc_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def pretty_json(text: Column) -> Column:

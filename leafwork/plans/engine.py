@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import bibliography, blocks as B, facts, figures, report, sections, translation
 from ..sources.tables import raw_pages
+from ..streaming.jobs import MILESTONES
 from ..tables import cut
 
 
@@ -33,32 +35,46 @@ class Corpus:
             df.createOrReplaceTempView(name)
 
 
+Progress = Callable[[str, float], None]
+
+
+def _silent(stage: str, progress: float) -> None:
+    pass
+
+
 def parse(blocks: DataFrame, body: DataFrame, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified blocks, paper info, paragraphs with sections)."""
     blocks = cut(blocks)
     classified = cut(B.classify(blocks, body, B.preview_documents(blocks)))
     marked = cut(B.mask_tiny(B.mask_repeats(classified, B.repeated(classified))))
     info = cut(bibliography.paper_info(cut(raw_pages(classified)), marked, metadata))
-    early = bibliography.preview_abstract(marked.where("preview"), info).withColumnRenamed("abstract", "_early")
-    info = info.join(early, "doc_id", "left").withColumn("abstract", F.when(F.col("abstract") == "", F.coalesce("_early", F.lit(""))).otherwise(F.col("abstract"))).drop("_early")
-    info = cut(info)
     return classified, info, cut(sections.build_sections(cut(sections.split_headings(B.mask_title(marked, info)))))
 
 
-def run(layout: DataFrame, metadata: DataFrame | None = None, images: DataFrame | None = None, drawings: DataFrame | None = None, provider: translation.Provider | None = None, settings: Settings | None = None) -> Corpus:
-    """All tables of a corpus of layout blocks.  Without a provider, translations are the glossary's."""
-    settings = settings or Settings()
-    blocks = B.blocks_from_layout(layout)
-    return run_blocks(blocks, B.body_font(layout), metadata, images, drawings, provider, settings)
+def run(layout: DataFrame, metadata: DataFrame | None = None, images: DataFrame | None = None, drawings: DataFrame | None = None, provider: translation.Provider | None = None, settings: Settings | None = None, files: DataFrame | None = None, renderer: figures.Renderer | None = None, progress: Progress = _silent) -> Corpus:
+    """All tables of a corpus of layout blocks.
+
+    A provider that answers its health check translates and, if the settings ask for facts, is asked for these too; without one,
+    translations are the glossary's and facts come from patterns.  ``files`` (doc_id, content) and a renderer give figures their
+    pixels.  ``progress`` is told each stage as it begins (G3).
+    """
+    return run_blocks(B.blocks_from_layout(layout), B.body_font(layout), metadata, images, drawings, provider, settings, files, renderer, progress)
 
 
-def run_blocks(blocks: DataFrame, body: DataFrame, metadata=None, images=None, drawings=None, provider=None, settings: Settings | None = None) -> Corpus:
+def run_blocks(blocks: DataFrame, body: DataFrame, metadata=None, images=None, drawings=None, provider=None, settings: Settings | None = None, files=None, renderer=None, progress: Progress = _silent) -> Corpus:
     settings = settings or Settings()
+    at = lambda stage: progress(stage, MILESTONES[stage])
+    at("parse")
     classified, info, paragraphs = parse(blocks, body, metadata)
-    figs = cut(figures.extract(classified, images, drawings))
+    at("figures")
+    figs = cut(figures.extract(classified, images, drawings, files, renderer, zoom=settings.render_zoom))
     paragraphs = cut(sections.merge_fragments(figures.mask_figure_text(paragraphs, figs)))
+    at("probe")
+    failed = provider is not None and not translation.healthy(provider)
+    provider = None if failed else provider
+    at("translate")
     texts = cut(translation.items(info, paragraphs, figs))
-    done = translation.translate(translation.distinct_texts(texts), provider, settings.callers, settings.batch_items, settings.batch_chars)
+    done = translation.translate(translation.distinct_texts(texts), provider, settings.callers, settings.batch_items, settings.batch_chars, checked=True)
     back = cut(translation.write_back(texts, done)).select("doc_id", "target", "target_id", "text_zh")
     pick = lambda target, key: back.where(F.col("target") == target).select("doc_id", F.col("target_id").alias(key), F.col("text_zh"))
     for name in ("title", "abstract"):
@@ -67,16 +83,43 @@ def run_blocks(blocks: DataFrame, body: DataFrame, metadata=None, images=None, d
     paragraphs = paragraphs.withColumn("text_zh", F.coalesce("text_zh", F.when(F.col("kind") == "heading", translation.T.glossary_replace(F.col("text"))).otherwise(F.col("text"))))
     figs = figs.join(pick("figure", "_k").select("doc_id", F.col("_k").cast("int").alias("fig_seq"), F.col("text_zh").alias("caption_zh")), ["doc_id", "fig_seq"], "left")
     info, paragraphs, figs = cut(info), cut(paragraphs), cut(figs)
+    at("extract")
     evidence = cut(facts.evidence(info, paragraphs, figs))
     found = facts.extract(evidence, cut)
-    said = info.select("doc_id", F.lit("facts come from patterns, not from a model").alias("warning")).unionByName(figs.where("warning <> ''").select("doc_id", F.concat_ws(": ", "figure_id", "warning").alias("warning"))).distinct()
-    return Corpus(classified, info, paragraphs, figs, evidence, found, said)
-
-
-def reports(corpus: Corpus, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """The reports that the settings ask for, each a table of one row per document."""
+    asks = provider is not None and settings.extracts
+    if asks:
+        views, told = report.prompts(info, paragraphs, figs, settings.max_chars), {}
+        for view, keys in facts.ASKED.items():
+            wanted = {k: facts.schema_of(found[k]) if k in found else facts.LIMITATIONS for k in keys}
+            told |= translation.model_facts(views[view], provider, f"{QUESTION}: {wanted}", wanted, settings.callers)
+        found = {name: facts.in_order(name, rows) for name, rows in facts.with_model(found, told).items()}
+    said = [] if asks else ["facts come from patterns, not from a model"]
+    said += ["the model did not answer its health check and was not used"] * failed
+    warnings = figs.where("warning <> ''").select("doc_id", F.concat_ws(": ", "figure_id", "warning").alias("warning"))
+    for text in said:
+        warnings = warnings.unionByName(info.select("doc_id", F.lit(text).alias("warning")))
+    return Corpus(classified, info, paragraphs, figs, evidence, found, warnings.distinct())
+
+
+#: What a model is told before a text; the keys and fields of the reply follow.
+QUESTION = "Read the text of a paper and reply with one JSON object. Each key holds a list of objects with these fields; leave out what the text does not say"
+
+
+def reports(corpus: Corpus, settings: Settings | None = None, provider: translation.Provider | None = None, progress: Progress = _silent) -> dict[str, DataFrame]:
+    """The reports that the settings ask for, each a table of one row per document.  A provider writes the summaries that it answers."""
     settings = settings or Settings()
     out = {}
+    tables = corpus.facts | {"figures": corpus.figures.drop("fig_seq", "payload")}
+    nested = report.nested_json(corpus.info, tables, corpus.paragraphs, corpus.warnings)
+    progress("summary", MILESTONES["summary"])
+    if settings.summary:
+        out["summary"] = report.fallback_summary(corpus.info, corpus.facts)
+        if provider is not None and translation.healthy(provider):
+            brief = corpus.facts | {"figures": corpus.figures.select("doc_id", "figure_id", "page", "caption", "caption_zh")}
+            views = report.prompts(corpus.info, corpus.paragraphs, corpus.figures)["summary"]
+            told = translation.ask(report.summary_prompts(corpus.info, report.nested_json(corpus.info, brief, warnings=corpus.warnings), views), provider, "summarise", settings.callers)
+            out["summary"] = out["summary"].join(told, "doc_id", "left").select("doc_id", F.coalesce(translation.T.nullif(F.trim("reply")), F.col("summary")).alias("summary"))
+    progress("write", MILESTONES["write"])
     if settings.markdown or settings.html:
         markdown = report.translated_markdown(corpus.info, corpus.paragraphs, corpus.figures, corpus.facts)
         if settings.markdown:
@@ -84,13 +127,8 @@ def reports(corpus: Corpus, settings: Settings | None = None) -> dict[str, DataF
         if settings.html:
             named = markdown.join(corpus.info.select("doc_id", "title"), "doc_id")
             out["html"] = named.select("doc_id", report.as_html(F.col("markdown"), F.col("title")).alias("html"))
-    if settings.summary:
-        out["summary"] = report.fallback_summary(corpus.info, corpus.facts)
-    if settings.json or settings.xlsx:
-        tables = corpus.facts | {"figures": corpus.figures.drop("fig_seq", "payload")}
-        nested = report.nested_json(corpus.info, tables)
-        if settings.json:
-            out["json"] = nested
-        if settings.xlsx:
-            out["xlsx"] = report.workbooks(nested)
+    if settings.json:
+        out["json"] = nested.select("doc_id", report.pretty_json(F.col("json")).alias("json"))
+    if settings.xlsx:
+        out["xlsx"] = report.workbooks(nested)
     return out

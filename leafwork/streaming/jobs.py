@@ -5,11 +5,14 @@ Documents are stateless against each other, so the batch plan runs unchanged on
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cut
+
 #: Stages of a run and the progress each begins at.
 MILESTONES = {"parse": 0.08, "figures": 0.22, "probe": 0.42, "translate": 0.44, "extract": 0.62, "summary": 0.74, "write": 0.84, "done": 1.0}
 
@@ -31,9 +34,37 @@ def latest_status(events: DataFrame) -> DataFrame:
     return out.withColumn("progress", clamp(F.col("progress")))
 
 
-def stream_status(spark: SparkSession, source: DataFrame, name: str):
-    """Keep the latest status of each job in a memory table while events arrive."""
-    return latest_status(source).writeStream.outputMode("complete").format("memory").queryName(name)
+def stream_status(source: DataFrame, path: str, checkpoint: str, buckets: int = 64, once: bool = False):
+    """Keep the latest status of each job in a table at ``path`` while events arrive.
+
+    A micro-batch reads and rewrites only the buckets of the jobs that it is about; a batch that runs again gives the same table.
+    """
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = cut(latest_status(batch).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        both = new
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            both = new.unionByName(spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)))
+        at = F.struct("updated_at", "progress", "status")
+        kept = both.groupBy("job_id", "bucket").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("job_id", "bucket")]), at).alias("s")).select("job_id", "s.*", "bucket")
+        cut(kept).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def reporter(spark: SparkSession, path: str, job_id: str) -> Callable[[str, float], None]:
+    """A function (stage, progress) that appends a status record of a job, for the engine's ``progress``."""
+    def report(stage: str, progress: float) -> None:
+        status = "completed" if progress >= 1 else "running"
+        now = time.time()
+        spark.createDataFrame([(job_id, status, stage, float(progress), now)], "job_id string, status string, message string, progress double, updated_at double").coalesce(1).write.mode("append").json(path)
+
+    return report
 
 
 def arriving_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:

@@ -93,7 +93,14 @@ def test_engine_reports(corpus, spark, tmp_path):
     sinks.write_documents(out["markdown"], "markdown", str(tmp_path / "md"))
     sinks.write_tables({"info": corpus.info}, str(tmp_path / "t"))
     sinks.write_json(out["json"], str(tmp_path / "j"))
-    assert spark.read.parquet(str(tmp_path / "t/info")).count() == 1 and list((tmp_path / "md").glob("doc=1/*.txt"))
+    assert spark.read.parquet(str(tmp_path / "t/info")).count() == 1
+    doc = corpus.info.first()["doc_id"]
+    assert sinks.read_document(spark, str(tmp_path / "md"), doc).first()["value"] == md
+    assert {s["section_title"] for s in data["sections"]} >= {"Introduction"} and data["warnings"]
+    sinks.write_files(out["markdown"], "markdown", str(tmp_path / "files"))
+    assert list((tmp_path / "files").glob(f"doc={doc}/*.txt"))
+    with pytest.raises(ValueError):
+        sinks.write_files(out["markdown"], "markdown", str(tmp_path / "none"), most=0)
     corpus.views()
     assert spark.sql("SELECT count(*) FROM paragraphs JOIN info USING (doc_id)").first()[0] > 5
 
@@ -133,12 +140,11 @@ def test_job_status(spark, tmp_path):
     (tmp_path / "in/2.json").write_text(json.dumps(events[0]))
     got = {r["job_id"]: (r["status"], r["progress"]) for r in jobs.latest_status(tables.job_status(spark, str(tmp_path / "in"))).collect()}
     assert got == {"a": ("completed", 1.0), "b": ("running", 0.0)}
-    stream = jobs.stream_status(spark, tables.job_status(spark, str(tmp_path / "in"), True), "latest_jobs").start()
-    try:
-        stream.processAllAvailable()
-        assert {r["job_id"]: r["status"] for r in spark.table("latest_jobs").collect()} == {"a": "completed", "b": "running"}
-    finally:
-        stream.stop()
+    for k in range(2):  # a later file changes one job; nothing is counted twice
+        jobs.stream_status(tables.job_status(spark, str(tmp_path / "in"), True), str(tmp_path / "latest"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+        want = {"a": "completed", "b": "running" if k == 0 else "failed"}
+        assert {r["job_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "latest")).collect()} == want
+        (tmp_path / "in/3.json").write_text(json.dumps(dict(job_id="b", status="failed", progress=0.5, updated_at=5.0)))
 
 
 def test_arriving_files(spark, tmp_path):
