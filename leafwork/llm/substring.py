@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_filter, cut, passes
 
 GRAM, MOST = 8, 28
 _word = partial(xxhash.xxh3_64_intdigest, seed=0)
@@ -55,14 +55,16 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
-def anchors(words: list[bytes], width: int, hash_bits: int = 64):
-    """(grams, anchor of each window); None for texts shorter than a window."""
+def anchors(words: list[bytes], width: int, hash_bits: int = 64, level: int = 0):
+    """(grams, anchor of each window); None for texts shorter than a window.  Each level has an order of grams of its own."""
     if len(words) < width:
         return None
     h = np.fromiter(map(_word, words), np.uint64, len(words))
     if hash_bits < 64:
         h &= _u((1 << hash_bits) - 1)
     grams = _grams(h)
+    if level:
+        grams = _join(grams, np.full(len(grams), level, np.uint64))
     return grams, _slide(grams, width - GRAM + 1, np.minimum)
 
 
@@ -76,34 +78,12 @@ def pieces(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + MOST, np.repeat(start + size, parts))
 
 
-def _bits(x: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each value in a filter of 2 ** log_bits bits."""
-    shift = _u(64 - log_bits)
-    return x * _u(0x9FB21C651E98DF25) >> shift, (x ^ (x >> _u(31))) * _u(0xA0761D6478BD642F) >> shift
-
-
-def passes(x: np.ndarray, words: np.ndarray, log_bits: int) -> np.ndarray:
-    ok = np.ones(len(x), bool)
-    for p in _bits(x, log_bits):
-        ok &= (words[p >> _u(6)] >> (p & _u(63))) & _u(1) > 0
-    return ok
-
-
-def _filter(anchor: DataFrame, log_bits: int) -> np.ndarray:
-    """The filter's words; at most 2 ** (log_bits - 6) rows reach the driver, whatever the number of anchors."""
-
-    def run(batches):
-        for b in batches:
-            p = np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), log_bits))
-            word, at = np.unique(p >> _u(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, at, _u(1) << (p & _u(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    rows = anchor.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (log_bits - 6), np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
+def bodies(words: list[bytes], first: np.ndarray, end: np.ndarray, width: int) -> list[bytes]:
+    """The words that windows first to end cover, joined by spaces."""
+    joined = b" ".join(words)
+    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begin = np.where(first > 0, stop[first - 1], 0)
+    return [joined[x:y] for x, y in zip(begin.tolist(), (stop[end + width - 2] - 1).tolist())]
 
 
 class Automaton:
@@ -186,8 +166,12 @@ def _windows(x: bytes, width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def _marks(found: DataFrame, width: int, shard_pieces: int) -> DataFrame:
-    """Rows (anchor, digest, mask) of the pieces in ``found`` (anchor, digest, n, windows, piece) that hold repeated windows."""
+def _marks(found: DataFrame, width: int, shard_pieces: int, level: int = 1, levels: int = 3) -> DataFrame:
+    """Rows (anchor, digest, mask) of the pieces in ``found`` (anchor, digest, n, windows, piece) that hold repeated windows.
+
+    An anchor with more kinds of pieces than a shard holds has its pieces cut again by a second anchor, and so on; what
+    is still too much at the last level is counted window by window.
+    """
     spark = found.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -223,16 +207,38 @@ def _marks(found: DataFrame, width: int, shard_pieces: int) -> DataFrame:
     loops = found.where("n = 1").where(F.size(F.array_distinct(F.split(F.col("piece").cast("string"), " "))) < F.col("windows"))
     loops = loops.select("anchor", "digest", "piece").mapInArrow(alone, "anchor long, digest binary, mask long")
 
+    def finer(batches):
+        names = ["up", "whole", "at", "anchor", "digest", "n", "windows", "piece"]
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for up, whole, n, x in zip(*(b.column(k).to_pylist() for k in range(4))):
+                words = x.split(b" ")
+                _, least = anchors(words, width, level=level)
+                first, end = pieces(least)
+                body = bodies(words, first, end, width)
+                key = _join(least[first], np.full(len(first), up, np.int64).view(np.uint64))
+                for column, more in zip(out, ([up] * len(body), [whole] * len(body), first.tolist(), key.view(np.int64).tolist(), [_digest(y).digest() for y in body], [n] * len(body), (end - first).tolist(), body)):
+                    column += more
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], names)
+
     def windows(batches):
         for b in batches:
             out = [(a, d, n, j, _digest(w).digest()) for a, d, n, x in zip(*(b.column(k).to_pylist() for k in range(4))) for j, w in enumerate(_windows(x, width))]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "digest", "n", "j", "window"])
 
-    # An anchor with more kinds of pieces than a shard holds: its windows are counted, wherever they are.
-    each = cut(many.where(F.col("kinds") > shard_pieces).select("anchor", "digest", "n", "piece").mapInArrow(windows, "anchor long, digest binary, n long, j int, window binary"))
-    twice = each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    hot = each.join(twice, "window").select("anchor", "digest", F.expr("shiftleft(1L, j)").alias("mask"))
+    hot = many.where(F.col("kinds") > shard_pieces).select("anchor", "digest", "n", "piece")
+    if hot.isEmpty():
+        hot = hot.select("anchor", "digest", F.lit(0).cast("long").alias("mask"))
+    elif level < levels:
+        cuts = cut(hot.mapInArrow(finer, "up long, whole binary, at int, anchor long, digest binary, n long, windows int, piece binary"))
+        kinds = cut(cuts.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("piece").alias("piece")))
+        below = _marks(kinds, width, shard_pieces, level + 1, levels)
+        hot = cuts.select("up", "whole", "at", "anchor", "digest").join(below, ["anchor", "digest"]).select(F.col("up").alias("anchor"), F.col("whole").alias("digest"), F.expr("shiftleft(mask, at)").alias("mask"))
+    else:
+        each = cut(hot.mapInArrow(windows, "anchor long, digest binary, n long, j int, window binary"))
+        twice = each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+        hot = each.join(twice, "window").select("anchor", "digest", F.expr("shiftleft(1L, j)").alias("mask"))
     whole = found.where("n > 1").select("anchor", "digest", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
     return small.unionByName(loops).unionByName(hot).unionByName(whole).groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask"))
 
@@ -267,7 +273,7 @@ def dedup(docs: DataFrame, width: int = 35, log_bits: int = 27, shard_pieces: in
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
     common = rows.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(common, log_bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(common, log_bits))
     names = ["anchor", "digest", "piece", "windows", "key", "start", "n"]
 
     def send_pieces(batches):
@@ -285,11 +291,8 @@ def dedup(docs: DataFrame, width: int = 35, log_bits: int = 27, shard_pieces: in
                 at = np.flatnonzero(passes(got[1][first], known, log_bits))
                 if not len(at):
                     continue
-                joined = b" ".join(words)
-                stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 first, end = first[at], end[at]
-                begin = np.where(first > 0, stop[first - 1], 0)
-                body = [joined[x:y] for x, y in zip(begin.tolist(), (stop[end + width - 2] - 1).tolist())]
+                body = bodies(words, first, end, width)
                 for column, more in zip(out, (got[1][first].view(np.int64).tolist(), [_digest(x).digest() for x in body], body, (end - first).tolist(), [k] * len(at), first.tolist(), [copies[k]] * len(at))):
                     column += more
             types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
