@@ -74,34 +74,44 @@ def _expand(a0, a1, b0, b1):
     return i[keep], j[keep]
 
 
-def trie_links(group: np.ndarray, fp: np.ndarray, free_bits: int, budget: int, leaf: int = 64, chunk: int = 1 << 21):
+def trie_links(group: np.ndarray, fp: np.ndarray, free_bits: int, budget: int, leaf: int = 64, chunk: int = 1 << 17):
     """Yield arrays (i, j) of linked positions, from node pairs walked down together.
 
     ``group`` is the subtrie of each row and ``fp`` its rotated fingerprint; rows are sorted by both.  The first
-    ``64 - free_bits`` bits are equal within a subtrie.  Node pairs with few leaves below are compared directly.
+    ``64 - free_bits`` bits are equal within a subtrie.  Node pairs with few leaves below are compared directly.  At most
+    ``chunk`` node pairs go down a level at once; the others wait, so that memory grows with the rows and not with the pairs.
     """
     n = len(fp)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.empty(0, np.int64)
     last = np.r_[first[1:], n] if n else first
     a0, a1 = first[last - first > 1], last[last - first > 1]
-    b0, b1, left = a0, a1, np.full(len(a0), budget)
-    for bit in range(free_bits - 1, -2, -1):
-        small = ((a1 - a0) * (b1 - b0) <= leaf) | (bit < 0)
-        for part in np.array_split(np.flatnonzero(small), max(1, int(((a1 - a0) * (b1 - b0))[small].sum() // chunk))):
+    ones: dict[int, np.ndarray] = {}
+    waiting = [(free_bits - 1, a0, a1, a0, a1, np.full(len(a0), budget, np.int8))]
+    while waiting:
+        bit, a0, a1, b0, b1, left = waiting.pop()
+        if len(a0) > chunk:
+            half = len(a0) // 2
+            waiting += [(bit, *(x[half:] for x in (a0, a1, b0, b1, left))), (bit, *(x[:half] for x in (a0, a1, b0, b1, left)))]
+            continue
+        size = (a1 - a0) * (b1 - b0)
+        small = (size <= leaf) | (bit < 0)
+        for part in np.array_split(np.flatnonzero(small), max(1, int(size[small].sum() // (4 * chunk)))):
             i, j = _expand(a0[part], a1[part], b0[part], b1[part])
             near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
             yield i[near], j[near]
+        if bit < 0 or small.all():
+            continue
         a0, a1, b0, b1, left = (x[~small] for x in (a0, a1, b0, b1, left))
-        if bit < 0 or not len(a0):
-            return
-        ones = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        if bit not in ones:
+            ones[bit] = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)]
+        o = ones[bit]
+        am, bm = a1 - (o[a1] - o[a0]), b1 - (o[b1] - o[b0])
         same = a0 == b0
         kids = [(a0, am, b0, bm, left), (am, a1, bm, b1, left), (a0, am, bm, b1, left - 1)]
         kids.append(tuple(x[~same] for x in (am, a1, b0, bm, left - 1)))  # of a node with itself, its mirror image
         a0, a1, b0, b1, left = (np.concatenate(x) for x in zip(*kids))
         keep = (a1 > a0) & (b1 > b0) & (left >= 0)
-        a0, a1, b0, b1, left = (x[keep] for x in (a0, a1, b0, b1, left))
+        waiting.append((bit - 1, *(x[keep] for x in (a0, a1, b0, b1, left))))
 
 
 def _forest(n: int, links) -> np.ndarray:
@@ -118,12 +128,17 @@ def _forest(n: int, links) -> np.ndarray:
     return root
 
 
-def links(nodes: DataFrame, budget: int = 3) -> DataFrame:
-    """Edges (u, v), u > v, that connect all nodes (fp, node) whose fingerprints differ in at most budget bits."""
+def links(nodes: DataFrame, budget: int = 3, task_rows: int = 1_000_000, held_rows: int = 65_536) -> DataFrame:
+    """Edges (u, v), u > v, that connect all nodes (fp, node) whose fingerprints differ in at most budget bits.
+
+    Nodes without an id are left aside; an empty table gives no edges.  There are as many tasks as leave each about
+    ``task_rows`` dealt fingerprints, and a task holds whole subtries of ``held_rows`` together, or one subtrie, at a time.
+    """
     if not 0 <= budget < 16:
         raise ValueError("budget must be from 0 to 15")
     blocks = budget + 1
     cuts = [64 * k // blocks for k in range(blocks + 1)]
+    free = 64 - min(b - a for a, b in zip(cuts, cuts[1:]))
 
     def deal(batches):
         for b in batches:
@@ -135,27 +150,47 @@ def links(nodes: DataFrame, budget: int = 3) -> DataFrame:
                 head = (turned >> np.uint64(64 - (cuts[k + 1] - cuts[k]))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(head * blocks + k), pa.array(turned.view(np.int64)), node], ["subtrie", "fp", "node"])
 
+    def whole_subtries(batches):
+        """Arrays (subtrie, fp, node) of whole subtries, from rows sorted by subtrie."""
+        held, n = [], 0
+        for b in batches:
+            part = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if n >= held_rows and len(part[0]):
+                edge = np.searchsorted(part[0], held[-1][0][-1], side="right")  # the last subtrie held may go on here
+                held.append([x[:edge] for x in part])
+                if edge < len(part[0]):
+                    yield [np.concatenate(x) for x in zip(*held)]
+                    held, n, part = [], 0, [x[edge:] for x in part]
+                else:
+                    continue
+            if len(part[0]):
+                held.append(part)
+                n += len(part[0])
+        if held:
+            yield [np.concatenate(x) for x in zip(*held)]
+
     def join(batches):
-        got = [x for x in batches if len(x)]
-        if not got:
-            return
-        group, fp, node = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in got]) for k in range(3))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, group))
-        group, fp, node = group[order], fp[order], node[order]
-        free = 64 - min(b - a for a, b in zip(cuts, cuts[1:]))
-        root = _forest(len(fp), trie_links(group, fp, free, budget))
-        i = np.flatnonzero(root != np.arange(len(root)))
-        u, v = node[i], node[root[i]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
-    dealt = nodes.where("node is not null").select("fp", "node").mapInArrow(deal, "subtrie long, fp long, node long")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "subtrie").mapInArrow(join, "u long, v long").where("u <> v").distinct()
+        for group, fp, node in whole_subtries(batches):
+            fp = fp.view(np.uint64)
+            order = np.lexsort((fp, group))
+            group, fp, node = group[order], fp[order], node[order]
+            root = _forest(len(fp), trie_links(group, fp, free, budget))
+            i = np.flatnonzero(root != np.arange(len(root)))
+            u, v = node[i], node[root[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    nodes = nodes.where("node is not null").select("fp", "node")
+    dealt = nodes.mapInArrow(deal, "subtrie long, fp long, node long")
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * blocks // task_rows))
+    return dealt.repartition(parts, "subtrie").sortWithinPartitions("subtrie").mapInArrow(join, "u long, v long").where("u <> v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Rows (node, component): the smallest node reachable, for every node with an edge (u, v)."""
+    """Rows (node, component): the smallest node reachable, for every node with an edge (u, v).
+
+    Rounds needed grow with the logarithm of the longest chain; more than ``max_rounds`` are an error, never a partial
+    answer.  Repeated edges and loops do no harm; no edges give no rows.
+    """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(max_rounds):

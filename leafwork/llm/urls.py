@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, lower_ascii
 
 Rule = tuple[str, str]  # (host/path, "allow" or "block")
 
@@ -53,38 +53,43 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def _with_suffix(df: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
-    df = df.join(F.broadcast(stats), "suffix", "left")  # at most as many rows as the bounded sample
-    return df.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(prior)), "suffix_seen": F.coalesce("suffix_seen", F.lit(0))})
+def _labelled(rows: DataFrame, rules: list[Rule], labelled: DataFrame | None) -> DataFrame:
+    """(url, block) of all labelled urls: those given, or else the pages that a rule decides."""
+    if labelled is not None:
+        return labelled.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("block"))
+    verdict = matching_rule(F.col("host"), F.col("path"), rules)["verdict"]
+    return rows.withColumn("verdict", verdict).where("verdict is not null").select("url", (F.col("verdict") == "block").cast("int").alias("block"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, sample_rows: int = 20_000, trees: int = 20, depth: int = 4, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, sample_rows: int = 20_000, trees: int = 20, depth: int = 4, threshold: float = 0.5, folds: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of pages (page_id, url) with host, path, rule, verdict and score, the model's probability of "block".
 
-    Labelled urls (url, block as 0 or 1) come from ``labelled``, or else are the pages that a rule decides.  The trees
-    are fitted on at most ``sample_rows`` of them, those with the smallest hash; block rates of host suffixes come
-    from the same rows.  A rule's verdict stands above the model's.  Without labelled urls the model allows
-    everything; null and odd urls have empty parts and are judged by their text.  Repeated rows are judged alike.
+    Labelled urls (url, block as 0 or 1) come from ``labelled``, or else are the pages that a rule decides.  Block rates of
+    host suffixes are counted over all of them; the trees are fitted on at most ``sample_rows``, those with the smallest
+    hash, each with the rate that the other ``folds`` - 1 parts of the labelled urls give its suffix, so that no url sees its
+    own label.  A rule's verdict stands above the model's.  Without labelled urls the model allows everything; null and
+    odd urls have empty parts and are judged by their text.  Repeated rows are judged alike.  An empty table gives no rows;
+    columns other than the two read are ignored.
     """
     rows = lexical(pages.select("page_id", "url"))
-    if labelled is None:
-        hit = matching_rule(F.col("host"), F.col("path"), rules)
-        known = rows.withColumn("_v", hit["verdict"]).where("_v is not null").withColumn("block", (F.col("_v") == "block").cast("int"))
-        known = known.select("url", "block")
-    else:
-        known = labelled.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("block"))
-    known = known.orderBy(F.xxhash64("url"), "url", "block").limit(sample_rows).coalesce(1).cache()
+    known = cut(lexical(_labelled(rows, rules, labelled)).select("url", "block", "suffix", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(folds)).alias("fold")))
     n, blocked = known.agg(F.count(F.lit(1)), F.sum("block")).first()
     score = F.lit(0.0)
     if n:
         prior = (blocked or 0) / n
-        train = lexical(known)
-        stats = train.groupBy("suffix").agg(((F.sum("block") + 10 * prior) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"), F.count(F.lit(1)).cast("int").alias("suffix_seen"))
+        rate = lambda b, m: ((b + 10 * prior) / (m + 10)).alias("suffix_rate")
+        parts = cut(known.groupBy("suffix", "fold").agg(F.sum("block").alias("b"), F.count(F.lit(1)).alias("m")))
+        whole = cut(parts.groupBy("suffix").agg(F.sum("b").alias("b_all"), F.sum("m").alias("m_all")))
         gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = gather.transform(_with_suffix(train, stats, prior)).select("features", F.col("block").cast("double").alias("label")).cache()
+        sample = known.orderBy(F.xxhash64("url"), "url", "block").limit(sample_rows)
+        others = parts.join(whole, "suffix").select("suffix", "fold", rate(F.col("b_all") - F.col("b"), F.col("m_all") - F.col("m")), (F.col("m_all") - F.col("m")).cast("int").alias("suffix_seen"))
+        sample = F.broadcast(sample).join(others, ["suffix", "fold"]).drop("suffix")
+        train = cut(gather.transform(lexical(sample)).select("features", F.col("block").cast("double").alias("label")).coalesce(1))
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(train)
-        train.unpersist()
-        rows = model.transform(gather.transform(_with_suffix(rows, stats, prior)))
+        rates = whole.select("suffix", rate(F.col("b_all"), F.col("m_all")), F.col("m_all").cast("int").alias("suffix_seen"))
+        rates = F.broadcast(rates) if whole.count() <= broadcast_rows else rates
+        rows = rows.join(rates, "suffix", "left").withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(prior)), "suffix_seen": F.coalesce("suffix_seen", F.lit(0))})
+        rows = model.transform(gather.transform(rows))
         score = vector_to_array("probability")[1]
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "url", "host", "path", hit.alias("_hit"), score.alias("score"))

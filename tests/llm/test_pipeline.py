@@ -11,7 +11,8 @@ import corpus_pipeline
 from leafwork.llm import decontam, queries, simhash
 from leafwork.llm.quality import Model, counts
 
-from .test_operators import slow_best_fit, slow_components, slow_fingerprint
+from .test_nearcopy import slow_kept
+from .test_operators import slow_best_fit
 
 
 def test_pipeline_equals_brute_force(spark, sf):
@@ -20,11 +21,9 @@ def test_pipeline_equals_brute_force(spark, sf):
     items = [(r["item_id"], decontam.normal(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 
     known = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1)
-    model = Model(np.stack([counts(docs[i].encode()) for i in known]), np.array([labels[i] for i in known]), 16, 9)
+    model = Model.fitted([counts(docs[i].encode()) for i in known], np.array([labels[i] for i in known]), 16, 9)
     kept = [i for i, s in zip(docs, model.score([t.encode() for t in docs.values()])) if s >= 0.5]
-    fps = {i: slow_fingerprint(docs[i]) for i in kept}
-    root = slow_components([(a, b) for a in kept for b in kept if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], kept)
-    kept = [i for i in kept if root[i] == i]
+    kept, _ = slow_kept({i: docs[i] for i in kept})
     kept = [i for i in kept if not any(decontam.myers(t, decontam.normal(docs[i]))[0] <= int(len(t) * 0.06) for _, t in items)]
 
     got = corpus_pipeline.run(spark, sf).collect()
