@@ -243,10 +243,21 @@ def translate_write_back(spark, sf_dir):
 
 
 @query("""
-SELECT 0 AS part, doc_id AS id, md5(text) AS h FROM documents UNION ALL SELECT 1, item_id, md5(text) FROM benchmark UNION ALL SELECT 2, conv_id, md5(text) FROM conversations""")
+WITH li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2),
+u AS (
+  SELECT o_orderkey AS doc_id, 0 AS r, 0 AS s, 1 AS page, 'abstract' AS section, '' AS figure_id, CASE WHEN o_custkey % 2 = 0 THEN 'about ' || o_custkey ELSE '' END AS text FROM orders
+  UNION ALL SELECT l_orderkey, 1, l_linenumber * 4, l_partkey % 5 + 1, 'results', '', 'part ' || l_partkey FROM li WHERE l_suppkey % 3 = 0
+  UNION ALL SELECT l_orderkey, 2, l_linenumber, l_partkey % 5 + 1, 'figure_caption', 'Fig. ' || l_linenumber, CASE WHEN l_suppkey % 4 > 0 THEN 'shown ' || l_suppkey ELSE '' END FROM li WHERE l_linenumber <= 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, s, text) AS item, page::INTEGER AS page, section, figure_id, text FROM u WHERE text <> ''""")
 def evidence_union(spark, sf_dir):
-    of = lambda part, name, key: _t(spark, sf_dir, name).select(F.lit(part).alias("part"), F.col(key).alias("id"), F.md5("text").alias("h"))
-    return of(0, "documents", "doc_id").unionByName(of(1, "benchmark", "item_id")).unionByName(of(2, "conversations", "conv_id"))
+    k = F.col("l_linenumber")
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", k).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    doc, page = F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 5 + 1).alias("page")
+    info = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_custkey") % 2 == 0, _words("about ", F.col("o_custkey"))).otherwise("").alias("abstract"))
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "paragraph").when(F.col("l_suppkey") % 3 == 1, "caption").otherwise("heading")
+    paragraphs = li.select(doc, k.alias("seq"), F.lit(0).alias("part"), page, F.lit("Results").alias("section_title"), kind.alias("kind"), _words("part ", F.col("l_partkey")).alias("text"))
+    figs = li.where(k <= 2).select(doc, k.alias("fig_seq"), page, _words("Fig. ", k).alias("figure_id"), F.when(F.col("l_suppkey") % 4 > 0, _words("shown ", F.col("l_suppkey"))).otherwise("").alias("caption"))
+    return facts.evidence(info, paragraphs, figs)
 
 
 @query("""
@@ -257,16 +268,15 @@ def llm_coalesce(spark, sf_dir):
 
 
 @query(rf"""
-WITH p AS (SELECT doc_id, {_sq('text')} AS src, {_sq('left(text, (length(text) * (doc_id % 5) // 10)::INTEGER)')} AS dst FROM documents),
-k AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(src, '\b(?:10\.\d{{4,9}}/[^\s]+|\d+(?:\.\d+)?\s*{_re(fixed.TRUNCATION_UNITS)})|[A-Z][a-z]{{1,5}}\d+(?:-\d+)?(?:\s*[A-Z])?'), lambda x: length(x))), 0) AS fixed_part FROM p)
-SELECT doc_id, dst = '' OR (length(src) >= 180 AND length(dst) * 10 < length(src)) AS surely FROM k""")
+WITH p AS (SELECT doc_id, {_sq('text')} AS src, {_sq('left(text, (length(text) * (doc_id % 5) // 10)::INTEGER)')} || CASE WHEN doc_id % 11 = 0 THEN '...' ELSE '' END AS dst FROM documents),
+k AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(src, '\b(?:10\.\d{{4,9}}/[^\s]+|\d+(?:\.\d+)?\s*{_re(fixed.TRUNCATION_UNITS)})|[A-Z][a-z]{{1,5}}\d+(?:-\d+)?(?:\s*[A-Z])?|[A-Z]{{2,}}\b'), lambda x: length(x))), 0) AS kept FROM p),
+n AS (SELECT *, length(src) - kept AS a, length(dst) - kept AS b FROM k)
+SELECT doc_id, CASE WHEN src = '' THEN false WHEN dst = '' THEN true WHEN regexp_matches(dst, '(?:\.\.\.|…)\s*$') AND NOT regexp_matches(src, '(?:\.\.\.|…)\s*$') THEN true
+  ELSE a > 0 AND ((a >= 300 AND b::DOUBLE / a < 0.30::DOUBLE) OR (a >= 180 AND b::DOUBLE / a < 0.20::DOUBLE)) END AS hit FROM n""")
 def truncation_flags(spark, sf_dir):
-    # Texts cut to 0, 10, 20, 30 or 40 %; those under a tenth are short whatever their fixed parts are.
-    docs = _t(spark, sf_dir, "documents")
-    part = F.left("text", F.floor(F.length("text") * F.pmod("doc_id", F.lit(5)) / 10).cast("int"))
-    rows = docs.select("doc_id", T.squeeze(F.col("text")).alias("src"), T.squeeze(part).alias("dst"), T.looks_truncated(F.col("text"), part).alias("hit"))
-    surely = (F.col("dst") == "") | ((F.length("src") >= 180) & (F.length("dst") * 10 < F.length("src")))
-    return rows.select("doc_id", (surely & (F.col("hit") | (F.length("src") < 300))).alias("surely"))
+    """Texts cut to 0, 10, 20, 30 or 40 %, some with an ellipsis."""
+    part = F.concat(F.left("text", F.floor(F.length("text") * F.pmod("doc_id", F.lit(5)) / 10).cast("int")), F.when(F.pmod("doc_id", F.lit(11)) == 0, "...").otherwise(""))
+    return _docs(spark, sf_dir).select("doc_id", T.looks_truncated(F.col("text"), part).alias("hit"))
 
 
 # ---------------------------------------------------------------- measured facts from built sentences
@@ -275,7 +285,7 @@ def truncation_flags(spark, sf_dir):
 def _built(spark, sf_dir, sentence, page=5) -> DataFrame:
     """Evidence with one sentence per line item."""
     return _t(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("item"), F.lit(page).cast("int").alias("page"), F.lit("results").alias("section"), F.lit("").alias("figure_id"), sentence.alias("text")
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("item"), (F.lit(page) if isinstance(page, int) else page).cast("int").alias("page"), F.lit("results").alias("section"), F.lit("").alias("figure_id"), sentence.alias("text")
     )
 
 
@@ -405,9 +415,18 @@ def characterization_synth(spark, sf_dir):
     return facts.characterization_methods(facts.first_sentences(_built(spark, sf_dir, text))).select("doc_id", "method", "source_text")
 
 
-@query()
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS item, 'The PCE of ' || l_quantity::INTEGER || '.' || l_linenumber || '%' AS core, l_suppkey % 4 AS w FROM lineitem)
+SELECT doc_id, item, 'pce' AS pattern, (CASE WHEN w = 2 THEN 10 WHEN w = 3 THEN 4 ELSE 22 END)::INTEGER AS start,
+  CASE w WHEN 0 THEN core || ' was high! Next one' WHEN 1 THEN core || ' was measured again after the first week of tests; Next one' WHEN 2 THEN core || ' was high over many days in our field'
+  ELSE left(core || repeat(' word', 80), 324) END AS sentence FROM s""")
 def sentence_around(spark, sf_dir):
-    text = _words("Part no. 1 of it. The PCE of ", F.col("l_quantity").cast("int"), ".", F.col("l_linenumber"), "% was high! Next one.")
+    """Short sentences, which take the next one, long ones, blank lines, and texts without an end."""
+    w, core = F.col("l_suppkey") % 4, _words("The PCE of ", F.col("l_quantity").cast("int"), ".", F.col("l_linenumber"), "%")
+    text = (
+        F.when(w == 0, _words("Part no. 1 of it. ", core, " was high! Next one.")).when(w == 1, _words("Part no. 1 of it. ", core, " was measured again after the first week of tests; Next one."))
+        .when(w == 2, _words("Head\n\n", core, " was high over many days in our field\n\nNext one.")).otherwise(_words(core, F.repeat(F.lit(" word"), 80)))
+    )
     return facts.matches(_built(spark, sf_dir, text)).select("doc_id", "item", "pattern", "start", "sentence")
 
 
@@ -475,10 +494,58 @@ def name_cleanup(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey AS doc_id, 'Journal of Tests' AS journal, (o_custkey % 900 + 1)::VARCHAR AS volume, '' AS issue, (o_orderkey + 1)::VARCHAR AS pages, (1950 + o_orderkey % 70)::VARCHAR AS year FROM orders""")
+WITH o AS (SELECT o_orderkey AS doc_id, (o_orderkey % 16)::INTEGER AS k, (o_custkey % 900 + 1)::VARCHAR AS v, (o_orderkey + 1000)::VARCHAR AS p, (1990 + o_orderkey % 30)::VARCHAR AS y FROM orders)
+SELECT doc_id, ['Journal of Tests', 'Journal Name', 'Nature', 'IEEE JOURNAL OF PHOTOVOLTAICS', 'Solar Letters', 'Solar Letters', 'Small', 'IEEE Trans. Power Electron', 'Phys. Rev. B', 'Joule', 'Joule', 'Nano Energy', 'Joule', 'ACS Energy Letters', 'Nature Communications', ''][k + 1] AS journal,
+  CASE WHEN k IN (2, 12, 14) THEN '' ELSE v END AS volume, CASE WHEN k IN (3, 7, 9, 11, 15) THEN '3' ELSE '' END AS issue,
+  CASE WHEN k IN (2, 3, 12, 14) THEN '' ELSE p END AS pages, y AS year FROM o""")
 def publication_synth(spark, sf_dir):
-    text = _words("Journal of Tests ", F.col("o_custkey") % 900 + 1, " (", 1950 + F.col("o_orderkey") % 70, ") ", F.col("o_orderkey") + 1, " and more")
-    return bibliography.publication(spread(_t(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text")))
+    """One citation style for each rule of the cascade."""
+    orders = spread(_t(spark, sf_dir, "orders"))
+    v, p, y, k = F.col("o_custkey") % 900 + 1, F.col("o_orderkey") + 1000, 1990 + F.col("o_orderkey") % 30, F.col("o_orderkey") % 16
+    styles = [
+        _words("Journal of Tests ", v, " (", y, ") ", p, " and more"), F.lit("Nothing to see here."), _words("Cite this article as: Lee, A. et al. A title. Nature https://doi.org/10.1038/s1 (", y, ")"),
+        _words("IEEE JOURNAL OF PHOTOVOLTAICS, VOL. ", v, ", NO. 3, MAY ", y), _words("Solar Letters, ", y, ", ", v, ", ", p), _words("Solar Letters ", y, ", ", v, ", ", p), _words("Small", y, ", ", v, ", ", p),
+        _words("IEEE Trans. Power Electron., vol. ", v, ", no. 3, pp. ", p, ", May ", y), _words("Phys. Rev. B ", v, ", ", p, " (", y, ")"), _words("Joule | ", y, " | ", v, "(3): ", p), _words("Joule | ", y, " ", v, ": ", p),
+        _words("Nano Energy ", y, " ", v, "(3): ", p), _words("Published in Joule in ", y, "."), _words("ACS Energy Lett. ", y, ", ", v, ", ", p), _words("see Nat Commun (", y, ")"), _words("text ", v, "(3), ", p, "; Accepted: 3 May ", y),
+    ]
+    text = F.element_at(F.array(*styles), (k + 1).cast("int"))
+    doc = F.col("o_orderkey").alias("doc_id")
+    meta = orders.select(doc, F.when(k == 1, _words("Journal Name ", y, ".", v, ":", p)).alias("subject"))
+    return bibliography.publication(orders.select(doc, F.lit(1).alias("page"), text.alias("text")), meta)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_quantity::INTEGER AS q, (l_suppkey % 5)::INTEGER AS w FROM lineitem WHERE l_suppkey % 5 < 4),
+r AS (SELECT DISTINCT doc_id, w, (q || '.' || k)::DOUBLE AS pce, k FROM s)
+SELECT doc_id, pce AS pce_percent, CASE w WHEN 2 THEN 'steady-state' ELSE '' END AS device_label, CASE WHEN w = 2 THEN pce END AS steady_state_pce_percent, CASE WHEN w = 0 THEN ('2' || k || '.5')::DOUBLE END AS jsc_ma_cm2, CASE WHEN w = 0 THEN ('8' || k || '.25')::DOUBLE END AS ff_percent,
+  CASE WHEN w = 3 THEN ('0.' || k)::DOUBLE END AS active_area_cm2, CASE WHEN w = 0 THEN '>' ELSE '' END AS op FROM r""")
+def device_metrics_synth(spark, sf_dir):
+    """Metrics of each kind, numbers before the word, a steady state, and sentences on stability, which count for nothing."""
+    w, k = F.col("l_suppkey") % 5, F.col("l_linenumber")
+    pce = _words(F.col("l_quantity").cast("int"), ".", k, "%")
+    text = (
+        F.when(w == 0, _words("This cell had a PCE of >", pce, " and JSC of 2", k, ".5 mA cm-2, with FF of 8", k, ".25%, in the test here.")).when(w == 1, _words("In all ", pce, " was its efficiency in the test that is shown here."))
+        .when(w == 2, _words("This one has a steady-state PCE of ", pce, " in the long test that is shown here.")).when(w == 3, _words("This module has a PCE of ", pce, " over an active area of 0.", k, " cm2 in the test."))
+        .otherwise(_words("The PCE after aging was still ", pce, " of its initial PCE in the stability test."))
+    )
+    rows = facts.device_performance(facts.matches(_built(spark, sf_dir, text, page=k + F.col("l_suppkey") % 5 * 10)))
+    op = F.regexp_extract("source_text", r"operator for PCE: (.)\]", 1).alias("op")
+    return rows.select("doc_id", "pce_percent", "device_label", "steady_state_pce_percent", "jsc_ma_cm2", "ff_percent", "active_area_cm2", op).distinct()
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS k, l_quantity::INTEGER AS q, l_suppkey AS h, (l_suppkey % 3)::INTEGER AS w FROM lineitem)
+SELECT DISTINCT doc_id, ['thermal', 'reverse_bias', 'illumination'][w + 1] AS test_type, CASE WHEN w = 1 THEN NULL ELSE h::DOUBLE END AS duration_h, CASE WHEN w = 1 THEN h::INTEGER END AS cycles, (CASE WHEN w = 2 THEN 100 - q ELSE q + 40 END)::DOUBLE AS retained_pce_percent,
+  CASE WHEN w = 2 THEN '~' ELSE '' END AS retained_pce_operator, CASE WHEN w = 0 THEN 85.0::DOUBLE END AS temperature_c, CASE WHEN w = 0 THEN 60.0::DOUBLE END AS relative_humidity_percent, CASE WHEN w = 2 THEN 'reported efficiency loss ' || q::DOUBLE || '%' ELSE '' END AS qualitative_result FROM s""")
+def stability_kinds_synth(spark, sf_dir):
+    """Retention told after its duration, in cycles and as a loss, with temperature and humidity."""
+    w, q, h = F.col("l_suppkey") % 3, F.col("l_quantity").cast("int"), F.col("l_suppkey")
+    text = (
+        F.when(w == 0, _words("After ", h, " h of damp heat at 85 °C and 60 % RH the device retained ", q + 40, "% of what it had."))
+        .when(w == 1, _words("For ", h, " cycles of reverse bias the module maintained ", q + 40, "% of what it had at first.")).otherwise(_words("After ", h, " hours of light the device shows a loss of ", q, "% in all."))
+    )
+    rows = facts.stability_tests(facts.matches(_built(spark, sf_dir, text, page=F.col("l_linenumber"))))
+    return rows.select("doc_id", "test_type", "duration_h", "cycles", "retained_pce_percent", "retained_pce_operator", "temperature_c", "relative_humidity_percent", "qualitative_result").distinct()
 
 
 @query("""
@@ -540,19 +607,19 @@ a AS (SELECT c.doc_id, max(o.y1) FILTER (WHERE o.y1 < c.y0 - 8 AND o.y1 > 792 *
 s AS (SELECT c.*, CASE WHEN c.y0 > 792 * 0.65 THEN 40.0 ELSE coalesce(a.above, 40.0) END AS prev FROM c LEFT JOIN a USING (doc_id)),
 t AS (SELECT *, greatest(40.0, prev - 18) AS t0 FROM s),
 u AS (SELECT *, CASE WHEN greatest(t0 + 80, y0 - 4) - t0 < 100 THEN greatest(40.0, y0 - 792 * 0.52::DOUBLE) ELSE t0 END AS u0 FROM t)
-SELECT doc_id, greatest(8.0, least(x0 - 34, 612 * 0.015::DOUBLE))::DOUBLE AS x0, u0::DOUBLE AS y0, least(604.0, greatest(x1 + 34, 612 * 0.985::DOUBLE))::DOUBLE AS x1, least(greatest(u0 + 80, y0 - 4), 784.0)::DOUBLE AS y1 FROM u""")
+SELECT doc_id, greatest(8.0, least(x0 - 34, 612 * 0.015::DOUBLE))::DOUBLE AS x0, u0::DOUBLE AS y0, least(604.0, greatest(x1 + 34, 612 * 0.985::DOUBLE))::DOUBLE AS x1, least(greatest(u0 + 80, y0 - 4), 784.0)::DOUBLE AS y1, y0 > 792 * 0.72::DOUBLE AS try_next FROM u""")
 def crop_box(spark, sf_dir):
     rows = _boxes(spark, sf_dir).withColumn("text", F.lit("plain"))
     found = rows.where("seq = 1").withColumns({"caption_kind": F.lit("figure"), "figure_id": F.lit("Fig. 1")})
-    return figures.crop_boxes(found, rows).select("doc_id", "crop.*")
+    return figures.crop_boxes(found, rows).select("doc_id", "crop.*", "try_next")
 
 
 @query(f"""
-WITH {BOXES} SELECT doc_id, seq, (y1 < 792 * 0.075 OR y0 > 792 * 0.93) AS margin, y0 > 792 * 0.72 AS next_page, greatest(0.0, x0 - 8)::DOUBLE AS px0, least(792.0, y1 + 8)::DOUBLE AS py1 FROM b""")
+WITH {BOXES} SELECT doc_id, seq, (y1 < 792 * 0.075 OR y0 > 792 * 0.93) AS margin, greatest(0.0, x0 - 8)::DOUBLE AS px0, least(792.0, y1 + 8)::DOUBLE AS py1 FROM b""")
 def margin_blocks(spark, sf_dir):
     b, w, h = F.col("box"), F.col("page_w"), F.col("page_h")
     pad = G.padded(b, w, h)
-    return _boxes(spark, sf_dir).select("doc_id", "seq", rules.is_margin(F.lit("short"), b, w, h).alias("margin"), (b["y0"] > h * 0.72).alias("next_page"), pad["x0"].alias("px0"), pad["y1"].alias("py1"))
+    return _boxes(spark, sf_dir).select("doc_id", "seq", rules.is_margin(F.lit("short"), b, w, h).alias("margin"), pad["x0"].alias("px0"), pad["y1"].alias("py1"))
 
 
 @query(f"""
@@ -563,30 +630,54 @@ def repeated_blocks(spark, sf_dir):
     return B.repeated_exact(rows, max_spread=300.0)
 
 
-@query()
+@query(f"""
+WITH {BOXES}, r AS (SELECT doc_id, seq, CASE WHEN x0 % 4 = 0 THEN 400.0 ELSE 26.0 END AS y FROM b), h AS (SELECT doc_id FROM r WHERE y < 792 * 0.12 GROUP BY doc_id HAVING count(DISTINCT seq) >= 3)
+SELECT DISTINCT doc_id, 'science 14 may 2026 ' || (seq + 700) AS key FROM r JOIN h USING (doc_id) WHERE y < 792 * 0.12""")
 def fuzzy_repeat(spark, sf_dir):
-    head = G.box(50.0, 20.0, 300.0, 32.0)
-    rows = _boxes(spark, sf_dir).withColumns({"page": F.col("seq"), "text": _words("Science 14 May 2026 ", F.col("seq") + 700), "box": head})
+    """Running heads that differ in their page number; a quarter of the texts stand in the middle of the page."""
+    y = F.when(F.col("box.x0") % 4 == 0, 394.0).otherwise(20.0)
+    rows = _boxes(spark, sf_dir).withColumns({"page": F.col("seq"), "text": _words("Science 14 May 2026 ", F.col("seq") + 700), "box": G.box(50.0, y, 300.0, y + 12)})
     return B.repeated_fuzzy(rows)
 
 
 @query("""
-WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS fig_seq, l_suppkey % 2 AS key, (l_partkey % 3) * 100 + l_linenumber AS payload FROM lineitem),
-g AS (SELECT doc_id, fig_seq, min(key) AS key FROM f GROUP BY doc_id, fig_seq)
-SELECT doc_id, count(DISTINCT key) AS kept FROM g GROUP BY doc_id""")
+WITH RECURSIVE f AS (SELECT l_orderkey AS doc_id, l_linenumber AS fig_seq, min(l_suppkey % 2) AS key, max((l_partkey % 3) * (100 + l_linenumber * 9)) AS payload FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY fig_seq) AS i FROM f),
+g AS (
+  SELECT doc_id, key, i, fig_seq, payload FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.doc_id, o.key, o.i, CASE WHEN (o.payload > 0 AND g.payload = 0) OR (g.payload > 0 AND o.payload > g.payload * 1.1::DOUBLE) THEN o.fig_seq ELSE g.fig_seq END,
+    CASE WHEN (o.payload > 0 AND g.payload = 0) OR (g.payload > 0 AND o.payload > g.payload * 1.1::DOUBLE) THEN o.payload ELSE g.payload END
+  FROM g JOIN o ON o.doc_id = g.doc_id AND o.key = g.key AND o.i = g.i + 1)
+SELECT doc_id, arg_max(fig_seq, i) AS fig_seq FROM g GROUP BY doc_id, key""")
 def figure_dedupe(spark, sf_dir):
-    figs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("fig_seq")).agg(_words("Fig. ", F.min(F.col("l_suppkey") % 2)).alias("figure_id"), F.max((F.col("l_partkey") % 3) * 100 + F.col("l_linenumber")).alias("payload"))
-    return figures.dedupe_figures(figs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    """Which figure of each id stays."""
+    payload = F.max((F.col("l_partkey") % 3) * (100 + F.col("l_linenumber") * 9)).alias("payload")
+    figs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("fig_seq")).agg(_words("Fig. ", F.min(F.col("l_suppkey") % 2)).alias("figure_id"), payload)
+    return figures.dedupe_figures(figs).select("doc_id", "fig_seq")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {BOXES}, k AS (SELECT doc_id, greatest(0, x0) AS x0, greatest(0, y0) AS y0, least(612, x1) AS x1, least(792, y1) AS y1 FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, x1, y1) AS i FROM k WHERE x1 - x0 > 20 AND y1 - y0 > 20 AND x1 - x0 < 612 * 0.95 AND y1 - y0 < 792 * 0.9),
+g AS (
+  SELECT doc_id, i, 0 AS g, x0, y0, x1, y1 FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.doc_id, o.i, CASE WHEN o.y0 <= g.y1 + 30 AND abs(o.x0 - g.x0) < 80 THEN g.g ELSE g.g + 1 END, CASE WHEN o.y0 <= g.y1 + 30 AND abs(o.x0 - g.x0) < 80 THEN g.x0 ELSE o.x0 END, CASE WHEN o.y0 <= g.y1 + 30 AND abs(o.x0 - g.x0) < 80 THEN g.y0 ELSE o.y0 END,
+    CASE WHEN o.y0 <= g.y1 + 30 AND abs(o.x0 - g.x0) < 80 THEN greatest(g.x1, o.x1) ELSE o.x1 END, CASE WHEN o.y0 <= g.y1 + 30 AND abs(o.x0 - g.x0) < 80 THEN greatest(g.y1, o.y1) ELSE o.y1 END
+  FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1)
+SELECT doc_id, 1::INTEGER AS page, arg_max(x0, i) AS x0, arg_max(y0, i) AS y0, arg_max(x1, i) AS x1, arg_max(y1, i) AS y1 FROM g GROUP BY doc_id, g.g""")
 def merged_drawings(spark, sf_dir):
     return figures.merged_drawings(_boxes(spark, sf_dir), 20.0).select("doc_id", "page", "box.*")
 
 
-@query()
+@query(f"""
+WITH {BOXES}, c AS (SELECT DISTINCT doc_id, x0, y0, x1, y1 FROM b WHERE seq = 1),
+o AS (SELECT c.doc_id, c.x0 AS cx, c.y0 AS cy, c.x1 AS cx1, c.y1 AS cy1, o.seq, o.x0, o.y0, o.x1, o.y1 FROM c LEFT JOIN b o ON o.doc_id = c.doc_id AND o.seq > 1 AND ((abs(o.y0 - c.y0) < 8 AND o.x0 > c.x0) OR (o.y0 BETWEEN c.y1 AND c.y1 + 16 AND o.x0 <= c.x1 + 20)))
+SELECT doc_id, 'Fig. 1 | The first of the devices' || coalesce(string_agg(' This is line ' || seq || ' of a text that is longer than forty characters.', '' ORDER BY round(y0, 1), round(x0, 1), seq), '') AS caption,
+  least(cx, coalesce(min(x0), cx)) AS x0, least(cy, coalesce(min(y0), cy)) AS y0, greatest(cx1, coalesce(max(x1), cx1)) AS x1, greatest(cy1, coalesce(max(y1), cy1)) AS y1 FROM o GROUP BY doc_id, cx, cy, cx1, cy1""")
 def caption_continuation(spark, sf_dir):
-    rows = _boxes(spark, sf_dir).withColumn("text", F.when(F.col("seq") == 1, "Fig. 1 | The first of the devices").otherwise("This is a line of text that is longer than forty characters."))
+    rows = _boxes(spark, sf_dir).withColumn("text", F.when(F.col("seq") == 1, "Fig. 1 | The first of the devices").otherwise(_words("This is line ", F.col("seq"), " of a text that is longer than forty characters.")))
     return figures.caption_texts(figures.captions(rows), rows).select("doc_id", "caption", "caption_box.*")
 
 
@@ -656,17 +747,33 @@ def redacted_figures(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT doc_id, (2 + 5 * 3 + 4 + least(n, 10))::BIGINT AS lines FROM s""")
+WITH li AS (SELECT l_orderkey % 100 AS doc_id, l_linenumber AS k, l_quantity::INTEGER::DOUBLE AS q, l_suppkey AS h, l_partkey AS p FROM lineitem), docs AS (SELECT DISTINCT doc_id FROM li), full_ AS (SELECT * FROM li WHERE doc_id % 7 > 0),
+rows AS (
+  SELECT doc_id, 91 AS a, row_number() OVER (PARTITION BY doc_id ORDER BY k, 'i' || p) AS c, 8 AS cap, '- idea ' || p AS line FROM full_
+  UNION ALL SELECT doc_id, 92, row_number() OVER (PARTITION BY doc_id ORDER BY k, 'step ' || p), 10, '- spin：step ' || p || '（p.' || k || '）' FROM full_
+  UNION ALL SELECT doc_id, 93, row_number() OVER (PARTITION BY doc_id ORDER BY k, q DESC, 'd' || p), 20, '- PCE=' || q || '%；角色：目标器件；来源：d' || p || '（p.' || k || '，Fig. 1）' FROM full_
+  UNION ALL SELECT doc_id, 94, row_number() OVER (PARTITION BY doc_id ORDER BY k, 's' || p, h, q), 20, '- 热稳定性，' || h::DOUBLE || ' h，保持率=>' || q || '%；；来源：s' || p || '（p.' || k || '）' FROM full_
+  UNION ALL SELECT doc_id, 95, row_number() OVER (PARTITION BY doc_id ORDER BY k, 'M' || h, 'c' || p), 15, '- M' || h || '：c' || p || '（p.' || k || '）' FROM full_),
+heads AS (SELECT * FROM (VALUES (91, '核心创新点', '未自动识别到明确创新点。'), (92, '实验方法', '未自动识别到明确实验方法。'), (93, '器件性能', '未自动识别到明确器件性能数据。'), (94, '稳定性测试', '未自动识别到明确稳定性测试数据。'), (95, '表征手段', '未自动识别到明确表征手段。')) v(a, title, missing))
+SELECT doc_id, 90::INTEGER AS a, 0::BIGINT AS b, c::BIGINT AS c, line FROM docs, (VALUES (0, ''), (1, '## 自动结构化总结')) v(c, line)
+UNION ALL SELECT doc_id, a::INTEGER, 0, c, line FROM docs, (SELECT a, 0 AS c, '' AS line FROM heads UNION ALL SELECT a, 1, '### ' || title FROM heads UNION ALL SELECT a, 2, '' FROM heads)
+UNION ALL SELECT doc_id, a::INTEGER, 1, 0, '- ' || missing FROM docs, heads WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id, a::INTEGER, 1, c, line FROM rows WHERE c <= cap""")
 def summary_caps(spark, sf_dir):
-    """Lines of the structured summary where each document has only experimental methods: five headings, four notes, at most ten rows."""
-    li = _t(spark, sf_dir, "lineitem")
-    docs = li.select(F.col("l_orderkey").alias("doc_id")).distinct()
-    methods = li.select(F.col("l_orderkey").alias("doc_id"), F.lit("spin").alias("method_name"), _words("step ", F.col("l_partkey")).alias("description"), F.col("l_linenumber").alias("source_page"))
-    found = facts.matches(_built(spark, sf_dir, F.lit("nothing")).where("false"))
-    items = facts.first_sentences(_built(spark, sf_dir, F.lit("nothing")).where("false"))
-    tables_ = {"key_innovations": facts.key_innovations(items), "experimental_methods": methods, "device_performance": facts.device_performance(found), "stability_tests": facts.stability_tests(found), "characterization_methods": facts.characterization_methods(items)}
-    return report.summary_appendix(docs, tables_).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    """The lines of the structured summary, with more rows than its caps allow and, in some documents, none."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey") % 100)
+    docs, some = li.select("doc_id").distinct(), li.where("doc_id % 7 > 0")
+    p, page = F.col("l_partkey"), F.col("l_linenumber").alias("source_page")
+    none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
+    pce = F.col("l_quantity").cast("int").cast("double")
+    tables_ = {
+        "key_innovations": some.select("doc_id", page, _words("idea ", p).alias("innovation"), F.lit("").alias("explanation"), _words("i", p).alias("source_text")),
+        "experimental_methods": some.select("doc_id", page, F.lit("spin").alias("method_name"), _words("step ", p).alias("description")),
+        "device_performance": some.select("doc_id", page, pce.alias("pce_percent"), *none("certified_pce_percent", "steady_state_pce_percent", "voc_v", "jsc_ma_cm2", "ff_percent"), F.lit("target").alias("sample_role"), _words("d", p).alias("source_text"), F.lit("Fig. 1").alias("source_figure")),
+        "stability_tests": some.select("doc_id", page, F.lit("thermal").alias("test_type"), F.col("l_suppkey").cast("double").alias("duration_h"), F.lit(None).cast("int").alias("cycles"), F.lit(">").alias("retained_pce_operator"), pce.alias("retained_pce_percent"), F.lit("").alias("qualitative_result"), _words("s", p).alias("source_text"), F.lit("").alias("source_figure")),
+        "characterization_methods": some.select("doc_id", page, _words("M", F.col("l_suppkey")).alias("method"), F.lit("").alias("purpose"), F.lit("").alias("key_finding"), _words("c", p).alias("source_text")),
+    }
+    return report.summary_appendix(docs, tables_)
 
 
 @query("""
@@ -708,7 +815,7 @@ def layout_spans(spark, sf_dir):
 
 @query(f"""
 WITH {BOXES}, c AS (SELECT * FROM b WHERE seq = 1), o AS (SELECT doc_id, min(y0) AS y0, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE seq = 2 GROUP BY doc_id),
-j AS (SELECT c.doc_id, greatest(0.0, o.x0 - 8) AS x0, greatest(0.0, o.y0 - 8) AS y0, least(612.0, o.x1 + 8) AS x1, least(792.0, o.y1 + 8) AS y1 FROM (SELECT DISTINCT doc_id, y0 FROM c) c JOIN o ON o.doc_id = c.doc_id AND o.y1 < c.y0 + 10)
+j AS (SELECT c.doc_id, greatest(0.0, o.x0 - 8) AS x0, greatest(0.0, o.y0 - 8) AS y0, least(612.0, o.x1 + 8) AS x1, least(792.0, o.y1 + 8) AS y1 FROM (SELECT DISTINCT doc_id, y0 FROM c) c JOIN o ON o.doc_id = c.doc_id AND o.y1 < c.y0 + 10 AND c.y0 - o.y1 <= 792 * 0.4::DOUBLE)
 SELECT DISTINCT doc_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM j""")
 def content_box(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
@@ -746,12 +853,18 @@ def merge_fragments(spark, sf_dir):
     return sections.merge_fragments(rows.select("doc_id", "seq", "part", "page", "section_id", "kind", "text")).select("doc_id", "seq", "kind", "text")
 
 
-@query()
+@query("""
+WITH r AS (SELECT l_orderkey AS doc_id, string_agg('{"page":' || l_linenumber || ',"value":' || l_quantity::DOUBLE || '}', ',' ORDER BY l_linenumber, l_quantity) AS rows FROM lineitem GROUP BY 1),
+d AS (SELECT l_orderkey AS doc_id, string_agg('{"source_page":' || l_linenumber % 3 || ',"pce_percent":' || l_quantity::DOUBLE || ',"source_text":"s' || l_partkey || '"}', ',' ORDER BY l_linenumber % 3, l_quantity DESC, 's' || l_partkey) AS rows FROM lineitem GROUP BY 1),
+w AS (SELECT l_orderkey AS doc_id, string_agg('"w' || l_linenumber || '"', ',' ORDER BY 'w' || l_linenumber) AS rows FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+SELECT o_orderkey AS doc_id, '{"paper_info":{"title":"Title ' || o_custkey || '"},"rows":[' || coalesce(r.rows, '') || '],"device_performance":[' || coalesce(d.rows, '') || '],"warnings":[' || coalesce(w.rows, '') || ']}' AS json
+FROM orders LEFT JOIN r ON r.doc_id = o_orderkey LEFT JOIN d ON d.doc_id = o_orderkey LEFT JOIN w ON w.doc_id = o_orderkey""")
 def nested_reports(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders")
+    orders, li, doc = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem"), F.col("l_orderkey").alias("doc_id")
     info = orders.select(F.col("o_orderkey").alias("doc_id"), _words("Title ", F.col("o_custkey")).alias("title"))
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("value"))
-    return report.nested_json(info, {"rows": rows})
+    rows = li.select(doc, F.col("l_linenumber").alias("page"), F.col("l_quantity").cast("double").alias("value"))
+    devices = li.select(doc, (F.col("l_linenumber") % 3).alias("source_page"), F.col("l_quantity").cast("double").alias("pce_percent"), _words("s", F.col("l_partkey")).alias("source_text"))
+    return report.nested_json(info, {"rows": rows, "device_performance": devices}, warnings=li.where("l_linenumber <= 3").select(doc, _words("w", F.col("l_linenumber")).alias("warning")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
