@@ -101,5 +101,40 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+#: CRC-32 byte by byte from its table, then best-fit decreasing group by group.
+OP8_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([i::BIGINT], list_transform(range(8), lambda z: z::BIGINT)), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, octet_length(encode(text)) + 16 AS size, md5(text) AS same,
+  xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM d, crc_table),
+g AS (SELECT same, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY sum(size) DESC, md5(upper(same))) AS i FROM b GROUP BY same),
+alone AS (
+  SELECT 0::BIGINT AS i, (SELECT sum(total) FROM g)::BIGINT AS rest, 40 AS bins
+  UNION ALL
+  SELECT g.i, rest - g.total, bins - 1 FROM alone JOIN g ON g.i = alone.i + 1 WHERE bins > 1 AND g.total * bins > rest),
+start AS (SELECT max(i) AS n, arg_max(rest, i) AS rest, arg_max(bins, i) AS bins FROM alone),
+pack AS (
+  SELECT n AS i, NULL::BIGINT AS shard, list_transform(range(n, 40), lambda k: {'room': (rest + bins - 1) // bins, 'b': k}) AS free FROM start
+  UNION ALL
+  SELECT i, pick.b, list_transform(free, lambda x: CASE WHEN x.b = pick.b THEN {'room': x.room - total, 'b': x.b} ELSE x END)
+  FROM (SELECT g.i, g.total, free, coalesce(list_sort(list_filter(free, lambda x: x.room >= g.total))[1], list_sort(list_filter(free, lambda x: x.room = list_max(list_transform(free, lambda y: y.room))))[1]) AS pick FROM pack JOIN g ON g.i = pack.i + 1)),
+placed AS (SELECT same, CASE WHEN g.i <= n THEN g.i - 1 ELSE pack.shard END AS shard FROM g CROSS JOIN start LEFT JOIN pack ON pack.i = g.i)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), crc, size) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM b JOIN placed USING (same)"""
+
+#: Windows as texts, counted, and the words that repeated ones cover.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+k AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS seq FROM s),
+rep AS (SELECT seq FROM k GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT r, unnest(range(i, i + 35)) AS p FROM k JOIN rep USING (seq)),
+cut AS (SELECT r, list(DISTINCT p) AS ps FROM gone GROUP BY r),
+m AS (SELECT d.r, doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, ps, ws FROM d LEFT JOIN cut ON cut.r = d.r),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM m WHERE n_removed > 0),
+kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.p) AS text FROM w LEFT JOIN (SELECT DISTINCT r, p FROM gone) g ON g.r = w.r AND g.p = w.p WHERE g.p IS NULL GROUP BY w.r)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(CASE WHEN n_removed = 0 THEN array_to_string(ws, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256 FROM m LEFT JOIN kept ON kept.r = m.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": _op1_sql(), "op3_topk": OP3_SQL}
+    return {"op1_mix": _op1_sql(), "op3_topk": OP3_SQL, "op8_shard": OP8_SQL, "op10_substring": OP10_SQL}
