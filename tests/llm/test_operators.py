@@ -161,6 +161,18 @@ def test_urls_learn_from_labels(spark):
     assert urls.judge(held.limit(0), RULES).count() == 0
 
 
+def test_url_features(spark):
+    got = urls.lexical(spark.createDataFrame([(u,) for u in URLS], "url string")).collect()
+    for r in got:
+        u = r["url"] or ""
+        host, path = url_parts(r["url"])
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        n = collections.Counter(u)
+        want = [len(u), len(host), len(path), path.count("/"), sum(c in "0123456789" for c in u) / max(1, len(u)), -sum(k / len(u) * math.log2(k / len(u)) for k in n.values()), query.count("&") + 1 if query else 0, host.count("."), host.count("-"), int("#" in u), ".".join(host.split(".")[-2:])]
+        mine = [r[c] for c in (*urls.FEATURES[:10], "suffix")]
+        assert mine[:10] == pytest.approx(want[:10]) and mine[10] == want[10], u
+
+
 # ---------------------------------------------------------------- top-k
 
 
@@ -549,6 +561,57 @@ def test_piece_scores_sum_to_one():
     assert sum(map(math.exp, [*pieces.values(), *single, end])) == pytest.approx(1)
 
 
+def test_document_scores_equal_brute_force(spark):
+    """Counts, one round of expectation-maximisation and document scores, over all segmentations one by one."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lmscore.VOCABULARY)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(1, 7))) + r.choice(["", "", "é", "\U0001f600"])
+    texts = {i: " ".join(word() for _ in range(r.randint(0, 12))) for i in range(40)} | {40: None, 41: ""}
+    train = {i: words(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    known = {sp.id_to_piece(i): i for i in normal if not sp.is_byte(i)}
+    byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in normal if sp.is_byte(i)}
+
+    def segmentations(text):
+        if not text:
+            yield []
+            return
+        heads = [[known[text[:k]]] for k in range(1, len(text) + 1) if text[:k] in known]
+        heads = [(len(sp.id_to_piece(h[0])), h) for h in heads]
+        if text[0] not in known:
+            heads.append((1, [byte[b] for b in text[0].encode()]))
+        for size, head in heads:
+            for rest in segmentations(text[size:]):
+                yield head + rest
+
+    paths = {w: list(segmentations(lmscore.START + w)) for t in texts.values() for w in words(t)}
+
+    def chances(uses):
+        total = sum(uses.values()) + len(train) + 0.1 * (len(normal) + 1)
+        return lambda i: (uses[i] + 0.1) / total, (len(train) + 0.1) / total
+
+    count = collections.Counter(w for t in train.values() for w in t)
+    first = collections.Counter()
+    for w, c in count.items():
+        for i in sp.encode(w):
+            first[i] += c
+    p, _ = chances(first)
+    second = collections.Counter()
+    for w, c in count.items():
+        weight = [math.prod(map(p, path)) for path in paths[w]]
+        for path, x in zip(paths[w], weight):
+            for i in path:
+                second[i] += c * x / sum(weight)
+    p, end = chances(second)
+    got = lmscore.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        want = math.log10(end) + sum(math.log10(sum(math.prod(map(p, path)) for path in paths[w])) for w in words(texts[x["doc_id"]]))
+        assert x["score"] == pytest.approx(want, abs=1e-6)
+
+
 # ---------------------------------------------------------------- substrings
 
 
