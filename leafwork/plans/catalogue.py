@@ -681,9 +681,51 @@ def caption_continuation(spark, sf_dir):
     return figures.caption_texts(figures.captions(rows), rows).select("doc_id", "caption", "caption_box.*")
 
 
-@query()
+def _subheading_sql(text: str, nouns: list[str], starters: list[str]) -> str:
+    """F28 over a SQL text."""
+    t = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    words = f"string_split_regex({t}, '\\s+')"
+    barred = f"({t} = '' OR regexp_matches({text}, '^\\p{{Ll}}') OR regexp_matches({text}, '[.!?。！？]$') OR regexp_matches({text}, '^{_re([*fixed.SENTENCE_STARTERS, *starters])}\\b'))"
+    titled = f"(len({words}) <= 6 AND regexp_matches({words}[1], '^[A-Z]') AND regexp_matches({words}[-1], '^[A-Z]') AND len(list_filter({words}, lambda w: length(w) > 2 AND regexp_matches(w, '^[A-Za-z]'))) >= 2)"
+    named = f"(regexp_matches({text}, '^\\d+(?:\\.\\d+)*\\s+[A-Z]') OR regexp_matches({text}, '(?i){_re([*fixed.TECHNICAL_NOUNS, *nouns])}\\b'))"
+    return f"(NOT {barred} AND len({words}) BETWEEN 2 AND 14 AND ({named} OR {titled}))"
+
+
+def _folded_sql(subheading: str, joins: str, out: str) -> str:
+    """Lines of documents as blocks of pages, folded line by line: ``joins`` says if line l goes to the paragraph g before it."""
+    return f"""
+WITH RECURSIVE {BROKEN_LINES}, o AS (
+  SELECT doc_id, line, n // 50 + 1 AS page, (n // 50 + 1) * 1000 + n % 50 AS seq, 72 + (n % 50) * 12.96::DOUBLE AS y0, 83 + (n % 50) * 12.96::DOUBLE AS y1, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+    regexp_replace(line, '\\s+$', '') AS head, regexp_replace(line, '^\\s+', '') AS tail, {subheading} AS sub FROM lines WHERE line <> ''),
+g AS (
+  SELECT doc_id, i, i AS first, page, y0, y1, head FROM o WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN j THEN first ELSE i END, CASE WHEN j THEN gpage ELSE page END, CASE WHEN j THEN gy0 ELSE y0 END, CASE WHEN j AND page > gpage THEN gy1 ELSE y1 END, head
+  FROM (SELECT l.doc_id, l.i, l.page, l.y0, l.y1, l.head, g.first, g.page AS gpage, g.y0 AS gy0, g.y1 AS gy1, coalesce({joins}, false) AS j FROM g JOIN o l ON l.doc_id = g.doc_id AND l.i = g.i + 1)),
+t AS (
+  SELECT doc_id, first, CASE WHEN count(*) = 1 THEN min(line) ELSE string_agg(CASE WHEN i = first THEN head WHEN i = last THEN tail ELSE regexp_replace(tail, '\\s+$', '') END, ' ' ORDER BY i) END AS text
+  FROM (SELECT g.doc_id, g.first, g.i, max(g.i) OVER (PARTITION BY g.doc_id, g.first) AS last, o.line, o.head, o.tail FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i) GROUP BY doc_id, first)
+{out}"""
+
+
+def _broken(spark, sf_dir) -> DataFrame:
+    """Documents whose lines also end after some short words, so that many go on in the next."""
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", " (the|of|and|with|und|de|la|a|in) ", " $1\n").alias("text"))
+
+
+BROKEN_LINES = LINES.replace("FROM documents", r"FROM (SELECT doc_id, regexp_replace(text, ' (the|of|and|with|und|de|la|a|in) ', ' \1' || chr(10), 'g') AS text FROM documents)")
+_GOES_ON = "a-z0-9),;/%±~<>≥≤"
+_NEAR = f"""(CASE WHEN l.page = g.page THEN NOT (l.y0 - g.y1 > 80 OR l.y1 - g.y0 > 320)
+  ELSE l.page = g.page + 1 AND l.y0 <= 180 AND (length(regexp_replace(l.tail, '\\s+$', '')) >= 50 OR regexp_matches(l.tail, '^[{_GOES_ON}]')) END)"""
+
+
+@query(_folded_sql(
+    _subheading_sql("line", fixed.PARSER_NOUNS, []),
+    rf"{_NEAR} AND NOT l.sub AND NOT regexp_matches(g.head, '[.!?。！？:]$') AND (regexp_matches(g.head, '(?i)\b{_re(fixed.JOINING_WORDS)}$') OR regexp_matches(l.tail, '^(?:[A-Z]{{2,}}\b|[({_GOES_ON}])') OR regexp_matches(g.head, '[,;]$'))",
+    "SELECT t.doc_id, o.seq::BIGINT AS seq, t.text FROM t JOIN o ON o.doc_id = t.doc_id AND o.i = t.first",
+))
 def merge_paragraphs(spark, sf_dir):
-    lines = tables.blocks_from_text(_t(spark, sf_dir, "documents"))
+    lines = tables.blocks_from_text(_broken(spark, sf_dir))
     rows = lines.withColumns({"seq": (F.col("page") * 1000 + F.col("block_no")).cast("long"), "part": F.lit(0), "kind": F.lit("paragraph"), "heading_level": F.lit(0), "section_id": F.lit(0).cast("long"), "section_title": F.lit("")})
     rows = rows.where("text <> ''").select("doc_id", "seq", "part", "page", "section_id", "section_title", "heading_level", "text", "box", "kind", "font_size", "is_bold")
     return sections.merge_paragraphs(rows).select("doc_id", "seq", "text")
@@ -846,9 +888,13 @@ def legend_captions(spark, sf_dir):
     return figures.legend_only(caps, heads.unionByName(caps)).select("doc_id", "page", "legend_only")
 
 
-@query()
+@query(_folded_sql(
+    _subheading_sql("line", [], ["Meanwhile"]),
+    f"l.page - g.page BETWEEN 0 AND 1 AND NOT l.sub AND g.head <> '' AND l.tail <> '' AND regexp_matches(l.tail, '^[{_GOES_ON}]') AND NOT regexp_matches(g.head, '[.!?。！？]$')",
+    "SELECT g.doc_id, o.seq::BIGINT AS seq, CASE WHEN g.i = g.first THEN 'paragraph' ELSE 'non_content' END AS kind, CASE WHEN g.i = g.first THEN t.text ELSE o.line END AS text FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i JOIN t ON t.doc_id = g.doc_id AND t.first = g.first",
+))
 def merge_fragments(spark, sf_dir):
-    lines = tables.blocks_from_text(_t(spark, sf_dir, "documents")).where("text <> ''")
+    lines = tables.blocks_from_text(_broken(spark, sf_dir)).where("text <> ''")
     rows = lines.withColumns({"seq": (F.col("page") * 1000 + F.col("block_no")).cast("long"), "part": F.lit(0), "kind": F.lit("paragraph"), "section_id": F.lit(0).cast("long")})
     return sections.merge_fragments(rows.select("doc_id", "seq", "part", "page", "section_id", "kind", "text")).select("doc_id", "seq", "kind", "text")
 
