@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .config import Settings, default_output_dir, input_path, session
+from .config import Settings, default_output_dir, input_path, logger, session
 from .operators import blocks as B
 from .plans import engine
 from .sources import sinks, tables
@@ -43,7 +43,12 @@ def main(argv: list[str] | None = None, ask=input, spark=None) -> dict:
     out = str(Path(args.output) if args.output else default_output_dir())
     settings = settings_of(args)
     spark = spark or session()
-    progress = jobs.reporter(spark, f"{out}/status", uuid.uuid4().hex)
+    record, log = jobs.reporter(spark, f"{out}/status", uuid.uuid4().hex), logger()
+
+    def progress(stage: str, done: float) -> None:
+        log.info("%s %.2f", stage, done)
+        record(stage, done)
+
     rows = spark.read.parquet(source)
     if args.text:
         docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shlex
+import sys
 from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -17,6 +19,30 @@ def env_bool(name: str, default: bool, env: dict[str, str] | None = None) -> boo
     return default if value is None else value.strip().lower() in {"1", "true", "yes", "on"}
 
 
+def env_file(path: str | Path = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, quotes and comments removed; nothing if there is no file."""
+    path, out = Path(path), {}
+    for line in path.read_text("utf-8").splitlines() if path.is_file() else ():
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        if equals and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value.split(" #")[0].strip()
+    return out
+
+
+def logger(path: str | Path | None = None, name: str = "leafwork") -> logging.Logger:
+    """The driver's logger, to standard output and a file; handlers of an earlier run are taken off."""
+    log = logging.getLogger(name)
+    log.setLevel(logging.INFO)
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    for h in [logging.StreamHandler(sys.stdout), *([] if path is None else [logging.FileHandler(path, encoding="utf-8")])]:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    return log
+
+
 def default_output_dir(env: dict[str, str] | None = None, home: Path | None = None) -> Path:
     """OUTPUT_DIR, else a desktop folder that exists, else ``outputs``."""
     env, home = os.environ if env is None else env, home or Path.home()
@@ -60,9 +86,9 @@ class Settings:
     extract: bool = False
 
     @classmethod
-    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
-        """Each option from LEAFWORK_<NAME> where that is set."""
-        env = dict(os.environ) if env is None else env
+    def from_env(cls, env: dict[str, str] | None = None, path: str | Path = ".env") -> Settings:
+        """Each option from LEAFWORK_<NAME> where that is set, in the environment or else in a file."""
+        env = env_file(path) | dict(os.environ) if env is None else env
         found = {}
         for name, field in cls.__dataclass_fields__.items():
             key = f"LEAFWORK_{name.upper()}"

@@ -6,6 +6,7 @@ Documents are stateless against each other, so the batch plan runs unchanged on
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,19 @@ def reporter(spark: SparkSession, path: str, job_id: str) -> Callable[[str, floa
     return report
 
 
+def submit(spark: SparkSession, file: str, inbox: str, status: str) -> str:
+    """Put a file into the inbox that arriving_files reads and record a queued job for it; gives the job's id, time and eight
+    random digits (G1)."""
+    job = f"{int(time.time())}_{uuid.uuid4().hex[:8]}"
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.hadoop.fs.Path(f"{inbox}/{job}_{file.rstrip('/').rsplit('/', 1)[-1]}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    row = (job, "queued", "", 0.0, file, target.toString(), time.time())
+    kind = "job_id string, status string, message string, progress double, uploaded_name string, input_path string, updated_at double"
+    spark.createDataFrame([row], kind).coalesce(1).write.mode("append").json(status)
+    return job
+
+
 def arriving_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """Files as they arrive in an inbox."""
     fields = "path string, modificationTime timestamp, length long, content binary"

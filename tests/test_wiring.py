@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork import cli
-from leafwork.config import Settings
+from leafwork.config import Settings, env_file, logger
 from leafwork.operators import bibliography, facts, figures, report, translation
 from leafwork.plans import engine
 from leafwork.sources import sinks, tables
@@ -171,3 +171,25 @@ def test_long_texts_take_linear_time():
     began = time.time()
     found = list(facts._text_matches(text))
     assert len(found) >= 28_000 and time.time() - began < 5 and found[-1][-1] == "The device had a PCE of 20.1% here"
+
+
+def test_settings_file_and_log(tmp_path):
+    (tmp_path / ".env").write_text("# options\nexport LEAFWORK_BATCH_ITEMS=4 # few\nLEAFWORK_MODEL='a b'\nbad line\n")
+    assert env_file(tmp_path / ".env") == {"LEAFWORK_BATCH_ITEMS": "4", "LEAFWORK_MODEL": "a b"} and env_file(tmp_path / "none") == {}
+    got = Settings.from_env(path=tmp_path / ".env")
+    assert got.batch_items == 4 and got.model == "a b"
+    for _ in range(2):
+        logger(tmp_path / "run.log", "test").info("once")
+    assert (tmp_path / "run.log").read_text().count("once") == 2
+    logger(None, "test")
+
+
+def test_submitted_jobs_arrive(spark, tmp_path):
+    (tmp_path / "a b.pdf").write_bytes(b"abc")
+    (tmp_path / "in").mkdir()
+    job = jobs.submit(spark, str(tmp_path / "a b.pdf"), str(tmp_path / "in"), str(tmp_path / "status"))
+    seen = []
+    jobs.run_jobs(jobs.arriving_files(spark, str(tmp_path / "in")), lambda df: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert len(seen) == 1 and job in seen[0]
+    state = jobs.latest_status(tables.job_status(spark, str(tmp_path / "status"))).first()
+    assert (state["job_id"], state["status"], state["uploaded_name"]) == (job, "queued", str(tmp_path / "a b.pdf"))
