@@ -80,11 +80,8 @@ def unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
-def latent_space(terms: list[tuple[np.ndarray, np.ndarray]], rank: int, seed: int = 11, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, directions): the leading right singular vectors of the weighted terms of a sample.
-
-    They come from the sample's own products, gathered over chunks of terms, so the whole matrix is never held.
-    """
+def latent_space(terms: list[tuple[np.ndarray, np.ndarray]], rank: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, directions): the leading right singular vectors of the weighted terms of a sample, by subspace iteration on sparse rows."""
     n = len(terms)
     often = np.zeros(TERMS)
     for place, _ in terms:
@@ -92,25 +89,19 @@ def latent_space(terms: list[tuple[np.ndarray, np.ndarray]], rank: int, seed: in
     idf = (np.log((1 + n) / (1 + often)) + 1).astype(np.float32)
     rows = [(place, weigh(place, count, idf)) for place, count in terms]
 
-    def part(a: int) -> np.ndarray:
-        out = np.zeros((n, min(chunk, TERMS - a)), np.float32)
-        for i, (place, w) in enumerate(rows):
-            lo, hi = np.searchsorted(place, (a, a + chunk))
-            out[i, place[lo:hi] - a] = w[lo:hi]
-        return out
+    def times(q: np.ndarray) -> np.ndarray:
+        return np.stack([w @ q[place] for place, w in rows])
 
-    gram = np.zeros((n, n), np.float32)
-    for a in range(0, TERMS, chunk):
-        x = part(a)
-        gram += x @ x.T
     rank = min(rank, n)
-    q = np.random.default_rng(seed).standard_normal((n, min(rank + 8, n))).astype(np.float32)
-    for _ in range(8):  # subspace iteration
-        q, _ = np.linalg.qr(gram @ q)
-    value, vector = np.linalg.eigh((q.T @ gram @ q).astype(np.float64))
-    keep = np.argsort(-value)[:rank]
-    left = (q @ vector[:, keep]) / np.sqrt(np.maximum(value[keep], 1e-9))
-    return idf, np.concatenate([part(a).T @ left for a in range(0, TERMS, chunk)]).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((TERMS, min(rank + 8, n))).astype(np.float32)
+    for _ in range(6):
+        y = times(q)
+        q = np.zeros_like(q)
+        for (place, w), v in zip(rows, y):
+            q[place] += w[:, None] * v
+        q, _ = np.linalg.qr(q)
+    _, _, v = np.linalg.svd(times(q), full_matrices=False)
+    return idf, (q @ v.T)[:, :rank].astype(np.float32)
 
 
 def project(terms: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -160,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, rank: int =
     """Fit on the documents of at most ``sample_rows`` labels that are not held out, those with the smallest hash of their id.
 
     Labels of a repeated id are averaged, and of rows that repeat an id one is taken, so each id counts once; null labels
-    and labels without a document are left aside.  None if no labelled document remains.
+    and labels without a document are left aside.  None if no labelled document remains.  One task fits the bounded
+    sample, and the driver receives the model's arrays alone.
     """
     picked = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     picked = picked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample_rows)
@@ -172,11 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, rank: int =
             packed = [place.tobytes() + count.tobytes() for place, count in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.max("x").alias("x")).orderBy("doc_id").toArrow()
+    def fit_one(batches):
+        """The model of a sample of at most ``sample_rows`` rows, in one task; only its arrays leave it."""
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        if rows:
+            terms = [(np.frombuffer(x, np.int32, len(x) // 8), np.frombuffer(x, np.float32, len(x) // 8, len(x) // 2)) for _, _, x in rows]
+            idf, directions, known, labels, _ = Model.fitted(terms, np.array([y for _, y, _ in rows]), rank, k).parts
+            arrays = [idf, directions, known.astype(np.float32), labels.astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in arrays], pa.binary())], ["part", "data"])
+
+    sample = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.max("x").alias("x"))
+    got = sample.repartition(1).mapInArrow(fit_one, "part int, data binary").orderBy("part").toArrow()
     if not got.num_rows:
         return None
-    terms = [(np.frombuffer(x, np.int32, len(x) // 8), np.frombuffer(x, np.float32, len(x) // 8, len(x) // 2)) for x in got["x"].to_pylist()]
-    return Model.fitted(terms, got["quality"].to_numpy(), rank, k)
+    idf, directions, known, labels = (np.frombuffer(x, np.float32) for x in got["data"].to_pylist())
+    return Model(idf, directions.reshape(TERMS, -1), known.reshape(len(labels), -1), labels.astype(np.float64), k)
 
 
 def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
