@@ -918,3 +918,135 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = B.without_repeated_lines(_t(spark, sf_dir, "documents"))
     rows = kept.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")).withColumns({"part": F.lit(0), "kind": F.when(F.length("text") < 40, "heading").otherwise("paragraph")})
     return sections.with_sections(rows).groupBy("doc_id", "section_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---------------------------------------------------------------- single rules, over lines and built rows
+
+
+@query(f"""
+WITH {LINES}, m AS (SELECT doc_id, n, CASE (doc_id + n) % 5 WHEN 0 THEN 'ACCELERATED article  preview' WHEN 1 THEN 'All legal disclaimers apply to ' || line WHEN 2 THEN 'Received: ' || line WHEN 3 THEN 'Department at the University of ' || left(line, 20) ELSE line END AS line FROM lines)
+SELECT doc_id, n, upper(regexp_replace(line, '\\s+', '', 'g')) = 'ACCELERATEDARTICLEPREVIEW' OR regexp_matches(line, '(?i)^{_re(fixed.PREVIEW_OPENERS)}') AS noise,
+  regexp_matches(line, '(?i){fixed.PREVIEW_BANNER}') AS banner, regexp_matches(line, '\\b{_re(fixed.AFFILIATIONS)}\\b') AS affiliation FROM m""")
+def preview_rules(spark, sf_dir):
+    """Noise, banner and affiliations of early versions."""
+    k = (F.col("doc_id") + F.col("n")) % 5
+    line = F.col("line")
+    text = (
+        F.when(k == 0, "ACCELERATED article  preview").when(k == 1, F.concat(F.lit("All legal disclaimers apply to "), line)).when(k == 2, F.concat(F.lit("Received: "), line))
+        .when(k == 3, F.concat(F.lit("Department at the University of "), F.left(line, F.lit(20)))).otherwise(line)
+    )
+    return _lines(spark, sf_dir).withColumn("line", text).select("doc_id", "n", rules.is_preview_noise(line).alias("noise"), rules.is_preview_banner(line).alias("banner"), T.has(line, rf"\b{any_of(fixed.AFFILIATIONS)}\b", False).alias("affiliation"))
+
+
+@query(f"""
+WITH {LINES}, m AS (SELECT doc_id, n, CASE (doc_id + n) % 6 WHEN 0 THEN 'Film ' || string_split(line, ' ')[1] || ' fabrication' WHEN 1 THEN '2.1 Results of ' || string_split(line, ' ')[1] WHEN 2 THEN 'The analysis of ' || string_split(line, ' ')[1] WHEN 3 THEN 'Our Own Title' WHEN 4 THEN 'Optical properties.' ELSE line END AS line FROM lines)
+SELECT doc_id, n, {_subheading_sql('line', fixed.PARSER_NOUNS, [])} AS hit, regexp_matches(line, '(?i)^{_re(fixed.REFERENCE_HEADINGS)}\\b') AS refs FROM m""")
+def subheading_test(spark, sf_dir):
+    k, line = (F.col("doc_id") + F.col("n")) % 6, F.col("line")
+    first = F.get(F.split(line, " "), F.lit(0))
+    text = (
+        F.when(k == 0, F.concat(F.lit("Film "), first, F.lit(" fabrication"))).when(k == 1, F.concat(F.lit("2.1 Results of "), first)).when(k == 2, F.concat(F.lit("The analysis of "), first))
+        .when(k == 3, "Our Own Title").when(k == 4, "Optical properties.").otherwise(line)
+    )
+    return _lines(spark, sf_dir).withColumn("line", text).select("doc_id", "n", rules.starts_subheading(line, fixed.PARSER_NOUNS, []).alias("hit"), rules.is_references(line).alias("refs"))
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber AS k, CASE WHEN kind NOT IN ('non_content', 'caption') AND size > 0 AND size < 10 * 0.62::DOUBLE AND 10 + l_partkey % 120 < 90 THEN 'non_content' ELSE kind END AS kind
+FROM (SELECT *, (l_quantity::INTEGER % 13)::DOUBLE AS size, ['paragraph', 'caption', 'heading', 'non_content'][(l_suppkey % 4 + 1)::INTEGER] AS kind FROM lineitem)""")
+def tiny_font(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ["paragraph", "caption", "heading", "non_content"]))
+    rows = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.get(kinds, (F.col("l_suppkey") % 4).cast("int")).alias("kind"), (F.col("l_quantity").cast("int") % 13).cast("double").alias("font_size"),
+        F.lit(10.0).alias("body_font"), F.repeat(F.lit("x"), (10 + F.col("l_partkey") % 120).cast("int")).alias("text"),
+    )
+    return B.mask_tiny(rows).select("doc_id", "k", "kind")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_linenumber % 3 + 1 AS page, CASE l_suppkey % 4 WHEN 0 THEN 'Before  Title ' || o_custkey || ' after' WHEN 1 THEN ' The abstract of ' || o_custkey WHEN 2 THEN 'Title' ELSE 'other' END AS text,
+  CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'Title ' || o_custkey END AS t, 'The  abstract of ' || o_custkey AS a FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS fa FROM p)
+SELECT doc_id, k, text, CASE WHEN flat = fa THEN 'abstract' WHEN page <= 2 AND t <> '' AND contains(flat, t) THEN 'non_content' ELSE 'paragraph' END AS kind FROM f""")
+def title_mask(spark, sf_dir):
+    """Paragraphs that hold the title, and those equal to the abstract."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c"))
+    info = orders.select("doc_id", F.when(F.col("c") % 3 == 0, "").otherwise(_words("Title ", F.col("c"))).alias("title"), _words("The  abstract of ", F.col("c")).alias("abstract"))
+    w = F.col("l_suppkey") % 4
+    li = _t(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey")).join(orders, "doc_id")
+    text = F.when(w == 0, _words("Before  Title ", F.col("c"), " after")).when(w == 1, _words(" The abstract of ", F.col("c"))).when(w == 2, "Title").otherwise("other")
+    rows = li.select("doc_id", F.col("l_linenumber").alias("k"), (F.col("l_linenumber") % 3 + 1).alias("page"), text.alias("text"), F.lit("paragraph").alias("kind"))
+    return B.mask_title(rows, info).select("doc_id", "k", "text", "kind")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber AS k, CASE WHEN marks = 0 THEN NULL ELSE array_to_string([coalesce(a, ''), coalesce(b, ''), ''], '|') END AS parts FROM (
+SELECT l_orderkey, l_linenumber, (l_suppkey % 3)::INTEGER AS marks, CASE WHEN l_suppkey % 3 > 0 THEN 'part ' || l_partkey END AS a, CASE WHEN l_suppkey % 3 = 2 THEN 'last ' || l_quantity::INTEGER END AS b FROM lineitem)""")
+def marked_parts(spark, sf_dir):
+    """Replies with no, one or two marks; the last of equal marks counts."""
+    w = F.col("l_suppkey") % 3
+    one = _words("preface <<< 0 >>> part ", F.col("l_partkey"), " ")
+    text = F.when(w == 0, "no marks at all").when(w == 1, one).otherwise(F.concat(one, _words("\n<<<1>>>first<<<1>>>\n last ", F.col("l_quantity").cast("int"))))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), F.array_join(T.marked_parts(text, 3), "|").alias("parts"))
+
+
+@query(f"""
+WITH {BOXES}, i AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM b)
+SELECT doc_id, seq, x0, y0, x1, y1 FROM i WHERE w >= 60 AND h >= 60 AND w * h <= 0.85::DOUBLE * 612 * 792""")
+def usable_images(spark, sf_dir):
+    return figures.usable_images(_boxes(spark, sf_dir), 60.0).select("doc_id", "seq", "box.*")
+
+
+@query("""
+SELECT doc_id, to_base64(encode(left(text, 200))) AS code, 'fig. ' || doc_id || '@' || n_chars AS key, CASE WHEN text = '' THEN '' ELSE '<base64 length=' || length(to_base64(encode(text))) || '>' END AS shown FROM documents""")
+def encoded_texts(spark, sf_dir):
+    """base64 of bytes of any length in one line, keys of figures, and what tables show in place of an image."""
+    raw = F.col("text").cast("binary")
+    return _docs(spark, sf_dir).select("doc_id", T.base64(F.left("text", F.lit(200)).cast("binary")).alias("code"), T.figure_key(_words("Fig. ", F.col("doc_id")), F.col("n_chars")).alias("key"), report.redacted(raw).alias("shown"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, (l_suppkey % 4)::INTEGER AS w, 'x' || l_partkey AS x FROM lineitem)
+SELECT doc_id, k, CASE w WHEN 0 THEN 'Film ' || x || ' fabrication' WHEN 1 THEN '' WHEN 2 THEN 'Layer growth and diffusion' ELSE '' END AS title,
+  CASE w WHEN 0 THEN 'The film was made' WHEN 2 THEN '3 samples' ELSE CASE w WHEN 1 THEN 'Film ' || x || ' fabrication The film was made' ELSE 'the small text of ' || x END END AS body FROM p""")
+def leading_subheading(spark, sf_dir):
+    w, x = F.col("l_suppkey") % 4, _words("x", F.col("l_partkey"))
+    text = F.when(w < 2, _words("Film ", x, " fabrication The film was made")).when(w == 2, "Layer growth and diffusion 3 samples").otherwise(_words("the small text of ", x))
+    section = F.when(w == 1, "introduction").otherwise("Results")
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), report.split_subheading(section, text, text).alias("s")).select("doc_id", "k", "s.*")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber AS k, [CASE w WHEN 0 THEN '![' || left('Fig. ' || l_partkey || ' of it', 120) || '](data:image/png;base64,' || to_base64(encode('p' || l_partkey)) || ')' WHEN 1 THEN '> 图片裁切失败：未识别到图片区域' ELSE '> 图片裁切失败：too small' END, '*Fig. ' || l_partkey || chr(10) || 'of it*', ''] AS lines
+FROM (SELECT *, (l_suppkey % 3)::INTEGER AS w FROM lineitem)""")
+def figure_lines(spark, sf_dir):
+    """A figure with its image, without one, and with a reason why."""
+    w = F.col("l_suppkey") % 3
+    caption = _words("Fig. ", F.col("l_partkey"), "\nof it")
+    image = F.when(w == 0, _words("p", F.col("l_partkey")).cast("binary"))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("k"), report.figure_lines(caption, image, F.lit("image/png"), F.when(w == 2, "too small").otherwise("")).alias("lines"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS doc_id, 'T' || o_custkey AS title, CASE WHEN o_custkey % 2 = 0 THEN 'A' || o_custkey ELSE '' END AS abstract FROM orders),
+p AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, ['Results', 'Methods', 'Other'][(l_suppkey % 3 + 1)::INTEGER] AS section, ['paragraph', 'caption', 'non_content', 'heading'][(l_partkey % 4 + 1)::INTEGER] AS kind, '[p.' || l_linenumber || '] body ' || l_partkey AS line FROM lineitem),
+f AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, '[p.2, Fig. ' || l_linenumber || '] shown' AS line FROM lineitem WHERE l_linenumber <= 2),
+u AS (
+  SELECT 'performance' AS view, doc_id, 1 AS a, 0 AS b, '摘要：' || abstract AS line FROM t WHERE abstract <> '' UNION ALL SELECT 'insights', doc_id, 1, 0, '摘要：' || abstract FROM t WHERE abstract <> ''
+  UNION ALL SELECT v.view, doc_id, 2, k, line FROM p, (VALUES ('performance', 'Results'), ('insights', 'Results'), ('methods', 'Methods')) v(view, s) WHERE section = s AND kind NOT IN ('non_content', 'heading')
+  UNION ALL SELECT 'performance', doc_id, 3, k, line FROM f)
+SELECT view, doc_id, left(string_agg(line, chr(10) ORDER BY a, b, line), CASE WHEN view = 'methods' THEN 20 ELSE 40 END) AS prompt FROM u GROUP BY view, doc_id""")
+def question_prompts(spark, sf_dir):
+    """What a model is asked about performance, methods and insights, cut to its input."""
+    orders, li, k = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    pick = lambda names, c: F.get(F.array(*map(F.lit, names)), (F.col(c) % len(names)).cast("int"))
+    info = orders.select(F.col("o_orderkey").alias("doc_id"), _words("T", F.col("o_custkey")).alias("title"), F.when(F.col("o_custkey") % 2 == 0, _words("A", F.col("o_custkey"))).otherwise("").alias("abstract"))
+    body = li.select(F.col("l_orderkey").alias("doc_id"), k.alias("seq"), F.lit(0).alias("part"), k.alias("page"), F.lit(1).alias("section_id"), pick(["Results", "Methods", "Other"], "l_suppkey").alias("section_title"), pick(["paragraph", "caption", "non_content", "heading"], "l_partkey").alias("kind"), _words("body ", F.col("l_partkey")).alias("text"))
+    figs = li.where(k <= 2).select(F.col("l_orderkey").alias("doc_id"), k.alias("fig_seq"), F.lit(2).alias("page"), _words("Fig. ", k).alias("figure_id"), F.lit("shown").alias("caption"))
+    views = report.prompts(info, body, figs, 40)
+    out = None
+    for name in ("performance", "methods", "insights"):
+        rows = views[name].select(F.lit(name).alias("view"), "doc_id", "prompt")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
