@@ -1050,3 +1050,63 @@ def question_prompts(spark, sf_dir):
         out = rows if out is None else out.unionByName(rows)
     return out
 
+
+# ---------------------------------------------------------------- whole reports
+
+
+def _papers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Info, paragraphs and one figure for each order."""
+    c, k, p = F.col("o_custkey"), F.col("l_linenumber"), F.col("l_partkey")
+    info = _t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), _words("T", c).alias("title"), F.when(c % 2 == 0, _words("Z", c)).otherwise("").alias("title_zh"), F.when(c % 2 == 0, F.array(F.lit("Ann"), F.lit("Bob"))).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.when(c % 3 == 0, _words("10.1/", c)).otherwise("").alias("doi"), *[F.lit("").alias(n) for n in ("journal", "volume", "issue", "pages")], F.lit("2020").alias("year"), F.when(c % 5 == 0, _words("A", c)).otherwise("").alias("abstract"), F.lit("").alias("abstract_zh"),
+    )
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", k).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    kind = F.get(F.array(*map(F.lit, ["paragraph", "heading", "non_content"])), (F.col("l_suppkey") % 3).cast("int"))
+    text = F.when(p % 2 == 0, _words("As Fig. 1 shows, ", p)).otherwise(_words("Words ", p))
+    paragraphs = li.select(F.col("l_orderkey").alias("doc_id"), k.cast("long").alias("seq"), F.lit(0).alias("part"), F.lit(1).alias("page"), F.lit("Other").alias("section_title"), F.lit(1).alias("heading_level"), kind.alias("kind"), text.alias("text"), F.lit("").alias("text_zh"))
+    figs = info.select("doc_id", F.lit(1).alias("fig_seq"), F.lit("Fig. 1").alias("figure_id"), F.lit(1).alias("page"), F.lit("Fig. 1 | shown").alias("caption"), F.lit("").alias("warning"))
+    return info, paragraphs, figs
+
+
+def _no_facts(spark, sf_dir) -> dict[str, DataFrame]:
+    none = _built(spark, sf_dir, F.lit("nothing")).where("false")
+    return facts.extract(none)
+
+
+PAPERS = """o AS (SELECT o_orderkey AS doc_id, o_custkey AS c FROM orders),
+li AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, min(l_partkey) AS p, min(l_suppkey) % 3 AS kind FROM lineitem GROUP BY 1, 2),
+body AS (SELECT doc_id, k, kind, CASE WHEN p % 2 = 0 THEN 'As Fig. 1 shows, ' || p ELSE 'Words ' || p END AS text, p % 2 = 0 AND kind = 0 AS refers FROM li WHERE kind < 2)"""
+
+
+@query(f"""
+WITH {PAPERS}, place AS (SELECT doc_id, min(k) AS k FROM body WHERE refers GROUP BY doc_id),
+head AS (SELECT doc_id, unnest(list_filter(['# ' || CASE WHEN c % 2 = 0 THEN 'Z' ELSE 'T' END || c, '', '## 论文基本信息', '- 原文标题：T' || c, CASE WHEN c % 2 = 0 THEN '- 作者：Ann, Bob' END, CASE WHEN c % 3 = 0 THEN '- DOI：10.1/' || c END, '- 年份：2020', ''] ||
+  CASE WHEN c % 5 = 0 THEN ['## 摘要', 'A' || c, ''] ELSE [] END, lambda x: x IS NOT NULL)) AS line, generate_subscripts(list_filter(['', '', '', '', CASE WHEN c % 2 = 0 THEN '' END, CASE WHEN c % 3 = 0 THEN '' END, '', ''] || CASE WHEN c % 5 = 0 THEN ['', '', ''] ELSE [] END, lambda x: x IS NOT NULL), 1) AS i FROM o),
+own(i, line) AS (VALUES (1, '> 图片裁切失败：未识别到图片区域'), (2, '*Fig. 1 | shown*'), (3, '')),
+tail AS (SELECT unnest(['', '## 自动结构化总结', '', '### 核心创新点', '', '- 未自动识别到明确创新点。', '', '### 实验方法', '', '- 未自动识别到明确实验方法。', '', '### 器件性能', '', '- 未自动识别到明确器件性能数据。', '', '### 稳定性测试', '', '- 未自动识别到明确稳定性测试数据。', '', '### 表征手段', '', '- 未自动识别到明确表征手段。']) AS line, generate_subscripts(range(22), 1) AS i),
+u AS (
+  SELECT doc_id, 0 AS a, 0 AS b, i AS c, line FROM head
+  UNION ALL SELECT doc_id, 1, k, 0, CASE WHEN kind = 1 THEN '## ' || text ELSE text END FROM body UNION ALL SELECT doc_id, 1, k, 1, '' FROM body
+  UNION ALL SELECT doc_id, 1, k, 10 + i, line FROM place, own
+  UNION ALL SELECT doc_id, 2, 0, i, line FROM o, (SELECT i + 2 AS i, line FROM own UNION ALL SELECT 1, '' UNION ALL SELECT 2, '<!-- 未能准确定位，按页面顺序补充的图 -->') WHERE doc_id NOT IN (SELECT doc_id FROM place)
+  UNION ALL SELECT doc_id, 3, 0, i, line FROM o, tail)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY a, b, c) AS markdown FROM u GROUP BY doc_id""")
+def markdown_report(spark, sf_dir):
+    """Whole reports: data, abstract, sections with the figure where it is first referred to, and the summary of a paper without facts."""
+    info, paragraphs, figs = _papers(spark, sf_dir)
+    return report.translated_markdown(info, paragraphs, figs, _no_facts(spark, sf_dir))
+
+
+@query(f"""
+WITH {PAPERS}, d AS (SELECT l_orderkey AS doc_id, string_agg('- PCE=' || l_quantity::DOUBLE || '%，VOC=None V，JSC=None mA cm-2，FF=None%，证据：s' || l_partkey, chr(10) ORDER BY l_linenumber, '- PCE=' || l_quantity::DOUBLE || '%，VOC=None V，JSC=None mA cm-2，FF=None%，证据：s' || l_partkey) AS rows FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)
+SELECT doc_id, array_to_string(['# 论文结构化总结', '', '## 论文基本信息', '- 标题：T' || c, '- DOI：' || CASE WHEN c % 3 = 0 THEN '10.1/' || c ELSE '{fixed.NOT_FOUND}' END, '- 期刊：{fixed.NOT_FOUND}', '- 卷：{fixed.NOT_FOUND}', '- 期：{fixed.NOT_FOUND}', '- 页码/文章编号：{fixed.NOT_FOUND}', '- 年份：2020', '',
+  '## 研究背景与核心问题', CASE WHEN c % 5 = 0 THEN 'A' || c ELSE '{fixed.NOT_FOUND}' END, '', '## 核心创新点', '- {fixed.NOT_FOUND}', '', '## 不同材料 / 不同结构 / 不同尺寸电池的效率', coalesce(d.rows, '- {fixed.NOT_FOUND}'), '', '## 稳定性测试条件和保持率', '- {fixed.NOT_FOUND}', '',
+  '## 核心表征手段及其作用', '- {fixed.NOT_FOUND}', '', '## 局限性与后续研究方向', '- {fixed.NOT_FOUND}'], chr(10)) AS summary FROM o LEFT JOIN d USING (doc_id)""")
+def fallback_summaries(spark, sf_dir):
+    """The fixed outline, with devices in half of the papers and nothing else found."""
+    info, _, _ = _papers(spark, sf_dir)
+    none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
+    devices = _t(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("source_page"), F.col("l_quantity").cast("double").alias("pce_percent"), *none("voc_v", "jsc_ma_cm2", "ff_percent"), _words("s", F.col("l_partkey")).alias("source_text"))
+    return report.fallback_summary(info, _no_facts(spark, sf_dir) | {"device_performance": devices})
+
