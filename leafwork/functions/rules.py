@@ -6,6 +6,8 @@ them in: both stand inside other predicates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,16 +81,15 @@ def is_non_content(text: Column, caption: Column, heading: Column) -> Column:
     bare = strip(F.coalesce(text, F.lit("")))
     noise = (
         is_preview_noise(text)
-        | has(text, "check for updates")
+        | has(text, fixed.UPDATES)
         | mentions(text, fixed.BOILERPLATE)
-        | has(bare, r"^Research\s+Article\s*S?$")
-        | has(bare, r"^(?:SCIENCE|Science)\s+\d{1,2}\s+[A-Z][a-z]+\s+\d{4}\s*\d*$", False)
-        | (has(bare, r"^[A-Z][A-Z\s]{4,40}$", False) & (F.length(bare) < 45))
-        | has(text, r"\bISSN\s+\d{4}[-−]\d{4}\b", False)
+        | reduce(Column.__or__, [has(bare, p, case) for p, case in fixed.RUNNING_HEADS])
+        | (has(bare, fixed.CAPITALS, False) & (F.length(bare) < 45))
+        | has(text, fixed.ISSN, False)
         | (has(text, fixed.DOI) & (F.length(text) < 220))
         | has(bare, r"^\d+$", False)
         | (~has(text, r"[A-Za-z一-鿿]", False) & (F.length(bare) < 40))
-        | ((F.length(text) < 18) & has(text, r"\b(?:article|volume|issue|page|doi)\b"))
+        | ((F.length(text) < 18) & has(text, fixed.METADATA))
     )
     return ~caption & ~heading & noise
 
@@ -144,45 +145,35 @@ def skips_translation(text: Column) -> Column:
 
 
 def is_stability_sentence(text: Column) -> Column:
-    of_initial = r"\b(?:initial|original)\s+PCE\b|\bof\s+(?:their|its)\s+(?:initial|original)\b|\bafter\b"
-    return has(text, rf"\b{any_of(fixed.STABILITY_WORDS)}\b") & has(text, of_initial)
+    words, initial = fixed.STABILITY_SENTENCE
+    return has(text, words) & has(text, initial)
 
 
 def is_other_work(text: Column, page: Column) -> Column:
     """On the first two pages, efficiencies that others have reported."""
-    before = rf"\b{any_of(fixed.OTHER_WORK)}\b.{{0,80}}\b(?:PCE|efficiency)\b"
-    after = rf"(?:PCE|efficiency).{{0,40}}\b{any_of(fixed.OTHER_WORK_AFTER)}"
+    before, after = fixed.OTHERS_EFFICIENCY
     return (page <= 2) & (has(text, before) | has(text, after))
 
 
 def is_retention(text: Column) -> Column:
     """A share of the initial efficiency that was kept, not an efficiency."""
-    kept = any_of(["retain(?:ed)?", "maintain(?:ed)?", "keep(?:ing)?", "preserv(?:ed)?"])
-    return has(text, rf"\b{kept}\s+{fixed.NUMBER}\s*%.{{0,80}}?\b(?:of\s+(?:the|their|its)\s+)?(?:original|initial|pristine)\s+(?:PCE|efficiency)")
+    return has(text, fixed.RETENTION)
 
 
 def is_environment(text: Column) -> Column:
-    return has(text, r"\b(?:relative\s+humidity|temperature|°C|RH)\b") & ~has(text, r"\bPCE\b")
+    return has(text, fixed.ENVIRONMENT) & ~has(text, r"\bPCE\b")
 
 
 def is_finding(text: Column) -> Column:
     """60 to 500 characters that claim something, with a word of result or a number with a unit."""
-    we = rf"\bwe\s+{any_of(fixed.WE_FIND)}"
-    results = rf"the\s+(?:results|findings|data|measurements|study|work)\s+{any_of(fixed.RESULTS_SHOW)}"
-    work = rf"this\s+(?:work|study|paper|approach|strategy|method)\s+{any_of(fixed.WORK_SHOWS)}"
-    it = r"it\s+is\s+(?:found|shown|demonstrated|revealed|observed|confirmed)\s+that"
-    claim = has(text, "|".join((we, results, work, it)))
+    claim = has(text, "|".join(fixed.FINDINGS))
     result = has(text, rf"\b{any_of(fixed.RESULT_WORDS)}\b") | has(text, rf"{fixed.NUMBER}\s*{any_of(fixed.FINDING_UNITS)}", False)
     return F.length(text).between(60, 500) & claim & result
 
 
 def is_innovation(text: Column) -> Column:
     """50 to 500 characters in which the authors say what they did."""
-    we = rf"\bwe\s+(?:{any_of(fixed.WE_DID)}|have\s+{any_of(fixed.WE_HAVE_DONE)})"
-    our = rf"\bour\s+{any_of(fixed.OUR_NOUNS)}\s+{any_of(fixed.OUR_VERBS)}"
-    work = rf"\bthis\s+(?:work|study|paper|approach|strategy|method)\s+{any_of(fixed.WORK_SHOWS)}"
-    here = r"\bhere,?\s+we\s+\w+"
-    return F.length(text).between(50, 500) & has(text, "|".join((we, our, work, here)))
+    return F.length(text).between(50, 500) & has(text, "|".join(fixed.INNOVATIONS))
 
 
 def in_sections(title: Column, names: list[str]) -> Column:

@@ -247,9 +247,8 @@ def safe_slug(path: Column) -> Column:
 def looks_truncated(source: Column, result: Column) -> Column:
     """Whether a translation stops short: empty, newly ending in an ellipsis, or far shorter than its source's words (F32)."""
     src, dst = squeeze(source), squeeze(result)
-    ends = r"(?:\.\.\.|…)\s*$"
-    fixed_parts = rf"\b(?:10\.\d{{4,9}}/[^\s]+|\d+(?:\.\d+)?\s*{any_of(fixed.TRUNCATION_UNITS)})|[A-Z][a-z]{{1,5}}\d+(?:-\d+)?(?:\s*[A-Z])?|[A-Z]{{2,}}(?!\w)"
-    kept = F.aggregate(F.regexp_extract_all(src, F.lit(rx(fixed_parts, False)), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
+    ends = fixed.ELLIPSIS
+    kept = F.aggregate(F.regexp_extract_all(src, F.lit(rx(fixed.UNTRANSLATED_PARTS, False)), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     n_src, n_dst = F.length(src) - kept, F.length(dst) - kept
     ratio = F.when(n_src > 0, n_dst / n_src)
     short = ((n_src >= 300) & (ratio < 0.30)) | ((n_src >= 180) & (ratio < 0.20))

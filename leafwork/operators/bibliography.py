@@ -37,9 +37,8 @@ class Rule:
     clear_others: bool = False
 
 
-# Citation styles, in order.
-_year, _vol, _page = r"((?:19|20)\d{2})", r"(\d+[A-Za-z]?)", r"([A-Za-z]?\d+(?:[-−–]\d+)?)"
-_name = r"([A-Z][A-Za-z0-9 &.,+\-/]{3,90}?)"
+# Citation styles, in order (RULES, PIPES and LATER).
+_year, _vol, _page, _name = fixed.YEAR, fixed.VOLUME, fixed.PAGES, fixed.NAME
 _both = ("journal", "year")
 RULES = [
     Rule("subject", rf"^([A-Z][A-Za-z &]+)\s+{_year}\.{_vol}:(\d+(?:[-–]\d+)?)", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, ignore_case=False, source="subject"),
@@ -112,25 +111,25 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
     for rule in LATER:
         df = _apply(df, rule)
     t = F.col("text")
-    vol_issue = rf"\b(?:vol(?:ume)?\.?\s*)?{_vol}\s*\(([^)]+)\)\s*[:;,]\s*{_page}"
+    vol_issue = fixed.VOLUME_AND_ISSUE
     df = df.withColumn("_m", F.when(F.col("volume") == EMPTY, find(t, vol_issue, 0)).otherwise(EMPTY))
     m, hit = F.col("_m"), F.col("_m") != EMPTY
     issue = strip(find(m, vol_issue, 2))
     df = df.withColumns({
         "volume": F.when(hit, find(m, vol_issue, 1)).otherwise(F.col("volume")),
-        "issue": F.when(hit, F.when(has(issue, r"\b(?:has|ref|refs|figure|table)\b"), EMPTY).otherwise(issue)).otherwise(F.col("issue")),
+        "issue": F.when(hit, F.when(has(issue, fixed.NOT_ISSUES_IN_BRACKETS), EMPTY).otherwise(issue)).otherwise(F.col("issue")),
         "pages": F.when(hit, _tidy(find(m, vol_issue, 3))).otherwise(F.col("pages")),
     }).drop("_m")
     fill = lambda f, value: F.when(F.col(f) == EMPTY, value).otherwise(F.col(f))
-    df = df.withColumn("volume", fill("volume", find(t, rf"\bvol(?:ume)?\.?\s*{_vol}\b")))
-    number = find(t, r"\b(?:issue|no\.?)\s+([A-Za-z0-9.-]+)\b")
-    df = df.withColumn("issue", fill("issue", F.when(has(number, r"\b(?:has|for|with|and|the|of|limits?)\b"), EMPTY).otherwise(number)))
-    df = df.withColumn("pages", fill("pages", _tidy(find(t, rf"\b(?:pp?\.?|pages?|article\s*(?:number|no\.?)?)\s*{_page}\b"))))
-    piped = rf"\|\s*\({_year}\)\s*{_vol}\s*[:;,]\s*{_page}"
+    df = df.withColumn("volume", fill("volume", find(t, fixed.VOLUME_WORD)))
+    number = find(t, fixed.ISSUE_WORD)
+    df = df.withColumn("issue", fill("issue", F.when(has(number, fixed.NOT_ISSUES), EMPTY).otherwise(number)))
+    df = df.withColumn("pages", fill("pages", _tidy(find(t, fixed.PAGES_WORD))))
+    piped = fixed.PIPED_PAGES
     df = df.withColumn("_m", F.when(F.col("pages") == EMPTY, find(t, piped, 0)).otherwise(EMPTY))
     df = df.withColumns({f: F.when(hit & (F.col(f) == EMPTY), _tidy(find(m, piped, g))).otherwise(F.col(f)) for f, g in (("year", 1), ("volume", 2), ("pages", 3))}).drop("_m")
-    said = find(t, rf"\b(?:Published(?: online)?|Copyright|Cite This:|Cite this article as:)[^.;]{{0,160}}\b{_year}\b")
-    year = F.coalesce(nullif(said), nullif(find(t, rf"\bAccepted:[^.;]{{0,80}}\b{_year}\b")), find(t, rf"\b{_year}\b"))
+    said = find(t, fixed.PUBLISHED_YEAR)
+    year = F.coalesce(nullif(said), nullif(find(t, fixed.ACCEPTED_YEAR)), find(t, rf"\b{_year}\b"))
     return df.withColumn("year", fill("year", year)).select("doc_id", *FIELDS)
 
 
@@ -146,8 +145,8 @@ def labelled_abstract(pages: DataFrame) -> DataFrame:
     """(doc_id, abstract): the longest text of 120 characters or more between "Abstract" and the next heading, first eight pages."""
     texts = pages.where("page <= 8").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     flat = squeeze(F.array_join(F.transform("p", lambda x: x["text"]), "\n"))
-    found = F.regexp_extract_all(flat, F.lit(rx(rf"\bAbstract\b\s*(?:[-—:]\s*)?(.+?)(?=\b{any_of(fixed.ABSTRACT_STOPS)}\b)")), F.lit(1))
-    found = F.filter(F.transform(found, lambda x: strip(squeeze(x), " .:-—")), lambda x: (F.length(x) >= 120) & ~has(x, "^(?:ARTICLE IN PRESS|maximum power point)"))
+    found = F.regexp_extract_all(flat, F.lit(rx(fixed.LABELLED_ABSTRACT)), F.lit(1))
+    found = F.filter(F.transform(found, lambda x: strip(squeeze(x), " .:-—")), lambda x: (F.length(x) >= 120) & ~has(x, fixed.NOT_ABSTRACTS))
     longest = F.aggregate(found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     return texts.select("doc_id", longest.alias("abstract"))
 
@@ -194,10 +193,10 @@ def authors(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
 
 def preview_abstract(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc_id, abstract) of early versions: topical paragraphs of pages 2 to 4, gathered until they end."""
-    topic, other = r"\b(?:perovskite solar cells|photovoltaics)\b", r"\bor photovoltaics\b"
+    topic, other = fixed.PREVIEW_TOPIC, fixed.PREVIEW_OTHER
     rows = paragraphs.where("page between 2 and 4 and kind <> 'non_content' and text <> ''").join(titles.select("doc_id", "title"), "doc_id", "left")
     t = F.col("text")
-    rows = rows.where((t != F.coalesce("title", F.lit(""))) & ~rules.is_preview_noise(t) & ~rules.is_author_line(t) & ~has(t, r"^\d+\s") & ~has(t, r"Corresponding author|@|University|Laboratory|Department|Center\b"))
+    rows = rows.where((t != F.coalesce("title", F.lit(""))) & ~rules.is_preview_noise(t) & ~rules.is_author_line(t) & ~has(t, r"^\d+\s") & ~has(t, fixed.PREVIEW_CONTACTS))
     item = F.struct("seq", "text", (has(t, topic) & ~has(t, other)).alias("starts"), has(t, other).alias("other"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("ps"))
     state = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
@@ -206,7 +205,7 @@ def preview_abstract(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
         begun = s["text"] != ""
         stop = s["done"] | (begun & p["other"] & (F.length(s["text"]) > 300))
         both = F.concat_ws(" ", F.when(begun, s["text"]), p["text"])
-        full = ((F.length(both) > 300) & has(both, r"\bbest to date\b")) | ((F.length(both) > 900) & has(both, r"\.\s*$"))
+        full = ((F.length(both) > 300) & has(both, fixed.PREVIEW_LAST_WORDS)) | ((F.length(both) > 900) & has(both, r"\.\s*$"))
         takes = ~stop & (begun | p["starts"])
         return F.struct(F.when(takes, both).otherwise(s["text"]).alias("text"), (stop | (takes & full)).alias("done"))
 

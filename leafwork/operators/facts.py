@@ -20,7 +20,7 @@ from ..tables import spread
 
 _period = f"({COUNT})\\s*({'|'.join(fixed.PERIODS)})"
 _efficiency, _retained, _lost = any_of(fixed.EFFICIENCY), any_of(fixed.RETAINED), any_of(fixed.LOST)
-#: name -> (pattern, groups that hold qualifier, number, count, unit; 0 where there is none)
+#: Name -> (pattern, groups that hold qualifier, number, count, unit; 0 where there is none)
 PATTERNS = {
     "pce": (rf"(?:({'|'.join(fixed.QUALIFIERS)})\s+)?{_efficiency}[^\n.;]{{0,120}}?({SIGNED})\s*%", (1, 2, 0, 0)),
     "pce_reverse": (rf"({SIGNED})\s*%[^\n.;]{{0,80}}?{_efficiency}", (0, 1, 0, 0)),

@@ -389,6 +389,7 @@ def workbooks(json_rows: DataFrame) -> DataFrame:
     """(doc_id, xlsx) from nested JSON: each document's tables as a spreadsheet file, made where the row is."""
     @F.pandas_udf("binary")
     def make(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: workbook({k: x if isinstance(x, list) else [x] for k, x in json.loads(v).items()}))
+        rows = lambda k, x: [r if isinstance(r, dict) else {k: r} for r in (x if isinstance(x, list) else [x])]
+        return values.map(lambda v: workbook({k: rows(k, x) for k, x in json.loads(v).items()}))
 
     return json_rows.select("doc_id", make("json").alias("xlsx"))
