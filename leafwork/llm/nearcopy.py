@@ -3,8 +3,8 @@
 SimHash links within three bits come first, but texts at the similarity asked for may differ in ten bits and more, and
 a Hamming budget that wide deals fingerprints by so few bits that the join grows with the square of the table.  So
 the rest comes from a prefix join: in any fixed order of all shingles, two sets that are similar enough share one among
-the first few of each.  The order puts shingles that a sample found common last and follows the hash otherwise;
-the sample decides how long the lists get, never what is found.  Candidates whose shingle counts in 64 buckets differ
+the first few of each.  The order puts shingles last that a sample found common, or that stand in many prefixes of a
+first round, and follows the hash otherwise; it decides how long the lists get, never what is found.  Candidates whose shingle counts in 256 buckets differ
 by more than the sets may differ are dropped, which loses none, and the others are checked on whole shingle sets.
 
 Lists are first linked as stars and then, where their members still lie in different components, pair by pair, so
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_filter, cut, drop, passes
 from .simhash import components, keep_smallest, links, shingle_hashes, simhash
 
 ENTRY = np.dtype([("token", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -41,12 +41,12 @@ def _similar(common, a, b, num: int, den: int):
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of 64 buckets of their hash."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype(np.uint16).tobytes()
+    """How many shingles fall into each of 256 buckets of their hash, 255 at most."""
+    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 64).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
 
 
 def _sketches_allow(a, b, n, m, num: int, den: int):
@@ -90,11 +90,37 @@ def _common(docs: DataFrame, rows: int, width: int, sample: int, most: int) -> t
     return token[order], count[order]
 
 
-def _lists(docs: DataFrame, rows: int, width: int, num: int, den: int, sample: int, most: int) -> DataFrame:
+def _prefix(shingles: np.ndarray, token: np.ndarray, count: np.ndarray, num: int, den: int, often: np.ndarray | None = None, log_bits: int = 0) -> np.ndarray:
+    """The shingles, rare ones first, of which two similar sets share one at least."""
+    rank = np.zeros(len(shingles), np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, shingles), len(token) - 1)
+        rank = np.where(token[at] == shingles, count[at], 0)
+    if often is not None:
+        rank = np.maximum(rank, passes(shingles.view(np.uint64), often, log_bits))
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[: n + num * n // -den + 1]]
+
+
+def _often(docs: DataFrame, common, width: int, num: int, den: int, above: int, log_bits: int) -> np.ndarray:
+    """A filter of the shingles that stand in more than ``above`` prefixes when only the sample orders them."""
+
+    def run(batches):
+        token, count = common.value
+        for b in batches:
+            texts = {text_key(t): t for t in b.column(1).to_pylist()}.values()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *[_prefix(shingle_set(t, width).view(np.int64), token, count, num, den) for t in texts]]))], ["token"])
+
+    counted = _ids_and_texts(docs).mapInArrow(run, "token long").groupBy("token").count()
+    return bit_filter(counted.where(F.col("count") > above).select("token"), log_bits)
+
+
+def _lists(docs: DataFrame, rows: int, width: int, num: int, den: int, sample: int, most: int, above: int, log_bits: int) -> DataFrame:
     """Shingles that stand in the prefixes of two texts and more, with these texts' keys, sizes and positions; ``center``
     is the least key of each, and ``near`` whether sizes and positions allow a link to it."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_common(docs, rows, width, sample, most))
+    often = spark.sparkContext.broadcast(_often(docs, sent, width, num, den, above, log_bits))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
 
@@ -107,16 +133,9 @@ def _lists(docs: DataFrame, rows: int, width: int, num: int, den: int, sample: i
                 if key in seen or not len(own):
                     continue
                 seen.add(key)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, own), len(token) - 1)
-                    often = np.where(token[at] == own, count[at], 0)
-                    order = np.lexsort((own, often))
-                else:
-                    order = np.argsort(own)
-                n = len(own)
-                first = own[order[: n + num * n // -den + 1]]
+                first = _prefix(own, token, count, num, den, often.value, log_bits)
                 e = np.empty(len(first), ENTRY)
-                e["token"], e["key"], e["n"], e["pos"] = first, key, n, np.arange(len(first))
+                e["token"], e["key"], e["n"], e["pos"] = first, key, len(own), np.arange(len(first))
                 out.append(e)
             e = np.concatenate(out)
             bucket = e["token"] % buckets
@@ -153,8 +172,11 @@ def _may_link(a, b, num: int, den: int):
     return _similar(np.minimum(n - a["pos"], m - b["pos"]), n, m, num, den)
 
 
-def _pairs_between(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) that share a list, may link and lie in different components; lists has token, key, n, pos, component, sketch."""
+def _pairs_between(lists: DataFrame, num: int, den: int, leaders: int | None = None) -> DataFrame:
+    """Pairs (u, v) that share a list, may link and lie in different components; lists has token, key, n, pos, component, sketch.
+
+    ``leaders``: only pairs of a list's first member of each of so many components.
+    """
 
     def run(batches):
         got = [x for x in batches if len(x)]
@@ -162,7 +184,7 @@ def _pairs_between(lists: DataFrame, num: int, den: int) -> DataFrame:
             return
         token, key, n, pos, comp = (np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(5))
         order = np.argsort(token, kind="stable")
-        sketch = np.concatenate([_sketches(x.column(5)).astype(np.uint16) for x in got])[order]
+        sketch = np.concatenate([_sketches(x.column(5)).astype(np.uint8) for x in got])[order]
         token, key, comp = token[order], key[order], comp[order]
         e = np.empty(len(token), ENTRY)
         e["n"], e["pos"] = n[order], pos[order]
@@ -171,9 +193,10 @@ def _pairs_between(lists: DataFrame, num: int, den: int) -> DataFrame:
         for a, b in zip(cuts, cuts[1:]):
             if (comp[a:b] == comp[a]).all():
                 continue
-            for i in range(a, b - 1):
-                j = i + 1 + np.flatnonzero((comp[i + 1 : b] != comp[i]) & _may_link(e[i : i + 1], e[i + 1 : b], num, den))
-                j = j[_sketches_allow(sketch[j].astype(np.int32), sketch[i].astype(np.int32), e["n"][j].astype(np.int64), int(e["n"][i]), num, den)]
+            for i in range(a, b - 1) if leaders is None else a + np.sort(np.unique(comp[a:b], return_index=True)[1])[:leaders]:
+                to = i + 1 if leaders is None else a
+                j = to + np.flatnonzero((comp[to:b] != comp[i]) & _may_link(e[i : i + 1], e[to:b], num, den))
+                j = j[_sketches_allow(sketch[j].astype(np.int16), sketch[i].astype(np.int16), e["n"][j].astype(np.int64), int(e["n"][i]), num, den)]
                 found.update(zip(np.maximum(key[i], key[j]).tolist(), np.minimum(key[i], key[j]).tolist()))
             if len(found) > 1_000_000:
                 yield _pairs(found)
@@ -234,7 +257,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, budget: int = 3, sample: int = 10_000, most: int = 1_000_000, broadcast_rows: int = 4_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, budget: int = 3, sample: int = 10_000, most: int = 1_000_000, above: int = 8, log_bits: int = 27, broadcast_rows: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over links of similarity num / den or more).
 
     Texts with equal words are equal; a text of fewer than ``width`` words is one shingle.  A row with a null doc_id
@@ -242,7 +265,7 @@ def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bud
     """
     prints = cut(_prints(docs, width))
     nodes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    lists = cut(_lists(docs, prints.count(), width, num, den, sample, most))
+    lists = cut(_lists(docs, prints.count(), width, num, den, sample, most, above, log_bits))
     # Equal fingerprints are one node of the trie; their texts are linked to the least of them.
     by_fp = cut(nodes.groupBy("fp").agg(F.min("key").alias("node")))
     same_fp = nodes.join(by_fp, "fp").where("key <> node").select(F.col("key").alias("u"), F.col("node").alias("v"))
@@ -252,15 +275,20 @@ def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, bud
     def checked(pairs):
         pairs = cut(pairs)
         named = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-        sets = cut(_sets(docs, cut(nodes.join(named, "key", "left_semi").select("doc_id", "key")), width, broadcast_rows))
-        return cut(_verified(pairs, sets, num, den))
+        needed = cut(nodes.join(named, "key", "left_semi").select("doc_id", "key"))
+        sets = cut(_sets(docs, needed, width, broadcast_rows))
+        out = cut(_verified(pairs, sets, num, den))
+        drop(pairs, needed, sets)  # whole shingle sets are as large as the texts
+        return out
 
     edges = checked(_possible(first, nodes, num, den))
     comps = cut(components(edges))
-    placed = lists.join(nodes.select("key", "sketch"), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rest = checked(_pairs_between(placed, num, den))
-    if not rest.isEmpty():
-        comps = cut(components(edges.unionByName(rest)))
+    for leaders in (4, None):
+        placed = lists.join(nodes.select("key", "sketch"), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        more = checked(_pairs_between(placed, num, den, leaders))
+        edges = edges.unionByName(more)
+        if not more.isEmpty():
+            comps = cut(components(edges))
     root = nodes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("root"))
     least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return prints.select("doc_id", "key").join(cut(root.join(least, "root").select("key", "component_id")), "key").select("doc_id", "component_id")
