@@ -28,9 +28,10 @@ PATTERNS = {
     "stability_reverse": (rf"(?:after|for)\s+{_period}[^.]{{0,180}}?{_retained}[^.]{{0,120}}?({SIGNED})\s*%", (0, 3, 1, 2)),
     "loss": (rf"(?:after|for)\s+{_period}[^.]{{0,180}}?{_lost}[^.]{{0,80}}?({SIGNED})\s*%", (0, 3, 1, 2)),
 }
-#: name -> lists of words; a text without a word of each list has no match.
+#: name -> lists of words; a match holds a word of each list, in this order.
 GATES = {
-    "pce": [fixed.EFFICIENCY], "pce_reverse": [fixed.EFFICIENCY], "stability": [fixed.RETAINED, fixed.SPANS], "stability_reverse": [fixed.RETAINED, fixed.SPANS], "loss": [fixed.LOST, fixed.SPANS],
+    "pce": [fixed.EFFICIENCY, ["%"]], "pce_reverse": [["%"], fixed.EFFICIENCY], "stability": [fixed.RETAINED, ["%"], fixed.SPANS],
+    "stability_reverse": [fixed.SPANS, fixed.RETAINED, ["%"]], "loss": [fixed.SPANS, fixed.LOST, ["%"]],
 }
 _compiled = [(name, re.compile(p, re.I), groups, [[w.casefold() for w in ws] for ws in GATES[name]]) for name, (p, groups) in PATTERNS.items()]
 _stop = re.compile(fixed.SENTENCE_END)
@@ -60,13 +61,24 @@ def sentence_around(text: str, pos: int, reach: int = 320, short: int = 40, more
     return out
 
 
+def _in_order(low: str, gates: list[list[str]]) -> bool:
+    """Whether a word of each list stands in the text, each after the one before."""
+    at = 0
+    for words in gates:
+        found = [i for w in words if (i := low.find(w, at)) >= 0]
+        if not found:
+            return False
+        at = min(found) + 1
+    return True
+
+
 def _text_matches(text: str):
     """Tuples (pattern, start, qualifier, number, count, unit, sentence) of one text; sentence ends are looked for once."""
     if "%" not in text:
         return
     low, ends = text.casefold(), None
     for name, pattern, groups, gates in _compiled:
-        if all(any(w in low for w in words) for words in gates):
+        if _in_order(low, gates):
             for m in pattern.finditer(text):
                 ends = sentence_ends(text) if ends is None else ends
                 yield (name, m.start(), *[m[g] if g else None for g in groups], sentence_around(text, m.start(), ends=ends))
