@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lmscore, mixing, quality, secrets, sharding, simhash, substring, topk, urls
+from . import decontam, lexical, lmscore, manifest, mixing, quality, secrets, sharding, simhash, substring, topk, urls
 
 MIX_WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 2, "src8": 2, "src9": 2} | {f"src{i}": 1 for i in range(10, 20)}
 MIX_OTHER, MIX_BLOCK = 2, 64
@@ -65,8 +65,23 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_read(spark, sf_dir, "documents"), width=35).drop("kept_text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its proof, and whether the proof still holds for the row as it may have been changed since."""
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    seen = manifest.leaf_digest([changed if c == "n_chars" else F.col(c) for c in manifest.FIELDS])
+    out = manifest.manifest(_read(spark, sf_dir, "documents"), keep={"seen": seen})
+    proof = F.sha2(F.concat_ws("", "path", "upper_path").cast("binary"), 256)
+    folded = manifest.fold(manifest.fold(F.col("seen"), F.col("i"), F.col("path")), F.col("g"), F.col("upper_path"))
+    out = out.withColumns({"proof_sha256": proof, "folded_root": folded})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore, "op10_substring": op10_substring}
+    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore, "op10_substring": op10_substring, "op11_merkle": op11_merkle, "op13_lexical": op13_lexical}
 
 
 def _op1_sql() -> str:
@@ -136,5 +151,50 @@ kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.p) AS text FROM w LEFT JOIN
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(CASE WHEN n_removed = 0 THEN array_to_string(ws, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256 FROM m LEFT JOIN kept ON kept.r = m.r"""
 
 
+_CRC = "list_reduce(list_concat([i::BIGINT], list_transform(range(8), lambda z: z::BIGINT)), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)"
+
+
+def _op11_sql() -> str:
+    """Level by level from the leaves, then the siblings of each leaf joined by place."""
+    put = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(({x})::VARCHAR))::VARCHAR || ':' || ({x})::VARCHAR END"
+    leaf = lambda n: "sha256(" + " || ".join(put(n if c == "n_chars" else c) for c in manifest.FIELDS) + ")"
+    step = "CASE WHEN o.h IS NULL THEN '-' WHEN (x.i >> s.l) % 2 = 1 THEN 'L' || o.h ELSE 'R' || o.h END"
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list({_CRC} ORDER BY i) AS t FROM range(256) r(i)),
+c AS (SELECT d.*, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM documents d, crc_table),
+f AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, {leaf('CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END')} AS seen FROM c),
+p AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f),
+lv(lang, l, i, h, n) AS (
+  SELECT lang, 0::BIGINT, i, leaf, n FROM p
+  UNION ALL
+  SELECT lang, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY lang, l, i // 2, n),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+up(l, i, h, n) AS (
+  SELECT 0::BIGINT, i, subroot, n FROM sub
+  UNION ALL
+  SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY l, i // 2, n),
+low AS (SELECT x.r, list({step} ORDER BY s.l) AS path FROM p x JOIN (SELECT DISTINCT lang, l FROM lv WHERE n > 1) s ON s.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN lv o ON o.lang IS NOT DISTINCT FROM x.lang AND o.l = s.l AND o.i = xor(x.i >> s.l, 1) GROUP BY x.r),
+high AS (SELECT x.lang, list({step} ORDER BY s.l) AS path FROM sub x JOIN (SELECT DISTINCT l FROM up WHERE n > 1) s ON true LEFT JOIN up o ON o.l = s.l AND o.i = xor(x.i >> s.l, 1) GROUP BY x.lang),
+w AS (SELECT p.doc_id, p.leaf, p.seen, sub.subroot, (SELECT h FROM up WHERE n = 1) AS root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path
+  FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang LEFT JOIN low ON low.r = p.r LEFT JOIN high ON high.lang IS NOT DISTINCT FROM p.lang),
+z AS (SELECT *, list_reduce(list_concat([seen], path), lambda a, x: CASE WHEN x = '-' THEN sha256(a) WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(path, lambda x: x <> '-'), lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z"""
+
+
+#: Every document against every item.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+e AS (SELECT r, doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM e),
+x AS (SELECT r, unnest(ts) AS t FROM e),
+tf AS (SELECT r, t, count(*) AS tf FROM x GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs::DOUBLE + 2) / (2 * count(*)::DOUBLE + 1)))::BIGINT AS w FROM tf, s GROUP BY t, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT item_id, e.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN e ON e.r = tf.r, s GROUP BY item_id, e.r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": _op1_sql(), "op3_topk": OP3_SQL, "op8_shard": OP8_SQL, "op10_substring": OP10_SQL}
+    return {"op1_mix": _op1_sql(), "op3_topk": OP3_SQL, "op8_shard": OP8_SQL, "op10_substring": OP10_SQL, "op11_merkle": _op11_sql(), "op13_lexical": OP13_SQL}
