@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lexical, lmscore, manifest, mixing, quality, secrets, sharding, simhash, substring, topk, urls
+from . import decontam, lexical, lmscore, manifest, minhash, mixing, quality, secrets, sharding, simhash, substring, topk, urls
 
 MIX_WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 2, "src8": 2, "src9": 2} | {f"src{i}": 1 for i in range(10, 20)}
 MIX_OTHER, MIX_BLOCK = 2, 64
@@ -76,12 +76,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with the class of near copies that each document is in."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = minhash.near_copies(docs, least=0.8)
+    out = minhash.with_edits(docs).join(classes, "same", "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore, "op10_substring": op10_substring, "op11_merkle": op11_merkle, "op13_lexical": op13_lexical}
+    return {"op1_mix": op1_mix, "op2_urls": op2_urls, "op3_topk": op3_topk, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_simhash": op7_simhash, "op8_shard": op8_shard, "op9_lmscore": op9_lmscore, "op10_substring": op10_substring, "op11_merkle": op11_merkle, "op12_minhash": op12_minhash, "op13_lexical": op13_lexical}
 
 
 def _op1_sql() -> str:
