@@ -39,8 +39,9 @@ class Sketcher:
         if len(self.words) > 1 << 20:
             self.words = {}
         known = self.words
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter((known[w] for w in words), np.uint64, len(words))
         n, width = len(h), min(self.width, len(h))
         if not n:
