@@ -66,7 +66,12 @@ def input_path(typed: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """Options of a run."""
+    """Options of a run.
+
+    ``callers`` tasks call a model, each with ``in_flight`` calls at a time; ``replies`` is a shared folder that remembers what it
+    said.  ``sources`` and ``crops`` ask for copies of the input files and of the figures' pixels beside the reports.  A job that reports
+    nothing for ``silence`` seconds counts as failed.
+    """
 
     model: str = ""
     timeout: int = 60
@@ -78,6 +83,13 @@ class Settings:
     batch_items: int = 6
     batch_chars: int = 6000
     callers: int = 2
+    in_flight: int = 4
+    replies: str = ""
+    image_format: str = "png"
+    compress_images: bool = True
+    silence: int = 600
+    sources: bool = False
+    crops: bool = False
     markdown: bool = True
     summary: bool = True
     html: bool = False
@@ -97,6 +109,10 @@ class Settings:
                 found[name] = env_bool(key, field.default, env) if kind is bool else kind(env[key])
         return cls(**found)
 
+    @property
+    def mime(self) -> str:
+        return "image/jpeg" if self.image_format in ("jpg", "jpeg") else "image/png"
+
     @property
     def extracts(self) -> bool:
         """JSON and spreadsheets need the fact tables."""

@@ -219,7 +219,7 @@ def cropped(figures: DataFrame, files: DataFrame | None, renderer: Renderer | No
     return out.withColumns({"image_mime": F.when(F.col("image").isNotNull(), mime), "payload": size, "warning": F.when(F.col("legend_only"), legend).otherwise(F.coalesce("why", F.lit("")))}).drop("why")
 
 
-def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFrame | None = None, files: DataFrame | None = None, renderer: Renderer | None = None, mime: str = "image/png", zoom: float = 2.5) -> DataFrame:
+def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFrame | None = None, files: DataFrame | None = None, renderer: Renderer | None = None, mime: str = "image/png", zoom: float = 2.5, compress: bool = True) -> DataFrame:
     """Figures of a corpus: id, page, caption, box, caption box, image, image source and warning.
 
     Boxes come from content where there is some, else from the layout.  With ``files`` (doc_id, content) and a renderer
@@ -241,5 +241,5 @@ def extract(blocks: DataFrame, images: DataFrame | None = None, drawings: DataFr
     )
     if renderer is not None:
         out = cut(out)
-    out = cropped(swapped(out, files, renderer), files, renderer, mime, zoom=zoom).drop("legend_only", "try_next", "next_box")
+    out = cropped(swapped(out, files, renderer), files, renderer, mime, compress, zoom).drop("legend_only", "try_next", "next_box")
     return dedupe_figures(cut(out) if renderer is not None else out)

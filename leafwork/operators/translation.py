@@ -7,11 +7,9 @@ stage; the number of partitions is the number of concurrent callers.
 from __future__ import annotations
 
 import re
-import time
-from collections.abc import Callable, Iterable
-from typing import Protocol
+from collections.abc import Callable
+from dataclasses import replace
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,39 +18,26 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from .. import fixed
 from ..functions import rules, text as T
 from ..tables import cut
+from .replies import Calls, Provider, ask, call
 
 
-class Provider(Protocol):
-    """A model.  Must be picklable; it is used inside tasks.  The reply is a text, or its pieces as they come."""
+def call_with_retries(provider: Provider | None, system: str, user: str, attempts: int = 3, wait: Callable[[float], None] | None = None) -> str:
+    """The reply, or "" without a provider or after the last attempt (L1, L2)."""
+    return call(provider, system, user, Calls(attempts=attempts), wait)
 
-    def chat(self, system: str, user: str) -> str | Iterable[str]: ...
 
-
-def call_with_retries(provider: Provider | None, system: str, user: str, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> str:
-    """The reply, or "" without a provider or after the last attempt; waits 2, 4, then 6 seconds between attempts (L1, L2)."""
-    if provider is None:
-        return ""
-    for k in range(1, max(1, attempts) + 1):
-        try:
-            return "".join(provider.chat(system, user) or "")
-        except Exception:  # a provider may fail in any way
-            if k < max(1, attempts):
-                wait(min(2 * k, 6))
-    return ""
-
-
-def healthy(provider: Provider | None) -> bool:
+def healthy(provider: Provider | None, calls: Calls = Calls()) -> bool:
     """Asked once, on the driver; a provider that fails is not used at all (L3)."""
-    return call_with_retries(provider, "", "ping", 1).strip() != ""
+    return call(provider, "", "ping", replace(calls, attempts=1)).strip() != ""
 
 
-def translate_one(text: str, provider: Provider | None, glossary: dict[str, str] | None = None, caption: bool = False) -> str:
+def translate_one(text: str, provider: Provider | None, glossary: dict[str, str] | None = None, caption: bool = False, calls: Calls = Calls()) -> str:
     """One text by itself, without a table; captions go without the glossary's terms (L8).  The glossary's version if nothing comes back."""
     glossary = fixed.GLOSSARY if glossary is None else glossary
     if not text:
         return ""
     terms = "; ".join(f"{t}={by}" for t, by in glossary.items() if t.lower() in text.lower())
-    reply = call_with_retries(provider, "translate a caption" if caption else "translate", text if caption else f"{terms}\n{text}").strip()
+    reply = call(provider, "translate a caption" if caption else "translate", text if caption else f"{terms}\n{text}", calls).strip()
     if reply:
         return reply
     for term in sorted(glossary, key=len, reverse=True):
@@ -60,16 +45,6 @@ def translate_one(text: str, provider: Provider | None, glossary: dict[str, str]
     return text
 
 
-def ask(prompts: DataFrame, provider: Provider, system: str, callers: int = 2) -> DataFrame:
-    """(doc_id, reply): one call for each prompt (doc_id, prompt) that is not blank, written so that nothing calls again."""
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "reply": [call_with_retries(provider, system, p) for p in pdf["prompt"]]})
-
-    rows = prompts.select("doc_id", "prompt").where("trim(prompt) <> ''").repartition(callers, "doc_id")
-    return cut(rows.mapInPandas(run, "doc_id long, reply string"))
-
-
 def items(info: DataFrame, paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
     """(doc_id, target, target_id, label, text, order) of all texts to translate: title, abstract, paragraphs, captions.
 
@@ -159,31 +134,24 @@ def chunk_lines(text: Column, max_chars: int, separator: str = r"\n\s*\n", joine
     return F.aggregate(parts, start, step, lambda s: F.when(s["k"] > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
 
-def translate(texts: DataFrame, provider: Provider | None, callers: int = 2, max_items: int = 6, max_chars: int = 6000, checked: bool = False) -> DataFrame:
+def translate(texts: DataFrame, provider: Provider | None, callers: int = 2, max_items: int = 6, max_chars: int = 6000, checked: bool = False, calls: Calls = Calls(), told: Callable[[int, int], None] | None = None) -> DataFrame:
     """(doc_id, text, translation) of distinct texts, batch by batch.
 
     A batch goes out as marked texts.  A text that does not come back, or comes back short, is asked for once more by itself; then
     the glossary's version stands.  A provider that fails its health check is not called at all, unless the caller has
-    ``checked`` it already; ``callers`` bounds the concurrent calls of either round.
+    ``checked`` it already; ``callers`` bounds the tasks that call in either round.  ``told`` hears (done, total) of the batches.
     """
-    if provider is not None and not checked and not healthy(provider):
+    if provider is not None and not checked and not healthy(provider, calls):
         provider = None
     rows = texts.join(with_batches(texts, ["doc_id"], "order", F.length("text"), max_items, max_chars), ["doc_id", "order"])
     rows = rows.withColumn("glossary", T.glossary_relevant(F.col("text")))
     sent = rows.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("order", "text", "glossary"))).alias("xs"))
     if provider is not None:
-
-        def batch(frames):
-            for pdf in frames:
-                replies = []
-                for xs in pdf["xs"]:
-                    terms = "; ".join(sorted({t for x in xs for t in x["glossary"].split("; ") if t}))
-                    replies.append(call_with_retries(provider, "translate", f"{terms}\n" + "\n".join(f"<<<{i}>>>\n{x['text']}" for i, x in enumerate(xs))))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "batch": pdf["batch"], "reply": replies})
-
         sent = cut(sent)
-        told = cut(sent.repartition(callers, "doc_id", "batch").mapInPandas(batch, "doc_id long, batch int, reply string"))
-        sent = sent.join(told, ["doc_id", "batch"])
+        terms = F.array_join(F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("xs", lambda x: F.split(x["glossary"], "; "))), lambda t: t != ""))), "; ")
+        marked = F.array_join(F.transform("xs", lambda x, i: F.concat(F.lit("<<<"), i.cast("string"), F.lit(">>>\n"), x["text"])), "\n")
+        prompts = sent.select("doc_id", "batch", F.concat(terms, F.lit("\n"), marked).alias("prompt"))
+        sent = sent.join(ask(prompts, provider, "translate", callers, calls, {"doc_id": "long", "batch": "int"}, told=told), ["doc_id", "batch"])
     else:
         sent = sent.withColumn("reply", F.lit(""))
     parts = T.marked_parts(F.col("reply"), max_items)
@@ -191,18 +159,13 @@ def translate(texts: DataFrame, provider: Provider | None, callers: int = 2, max
     poor = F.col("got").isNull() | T.looks_truncated(F.col("text"), F.col("got"))
     fallback = T.glossary_replace(F.col("text"))
     if provider is not None:
-
-        def again(frames):
-            for pdf in frames:
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pdf["text"], "retry": [call_with_retries(provider, "translate", t) for t in pdf["text"]]})
-
-        retried = out.where(poor).select("doc_id", "text").distinct().repartition(callers, "doc_id", "text")
-        out = out.join(cut(retried.mapInPandas(again, "doc_id long, text string, retry string")), ["doc_id", "text"], "left")
+        retried = out.where(poor).select("doc_id", "text", F.col("text").alias("prompt")).distinct()
+        out = out.join(ask(retried, provider, "translate", callers, calls, {"doc_id": "long", "text": "string"}, "retry"), ["doc_id", "text"], "left")
         fallback = F.when((F.coalesce("retry", F.lit("")) != "") & ~T.looks_truncated(F.col("text"), F.col("retry")), F.col("retry")).otherwise(fallback)
     return out.select("doc_id", "text", F.when(poor, fallback).otherwise(F.col("got")).alias("translation"))
 
 
-def model_facts(prompts: DataFrame, provider: Provider | None, system: str, keys: dict[str, str], callers: int = 2) -> dict[str, DataFrame]:
+def model_facts(prompts: DataFrame, provider: Provider | None, system: str, keys: dict[str, str], callers: int = 2, calls: Calls = Calls()) -> dict[str, DataFrame]:
     """Rows that a model finds: one table per key of its JSON reply, parsed with the key's schema; no rows for replies that do not parse.
 
     ``prompts``: (doc_id, prompt), each asked once for all keys.  ``keys``: key -> element schema, such as "method_name string, source_page int".
@@ -210,7 +173,7 @@ def model_facts(prompts: DataFrame, provider: Provider | None, system: str, keys
     if provider is None:
         told = prompts.select("doc_id", F.lit("").alias("reply"))
     else:
-        told = ask(prompts, provider, system, callers)
+        told = ask(prompts, provider, system, callers, calls)
     told = told.withColumn("json", T.json_object(F.col("reply")).cast("string"))
     listed = lambda schema: "array<struct<" + ", ".join(p.strip().replace(" ", ": ", 1) for p in schema.split(", ")) + ">>"
     return {key: told.select("doc_id", F.inline(F.from_json(F.get_json_object("json", f"$.{key}"), listed(schema)))) for key, schema in keys.items()}

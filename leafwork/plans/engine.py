@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import bibliography, blocks as B, facts, figures, report, sections, translation
 from ..sources.tables import raw_pages
-from ..streaming.jobs import MILESTONES
+from ..operators.replies import Calls
+from ..streaming.jobs import MILESTONES, translation_progress
 from ..tables import cut
 
 
@@ -38,6 +39,10 @@ class Corpus:
 Progress = Callable[[str, float], None]
 
 
+def calls_of(settings: Settings) -> Calls:
+    return Calls(settings.model, settings.timeout, settings.attempts, settings.stream, settings.max_output_tokens, settings.in_flight, settings.replies or None)
+
+
 def _silent(stage: str, progress: float) -> None:
     pass
 
@@ -67,14 +72,15 @@ def run_blocks(blocks: DataFrame, body: DataFrame, metadata=None, images=None, d
     at("parse")
     classified, info, paragraphs = parse(blocks, body, metadata)
     at("figures")
-    figs = cut(figures.extract(classified, images, drawings, files, renderer, zoom=settings.render_zoom))
+    figs = cut(figures.extract(classified, images, drawings, files, renderer, mime=settings.mime, zoom=settings.render_zoom, compress=settings.compress_images))
     paragraphs = cut(sections.merge_fragments(figures.mask_figure_text(paragraphs, figs)))
     at("probe")
-    failed = provider is not None and not translation.healthy(provider)
+    calls = calls_of(settings)
+    failed = provider is not None and not translation.healthy(provider, calls)
     provider = None if failed else provider
     at("translate")
     texts = cut(translation.items(info, paragraphs, figs))
-    done = translation.translate(translation.distinct_texts(texts), provider, settings.callers, settings.batch_items, settings.batch_chars, checked=True)
+    done = translation.translate(translation.distinct_texts(texts), provider, settings.callers, settings.batch_items, settings.batch_chars, checked=True, calls=calls, told=lambda done, total: progress("translate", translation_progress(done, total)))
     back = cut(translation.write_back(texts, done)).select("doc_id", "target", "target_id", "text_zh")
     pick = lambda target, key: back.where(F.col("target") == target).select("doc_id", F.col("target_id").alias(key), F.col("text_zh"))
     for name in ("title", "abstract"):
@@ -91,20 +97,25 @@ def run_blocks(blocks: DataFrame, body: DataFrame, metadata=None, images=None, d
         views, told = report.prompts(info, paragraphs, figs, settings.max_chars), {}
         for view, keys in facts.ASKED.items():
             wanted = {k: facts.schema_of(found[k]) if k in found else facts.LIMITATIONS for k in keys}
-            told |= translation.model_facts(views[view], provider, f"{QUESTION}: {wanted}", wanted, settings.callers)
+            told |= translation.model_facts(views[view], provider, f"{QUESTION}: {wanted}", wanted, settings.callers, calls)
         found = {name: facts.in_order(name, rows) for name, rows in facts.with_model(found, told).items()}
     said = [] if asks else ["facts come from patterns, not from a model"]
-    said += ["the model did not answer its health check and was not used"] * failed
+    said += [UNHEALTHY] * failed
     warnings = figs.where("warning <> ''").select("doc_id", F.concat_ws(": ", "figure_id", "warning").alias("warning"))
     for text in said:
         warnings = warnings.unionByName(info.select("doc_id", F.lit(text).alias("warning")))
     return Corpus(classified, info, paragraphs, figs, evidence, found, warnings.distinct())
 
 
+UNHEALTHY = "the model did not answer its health check and was not used"
 #: What a model is told before a text; the keys and fields of the reply follow.
 QUESTION = "Read the text of a paper and reply with one JSON object. Each key holds a list of objects with these fields; leave out what the text does not say"
 
 
+#: Fact tables that a spreadsheet holds, between the paper's data and its figures.
+SHEETS = ["device_performance", "stability_tests", "characterization_methods", "key_innovations"]
+
+
 def reports(corpus: Corpus, settings: Settings | None = None, provider: translation.Provider | None = None, progress: Progress = _silent) -> dict[str, DataFrame]:
     """The reports that the settings ask for, each a table of one row per document.  A provider writes the summaries that it answers."""
     settings = settings or Settings()
@@ -114,10 +125,10 @@ def reports(corpus: Corpus, settings: Settings | None = None, provider: translat
     progress("summary", MILESTONES["summary"])
     if settings.summary:
         out["summary"] = report.fallback_summary(corpus.info, corpus.facts)
-        if provider is not None and translation.healthy(provider):
+        if provider is not None and translation.healthy(provider, calls_of(settings)):
             brief = corpus.facts | {"figures": corpus.figures.select("doc_id", "figure_id", "page", "caption", "caption_zh")}
             views = report.prompts(corpus.info, corpus.paragraphs, corpus.figures)["summary"]
-            told = translation.ask(report.summary_prompts(corpus.info, report.nested_json(corpus.info, brief, warnings=corpus.warnings), views), provider, "summarise", settings.callers)
+            told = translation.ask(report.summary_prompts(corpus.info, report.nested_json(corpus.info, brief, warnings=corpus.warnings), views), provider, "summarise", settings.callers, calls_of(settings))
             out["summary"] = out["summary"].join(told, "doc_id", "left").select("doc_id", F.coalesce(translation.T.nullif(F.trim("reply")), F.col("summary")).alias("summary"))
     progress("write", MILESTONES["write"])
     if settings.markdown or settings.html:
@@ -130,5 +141,6 @@ def reports(corpus: Corpus, settings: Settings | None = None, provider: translat
     if settings.json:
         out["json"] = nested.select("doc_id", report.pretty_json(F.col("json")).alias("json"))
     if settings.xlsx:
-        out["xlsx"] = report.workbooks(nested)
+        sheets = {n: corpus.facts[n] for n in SHEETS if n in corpus.facts}
+        out["xlsx"] = report.workbooks(report.nested_json(corpus.info, sheets | {"figures": tables["figures"].withColumn("image", report.redacted(F.col("image")))}))
     return out

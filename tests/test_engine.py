@@ -143,7 +143,7 @@ def test_job_status(spark, tmp_path):
     for k in range(2):  # a later file changes one job; nothing is counted twice
         jobs.stream_status(tables.job_status(spark, str(tmp_path / "in"), True), str(tmp_path / "latest"), str(tmp_path / "cp"), once=True).awaitTermination(120)
         want = {"a": "completed", "b": "running" if k == 0 else "failed"}
-        assert {r["job_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "latest")).collect()} == want
+        assert {r["job_id"]: r["status"] for r in jobs.read_status(spark, str(tmp_path / "latest")).collect()} == want
         (tmp_path / "in/3.json").write_text(json.dumps(dict(job_id="b", status="failed", progress=0.5, updated_at=5.0)))
 
 

@@ -10,7 +10,7 @@ from leafwork import cli
 from leafwork.config import Settings, env_file, logger
 from leafwork.operators import bibliography, facts, figures, report, translation
 from leafwork.plans import engine
-from leafwork.sources import sinks, tables
+from leafwork.sources import documents, sinks, tables
 from leafwork.streaming import jobs
 
 from .test_operators import layout
@@ -60,7 +60,8 @@ def test_a_model_answers_for_facts_and_summary(spark):
     out = engine.reports(corpus, settings, Model(), lambda stage, p: told.append((stage, p)))
     assert out["summary"].first()["summary"] == "# A summary"
     assert json.loads(out["json"].first()["json"])["limitations"][0]["limitation"] == "small cells"
-    assert told == [(s, jobs.MILESTONES[s]) for s in ("parse", "figures", "probe", "translate", "extract", "summary", "write")]
+    assert all(0.45 <= p <= 0.62 for s, p in told if s == "translate" and p != jobs.MILESTONES[s]) and len(told) > 7
+    assert [(s, p) for s, p in told if p == jobs.MILESTONES[s]] == [(s, jobs.MILESTONES[s]) for s in ("parse", "figures", "probe", "translate", "extract", "summary", "write")]
 
 
 def test_a_model_that_fails_its_check_is_not_called_again(spark, tmp_path):
@@ -156,9 +157,9 @@ def test_legends_are_not_cut(spark):
 def test_command_line(spark, sf, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 5")
     docs.write.parquet(str(tmp_path / "docs"))
-    got = cli.main(["--text", "--output", str(tmp_path / "out"), "--json", "--no-summary"], ask=lambda _: f"'{tmp_path}/docs'", spark=spark)
+    got = cli.run(["--text", "--output", str(tmp_path / "out"), "--json", "--no-summary"], ask=lambda _: f"'{tmp_path}/docs'", spark=spark)
     assert set(got["paths"]) == {"markdown", "json"} and json.loads(sinks.serialized(got))["output_dir"] == str(tmp_path / "out")
-    assert spark.read.parquet(got["paths"]["json"]).count() == docs.count()
+    assert documents.read_documents(spark, got["paths"]["json"]).count() == docs.count()
     status = jobs.latest_status(tables.job_status(spark, str(tmp_path / "out/status"))).collect()
     assert [(r["status"], r["progress"]) for r in status] == [("completed", 1.0)]
     assert cli.settings_of(cli.parser().parse_args(["x", "--html"]), {"LEAFWORK_XLSX": "1"}).xlsx
