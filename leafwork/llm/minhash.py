@@ -11,13 +11,13 @@ from __future__ import annotations
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, passes
+from .common import bit_filter, cut, drop, passes
 from .simhash import components
 
 FUNCTIONS, BAND = 128, 6
@@ -89,93 +89,109 @@ def _bounds(ids: DataFrame, parts: int) -> np.ndarray:
     return np.unique(np.array(found, float))
 
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs_per_partition: int = 4) -> DataFrame:
-    """One row per document: doc_id, same, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    jaccard_edited, jaccard_next.
+def with_edits(docs: DataFrame, classes: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", runs_per_partition: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    jaccard_edited, jaccard_next, class_id.
 
     Each document is compared with its edited text, whose last quarter is the head of the next document, and with the next
     document itself, by ascending doc_id, a null one first, and rows of one id by the hash of their text; after the last
-    comes the first.  ``same`` is a hash of the text.  Null texts count as empty, and texts without words are alike.  Repeated rows
-    are documents each.  An empty table gives no rows; other columns are ignored.
+    comes the first.  ``class_id`` is what ``classes`` (same, class_id; see ``near_copies``) has for the text, else the doc_id itself.
+    Null texts count as empty, and texts without words are alike.  Repeated rows are documents each.  An empty table gives no
+    rows; other columns are ignored.
 
-    The ids are cut into runs of about equal size; texts move once, to their run, and go through a task in order, two at a time.  The first
-    text of each run goes to the run before it as well.
+    The ids are cut into runs of about equal size; texts move once, compressed, to their run, and go through a task in order, two at
+    a time.  The first text of each run goes to the run before it as well, and classes go to the run of their document.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.withColumn("same", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).withColumn("same", F.xxhash64("text"))
     bounds = spark.sparkContext.broadcast(_bounds(rows.select("doc_id"), runs_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    told = rows.select("doc_id", "same", "text", F.lit(None).cast("long").alias("class_id"), F.lit(1).alias("kind"))
+    if classes is not None:
+        named = rows.select("doc_id", "same").join(classes, "same")
+        told = told.unionByName(named.select("doc_id", "same", F.lit(None).cast("binary").alias("text"), "class_id", F.lit(0).alias("kind")))
 
-    @F.pandas_udf("int")
-    def run_of(ids):
-        return pd.Series(np.searchsorted(bounds.value, ids.astype("float64").fillna(-np.inf), side="right"))
-
-    rows = rows.withColumn("run", run_of("doc_id"))
-    heads = rows.groupBy("run").agg(F.min_by("text", F.struct("doc_id", "same")).alias("text"))
-    heads = cut(heads)
+    def deal(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            ids = b.column(0).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            run = pa.array(np.searchsorted(bounds.value, ids, side="right").astype(np.int32))
+            text = pa.array([None if t is None else pack(t) for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([run, *b.columns[:2], text, *b.columns[3:]], ["run", "doc_id", "same", "text", "class_id", "kind"])
+
+    kind = "run int, doc_id long, same long, text binary, class_id long, kind int"
+    dealt = told.mapInArrow(deal, kind)
+    firsts = rows.select("doc_id", "same", "text", F.lit(None).cast("long").alias("class_id"), F.lit(2).alias("kind")).mapInArrow(deal, kind)
+    heads = cut(firsts.groupBy("run").agg(F.min_by("text", F.struct("doc_id", "same")).alias("text")))
     last = heads.agg(F.max("run")).first()[0]
     before = F.coalesce(F.lag("run").over(Window.orderBy("run")), F.lit(last))  # of as many rows as there are runs
-    heads = heads.join(heads.select("run", before.alias("before")), "run").select(F.col("before").alias("run"), "text")
+    heads = heads.join(heads.select("run", before.alias("before")), "run")
     none = F.lit(None).cast("long")
-    rows = rows.withColumn("head", F.lit(False)).unionByName(heads.select("run", none.alias("doc_id"), none.alias("same"), "text", F.lit(True).alias("head")))
-    return _compared(rows.repartition("run").sortWithinPartitions("run", "head", "doc_id", "same"))
+    dealt = dealt.unionByName(heads.select(F.col("before").alias("run"), none.alias("doc_id"), none.alias("same"), "text", none.alias("class_id"), F.lit(2).alias("kind")))
+    return _compared(dealt.repartition("run").sortWithinPartitions("run", F.col("kind") == 2, "doc_id", "same", "kind"))
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Each row (doc_id, same, text) that is no head against the one after it."""
-    kind = "doc_id long, same long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
+    """Each text against the one after it; a run ends in the first text of the next one, and a class comes before its text."""
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double, class_id long"
     names = [p.split()[0] for p in kind.split(", ")]
+    as_rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "fingerprint" in n or n == "edited_sha256" else pa.float64() if "_" in n and n.split("_")[0] in ("near", "jaccard") else pa.int64()) for c, n in zip(zip(*out), names)], names)
 
     def run(batches):
-        sketch, held, out = Sketcher(), None, []
+        sketch, unpack, held, out, known = Sketcher(), zstandard.ZstdDecompressor().decompress, None, [], (None, None, None)
         for b in batches:
-            for doc_id, same, raw, head in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, same, raw, class_id, what in zip(*(c.to_pylist() for c in b.columns)):
+                if what == 0:
+                    known = (doc_id, same, class_id)
+                    continue
+                raw = unpack(raw)
                 own = sketch.shingles(raw)
-                now = (doc_id, same, raw.decode("utf-8", "replace"), own, sketch.signature(own), head)
+                now = (doc_id, raw.decode("utf-8", "replace"), own, sketch.signature(own), known[2] if known[:2] == (doc_id, same) and known[2] is not None else doc_id, what == 2)
                 if held is not None and not held[-1]:
                     out.append(_against(sketch, held, now))
                 held = now
                 if len(out) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+                    yield as_rows(out)
                     out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+            yield as_rows(out)
 
-    return rows.select("doc_id", "same", "text", "head").mapInArrow(run, kind)
+    return rows.select("doc_id", "same", "text", "class_id", "kind").mapInArrow(run, kind)
 
 
 def _against(sketch: Sketcher, this: tuple, after: tuple) -> tuple:
-    doc_id, same, text, own, signature, _ = this
-    new = edited(text, after[2])
+    doc_id, text, own, signature, class_id, _ = this
+    new = edited(text, after[1])
     data = new.encode()
     other = sketch.shingles(data)
     changed = sketch.signature(other)
     return (
-        doc_id, same, len(text), sha256(data).hexdigest(), as_text(signature), as_text(changed),
-        likeness(signature, changed), likeness(signature, after[4]), jaccard(own, other), jaccard(own, after[3]),
+        doc_id, len(text), sha256(data).hexdigest(), as_text(signature), as_text(changed),
+        likeness(signature, changed), likeness(signature, after[3]), jaccard(own, other), jaccard(own, after[2]), class_id,
     )
 
 
 def bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: int = BAND) -> DataFrame:
-    """(key, band, same, doc_id, copies): for every band of every text the key of its values, with the smallest id of equal texts and
-    their number; rows without an id are left out."""
+    """(key, same): for every band of every text the key of its values, once for equal texts; rows without an id are left out."""
     def run(batches):
         sketch = Sketcher()
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
-                signs = np.stack([sketch.signature(sketch.shingles(t)) for t in part.column(2).to_pylist()])
+            same, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            for at in np.array_split(first, len(first) // 1024 + 1):
+                signs = np.array([sketch.signature(sketch.shingles(b.column(1)[i].as_py())) for i in at.tolist()]).reshape(len(at), -1)
                 count = signs.shape[1] // band
-                keys = [xxhash.xxh64_intdigest(signs[i, j * band : (j + 1) * band].tobytes(), j) for i in range(len(signs)) for j in range(count)]
-                take = pa.array(np.repeat(np.arange(len(signs)), count))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.tile(np.arange(count), len(signs)), pa.int32()), part.column(1).take(take), part.column(0).take(take)], ["key", "band", "same", "doc_id"])
+                keys = [xxhash.xxh64_intdigest(s[j * band : (j + 1) * band].tobytes(), j) for s in signs for j in range(count)]
+                own = b.column(0).take(pa.array(np.repeat(at, count)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), own], ["key", "same"])
+
+    return _texts(docs, id_col, text_col).select("same", "text").mapInArrow(run, "key long, same long").distinct()
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("doc_id is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, "key long, band int, same long, doc_id long")
-    return rows.groupBy("key", "band", "same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("same", F.xxhash64("text"))
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = BAND, leaders: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = BAND, leaders: int = 1) -> DataFrame:
     """(same, class_id) of all texts that have a copy or near copy: ``same`` is the hash of the text (xxhash64), class_id the smallest
     id of the rows whose texts verified links connect.  Null texts count as empty, texts without words are copies of each other's
     shingles, and rows without an id take no part.  An empty table gives no rows.
@@ -184,11 +200,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     leaders) are compared with the others; texts that become connected are not compared again, and what is left goes on with
     twice as many leaders, until every two texts of a bucket are connected or compared.
     """
-    found = cut(bands(docs, id_col, text_col, band))
-    many = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    open_ = cut(found.join(many, "key").select("key", "same", "doc_id"))
-    names = cut(open_.groupBy("same").agg(F.min("doc_id").alias("doc_id")))
-    texts = _candidates(docs, names.select("same"), text_col)
+    ids = _texts(docs, id_col, text_col).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    shared = bands(docs, id_col, text_col, band).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    open_ = cut(shared.select("key", "same"))
+    names = cut(open_.select("same").distinct())
+    texts = _candidates(docs, names, text_col)
     labels, edges, begin = names.select("same", F.col("same").alias("component")), None, 0
     while True:
         rows = open_.join(labels, "same")
@@ -202,12 +218,14 @@ def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
         new = cut(_verified(pairs, texts, least))
         edges = new if edges is None else cut(edges.unionByName(new))
         linked = components(edges)
-        labels = cut(names.select("same").join(linked.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("component", "same").alias("component")))
+        labels = cut(names.join(linked.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("component", "same").alias("component")))
         begin, leaders = begin + leaders, 2 * leaders
-    classes = labels.join(names, "same").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = labels.join(classes, "component").select("same", "class_id")
-    copies = found.where("band = 0 and copies > 1").select("same", F.col("doc_id").alias("class_id"))
-    return near.unionByName(copies.join(near, "same", "left_anti"))
+    ids = ids.join(labels, "same", "left").withColumn("component", F.coalesce("component", "same"))
+    classes = ids.where("copies > 1 or component <> same").select("component").union(labels.where("component <> same").select("component")).distinct()
+    ids = cut(ids.join(classes, "component", "left_semi").select("same", "component", "doc_id"))
+    out = cut(ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("same", "class_id"))
+    drop(open_, texts)
+    return out
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame, text_col: str, log_bits: int = 27) -> DataFrame:
@@ -217,19 +235,24 @@ def _candidates(docs: DataFrame, wanted: DataFrame, text_col: str, log_bits: int
     def run(batches):
         sketch = Sketcher()
         for b in batches:
-            at = np.flatnonzero(passes(b.column(0).to_numpy().view(np.uint64), bits.value, log_bits))
+            same = b.column(0).to_numpy()
+            _, first = np.unique(same, return_index=True)
+            at = first[passes(same[first].view(np.uint64), bits.value, log_bits)]
             for i in np.array_split(at, len(at) // 1024 + 1):
-                part = b.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch.shingles(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["same", "shingles"])
+                own = [sketch.shingles(b.column(1)[j].as_py()).view(np.int64) for j in i.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(own, pa.list_(pa.int64()))], ["same", "shingles"])
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(run, "same long, shingles array<long>")
-    return cut(rows.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles")))
+    return cut(rows.join(wanted, "same", "left_semi").dropDuplicates(["same"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingles have a Jaccard similarity of ``least`` or more."""
-    both = pairs.join(texts.select(F.col("same").alias("u"), F.col("shingles").alias("a")), "u").join(texts.select(F.col("same").alias("v"), F.col("shingles").alias("b")), "v")
+    """The pairs (u, v) whose shingles have a Jaccard similarity of ``least`` or more.  The shingles of v travel to those of u,
+    which are few, as they are leaders."""
+    left = pairs.join(texts.select(F.col("same").alias("v"), F.col("shingles").alias("b")), "v")
+    right = texts.join(pairs.select(F.col("u").alias("same")).distinct(), "same", "left_semi").select(F.col("same").alias("u"), F.col("shingles").alias("a"))
+    both = left.join(right, "u")
     shared = F.size(F.array_intersect("a", "b"))
     likeness = F.when((F.size("a") == 0) & (F.size("b") == 0), 1.0).otherwise(shared / (F.size("a") + F.size("b") - shared))
     return both.where(likeness >= least).select("u", "v")

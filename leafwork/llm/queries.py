@@ -79,9 +79,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with the class of near copies that each document is in."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = minhash.near_copies(docs, least=0.8)
-    out = minhash.with_edits(docs).join(classes, "same", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "jaccard_edited", "jaccard_next", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return minhash.with_edits(docs, minhash.near_copies(docs, least=0.8))
 
 
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
