@@ -208,9 +208,9 @@ def ask(prompts: DataFrame, provider: Provider, system: str, callers: int = 2, c
         table = _table(spark, calls.store)
         if table.pointer()["schema"] is not None:
             rows = cut(rows)
-            told = table.read().select("digest", "reply").join(rows.select("digest").distinct(), "digest", "left_semi")
-            known = rows.join(told, "digest").select(*keys, F.col("reply").alias(out))
-            rows = rows.join(told.select("digest"), "digest", "left_anti")
+            held = table.read().select("digest", "reply").join(rows.select("digest").distinct(), "digest", "left_semi")
+            known = rows.join(held, "digest").select(*keys, F.col("reply").alias(out))
+            rows = rows.join(held.select("digest"), "digest", "left_anti")
 
     spark_count = spark.sparkContext.accumulator(0)
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from logging import Logger
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, logger
@@ -95,3 +95,13 @@ def job(rows: DataFrame, out: str, status: str, job_id: str | None = None, **opt
     """``process`` as one job, whose records go to the folder ``status``."""
     tell = jobs.reporter(rows.sparkSession, status, job_id or uuid.uuid4().hex)
     return process(rows, out, progress=tell, **options)
+
+
+def follow_jobs(spark: SparkSession, status: str, table: str, checkpoint: str, settings: Settings | None = None, once: bool = False):
+    """Keep the table of all jobs' states from the records in a folder; a job without a record for ``settings.silence`` seconds turns failed."""
+    settings = settings or Settings()
+    return jobs.stream_status(records_of(spark, status), table, checkpoint, once=once, silence=settings.silence)
+
+
+def records_of(spark: SparkSession, status: str) -> DataFrame:
+    return spark.readStream.schema(jobs.RECORD).json(status)

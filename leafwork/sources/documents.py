@@ -7,6 +7,7 @@ run (second phase).  A task that is killed leaves only staging behind, which no
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -95,7 +96,7 @@ class NamedFiles(DataSource):
 def file_names(title: str | F.Column, doc_id: F.Column, ending: str) -> F.Column:
     """The slug of a title and eight digits of the id's hash, so that equal titles stay apart; long slugs are cut at 80 characters."""
     key = F.substring(F.sha2(doc_id.cast("string").cast("binary"), 256), 1, 8)
-    return F.concat(F.left(T.safe_slug(F.col(title) if isinstance(title, str) else title), F.lit(80)), F.lit("_"), key, F.lit(ending))
+    return F.concat(F.left(T.safe_slug(F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))), F.lit(80)), F.lit("_"), key, F.lit(ending))
 
 
 def write_documents(rows: DataFrame, content: str, path: str, title: F.Column | str | None = None, ending: str = ".txt", buckets: int = 64, append: bool = False) -> str:
@@ -122,8 +123,6 @@ def write_documents(rows: DataFrame, content: str, path: str, title: F.Column |
 
 
 def _publish(folder: Folder, run: str, append: bool) -> None:
-    import json
-
     old = json.loads(folder.read(POINTER))["runs"] if folder.exists(POINTER) else []
     folder.swap(POINTER, json.dumps({"runs": [*old, run] if append else [run]}))
     if not append:
@@ -132,9 +131,7 @@ def _publish(folder: Folder, run: str, append: bool) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, content) of the files that count."""
-    import json
-
+    """(name, path, content) of the files that count; Spark passes over empty ones."""
     folder = Folder(spark, path)
     runs = json.loads(folder.read(POINTER))["runs"]
     have = [r for r in runs if folder.exists(f"run-{r}")]

@@ -26,6 +26,9 @@ class Folder:
         self.spark, self.path = spark, path.rstrip("/")
         self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path().getFileSystem(self.conf)
+        self.local = self.fs.getUri().getScheme() == "file"
+        if self.local:
+            self.fs = self.jvm.org.apache.hadoop.fs.FileSystem.getLocal(self.conf).getRaw()  # without checksum files beside the pointer, which no rename could swap together with it
 
     def _path(self, name: str = ""):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -49,6 +52,10 @@ class Folder:
         stream = self.fs.create(self._path(fresh), True)
         stream.write(text.encode())
         stream.close()
+        if self.local:
+            if not self.fs.rename(self._path(fresh), self._path(name)):
+                raise OSError(f"could not rename {fresh}")
+            return
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
         how[0] = rename.OVERWRITE
