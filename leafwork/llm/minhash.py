@@ -24,25 +24,29 @@ FUNCTIONS, BAND = 128, 6
 EMPTY = 0xFFFFFFFF  # what every function has for a text without words
 
 
+class _Words(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Sketcher:
     """Shingles and signatures of texts, with the hashes of words seen last."""
 
     def __init__(self, functions: int = FUNCTIONS, width: int = 5, seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.a = draw.integers(0, 1 << 63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = draw.integers(0, 1 << 63, functions, np.uint64)
-        self.width, self.words = width, {}
+        self.a = draw.integers(0, 1 << 31, functions, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = draw.integers(0, 1 << 32, functions, np.uint32)
+        self.width, self.words = width, _Words()
 
     def shingles(self, text: bytes) -> np.ndarray:
         """The distinct shingles of a text as sorted 64-bit hashes."""
         words = text.lower().split()  # of bytes, so that only A-Z change
         if len(self.words) > 1 << 20:
-            self.words = {}
-        known = self.words
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+            self.words.clear()
+        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         n, width = len(h), min(self.width, len(h))
         if not n:
             return h
@@ -53,12 +57,12 @@ class Sketcher:
         return np.unique(out * u(0xBF58476D1CE4E5B9))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """Each function's least value: (a x + b) mod 2^64, of which the upper half counts, x being the upper half of a shingle."""
-        out = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        x = shingles >> np.uint64(32)
-        for i in range(0, len(x), 2048):
-            out = np.minimum(out, (self.a[:, None] * x[None, i : i + 2048] + self.b[:, None]).min(axis=1))
-        return (out >> np.uint64(32)).astype(np.uint32)
+        """Each function's least value: a x + b mod 2^32, a permutation as a is odd, x being the upper half of a shingle."""
+        out = np.full(len(self.a), EMPTY, np.uint32)
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(x), 4096):
+            out = np.minimum(out, (self.a[:, None] * x[None, i : i + 4096] + self.b[:, None]).min(axis=1))
+        return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -68,7 +72,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets of shingles; texts without words are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
