@@ -1,15 +1,13 @@
 """Measured facts with their evidence sentences.
 
-Patterns need match offsets, which no built-in function gives, so one Arrow stage turns each text into rows of
-matches with the sentence around each; all rules, labels and dedupe steps after it are built-in expressions.
+All of it is built-in expressions: where a match starts is a sum of lengths, and its sentence is cut from the text around that place.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,87 +31,123 @@ GATES = {
     "pce": [fixed.EFFICIENCY, ["%"]], "pce_reverse": [["%"], fixed.EFFICIENCY], "stability": [fixed.RETAINED, ["%"], fixed.SPANS],
     "stability_reverse": [fixed.SPANS, fixed.RETAINED, ["%"]], "loss": [fixed.SPANS, fixed.LOST, ["%"]],
 }
-_compiled = [(name, re.compile(p, re.I), groups, [[w.casefold() for w in ws] for ws in GATES[name]]) for name, (p, groups) in PATTERNS.items()]
-_stop = re.compile(fixed.SENTENCE_END)
 
 
-def sentence_ends(text: str) -> list[int]:
-    return [m.end() for m in _stop.finditer(text)]
+def _gate(name: str) -> str:
+    """A pattern for lower-cased texts in which the words of a gate stand in order; possessive, so that it never goes back."""
+    word = lambda ws: any_of([w.lower() for w in ws])
+    return "(?s)^" + "".join(f"(?>.*?{word(ws)})" for ws in GATES[name])
 
 
-def sentence_around(text: str, pos: int, reach: int = 320, short: int = 40, more: int = 160, ends: list[int] | None = None) -> str:
-    """The sentence that holds a position: between sentence ends or blank lines, not longer than ``reach`` without an end.
+#: An end of a sentence, tested for only at characters that may be one; up to the next, the next that is no blank line, the last.
+_end, _end_in_line = rf"(?=[.!?\n。！？])(?:{fixed.SENTENCE_END})", rf"(?=[.!?。！？])(?:{fixed.SENTENCE_END})"
+_to_next, _to_next_in_line, _to_last = rf"(?s)^.*?{_end}", rf"(?s)^.*?{_end_in_line}", rf"(?s)^.*{_end}"
+
+
+def sentence_around(text: Column, pos: Column, reach: int = 320, short: int = 40, more: int = 160, cut_before: Column | None = None, cut_after: Column | None = None) -> Column:
+    """The sentence that holds a position (from 0): between sentence ends or blank lines, not longer than ``reach`` without an end.
 
     A sentence under ``short`` characters takes the next one with it if that ends within ``more``.  A period
-    between digits is a decimal point (X9).  ``ends``: those of the text, where many positions of it are asked for.
+    between digits is a decimal point (X9).  Where the text is part of a longer one (``cut_before``, ``cut_after``) and the
+    sentence may begin or end outside of it, the result is null.
     """
-    pos = max(pos, 0)
-    ends = sentence_ends(text[: pos + 2]) if ends is None else ends
-    before = bisect_right(ends, pos)
-    start = ends[before - 1] if before else 0
-    last = _stop.search(text, pos)
-    end = min(len(text), pos + reach) if last is None else last.start() if last[0] == "\n\n" else last.end()
-    out = text[start:end].strip(" .;")
-    if len(out) < short and end < len(text):
-        after = next((m for m in _stop.finditer(text, end, end + more + 2) if m[0] != "\n\n"), None)
-        if after and after.start() < end + more:
-            out = text[start : after.end()].strip(" .;")
-    return out
+    def ends(s):
+        text, pos = s["text"], s["pos"]
+        start = F.length(F.regexp_extract(F.substr(text, F.lit(1), pos + 1), _to_last, 0))
+        unknown = s["cut_before"] & (start <= 1)
+        return F.when(~unknown, T.bound(F.struct(text.alias("text"), pos.alias("pos"), F.least(start, pos).alias("start"), F.regexp_extract(F.substr(text, pos + 1), _to_next, 0).alias("ahead"), s["cut_after"].alias("cut_after")), cut))
+
+    def cut(s):
+        text, pos, ahead = s["text"], s["pos"], s["ahead"]
+        stop = pos + F.length(ahead)
+        end = F.when(ahead == "", F.least(F.length(text), pos + reach)).when(F.endswith(ahead, F.lit("\n\n")), stop - 2).otherwise(stop)
+        unknown = s["cut_after"] & ((ahead == "") | (end + more + 2 > F.length(text)))
+        return F.when(~unknown, T.bound(F.struct(text.alias("text"), s["start"].alias("start"), end.alias("end"), F.btrim(F.substr(text, s["start"] + 1, end - s["start"]), F.lit(" .;")).alias("out")), longer))
+
+    def longer(s):
+        text, start, end, out = s["text"], s["start"], s["end"], s["out"]
+        extra = lambda: F.length(F.regexp_extract(F.substr(text, end + 1, F.lit(more + 2)), _to_next_in_line, 0))
+        takes = (F.length(out) < short) & (end < F.length(text))
+        more_of = lambda n: F.when((n > 0) & (n <= more), F.btrim(F.substr(text, start + 1, end - start + n), F.lit(" .;"))).otherwise(out)
+        return F.when(takes, T.bound(extra(), more_of)).otherwise(out)
+
+    no = F.lit(False)
+    told = {"text": text, "pos": F.greatest(pos.cast("int"), F.lit(0)), "cut_before": no if cut_before is None else cut_before, "cut_after": no if cut_after is None else cut_after}
+    return T.bound(F.struct(*[c.alias(n) for n, c in told.items()]), ends)
+
+
+def with_sentences(text: Column, found: Column, block: int = 4096) -> Column:
+    """Add ``sentence`` to each of an array of matches with a start.
+
+    Texts of more than three blocks are cut into blocks once, and a match is looked at within its own block and those beside
+    it, so that the work grows with the text and not with its square; only a sentence that passes these is cut from the whole text.
+    """
+    def of(s):
+        text, blocks = s["text"], s["blocks"]
+
+        def near(m):
+            at = F.floor(m["start"] / block).cast("int")
+            first = F.greatest(at - 1, F.lit(0))
+            part = F.array_join(F.slice(blocks, first + 1, at - first + 2), "")
+            return F.coalesce(sentence_around(part, m["start"] - first * block, cut_before=first > 0, cut_after=at + 2 < F.size(blocks)), sentence_around(text, m["start"]))
+
+        sentence = lambda m: F.when(F.size(blocks) == 0, sentence_around(text, m["start"])).otherwise(near(m))
+        return F.transform(s["found"], lambda m: m.withField("sentence", sentence(m)))
+
+    n = F.ceil(F.length(text) / block).cast("int")
+    blocks = F.when(n > 3, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(text, i * block + 1, F.lit(block)))).otherwise(F.array().cast("array<string>"))
+    return T.bound(F.struct(text.alias("text"), blocks.alias("blocks"), found.alias("found")), of)
 
 
-def _in_order(low: str, gates: list[list[str]]) -> bool:
-    """Whether a word of each list stands in the text, each after the one before."""
-    at = 0
-    for words in gates:
-        found = [i for w in words if (i := low.find(w, at)) >= 0]
-        if not found:
-            return False
-        at = min(found) + 1
-    return True
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, found>> of all matches of a pattern that matches no empty text.
 
+    A single match starts where its text first stands, as the pattern would match there too.  Of several, they and the pieces
+    between them cut the text up, so where one starts is the sum of the lengths before it; matches are replaced by a mark and
+    the text is split there, as splitting by the pattern would compile it for every row.
+    """
+    kind = "array<struct<start:int,found:string>>"
+
+    def of(found):
+        one = F.array(F.struct((F.position(found[0], text) - 1).alias("start"), found[0].alias("found")))
+        pieces = F.split(F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit("\x02")), pattern, "\x01"), "\x01", -1)
+        many = T.bound(F.struct(found.alias("found"), pieces.alias("pieces")), starts)
+        return F.when(F.size(found) == 0, F.array().cast(kind)).when(F.size(found) == 1, one).otherwise(many)
+
+    def starts(s):
+        lengths = F.zip_with(F.slice(s["pieces"], F.lit(1), F.size(s["found"])), s["found"], lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+        zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+        add = lambda a, x: F.struct(F.array_append(a["starts"], a["at"] + x["p"]).alias("starts"), (a["at"] + x["p"] + x["m"]).alias("at"))
+        return F.arrays_zip(F.aggregate(lengths, zero, add, lambda a: a["starts"]).alias("start"), s["found"].alias("found"))
+
+    return T.bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
-def _text_matches(text: str):
-    """Tuples (pattern, start, qualifier, number, count, unit, sentence) of one text; sentence ends are looked for once."""
-    if "%" not in text:
-        return
-    low, ends = text.casefold(), None
-    for name, pattern, groups, gates in _compiled:
-        if _in_order(low, gates):
-            for m in pattern.finditer(text):
-                ends = sentence_ends(text) if ends is None else ends
-                yield (name, m.start(), *[m[g] if g else None for g in groups], sentence_around(text, m.start(), ends=ends))
 
+#: The patterns that each table of facts is made from.
+DEVICE_PATTERNS, STABILITY_PATTERNS = ("pce", "pce_reverse"), ("stability", "stability_reverse", "loss")
 
-def matches(evidence: DataFrame) -> DataFrame:
+
+def matches(evidence: DataFrame, names: tuple[str, ...] = (*DEVICE_PATTERNS, *STABILITY_PATTERNS)) -> DataFrame:
     """Evidence rows (doc_id, item, page, section, figure_id, text) as rows of matches: pattern, start, qualifier, number, count, unit, sentence."""
     carried = ["doc_id", "item", "page", "section", "figure_id"]
-    names = [*carried, "pattern", "start", "qualifier", "number", "count", "unit", "sentence"]
+    text = F.col("text")
+    rows = spread(evidence.where(F.contains(text, F.lit("%"))).where(T.mentions(text, [*fixed.EFFICIENCY, *fixed.RETAINED, *fixed.LOST])).select(*carried, "text"))
+    empty = F.array().cast("array<struct<pattern:string,start:int,qualifier:string,number:string,count:string,unit:string>>")
 
-    def run(batches):
-        for b in batches:
-            at, found = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for row in _text_matches(text):
-                    at.append(i)
-                    found.append(row)
-            kept = [b.column(c).take(pa.array(at, pa.int64())) for c in carried]
-            new = list(zip(*found)) if found else [()] * 7
-            types = [pa.string(), pa.int32(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, t) for v, t in zip(new, types)]], names)
+    def of(name: str) -> Column:
+        pattern, groups = T.rx(PATTERNS[name][0]), PATTERNS[name][1]
+        group = lambda m, g: F.nullif(F.regexp_extract(m, pattern, g), F.lit("")) if g else F.lit(None).cast("string")
+        row = lambda m: F.struct(F.lit(name).alias("pattern"), m["start"].alias("start"), *[group(m["found"], g).alias(c) for g, c in zip(groups, ("qualifier", "number", "count", "unit"))])
+        return F.when(F.regexp_like(F.col("_low"), F.lit(_gate(name))), F.transform(spans(text, pattern), row)).otherwise(empty)
 
-    kinds = "doc_id long, item long, page int, section string, figure_id string, pattern string, start int, qualifier string, number string, count string, unit string, sentence string"
-    told = evidence.where(F.contains("text", F.lit("%"))).where(T.mentions(F.col("text"), [*fixed.EFFICIENCY, *fixed.RETAINED, *fixed.LOST]))
-    return spread(told.select(*carried, "text")).mapInArrow(run, kinds)
+    each = [of(name) for name in PATTERNS if name in names]
+    rows = rows.withColumn("_low", F.lower("text"))
+    return rows.select(*carried, F.explode(with_sentences(text, F.concat(*each))).alias("m")).select(*carried, "m.*")
 
 
 def first_sentences(evidence: DataFrame) -> DataFrame:
     """Evidence with ``sentence``, the first sentence of each text."""
-
-    @F.pandas_udf("string")
-    def first(texts):
-        return texts.map(lambda t: sentence_around(t or "", 0, ends=[]))
-
-    return evidence.withColumn("sentence", first("text"))
+    return evidence.withColumn("sentence", sentence_around(F.coalesce("text", F.lit("")), F.lit(0)))
 
 
 def evidence(info: DataFrame, paragraphs: DataFrame, figures: DataFrame, captions_twice: bool = False) -> DataFrame:
@@ -169,7 +203,7 @@ def _order() -> list[Column]:
 def device_performance(found: DataFrame) -> DataFrame:
     """Efficiencies with the voltage, current, fill factor and area of their sentence."""
     s = F.col("sentence")
-    rows = found.where(F.col("pattern").isin("pce", "pce_reverse"))
+    rows = found.where(F.col("pattern").isin(*DEVICE_PATTERNS))
     rows = rows.where(~rules.is_stability_sentence(s) & ~rules.is_other_work(s, F.col("page")) & ~rules.is_retention(s) & ~rules.is_environment(s))
     rows = rows.withColumn("n", T.operator_number(F.col("number")))
     said = F.when(F.col("qualifier").isNotNull(), F.col("qualifier")).when(T.has(s, r"\bchampion\b"), "champion").when(T.has(s, r"\bcertified\b"), "certified").when(T.has(s, r"\bsteady[- ]state\b"), "steady-state").otherwise("")
@@ -195,7 +229,7 @@ def stability_tests(found: DataFrame, compat: bool = False) -> DataFrame:
     ``compat`` leaves losses without a number and ignores cycles when rows are deduplicated.
     """
     s, unit = F.col("sentence"), F.lower("unit")
-    rows = found.where(F.col("pattern").isin("stability", "stability_reverse", "loss")).withColumn("n", T.operator_number(F.col("number")))
+    rows = found.where(F.col("pattern").isin(*STABILITY_PATTERNS)).withColumn("n", T.operator_number(F.col("number")))
     lost = F.col("pattern") == "loss"
     loss = F.when(lost, F.lit(None).cast("double") if compat else F.col("n.value"))
     kept = F.when(lost, F.bround(100 - loss, 3)).otherwise(F.col("n.value"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from leafwork import fixed
 from leafwork.functions import geometry as G, rules, text as T
 from leafwork.operators import report, translation
-from leafwork.operators.facts import sentence_around
 
+from .plain_facts import sentence_around
 
 @pytest.fixture(scope="module")
 def column(spark):
