@@ -119,6 +119,16 @@ class Layout:
         self.base = np.cumsum([0, *[len(e) + 1 for e in self.edges]])
         self.inner = choose_pivots(sample, 32)  # for the finer annuli of one task
 
+    def parts(self) -> tuple:
+        """Plain arrays, which go to tasks that may not have this package on their path."""
+        return self.pivots, self.edges, self.base, self.inner
+
+    @classmethod
+    def of(cls, parts: tuple) -> "Layout":
+        out = cls.__new__(cls)
+        out.pivots, out.edges, out.base, out.inner = parts
+        return out
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = _distances(x, self.pivots)
         return d.argmin(axis=1), d.min(axis=1)
@@ -165,10 +175,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     known = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(sample_rows).select("vec_id", "x").toArrow()
     sample_ids, sample = known["vec_id"].to_numpy(), _matrix(known["x"], dim)
     layout = Layout(sample, pivots, min(max_cells, -(-n // cell_rows)))
-    sent = spark.sparkContext.broadcast((layout, sample_ids, sample))
+    sent = spark.sparkContext.broadcast((layout.parts(), sample_ids, sample))
 
     def key(batches):
-        layout = sent.value[0]
+        layout = Layout.of(sent.value[0])
         for b in batches:
             x = _matrix(pa.chunked_array([b.column(1)]), dim)
             near, dist = layout.nearest(x)
@@ -184,7 +194,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         """Results of the annulus with the best bound or, after that, of all others that can matter."""
 
         def route(batches):
-            layout, sample_ids, sample = sent.value
+            plain, sample_ids, sample = sent.value
+            layout = Layout.of(plain)
             cell, parts, lo, hi, top = cells_sent.value
             for b in batches:
                 for i in range(0, len(b), step := max(1, (1 << 21) // max(len(cell), len(sample)))):
@@ -209,7 +220,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
             found = (np.empty(0, np.int64),) * 3
             if rows.num_rows and queries.num_rows:
-                found = search_slice(queries["query_id"].to_numpy(), _matrix(queries["x"], dim), queries["least"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["x"], dim), sent.value[0].inner, k, safe)
+                found = search_slice(queries["query_id"].to_numpy(), _matrix(queries["x"], dim), queries["least"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["x"], dim), Layout.of(sent.value[0]).inner, k, safe)
             return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in found))))
 
         by = ("cell", "part", "wave")
