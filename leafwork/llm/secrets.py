@@ -26,6 +26,9 @@ _hex = re.compile(r"[0-9a-f]{24,}")
 _word = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _token = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _armour = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(\s*Proc-Type: *4, *ENCRYPTED\s+DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]+\s)?([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Lines of base64 by themselves, two at least, all but the last of 16 characters or more.
+_lines = re.compile(r"^(?:[ \t>]*[A-Za-z0-9+/]{16,}[ \t\r]*\n)+[ \t>]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*$)", re.M)
+_line = re.compile(r"^[ \t>]*([A-Za-z0-9+/]+={0,2})[ \t\r]*$", re.M)
 _named = ("passw", "secret", "token", "api")
 
 
@@ -64,14 +67,31 @@ def is_der_key(data: bytes) -> bool:
     top = _der(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    inner = _der(data, *top[0][1:])
-    tags = [t for t, _, _ in inner or ()]
-    if tags[:9] == [2] * 9 or tags == [2] * 6 or tags[:2] == [2, 4]:
+    inner = _der(data, *top[0][1:]) or []
+    tags = [t for t, _, _ in inner]
+    version = int.from_bytes(data[inner[0][1] : inner[0][2]], "big") if tags[:1] == [2] else None
+    if tags[:9] == [2] * 9 or tags == [2] * 6:  # nothing else is made of so many numbers
         return True
-    if tags[:3] == [2, 0x30, 4] or tags == [0x30, 4]:
-        algorithm = _der(data, *inner[tags.index(0x30)][1:])
-        return bool(algorithm) and algorithm[0][0] == 6
-    return False
+    if tags[:2] == [2, 4]:
+        return version == 1
+    if tags[:3] == [2, 0x30, 4]:
+        algorithm = _der(data, *inner[1][1:])
+        return version in (0, 1) and bool(algorithm) and algorithm[0][0] == 6
+    return tags == [0x30, 4] and _is_cipher(data, *inner[0][1:])
+
+
+#: Object identifiers (their bytes) that begin the names of password-based encryption schemes.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _is_cipher(data: bytes, at: int, end: int) -> bool:
+    """An algorithm identifier of password-based encryption: its name, and either salt and rounds or derivation and cipher."""
+    parts = _der(data, at, end) or []
+    if [t for t, _, _ in parts] != [6, 0x30] or not data[parts[0][1] : parts[0][2]].startswith(_PASSWORD_BASED):
+        return False
+    inner = _der(data, *parts[1][1:]) or []
+    tags = [t for t, _, _ in inner]
+    return tags == [4, 2] or tags == [0x30, 0x30] and all((_der(data, a, b) or [(0, 0, 0)])[0][0] == 6 for _, a, b in inner)
 
 
 def is_container_key(data: bytes) -> bool:
@@ -115,21 +135,65 @@ def is_armoured_key(m: re.Match) -> bool:
     return bool(data) and (len(data) % 8 == 0 if m[2] else is_der_key(data) or is_container_key(data))
 
 
+def _size(head: bytes) -> int:
+    """How many bytes the element has that begins here; 0 if it is no sequence."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    k = head[1] & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Keys in base64 over several lines without armour: from a line that begins one, as many lines as its length asks for."""
+    out = []
+    for block in _lines.finditer(text):
+        lines = [(m.start(1), m.end(1)) for m in _line.finditer(text, *block.span())]
+        i = 0
+        while i + 1 < len(lines):
+            head = _decode(text[lines[i][0] : lines[i][0] + 16][: (lines[i][1] - lines[i][0]) // 4 * 4])
+            data, j = b"", i
+            if size := _size(head):
+                joined, need = "", -(-size // 3) * 4
+                while j < len(lines) and len(joined.rstrip("=")) < need - 2:
+                    joined += text[slice(*lines[j])]
+                    j += 1
+                data = _decode(joined)
+            elif head.startswith(b"openssh-key-"):
+                j = len(lines)
+                data = _decode("".join(text[slice(*x)] for x in lines[i:]))
+            if j - i > 1 and data and (is_der_key(data) or is_container_key(data)):
+                out.append((lines[i][0], lines[j - 1][1]))
+                i = j
+            else:
+                i += 1
+    return out
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
-    """Spans (kind, start, end) in code points, by start, then kind."""
+    """Spans (kind, start, end) in code points, by start, then kind.  Each kind is looked for where its own letters can stand."""
     text = text or ""
     out = []
     low = text.lower()
     if any(k in low for k in _named):
         out += [("assign", *m.span()) for m in _assign.finditer(text) if len(m[2]) >= 6]
-    if max(map(len, text.split()), default=0) >= 20:
+    longest = max(map(len, text.split()), default=0)
+    if "AKIA" in text:
         out += [("access", *m.span()) for m in _access.finditer(text)]
+    if longest >= 24:
         out += [("hex", *m.span()) for m in _hex.finditer(text)]
+    if "ey" in text and longest >= 11:
         out += [("jwt", *m.span()) for m in _token.finditer(text) if is_signed_token(m[1], m[2])]
-        armoured = [m for m in _armour.finditer(text) if is_armoured_key(m)] if "-----BEGIN" in text else []
-        out += [("pem", *m.span()) for m in armoured]
-        inside = [m.span() for m in armoured]
-        out += [("key", *m.span()) for m in _word.finditer(text) if not any(a <= m.start() < b for a, b in inside) and (d := _decode(m[0])) and is_key(d)]
+    armoured = [m for m in _armour.finditer(text) if is_armoured_key(m)] if "-----BEGIN" in text else []
+    out += [("pem", *m.span()) for m in armoured]
+    inside = [m.span() for m in armoured]
+    free = lambda at: not any(a <= at < b for a, b in inside)
+    if longest >= 40:
+        out += [("key", *m.span()) for m in _word.finditer(text) if free(m.start()) and (d := _decode(m[0])) and is_key(d)]
+    if longest >= 16 and "\n" in text:
+        whole = {(a, b) for k, a, b in out if k == "key"}
+        out += [("key", a, b) for a, b in wrapped_keys(text) if free(a) and (a, b) not in whole]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
