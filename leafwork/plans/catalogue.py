@@ -14,8 +14,8 @@ from ..fixed import any_of
 from ..functions import geometry as G, rules, text as T
 from ..operators import bibliography, blocks as B, facts, figures, report, sections, translation
 from ..sources import tables
-from ..streaming import jobs
-from ..tables import spread
+from ..streaming import jobs, lifecycle
+from ..tables import shared, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -219,6 +219,49 @@ def latest_status(spark, sf_dir):
     return jobs.latest_status(events).select("job_id", "status", "progress")
 
 
+#: Events as records of jobs: a user's events of one day are a job, which a signup queues and an error or a purchase ends.
+_SILENCE = 4 * 3600
+
+
+def _job_events(events: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    job = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select(job.alias("job_id"), status.alias("status"), F.col("event_type").alias("message"), (F.col("value") / 100).alias("progress"), F.when(status == "failed", F.concat(F.lit("event "), "event_id")).alias("error"), (micros / 1e6).alias("updated_at"))
+
+
+_LIFE = f"""
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status,
+  value / 100 AS progress, 'event ' || event_id AS error, epoch_us(ts) / 1e6 AS moment FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, progress, status) AS n FROM e),
+life AS (
+  SELECT job_id, n, status, progress, error, moment, moment AS begun FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.job_id, o.n, CASE WHEN keeps THEN l.status ELSE o.status END, CASE WHEN keeps THEN l.progress ELSE o.progress END, CASE WHEN keeps THEN l.error ELSE o.error END, CASE WHEN keeps THEN l.moment ELSE o.moment END, CASE WHEN o.status = 'queued' THEN o.moment ELSE l.begun END
+  FROM (SELECT *, status IN ('completed', 'failed') AS ended FROM life) l JOIN o ON o.job_id = l.job_id AND o.n = l.n + 1, LATERAL (SELECT l.ended AND o.status <> 'queued' AS keeps)),
+s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n DESC) AS back FROM life),
+z AS (SELECT job_id, status, progress, error, moment, begun, status IN ('queued', 'running') AND floor((SELECT max(moment) FROM e) * 1000) >= floor(moment * 1000) + {_SILENCE * 1000} AS silent FROM s WHERE back = 1)
+SELECT job_id, CASE WHEN silent THEN 'failed' ELSE status END AS status, CASE WHEN silent OR status IN ('completed', 'failed') THEN 1.0 ELSE greatest(0.0, least(1.0, progress)) END::DOUBLE AS progress,
+  CASE WHEN silent THEN 'no record for {_SILENCE} seconds' WHEN status = 'failed' THEN error ELSE '' END AS error, begun AS created_at, silent FROM z"""
+
+
+@query(_LIFE)
+def job_states(spark, sf_dir):
+    """The states that jobs end in, one failing, one completed, one silent for hours."""
+    return lifecycle.states(_job_events(_t(spark, sf_dir, "events")), _SILENCE).select("job_id", "status", "progress", "error", "created_at", "silent")
+
+
+@query(_LIFE)
+def job_lifecycle(spark, sf_dir):
+    """The same from a stream: state and a timer for each job, and the table that readers see whole."""
+    folder = shared(spark, "life")
+    events = _t(spark, sf_dir, "events")
+    _job_events(events).repartition(1).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(lifecycle.RECORD).parquet(f"{folder}/in")
+    jobs.stream_status(source, f"{folder}/table", f"{folder}/checkpoint", once=True, silence=_SILENCE, by_clock=False).awaitTermination()
+    return jobs.read_status(spark, f"{folder}/table").select("job_id", "status", "progress", "error", "created_at", "silent")
+
+
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def window_counts(spark, sf_dir):
     return jobs.window_counts(_t(spark, sf_dir, "events")).withColumn("window_start", F.unix_timestamp("window_start"))

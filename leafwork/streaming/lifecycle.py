@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,11 +115,12 @@ def states(events: DataFrame, silence: float = 600.0, now: float | None = None)
     last = rows.groupBy("job_id").agg(F.max_by(F.struct("status", "message", "progress", "error", "result", "begun", "updated_at"), F.struct("updated_at", "progress", "status")).alias("s"))
     s = F.col("s")
     open_ = ~s["status"].isin(*ENDED)
-    silent = open_ & (end >= s["updated_at"] + silence)
+    due = F.floor(s["updated_at"] * 1000) + int(silence * 1000)  # timers run in milliseconds
+    silent = open_ & (F.floor(end * 1000) >= due)
     text = lambda c: F.coalesce(s[c], F.lit(""))
     return last.select(
         "job_id", F.when(silent, "failed").otherwise(s["status"]).alias("status"), text("message").alias("message"),
         F.when(silent | ~open_, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(s["progress"], F.lit(0.0))))).alias("progress"),
         F.when(silent, F.lit(f"no record for {silence:g} seconds")).otherwise(text("error")).alias("error"), text("result").alias("result"),
-        s["begun"].alias("created_at"), F.when(silent, s["updated_at"] + silence).otherwise(s["updated_at"]).alias("updated_at"), silent.alias("silent"),
+        s["begun"].alias("created_at"), F.when(silent, due / 1000).otherwise(s["updated_at"]).alias("updated_at"), silent.alias("silent"),
     )

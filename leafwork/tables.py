@@ -6,27 +6,35 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the folder that spark.checkpoint.dir names, and read it back.
+def shared(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the folder that spark.checkpoint.dir names, deleted when the application ends.
 
-    Later stages read the table instead of repeating the plan, and a lost executor costs no recomputation of what
-    stands before it.  Where the setting is absent, a new temporary folder is taken if all runs in one process; else that is an
-    error.  The table goes when the application ends.
+    Where the setting is absent, a new temporary folder is taken if all runs in one process; else that is an error.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder, and read it back.
+
+    Later stages read the table instead of repeating the plan, and a lost executor costs no recomputation of what
+    stands before it.  The table goes when the application ends.
+    """
+    path = shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
