@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text as T
+from ..functions.numbers import round_even
 from ..functions.rules import is_caption
 from ..tables import cut
 
@@ -27,7 +28,7 @@ def blocks_from_layout(layout: DataFrame) -> DataFrame:
     sized = F.filter(spans, lambda s: s["size"] > 0.5)
     add = lambda f: F.aggregate(sized, F.lit(0.0), lambda a, s: a + f(s))
     weight = add(lambda s: F.length(s["text"]).cast("double"))
-    size = F.when(weight > 0, F.bround(add(lambda s: s["size"] * F.length(s["text"])) / weight, 1))
+    size = F.when(weight > 0, round_even(add(lambda s: s["size"] * F.length(s["text"])) / weight, 1))
     bold = F.exists(spans, lambda s: F.coalesce(F.contains(s["font"], F.lit("Bold")), F.lit(False)) | (s["flags"].bitwiseAND(16) != 0))
     image = F.col("block_type") == 1
     return layout.select(
@@ -74,7 +75,7 @@ def reading_order(blocks: DataFrame, preview: Column | None = None, out: str = "
     rank = reading_rank(F.col("box"), F.col("page_w"), F.col("page_h"))
     if preview is not None:
         rank = F.when(preview, 0).otherwise(rank)
-    w = Window.partitionBy("doc_id", "page").orderBy(rank, F.bround("box.y0", 1), F.bround("box.x0", 1), "block_no")
+    w = Window.partitionBy("doc_id", "page").orderBy(rank, round_even(F.col("box.y0"), 1), round_even(F.col("box.x0"), 1), "block_no")
     return blocks.withColumn(out, F.row_number().over(w))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import fixed, schemas
 from ..fixed import COUNT, SIGNED, any_of
 from ..functions import rules, text as T
+from ..functions.numbers import round_even
 from ..tables import spread
 
 _period = f"({COUNT})\\s*({'|'.join(fixed.PERIODS)})"
@@ -174,14 +175,14 @@ def unique_first(rows: DataFrame, keys: list[str], value: Column, order: list[Co
 def dedupe_devices(rows: DataFrame, order: list[Column]) -> DataFrame:
     """One row per document, efficiency to one decimal, page and role: the one with most metrics, then the longest evidence, then the first."""
     metrics = sum((F.col(c).isNotNull().cast("int") for c in ("voc_v", "jsc_ma_cm2", "ff_percent", "active_area_cm2")), F.lit(0))
-    key = F.coalesce(F.bround("pce_percent", 1), F.lit(0.0))
+    key = F.coalesce(round_even(F.col("pce_percent"), 1), F.lit(0.0))
     w = Window.partitionBy("doc_id", key, F.coalesce("source_page", F.lit(0)), "sample_role").orderBy(metrics.desc(), F.length("source_text").desc(), *order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def dedupe_stability(rows: DataFrame, order: list[Column], with_cycles: bool = True) -> DataFrame:
     """One row per document, retention to one decimal, duration, page and cycles: the one with the longest evidence, then the first."""
-    keys = ["doc_id", F.bround("retained_pce_percent", 1), "duration_h", "source_page", *(["cycles"] if with_cycles else [])]
+    keys = ["doc_id", round_even(F.col("retained_pce_percent"), 1), "duration_h", "source_page", *(["cycles"] if with_cycles else [])]
     w = Window.partitionBy(*keys).orderBy(F.length("source_text").desc(), *order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -232,7 +233,7 @@ def stability_tests(found: DataFrame, compat: bool = False) -> DataFrame:
     rows = found.where(F.col("pattern").isin(*STABILITY_PATTERNS)).withColumn("n", T.operator_number(F.col("number")))
     lost = F.col("pattern") == "loss"
     loss = F.when(lost, F.lit(None).cast("double") if compat else F.col("n.value"))
-    kept = F.when(lost, F.bround(100 - loss, 3)).otherwise(F.col("n.value"))
+    kept = F.when(lost, round_even(100 - loss, 3)).otherwise(F.col("n.value"))
     quality = F.when(loss.isNotNull(), F.concat(F.lit("reported efficiency loss "), F.col("n.op"), loss.cast("string"), F.lit("%"))).when(
         (F.col("pattern") == "stability") & T.has(s, "no significant degradation"), "no significant degradation"
     )

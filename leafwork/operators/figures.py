@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G, rules, text as T
+from ..functions.numbers import round_even
 from ..tables import cut
 
 PAGE = ["doc_id", "page"]
@@ -30,7 +31,7 @@ def caption_texts(found: DataFrame, blocks: DataFrame) -> DataFrame:
     c, o = F.col("box"), F.col("o_box")
     same_row = (F.abs(o["y0"] - c["y0"]) < 8) & (o["x0"] > c["x0"])
     below = o["y0"].between(c["y1"], c["y1"] + 16) & (o["x0"] <= c["x1"] + 20) & (F.length("o_text") > 40)
-    part = F.when(F.col("o_seq").isNotNull(), F.struct(F.bround(o["y0"], 1).alias("y"), F.bround(o["x0"], 1).alias("x"), F.col("o_seq").alias("s"), F.col("o_text").alias("t"), o.alias("b")))
+    part = F.when(F.col("o_seq").isNotNull(), F.struct(round_even(o["y0"], 1).alias("y"), round_even(o["x0"], 1).alias("x"), F.col("o_seq").alias("s"), F.col("o_text").alias("t"), o.alias("b")))
     rows = found.join(others, [*PAGE], "left").withColumn("part", F.when(same_row | below, part))
     keys = [c for c in found.columns if c not in ("text", "box")]
     rows = rows.groupBy(*[F.col(k) for k in keys], "text", "box").agg(F.array_sort(F.collect_list("part")).alias("parts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..fixed import any_of
 from ..functions import geometry as G, rules, text as T
+from ..functions.numbers import round_even
 from ..operators import bibliography, blocks as B, facts, figures, report, sections, translation
 from ..sources import tables
 from ..streaming import jobs, lifecycle
@@ -193,6 +194,16 @@ def greedy_batches(spark, sf_dir):
     return translation.with_batches(events, ["user_id"], "event_id", F.col("n"))
 
 
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, ((l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 4000)::BIGINT AS n FROM lineitem),
+t AS (SELECT *, n * 10 // 16 AS low, n * 10 % 16 AS rest FROM x)
+SELECT l_orderkey, l_linenumber, (low + CASE WHEN rest > 8 OR (rest = 8 AND low % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 10 AS b FROM t""")
+def rounded_sixteenths(spark, sf_dir):
+    """Sixteenths at one decimal, of which many are true ties."""
+    n = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 4000
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", round_even(n / 16, 1).alias("b"))
+
+
 @query(f"""
 WITH RECURSIVE {LINES}, g AS (
   SELECT doc_id, n, line AS now, length(line) AS size, 0 AS chunk FROM lines WHERE n = 0
