@@ -40,6 +40,14 @@ def strip(text: Column, chars: str = SPACES) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+def lstrip(text: Column, chars: str = SPACES) -> Column:
+    return F.ltrim(text, F.lit(chars))
+
+
+def rstrip(text: Column, chars: str = SPACES) -> Column:
+    return F.rtrim(text, F.lit(chars))
+
+
 def squeeze(text: Column) -> Column:
     """White space as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, LOOSE, " "))

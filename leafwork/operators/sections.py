@@ -1,21 +1,17 @@
 """Sections and merged paragraphs.
 
-Section ids are a running count of headings.  Whether two paragraphs merge depends on the box gathered so far, so
-merging is a fold over one document in order; a document is the unit of that fold and cannot be split.
+Section ids are a running count of headings.  Whether two paragraphs merge depends on their texts, which a window over the
+document compares, and on the box gathered so far, which is folded over the few rows in a row whose texts go on.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..fixed import any_of
-from ..functions import rules, text as T
-
+from ..functions import geometry as G, rules, text as T
 
 
 def _doc():
@@ -53,85 +49,99 @@ def with_sections(parts: DataFrame) -> DataFrame:
     return parts.withColumns({"section_id": F.sum(heading.cast("long")).over(_doc()), "section_title": F.coalesce(title, F.lit(fixed.DEFAULT_SECTION))})
 
 
-_open_end = re.compile(r"[.!?。！？:]$")
-_joining = re.compile(rf"\b{any_of(fixed.JOINING_WORDS)}$", re.I)
-_goes_on = re.compile(r"[A-Z]{2,}\b|[a-z0-9(),;/%±~<>≥≤]")
-_goes_on_small = re.compile(r"[a-z0-9),;/%±~<>≥≤]")
+_GOES_ON_SMALL = r"^[a-z0-9),;/%±~<>≥≤]"
+
 
+def _before(column: str) -> Column:
+    return F.lag(column).over(_doc())
 
-def near(prev: dict, cur: dict) -> bool:
+
+def _near(open_: Column, cur: Column) -> Column:
     """Whether two boxes can belong to one paragraph: on one page close together, or the head of the next page."""
-    a, b = prev["box"], cur["box"]
-    if a is None or b is None:
-        return True
-    if prev["page"] == cur["page"]:
-        wraps = a["x1"] < b["x0"] and a["y1"] > 500 and b["y0"] < 140
-        far = b["y0"] < a["y0"] - 8 or b["y0"] - a["y1"] > 80 or max(a["y1"], b["y1"]) - min(a["y0"], b["y0"]) > 320
-        return wraps or not far
-    if cur["page"] != prev["page"] + 1 or b["y0"] > 180:
-        return False
-    return len(cur["text"].strip()) >= 50 or bool(_goes_on_small.match(cur["text"].lstrip()))
-
-
-def continues(prev: dict, cur: dict) -> bool:
-    """Whether a paragraph goes on in the next one; ``cur["subheading"]`` says if that looks like a subheading."""
-    if not prev["text"] or not cur["text"] or not near(prev, cur) or cur["subheading"]:
-        return False
-    before, after = prev["text"].rstrip(), cur["text"].lstrip()
-    if _open_end.search(before):
-        return False
-    return bool(_joining.search(before) or _goes_on.match(after) or before.endswith((",", ";")))
-
-
-def _merge(rows: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for cur in rows:
-        prev = out[-1] if out else None
-        if prev and prev["section_id"] == cur["section_id"] and prev["kind"] == cur["kind"] == "paragraph" and continues(prev, cur):
-            prev["text"] = f"{prev['text'].rstrip()} {cur['text'].lstrip()}"
-            a, b = prev["box"], cur["box"]
-            if prev["page"] == cur["page"] and a and b and b["y0"] >= a["y0"]:
-                prev["box"] = {k: (min if k in ("x0", "y0") else max)(a[k], b[k]) for k in a}
-            continue
-        out.append(dict(cur))
-    return out
-
-
-def _merge_fragments(rows: list[dict]) -> list[dict]:
-    """A fragment that begins in the middle of a sentence goes to the body paragraph before it."""
-    last = None
-    for cur in rows:
-        if cur["kind"] in ("non_content", "caption", "heading"):
-            last = None if cur["kind"] == "heading" else last
-            continue
-        if last and last["section_id"] == cur["section_id"] and last["kind"] == cur["kind"] == "paragraph" and 0 <= cur["page"] - last["page"] <= 1 and not cur["subheading"]:
-            before, after = last["text"].rstrip(), cur["text"].lstrip()
-            if before and after and _goes_on_small.match(after) and not re.search("[.!?。！？]$", before):
-                last["text"] = f"{before} {after}"
-                cur["kind"] = "non_content"
-                continue
-        last = cur
-    return rows
-
-
-def _fold(rows: DataFrame, step, nouns, starters) -> DataFrame:
-    rows = rows.withColumn("subheading", rules.starts_subheading(F.col("text"), nouns, starters))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["seq", "part"]).to_dict("records")
-        return pd.DataFrame(step(ordered), columns=pdf.columns)
-
-    return rows.groupBy("doc_id").applyInPandas(run, rows.schema).drop("subheading")
+    a, b = open_["box"], cur["box"]
+    wraps = (a["x1"] < b["x0"]) & (a["y1"] > 500) & (b["y0"] < 140)
+    far = (b["y0"] < a["y0"] - 8) | (b["y0"] - a["y1"] > 80) | (F.greatest(a["y1"], b["y1"]) - F.least(a["y0"], b["y0"]) > 320)
+    head = (cur["page"] == open_["page"] + 1) & (b["y0"] <= 180) & cur["_full"]
+    return a.isNull() | b.isNull() | F.when(open_["page"] == cur["page"], wraps | ~far).otherwise(head)
+
+
+def _grown(open_: Column, cur: Column) -> Column:
+    """The box of an open paragraph with one more block: only blocks of its own page that do not stand above it count."""
+    a, b = open_["box"], cur["box"]
+    return F.when((open_["page"] == cur["page"]) & a.isNotNull() & b.isNotNull() & (b["y0"] >= a["y0"]), G.union(a, b)).otherwise(a)
+
+
+def _pieces(rows: DataFrame, joinable: Column, fits, grow, alone: Column | None = None) -> DataFrame:
+    """(doc_id, piece): rows that belong together, in order, as arrays of structs of the other columns.
+
+    ``joinable`` says from a row and the one before whether they can join at all.  It cuts a document into runs, and only within
+    a run is ``fits(open, row)`` asked in order, where open holds the page and box gathered so far; most runs are one row.
+    Rows with a value of ``alone`` are runs by themselves.  Everything stays on the partitioning by document.
+    """
+    rows = rows.withColumn("_run", F.sum(F.when(F.coalesce(joinable, F.lit(False)), 0).otherwise(1)).over(_doc()))
+    columns = [c for c in rows.columns if c not in ("doc_id", "seq", "part", "_run")]
+    extra = [] if alone is None else [alone.alias("_alone")]
+    runs = rows.groupBy("doc_id", "_run", *extra).agg(F.array_sort(F.collect_list(F.struct("seq", "part", F.struct(*columns).alias("r")))).alias("xs"))
+    opened = lambda r, box: F.struct(r["page"].alias("page"), box.alias("box"))
+
+    def step(s, x):
+        cur, joins = x["r"], F.coalesce(fits(s["open"], x["r"]), F.lit(False))
+        at = s["n"] + 1
+        return F.struct(
+            F.when(joins, s["heads"]).otherwise(F.concat(s["heads"], F.array(at))).alias("heads"), at.alias("n"),
+            F.when(joins, opened(s["open"], grow(s["open"], cur))).otherwise(opened(cur, grow(cur, cur))).alias("open"),
+        )
+
+    first = F.get("xs", F.lit(0))["r"]
+    start = F.struct(F.array(F.lit(1)).alias("heads"), F.lit(1).alias("n"), opened(first, grow(first, first)).alias("open"))
+    heads = F.aggregate(F.slice("xs", 2, 1 << 30), start, step, lambda s: s["heads"])
+    runs = runs.withColumn("heads", F.when(F.size("xs") == 1, F.array(F.lit(1))).otherwise(heads))
+    after = lambda i: F.coalesce(F.get("heads", i + 1), F.size("xs") + 1)
+    return runs.select("doc_id", F.explode(F.transform("heads", lambda h, i: F.slice("xs", h, after(i) - h))).alias("piece"))
+
+
+def _joined(piece: Column) -> Column:
+    """The text of a piece: blocks side by side with one space between."""
+    last = F.size(piece) - 1
+    ends = lambda x, i: F.when(i == 0, T.rstrip(x["r"]["text"])).when(i == last, T.lstrip(x["r"]["text"])).otherwise(T.strip(x["r"]["text"]))
+    return F.when(last == 0, F.get(piece, F.lit(0))["r"]["text"]).otherwise(F.array_join(F.transform(piece, ends), " "))
 
 
 def merge_paragraphs(rows: DataFrame) -> DataFrame:
-    """Merge paragraphs of one section that go on in the next block (W2); headings and captions stand apart."""
-    return _fold(rows, _merge, fixed.PARSER_NOUNS, [])
+    """Merge paragraphs of one section that go on in the next block (W2); headings, captions and blank texts stand apart."""
+    before, after = T.rstrip(_before("text")), T.lstrip(F.col("text"))
+    open_end = T.has(before, r"[.!?。！？:]\z", False)
+    goes_on = T.has(before, rf"\b{any_of(fixed.JOINING_WORDS)}\z") | T.has(after, r"^(?:[A-Z]{2,}\b|[a-z0-9(),;/%±~<>≥≤])", False) | T.has(before, r"[,;]\z", False)
+    paragraphs = (_before("kind") == "paragraph") & (F.col("kind") == "paragraph") & (_before("section_id") == F.col("section_id"))
+    joinable = paragraphs & (before != "") & (after != "") & ~open_end & goes_on & ~rules.starts_subheading(F.col("text"), fixed.PARSER_NOUNS, [])
+    full = (F.length(T.strip(F.col("text"))) >= 50) | T.has(after, _GOES_ON_SMALL, False)
+    pieces = _pieces(rows.withColumn("_full", full), joinable, _near, _grown)
+    first = F.get("piece", F.lit(0))
+    box = F.aggregate(F.slice("piece", 2, 1 << 30), F.struct(first["r"]["page"].alias("page"), first["r"]["box"].alias("box")), lambda s, x: F.struct(s["page"].alias("page"), _grown(s, x["r"]).alias("box")), lambda s: s["box"])
+    new = {"seq": first["seq"], "part": first["part"], "text": _joined(F.col("piece")), "box": box}
+    return pieces.select("doc_id", *[new.get(c, first["r"][c]).alias(c) for c in rows.columns if c != "doc_id"]).select(*rows.columns)
 
 
 def merge_fragments(rows: DataFrame) -> DataFrame:
-    """Merge fragments that stay after text within figures is masked."""
-    return _fold(rows, _merge_fragments, [], ["Meanwhile"])
+    """A fragment that begins in the middle of a sentence goes to the body paragraph before it (W4), after text within figures is masked.
+
+    Between the two there may be captions and text that is not content, but no heading.
+    """
+    body = ~F.col("kind").isin("non_content", "caption", "heading")
+    earlier = _doc().rowsBetween(Window.unboundedPreceding, -1)
+    state = F.struct(F.col("text").alias("text"), F.col("kind").alias("kind"), F.col("section_id").alias("section_id"), F.col("_headings").alias("headings"))
+    marked = rows.withColumn("_headings", F.sum((F.col("kind") == "heading").cast("int")).over(_doc()))
+    marked = marked.withColumn("_last", F.last(F.when(body, state), ignorenulls=True).over(earlier)).withColumn("_body", body)
+    last, before, after = F.col("_last"), T.rstrip(F.col("_last.text")), T.lstrip(F.col("text"))
+    same = (last["kind"] == "paragraph") & (F.col("kind") == "paragraph") & (last["section_id"] == F.col("section_id")) & (last["headings"] == F.col("_headings"))
+    joinable = same & (before != "") & T.has(after, _GOES_ON_SMALL, False) & ~T.has(before, r"[.!?。！？]\z", False) & ~rules.starts_subheading(F.col("text"), [], ["Meanwhile"])
+    marked = marked.withColumn("_joinable", ~F.col("_body") | joinable).drop("_last", "_headings")
+    fits = lambda open_, cur: cur["_body"] & (cur["page"] - open_["page"]).between(0, 1)
+    nothing = lambda open_, cur: F.lit(None).cast(G.BOX)
+    pieces = _pieces(marked, F.col("_joinable"), fits, nothing, F.when(~F.col("_body"), F.struct("seq", "part")))
+    out = pieces.select("doc_id", F.posexplode("piece").alias("_at", "x"), _joined(F.col("piece")).alias("_text"))
+    new = {"seq": F.col("x.seq"), "part": F.col("x.part"), "text": F.when(F.col("_at") == 0, F.col("_text")).otherwise(F.col("x.r.text")), "kind": F.when(F.col("_at") == 0, F.col("x.r.kind")).otherwise("non_content")}
+    return out.select("doc_id", *[new.get(c, F.col("x.r")[c]).alias(c) for c in rows.columns if c != "doc_id"]).select(*rows.columns)
 
 
 def build_sections(parts: DataFrame) -> DataFrame:
