@@ -1,6 +1,7 @@
 """Figures: captions, the boxes they belong to, and the text within them.
 
-All joins are on (doc_id, page) with the geometry as a residual condition, so they are hash joins over pages.
+No join makes all pairs of a page: boxes meet by cells, rows by bands of their height, and what stands next above or below a
+caption comes from windows over the page.  Boxes have their upper left corner first.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, rules, text as T
 from ..functions.numbers import round_even
 from ..tables import cut
+from .nearby import PAGE, band, bands, meeting
 
-PAGE = ["doc_id", "page"]
 
 
 def captions(blocks: DataFrame) -> DataFrame:
@@ -27,12 +28,14 @@ def captions(blocks: DataFrame) -> DataFrame:
 
 def caption_texts(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """Captions with the whole ``caption`` and ``caption_box``: blocks in the same row or wrapped below go with them."""
-    others = blocks.where(~rules.is_caption(F.col("text"))).select(*PAGE, F.col("seq").alias("o_seq"), F.col("text").alias("o_text"), F.col("box").alias("o_box"))
+    others = blocks.where(~rules.is_caption(F.col("text"))).select(*PAGE, F.col("seq").alias("o_seq"), F.col("text").alias("o_text"), F.col("box").alias("o_box"), band(F.col("box.y0")).alias("_band"))
     c, o = F.col("box"), F.col("o_box")
     same_row = (F.abs(o["y0"] - c["y0"]) < 8) & (o["x0"] > c["x0"])
     below = o["y0"].between(c["y1"], c["y1"] + 16) & (o["x0"] <= c["x1"] + 20) & (F.length("o_text") > 40)
     part = F.when(F.col("o_seq").isNotNull(), F.struct(round_even(o["y0"], 1).alias("y"), round_even(o["x0"], 1).alias("x"), F.col("o_seq").alias("s"), F.col("o_text").alias("t"), o.alias("b")))
-    rows = found.join(others, [*PAGE], "left").withColumn("part", F.when(same_row | below, part))
+    # A point more on either side, so that rounding loses nothing.
+    reach = F.array_union(bands(c["y0"] - 9, c["y0"] + 9), bands(c["y1"] - 1, c["y1"] + 17))
+    rows = found.withColumn("_band", F.explode_outer(reach)).join(others, [*PAGE, "_band"], "left").withColumn("part", F.when(same_row | below, part)).drop("_band")
     keys = [c for c in found.columns if c not in ("text", "box")]
     rows = rows.groupBy(*[F.col(k) for k in keys], "text", "box").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     parts = F.col("parts")
@@ -41,16 +44,35 @@ def caption_texts(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumns({"caption": T.squeeze(text), "caption_box": box}).drop("parts")
 
 
+def _lowest_within(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, seq, dense): the lowest bottom of the blocks that start between ``low`` and ``high``, neither included.
+
+    Bands wholly within have their lowest bottom ready; only blocks of the two bands at the ends are looked at one by one.
+    """
+    keys = [*PAGE, "_band"]
+    blocks = blocks.select(*PAGE, band(F.col("y0")).alias("_band"), "y0", "y1")
+    first, last = band(F.col("low")), band(F.col("high"))
+    asked = asked.where(F.col("low") < F.col("high"))
+    ends = asked.withColumn("_band", F.explode(F.array_distinct(F.array(first, last)))).join(blocks, keys).where((F.col("y0") > F.col("low")) & (F.col("y0") < F.col("high")))
+    inner = asked.where(last - first > 1).withColumn("_band", F.explode(F.sequence(first + 1, last - 1))).join(blocks.groupBy(*keys).agg(F.max("y1").alias("y1")), keys)
+    both = ends.select(*PAGE, "seq", "y1").union(inner.select(*PAGE, "seq", "y1"))
+    return both.groupBy(*PAGE, "seq").agg(F.max("y1").alias("dense"))
+
+
 def crop_boxes(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add ``crop``, the region of a figure above or a table below its caption, and ``try_next``, whether it may be on the next page."""
-    others = blocks.select(*PAGE, F.col("seq").alias("o_seq"), F.col("box").alias("o"), rules.is_caption(F.col("text")).alias("o_caption"))
-    c, o, h = F.col("box"), F.col("o"), F.col("page_h")
-    rows = found.join(others, PAGE).where(F.col("o_seq") != F.col("seq"))
-    near = rows.groupBy("doc_id", "page", "seq").agg(
-        F.max(F.when((o["y1"] < c["y0"] - 8) & (o["y1"] > h * 0.12), o["y1"])).alias("above"),
-        F.min(F.when(F.col("o_caption") & (o["y0"] > c["y1"] + 30), o["y0"])).alias("next_caption"),
-        F.max(F.when((o["y0"] > c["y1"] + 6) & (o["y0"] < c["y1"] + h * 0.45), o["y1"])).alias("dense"),
-    )
+    c, h = F.col("box"), F.col("page_h")
+    o = blocks.where(F.col("box").isNotNull()).select(*PAGE, F.col("box.y0").alias("y0"), F.col("box.y1").alias("y1"), rules.is_caption(F.col("text")).alias("caption"))
+    asked = found.where(c.isNotNull()).select(*PAGE, "seq", h.alias("h"), c["y0"].alias("c0"), c["y1"].alias("c1"))
+    # One row for each block and each caption; a caption comes before blocks at the same height, which do not count.
+    none = F.lit(None)
+    events = o.select(*PAGE, none.cast(found.schema["seq"].dataType).alias("seq"), none.cast("double").alias("h"), F.col("y1").alias("up"), F.col("y0").alias("down"), F.lit(1).alias("tie"), F.col("y1").alias("_a"), F.when(F.col("caption"), F.col("y0")).alias("_n"))
+    events = events.union(asked.select(*PAGE, "seq", "h", F.col("c0") - 8, F.col("c1") + 30, F.lit(0), none.cast("double"), none.cast("double")))
+    page = Window.partitionBy(*PAGE)
+    before = lambda *order: page.orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"above": F.max("_a").over(before("up")), "next_caption": F.min("_n").over(before(F.desc("down")))}).where("tie = 0")
+    near = events.select(*PAGE, "seq", F.when(F.col("above") > F.col("h") * 0.12, F.col("above")).alias("above"), "next_caption")
+    near = near.join(_lowest_within(asked.select(*PAGE, "seq", (F.col("c1") + 6).alias("low"), (F.col("c1") + F.col("h") * 0.45).alias("high")), o), [*PAGE, "seq"], "left")
     out = found.join(near, ["doc_id", "page", "seq"], "left")
     table = G.table_crop(c, F.col("page_w"), h, F.col("next_caption"), F.col("dense"))
     figure = G.figure_crop(c, F.col("page_w"), h, F.col("above"))
@@ -66,13 +88,18 @@ def content_boxes(found: DataFrame, images: DataFrame, drawings: DataFrame) -> D
     """
     boxes = images.select(*PAGE, F.col("box").alias("o"), F.lit("embedded").alias("source"), F.lit(0).alias("rank"))
     boxes = boxes.unionByName(drawings.select(*PAGE, F.col("box").alias("o"), F.lit("drawing").alias("source"), F.lit(1).alias("rank")))
-    rows = found.join(boxes, PAGE).where(F.col("o.y1") < F.col("box.y0") + 10)
+    asked = found.select(*PAGE, "seq", "page_w", "page_h", F.col("box.y0").alias("c0"), (F.col("box.y0") + 10).alias("at"), F.lit(0).alias("tie")).where("at is not null")
+    events = asked.unionByName(boxes.select(*PAGE, "o", "source", "rank", F.col("o.y1").alias("at"), F.lit(1).alias("tie")).where("at is not null"), allowMissingColumns=True)
+    page = Window.partitionBy(*PAGE)
+    events = events.withColumns({"_w": F.max("page_w").over(page), "_h": F.max("page_h").over(page)})
     area = G.area(F.col("o"))
-    strict = (F.col("o.y0") > F.col("page_h") * 0.03) & (area > F.col("page_w") * F.col("page_h") * 0.015)
+    strict = (F.col("o.y0") > F.col("_h") * 0.03) & (area > F.col("_w") * F.col("_h") * 0.015)
     tier = F.when(strict, 0).otherwise(F.col("rank") + 1)
-    w = Window.partitionBy("doc_id", "page", "seq").orderBy(tier, area.desc(), "rank", "o.y0", "o.x0")
-    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").where(F.col("box.y0") - F.col("o.y1") <= F.col("page_h") * 0.4)
-    return best.select("doc_id", "page", "seq", G.padded(F.col("o"), F.col("page_w"), F.col("page_h")).alias("content_box"), F.col("source").alias("image_source"))
+    candidate = F.when(F.col("tie") == 1, F.struct(tier.alias("tier"), (-area).alias("area"), "rank", F.col("o.y0").alias("y0"), F.col("o.x0").alias("x0"), "o", "source"))
+    # The best of all boxes that end higher than ten points below the top of the caption.
+    best = events.withColumn("best", F.min(candidate).over(page.orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, 0))).where("tie = 0 and best is not null")
+    best = best.where(F.col("c0") - F.col("best.o.y1") <= F.col("page_h") * 0.4)
+    return best.select(*PAGE, "seq", G.padded(F.col("best.o"), F.col("page_w"), F.col("page_h")).alias("content_box"), F.col("best.source").alias("image_source"))
 
 
 def usable_images(images: DataFrame, min_size: float = 150.0) -> DataFrame:
@@ -132,10 +159,15 @@ def dedupe_figures(figures: DataFrame) -> DataFrame:
 
 def mask_figure_text(paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
     """Paragraphs within a figure or its caption are not content."""
-    boxes = figures.select(*PAGE, F.col("box").alias("f"), F.col("caption_box").alias("c"))
     p = F.col("box")
-    inside = (G.overlap_ratio(p, F.col("f")) > 0.35) | G.centre_inside(p, F.col("f"), 8.0) | (G.overlap_ratio(p, F.col("c")) > 0.45)
-    hits = paragraphs.where((F.col("kind") != "caption") & p.isNotNull()).join(boxes, PAGE).where(inside).select("doc_id", "seq", "part").distinct()
+    around = F.when(F.col("box").isNotNull(), G.box(F.col("box.x0") - 8, F.col("box.y0") - 8, F.col("box.x1") + 8, F.col("box.y1") + 8))
+    region = lambda b, r, figure: F.struct(b.cast(G.BOX).alias("b"), r.cast(G.BOX).alias("r"), F.lit(figure).alias("figure"))
+    both = F.array(region(F.col("box"), around, True), region(F.col("caption_box"), F.col("caption_box"), False))
+    regions = figures.select(*PAGE, F.inline(both)).where("b is not null").distinct()
+    asked = paragraphs.where((F.col("kind") != "caption") & p.isNotNull()).select(*PAGE, "seq", "part", "box")
+    shared = G.overlap_ratio(p, F.col("b"))
+    inside = F.when(F.col("figure"), (shared > 0.35) | G.centre_inside(p, F.col("b"), 8.0)).otherwise(shared > 0.45)
+    hits = meeting(asked, regions, "box", "r").where(inside).select("doc_id", "seq", "part").distinct()
     rows = paragraphs.join(hits.withColumn("_hit", F.lit(True)), ["doc_id", "seq", "part"], "left")
     return rows.withColumn("kind", F.when(F.col("_hit"), "non_content").otherwise(F.col("kind"))).drop("_hit")
 
