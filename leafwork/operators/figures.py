@@ -44,34 +44,52 @@ def caption_texts(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumns({"caption": T.squeeze(text), "caption_box": box}).drop("parts")
 
 
+def _next_other(events: DataFrame, best, value: str, out: str, order) -> DataFrame:
+    """Add ``out``: the last ``value`` (number, seq) before each row of a page in ``order``, of another seq than the row's own.
+
+    Values come in order, so each is the best so far; where the seq changes, the one before it is the best of all other seqs.
+    """
+    rows = Window.partitionBy(*PAGE).orderBy(order, "tie", "seq")
+    before, upto = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"_before": best(value).over(before), "_first": best(value).over(upto)})
+    changed = F.when(F.col(value)["seq"] != F.col("_before.seq"), F.col("_before"))
+    events = events.withColumn("_second", best(changed).over(upto))
+    found = F.when(F.col("_first.seq") == F.col("seq"), F.col("_second")).otherwise(F.col("_first"))
+    number = events.schema[value].dataType.names[0]
+    return events.withColumn(out, found[number]).drop("_before", "_first", "_second")
+
+
 def _lowest_within(asked: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, dense): the lowest bottom of the blocks that start between ``low`` and ``high``, neither included.
+    """(doc_id, page, seq, dense): the lowest bottom of the blocks of other seqs that start between ``low`` and ``high``, neither included.
 
-    Bands wholly within have their lowest bottom ready; only blocks of the two bands at the ends are looked at one by one.
+    Bands wholly within have the lowest bottoms of two seqs ready; only blocks of the two bands at the ends are looked at one by one.
     """
     keys = [*PAGE, "_band"]
-    blocks = blocks.select(*PAGE, band(F.col("y0")).alias("_band"), "y0", "y1")
+    blocks = blocks.select(*PAGE, band(F.col("y0")).alias("_band"), "y0", "y1", F.col("seq").alias("o_seq"))
     first, last = band(F.col("low")), band(F.col("high"))
     asked = asked.where(F.col("low") < F.col("high"))
-    ends = asked.withColumn("_band", F.explode(F.array_distinct(F.array(first, last)))).join(blocks, keys).where((F.col("y0") > F.col("low")) & (F.col("y0") < F.col("high")))
-    inner = asked.where(last - first > 1).withColumn("_band", F.explode(F.sequence(first + 1, last - 1))).join(blocks.groupBy(*keys).agg(F.max("y1").alias("y1")), keys)
-    both = ends.select(*PAGE, "seq", "y1").union(inner.select(*PAGE, "seq", "y1"))
+    ends = asked.withColumn("_band", F.explode(F.array_distinct(F.array(first, last)))).join(blocks, keys)
+    ends = ends.where((F.col("y0") > F.col("low")) & (F.col("y0") < F.col("high")) & (F.col("o_seq") != F.col("seq")))
+    each = blocks.groupBy(*keys, "o_seq").agg(F.max("y1").alias("y1"))
+    two = each.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("y1", "o_seq")), False), 1, 2).alias("two"))
+    inner = asked.where(last - first > 1).withColumn("_band", F.explode(F.sequence(first + 1, last - 1))).join(two, keys)
+    other = F.get(F.filter("two", lambda x: x["o_seq"] != F.col("seq")), F.lit(0))["y1"]
+    both = ends.select(*PAGE, "seq", "y1").union(inner.select(*PAGE, "seq", other))
     return both.groupBy(*PAGE, "seq").agg(F.max("y1").alias("dense"))
 
 
 def crop_boxes(found: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add ``crop``, the region of a figure above or a table below its caption, and ``try_next``, whether it may be on the next page."""
     c, h = F.col("box"), F.col("page_h")
-    o = blocks.where(F.col("box").isNotNull()).select(*PAGE, F.col("box.y0").alias("y0"), F.col("box.y1").alias("y1"), rules.is_caption(F.col("text")).alias("caption"))
+    o = blocks.where(F.col("box").isNotNull()).select(*PAGE, "seq", F.col("box.y0").alias("y0"), F.col("box.y1").alias("y1"), rules.is_caption(F.col("text")).alias("caption"))
     asked = found.where(c.isNotNull()).select(*PAGE, "seq", h.alias("h"), c["y0"].alias("c0"), c["y1"].alias("c1"))
     # One row for each block and each caption; a caption comes before blocks at the same height, which do not count.
-    none = F.lit(None)
-    events = o.select(*PAGE, none.cast(found.schema["seq"].dataType).alias("seq"), none.cast("double").alias("h"), F.col("y1").alias("up"), F.col("y0").alias("down"), F.lit(1).alias("tie"), F.col("y1").alias("_a"), F.when(F.col("caption"), F.col("y0")).alias("_n"))
-    events = events.union(asked.select(*PAGE, "seq", "h", F.col("c0") - 8, F.col("c1") + 30, F.lit(0), none.cast("double"), none.cast("double")))
-    page = Window.partitionBy(*PAGE)
-    before = lambda *order: page.orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumns({"above": F.max("_a").over(before("up")), "next_caption": F.min("_n").over(before(F.desc("down")))}).where("tie = 0")
-    near = events.select(*PAGE, "seq", F.when(F.col("above") > F.col("h") * 0.12, F.col("above")).alias("above"), "next_caption")
+    none = F.lit(None).cast("double")
+    events = o.select(*PAGE, "seq", none.alias("h"), F.col("y1").alias("up"), F.col("y0").alias("down"), F.lit(1).alias("tie"), F.struct("y1", "seq").alias("_a"), F.when(F.col("caption"), F.struct("y0", "seq")).alias("_n"))
+    events = events.unionByName(asked.select(*PAGE, "seq", "h", (F.col("c0") - 8).alias("up"), (F.col("c1") + 30).alias("down"), F.lit(0).alias("tie")), allowMissingColumns=True)
+    events = _next_other(events, F.max, "_a", "above", "up")
+    events = _next_other(events, F.min, "_n", "next_caption", F.desc("down")).where("tie = 0")
+    near = events.groupBy(*PAGE, "seq").agg(F.max(F.when(F.col("above") > F.col("h") * 0.12, F.col("above"))).alias("above"), F.min("next_caption").alias("next_caption"))
     near = near.join(_lowest_within(asked.select(*PAGE, "seq", (F.col("c1") + 6).alias("low"), (F.col("c1") + F.col("h") * 0.45).alias("high")), o), [*PAGE, "seq"], "left")
     out = found.join(near, ["doc_id", "page", "seq"], "left")
     table = G.table_crop(c, F.col("page_w"), h, F.col("next_caption"), F.col("dense"))
