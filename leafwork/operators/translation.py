@@ -10,14 +10,13 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import fixed
 from ..functions import rules, text as T
 from ..tables import cut
+from .batching import with_batches
 from .replies import Calls, Provider, ask, call
 
 
@@ -91,31 +90,6 @@ def batches(lengths: Column, max_items: int, max_chars: int) -> Column:
     return F.aggregate(lengths, start, step, lambda s: s["ids"])
 
 
-def with_batches(rows: DataFrame, keys: list[str], order: str, length: Column, max_items: int = 6, max_chars: int = 6000) -> DataFrame:
-    """(keys, order, batch): batch numbers, from 0, for the rows of each key in order.
-
-    A batch closes when it is full or the next text would exceed its characters; a longer text stands alone.  ``order`` is
-    unique within a key.  Rows stream by in order with the open batch as the only state, however many a key has.
-    """
-    picked = rows.select(*keys, order, F.coalesce(length.cast("long"), F.lit(0)).alias("_length"))
-    kind = StructType([*picked.schema.fields[:-1], StructField("batch", IntegerType())])
-
-    def fold(frames):
-        last, batch, n, chars = None, 0, 0, 0
-        for b in frames:
-            out = []
-            for *key, _, size in zip(*(c.to_pylist() for c in b.columns)):
-                if key != last:
-                    last, batch, n, chars = key, 0, 0, 0
-                elif n >= max_items or chars + size > max_chars:
-                    batch, n, chars = batch + 1, 0, 0
-                n, chars = n + 1, chars + size
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int32())], [*b.schema.names[:-1], "batch"])
-
-    return picked.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold, kind)
-
-
 def chunk_lines(text: Column, max_chars: int, separator: str = r"\n\s*\n", joiner: str = "\n\n") -> Column:
     """Texts cut at blank lines into chunks of at most ``max_chars`` characters, separators not counted."""
     parts = F.split(text, separator)
