@@ -47,24 +47,27 @@ def with_batches(rows: DataFrame, keys: list[str], order: str, length: Column, m
     dealt = lambda df: df.repartition(count, "_block").sortWithinPartitions("_block", *by)
 
     def ends(frames):
-        """Of each block: its first and last key's place among its keys, the last rows, and what is open at its end if its last key starts within."""
-        block, out = None, []
-        for at, key, size in _rows(frames):
-            if at != block:
-                block, last, state, tail, kinds = at, key, (0, 0, 0), [], 1
-                out.append(None)
-            elif key != last:
-                last, state, tail, kinds = key, (0, 0, 0), [], kinds + 1
-            state, tail = _moved(state, size, max_items, max_chars), [*tail, size][-max_items:]
-            out[-1] = (block, kinds, state[0], state[2], tail)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["_block", "kinds", "n", "batch", "tail"])
-
-    # Whether a block goes on with the last key of the one before: the least and greatest rows of each, side by side.
-    key = F.struct(*keys)
-    edges = ranged.groupBy("_block").agg(F.min_by(key, F.struct(*by)).alias("first"), F.max_by(key, F.struct(*by)).alias("last"))
-    edges = edges.orderBy("_block").collect()
-    known = {r["_block"]: r for r in dealt(ranged).mapInArrow(ends, "_block int, kinds long, n int, batch int, tail array<long>").collect()}
-    goes_on = {b["_block"]: a is not None and a["last"] == b["first"] for a, b in zip([None, *edges], edges)}
+        """Of each block: its first and last key, how many it has, its last rows, and what is open at its end if its last key starts within."""
+        block, out, types = None, [], []
+        for b in frames:
+            types = [b.schema.field(1 + i).type for i in range(len(keys))]
+            for at, key, size in _rows([b]):
+                if at != block:
+                    block, first, last, state, tail, kinds = at, key, key, (0, 0, 0), [], 1
+                    out.append(None)
+                elif key != last:
+                    last, state, tail, kinds = key, (0, 0, 0), [], kinds + 1
+                state, tail = _moved(state, size, max_items, max_chars), [*tail, size][-max_items:]
+                out[-1] = (block, kinds, state[0], state[2], tail, *first, *last)
+        if out:
+            kinds_ = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *types, *types]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds_)], told.names)
+
+    told = StructType.fromDDL("_block int, kinds long, n int, batch int, tail array<long>")
+    told = StructType([*told, *[StructField(f"_{end}{i}", picked.schema[k].dataType) for end in ("first", "last") for i, k in enumerate(keys)]])
+    edges = sorted(dealt(ranged).mapInArrow(ends, told).collect(), key=lambda r: r["_block"])
+    known = {r["_block"]: r for r in edges}
+    goes_on = {b["_block"]: a is not None and all(a[f"_last{i}"] == b[f"_first{i}"] for i in range(len(keys))) for a, b in zip([None, *edges], edges)}
 
     # The rows before each block that may be open where it begins.
     before: dict[int, list[int]] = {}
@@ -98,11 +101,11 @@ def with_batches(rows: DataFrame, keys: list[str], order: str, length: Column, m
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()) for c in (zip(*out) if out else [()] * 4)], ["_block", "start", "n", "batch"])
 
     through = [at for at, on in goes_on.items() if on and known[at]["kinds"] == 1]
-    told = {}
+    moved = {}
     if through:
         inner = spark.createDataFrame([(at,) for at in through], "_block int")
         for r in dealt(ranged.join(F.broadcast(inner), "_block", "left_semi")).mapInArrow(moves, "_block int, start int, n int, batch int").collect():
-            told[r["_block"], r["start"]] = r["n"], r["batch"]
+            moved[r["_block"], r["start"]] = r["n"], r["batch"]
     entry: dict[int, tuple[int, int, int]] = {}
     n = batch = 0
     for e in edges:
@@ -111,7 +114,7 @@ def with_batches(rows: DataFrame, keys: list[str], order: str, length: Column, m
             n = batch = 0
         entry[at] = (n, sum(before[at][len(before[at]) - n :]), batch)
         if goes_on[at] and known[at]["kinds"] == 1:
-            n, more = told[at, n]
+            n, more = moved[at, n]
             batch += more
         else:
             n, batch = known[at]["n"], known[at]["batch"]
