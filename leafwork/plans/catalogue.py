@@ -684,6 +684,43 @@ def repeated_blocks(spark, sf_dir):
     return B.repeated_exact(rows, max_spread=300.0)
 
 
+@query(f"""
+WITH {BOXES}, r AS (SELECT doc_id, seq AS page, CASE WHEN x0 % 4 = 0 THEN 404.0 + x0 / 100 ELSE 24.0 END AS y, CASE WHEN x0 % 3 = 0 THEN 'plain head' ELSE 'science 14 may 2026 ' || (seq + 700) END AS key, CASE WHEN x0 % 3 = 0 THEN 'plain head' ELSE 'science' END AS fuzzy FROM b),
+e AS (SELECT doc_id, key FROM r GROUP BY doc_id, key HAVING count(DISTINCT page) >= 3 AND max(y) - min(y) < 30),
+h AS (SELECT doc_id, fuzzy FROM r WHERE y < 792 * 0.12 GROUP BY doc_id, fuzzy HAVING count(DISTINCT page) >= 3)
+SELECT doc_id, key FROM e UNION SELECT r.doc_id, r.key FROM r JOIN h USING (doc_id, fuzzy) WHERE r.y < 792 * 0.12""")
+def repeated_union(spark, sf_dir):
+    """Heads that repeat word by word, at one height or on heads of pages, and heads that differ in their page number (U4)."""
+    x = F.col("box.x0")
+    y = F.when(x % 4 == 0, 394.0 + x / 100).otherwise(F.lit(14.0))
+    text = F.when(x % 3 == 0, "Plain head").otherwise(_words("Science 14 May 2026 ", F.col("seq") + 700))
+    rows = _boxes(spark, sf_dir).withColumns({"page": F.col("seq"), "text": text, "box": G.box(50.0, y, 300.0, y + 20)})
+    return B.repeated(rows)
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS doc_id, k AS fig_seq, (o_custkey + k * k) % 5 + 1 AS ref FROM orders, range(1, 5) t(k)),
+p AS (SELECT o_orderkey AS doc_id, 1 AS seq, 0 AS pos, o_orderkey % 7 + 1 AS ref FROM orders UNION ALL SELECT o_orderkey, 1, 1, o_custkey % 4 + 1 FROM orders UNION ALL SELECT o_orderkey, 4, 0, o_orderkey % 3 + 3 FROM orders),
+c AS (SELECT o_orderkey AS doc_id, o_custkey % 5 + 1 AS ref FROM orders),
+t AS (SELECT doc_id, l.fig_seq, min(seq * 10 + pos) AS spot FROM p JOIN (SELECT doc_id, ref, max(fig_seq) AS fig_seq FROM f GROUP BY 1, 2) l USING (doc_id, ref) GROUP BY 1, 2),
+o AS (SELECT doc_id, g.fig_seq, 20 AS spot FROM c JOIN (SELECT doc_id, ref, min(fig_seq) AS fig_seq FROM f GROUP BY 1, 2) g USING (doc_id, ref) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = c.doc_id AND p.ref = c.ref)),
+a AS (SELECT doc_id, fig_seq, min(spot) AS spot FROM (FROM t UNION ALL FROM o) GROUP BY 1, 2)
+SELECT doc_id, fig_seq, (spot // 10)::BIGINT AS seq, (spot % 10)::BIGINT AS pos FROM f LEFT JOIN a USING (doc_id, fig_seq)""")
+def figure_places(spark, sf_dir):
+    """Where figures go: to the first text that refers to them, else to their own caption; headings do not count."""
+    orders = _t(spark, sf_dir, "orders")
+    doc, key, cust = F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey"), F.col("o_custkey")
+    block = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    blocks = F.array(
+        block(1, "paragraph", _words("The data of Fig. ", key % 7 + 1, " and of Fig. ", cust % 4 + 1, " agree.")), block(2, "caption", _words("Fig. ", cust % 5 + 1, " | The cell")),
+        block(3, "heading", F.lit("What Fig. 2 shows")), block(4, "paragraph", _words("It is seen in Fig. ", key % 3 + 3, ".")),
+    )
+    paragraphs = orders.select(doc, F.inline(blocks)).withColumns({"part": F.lit(0), "text_zh": F.lit("")})
+    figs = orders.select(doc, cust, F.explode(F.sequence(F.lit(1), F.lit(4))).alias("fig_seq"))
+    figs = figs.select("doc_id", F.col("fig_seq").cast("long"), _words("Fig. ", (F.col("o_custkey") + F.col("fig_seq") * F.col("fig_seq")) % 5 + 1).alias("figure_id"))
+    return report.figure_places(paragraphs, figs).select("doc_id", "fig_seq", F.col("seq").cast("long"), F.col("pos").cast("long"))
+
+
 @query(f"""
 WITH {BOXES}, r AS (SELECT doc_id, seq, CASE WHEN x0 % 4 = 0 THEN 400.0 ELSE 26.0 END AS y FROM b), h AS (SELECT doc_id FROM r WHERE y < 792 * 0.12 GROUP BY doc_id HAVING count(DISTINCT seq) >= 3)
 SELECT DISTINCT doc_id, 'science 14 may 2026 ' || (seq + 700) AS key FROM r JOIN h USING (doc_id) WHERE y < 792 * 0.12""")
