@@ -1,19 +1,20 @@
 """The life of a job, from the records it writes: queued, running, then completed or failed.
 
-Each job's last record is kept as state.  A job that is neither completed nor failed has a timer that every record of it
+Each job's last record is kept as state.  A job that is neither completed nor failed has a time that every record of it
 sets anew; when that runs out, the job has been silent too long (its process died, or its machine did) and counts as failed.  A job that was given
 up like this and speaks again goes on from what it says; one that ended by its own word stays as it is until it is queued again.
 """
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ENDED = ("completed", "failed")
 RECORD = "job_id string, status string, message string, progress double, error string, result string, updated_at double"
@@ -47,41 +48,49 @@ def given_up(last: dict, at: float, silence: float) -> dict:
     return {**last, "status": "failed", "progress": 1.0, "error": f"no record for {silence:g} seconds", "updated_at": at, "silent": True}
 
 
-class _Life(StatefulProcessor):
-    def __init__(self, silence: float, by_clock: bool):
-        self.silence, self.by_clock = silence, by_clock
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", STATE)
-
-    def _held(self) -> dict | None:
-        return dict(zip(_FIELDS, self.last.get())) if self.last.exists() else None
-
-    def _set(self, state: dict, now_ms: int) -> Iterator[pd.DataFrame]:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.last.update(tuple(state[f] for f in _FIELDS))
-        if state["status"] not in ENDED:
-            from_ms = now_ms if self.by_clock else int(state["updated_at"] * 1000)
-            self.handle.registerTimer(from_ms + int(self.silence * 1000))
-        yield pd.DataFrame([state])[_FIELDS]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = held = self._held()
-        new = pd.concat(list(rows)).sort_values(["updated_at", "progress", "status"], kind="stable")
-        for row in new.astype(object).where(new.notna(), None).to_dict("records"):
-            state = follow(state, row) or state
-        if state is not None and state != held:
-            yield from self._set(state, timerValues.getCurrentProcessingTimeInMs() if self.by_clock else 0)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._held()
-        if state is not None and state["status"] not in ENDED:
-            yield from self._set(given_up(state, expiredTimerInfo.getExpiryTimeInMs() / 1000, self.silence), 0)
-
-    def close(self) -> None:
-        pass
+#: Jobs are kept by hash of their id in so many parts, each a state of its own with one timer, set to the first end of a silence in it: a state and a
+#: call of Python for each job would cost more than all else.
+PARTS = 4096
+_SAID = [p.split()[0] for p in RECORD.split(", ")]
+
+
+def _place(row: dict) -> tuple:
+    """Records in the order of their times, as a sort of columns would have them: those without a value come last."""
+    return tuple((row[c] is None, row[c] or 0) if c != "status" else (row[c] is None, row[c] or "") for c in ("updated_at", "progress", "status"))
+
+
+def _life(silence: float, by_clock: bool):
+    """The function that takes a part's new records, or the end of its timer, to the changes of its jobs."""
+    def of(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        jobs = pickle.loads(bytes(kept.get[0])) if kept.exists else {}  # job -> (state, when its silence is too long, in ms)
+        now = kept.getCurrentProcessingTimeMs() if by_clock else kept.getCurrentWatermarkMs()
+        before = {}
+        if not kept.hasTimedOut:
+            told = [dict(zip(_SAID, (None if v != v else v for v in row))) for f in frames for row in zip(*(f[c].tolist() for c in _SAID))]
+            for row in sorted(told, key=_place):
+                held = jobs.get(row["job_id"], (None, 0))[0]
+                state = follow(held, row)
+                if state is not None and state != held:
+                    before.setdefault(row["job_id"], held)
+                    jobs[row["job_id"]] = (state, (now if by_clock else int(state["updated_at"] * 1000)) + int(silence * 1000))
+        first = None
+        for job, (state, due) in jobs.items():
+            if state["status"] not in ENDED:
+                if due <= now:
+                    before.setdefault(job, state)
+                    jobs[job] = (given_up(state, due / 1000, silence), due)
+                else:
+                    first = due if first is None else min(first, due)
+        kept.update((pickle.dumps(jobs),))
+        if first is not None and by_clock:
+            kept.setTimeoutDuration(first - now)
+        elif first is not None:
+            kept.setTimeoutTimestamp(max(first - 1, now, 1))  # it runs out when the watermark has passed it
+        changed = [jobs[job][0] for job, held in before.items() if jobs[job][0] != held]
+        if changed:
+            yield pd.DataFrame([[state[f] for f in _FIELDS] for state in changed], columns=_FIELDS)
+
+    return of
 
 
 def changes(events: DataFrame, silence: float = 600.0, by_clock: bool = True, late: str = "0 seconds") -> DataFrame:
@@ -96,8 +105,9 @@ def changes(events: DataFrame, silence: float = 600.0, by_clock: bool = True, la
     rows = records(events)
     if not by_clock:
         rows = rows.withColumn("at", F.timestamp_seconds("updated_at")).withWatermark("at", late)
-    mode = "ProcessingTime" if by_clock else "EventTime"
-    return rows.groupBy("job_id").transformWithStateInPandas(_Life(silence, by_clock), STATE, "Update", mode)
+    times = GroupStateTimeout.ProcessingTimeTimeout if by_clock else GroupStateTimeout.EventTimeTimeout
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("job_id"), F.lit(PARTS)).cast("int"))
+    return rows.groupBy("part").applyInPandasWithState(_life(silence, by_clock), STATE, "jobs binary", "update", times)
 
 
 def states(events: DataFrame, silence: float = 600.0, now: float | None = None) -> DataFrame:
