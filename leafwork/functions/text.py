@@ -12,13 +12,20 @@ from .. import fixed
 from ..fixed import any_of
 
 
-def rx(pattern: str, ignore_case: bool = True) -> str:
-    """A pattern with Unicode classes, as the document model reads them."""
+_ASCII_WORD = "[0-9A-Za-z_]"
+
+
+def rx(pattern: str, ignore_case: bool = True, ascii_words: bool = False) -> str:
+    """A pattern with Unicode classes, as the document model reads them; ``ascii_words``: classes and ends of words are ASCII's, as in SQL,
+    so that a word also ends before or after a letter with an accent.  There, \\b opens the pattern or closes a word in it."""
+    if ascii_words:
+        opened = re.sub(r"^\\b", f"(?<!{_ASCII_WORD})", pattern)
+        return ("(?iu)" if ignore_case else "") + opened.replace(r"\b", f"(?!{_ASCII_WORD})")
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
-def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(rx(pattern, ignore_case))
+def has(text: Column, pattern: str, ignore_case: bool = True, ascii_words: bool = False) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(rx(pattern, ignore_case, ascii_words))
 
 
 def find(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
@@ -252,11 +259,11 @@ def safe_slug(path: Column) -> Column:
     return F.when(slug == "", "paper").otherwise(slug)
 
 
-def looks_truncated(source: Column, result: Column) -> Column:
+def looks_truncated(source: Column, result: Column, ascii_words: bool = False) -> Column:
     """Whether a translation stops short: empty, newly ending in an ellipsis, or far shorter than its source's words (F32)."""
     src, dst = squeeze(source), squeeze(result)
     ends = fixed.ELLIPSIS
-    kept = F.aggregate(F.regexp_extract_all(src, F.lit(rx(fixed.UNTRANSLATED_PARTS, False)), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
+    kept = F.aggregate(F.regexp_extract_all(src, F.lit(rx(fixed.UNTRANSLATED_PARTS, False, ascii_words)), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     n_src, n_dst = F.length(src) - kept, F.length(dst) - kept
     ratio = F.when(n_src > 0, n_dst / n_src)
     short = ((n_src >= 300) & (ratio < 0.30)) | ((n_src >= 180) & (ratio < 0.20))

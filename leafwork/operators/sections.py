@@ -107,13 +107,16 @@ def _joined(piece: Column) -> Column:
     return F.when(last == 0, F.get(piece, F.lit(0))["r"]["text"]).otherwise(F.array_join(F.transform(piece, ends), " "))
 
 
-def merge_paragraphs(rows: DataFrame) -> DataFrame:
-    """Merge paragraphs of one section that go on in the next block (W2); headings, captions and blank texts stand apart."""
+def merge_paragraphs(rows: DataFrame, ascii_words: bool = False) -> DataFrame:
+    """Merge paragraphs of one section that go on in the next block (W2); headings, captions and blank texts stand apart.
+
+    ``ascii_words``: words end where SQL lets them end, so that an "a" after a letter with an accent is one.
+    """
     before, after = T.rstrip(_before("text")), T.lstrip(F.col("text"))
     open_end = T.has(before, r"[.!?。！？:]\z", False)
-    goes_on = T.has(before, rf"\b{any_of(fixed.JOINING_WORDS)}\z") | T.has(after, r"^(?:[A-Z]{2,}\b|[a-z0-9(),;/%±~<>≥≤])", False) | T.has(before, r"[,;]\z", False)
+    goes_on = T.has(before, rf"\b{any_of(fixed.JOINING_WORDS)}\z", True, ascii_words) | T.has(after, r"^(?:[A-Z]{2,}\b|[a-z0-9(),;/%±~<>≥≤])", False, ascii_words) | T.has(before, r"[,;]\z", False)
     paragraphs = (_before("kind") == "paragraph") & (F.col("kind") == "paragraph") & (_before("section_id") == F.col("section_id"))
-    joinable = paragraphs & (before != "") & (after != "") & ~open_end & goes_on & ~rules.starts_subheading(F.col("text"), fixed.PARSER_NOUNS, [])
+    joinable = paragraphs & (before != "") & (after != "") & ~open_end & goes_on & ~rules.starts_subheading(F.col("text"), fixed.PARSER_NOUNS, [], ascii_words)
     full = (F.length(T.strip(F.col("text"))) >= 50) | T.has(after, _GOES_ON_SMALL, False)
     pieces = _pieces(rows.withColumn("_full", full), joinable, _near, _grown)
     first = F.get("piece", F.lit(0))
@@ -122,7 +125,7 @@ def merge_paragraphs(rows: DataFrame) -> DataFrame:
     return pieces.select("doc_id", *[new.get(c, first["r"][c]).alias(c) for c in rows.columns if c != "doc_id"]).select(*rows.columns)
 
 
-def merge_fragments(rows: DataFrame) -> DataFrame:
+def merge_fragments(rows: DataFrame, ascii_words: bool = False) -> DataFrame:
     """A fragment that begins in the middle of a sentence goes to the body paragraph before it (W4), after text within figures is masked.
 
     Between the two there may be captions and text that is not content, but no heading.
@@ -134,7 +137,7 @@ def merge_fragments(rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("_last", F.last(F.when(body, state), ignorenulls=True).over(earlier)).withColumn("_body", body)
     last, before, after = F.col("_last"), T.rstrip(F.col("_last.text")), T.lstrip(F.col("text"))
     same = (last["kind"] == "paragraph") & (F.col("kind") == "paragraph") & (last["section_id"] == F.col("section_id")) & (last["headings"] == F.col("_headings"))
-    joinable = same & (before != "") & T.has(after, _GOES_ON_SMALL, False) & ~T.has(before, r"[.!?。！？]\z", False) & ~rules.starts_subheading(F.col("text"), [], ["Meanwhile"])
+    joinable = same & (before != "") & T.has(after, _GOES_ON_SMALL, False) & ~T.has(before, r"[.!?。！？]\z", False) & ~rules.starts_subheading(F.col("text"), [], ["Meanwhile"], ascii_words)
     marked = marked.withColumn("_joinable", ~F.col("_body") | joinable).drop("_last", "_headings")
     fits = lambda open_, cur: cur["_body"] & (cur["page"] - open_["page"]).between(0, 1)
     nothing = lambda open_, cur: F.lit(None).cast(G.BOX)

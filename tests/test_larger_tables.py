@@ -2,9 +2,23 @@
 
 import json
 
+import duckdb
+import pytest
+
+from leafwork.plans import catalogue
 from leafwork.streaming import jobs, lifecycle
 
 
+def against_sql(spark, folder, name):
+    """The rows of a query and of its SQL over the tables of a folder, sorted."""
+    con = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}{'/*.parquet' if f.is_dir() else ''}'")
+    df = catalogue.QUERIES[name](spark, str(folder))
+    columns = ", ".join(df.columns)
+    return sorted(map(tuple, df.collect())), sorted(con.execute(f"SELECT {columns} FROM ({catalogue.SQL[name]})").fetchall())
+
+
 def test_jobs_share_states(spark, tmp_path, monkeypatch):
     """A state, and a call of Python, is for a part of all jobs and not for one."""
     monkeypatch.setattr(lifecycle, "PARTS", 8)
@@ -18,3 +32,15 @@ def test_jobs_share_states(spark, tmp_path, monkeypatch):
     got = {r["job_id"]: (r["status"], r["silent"]) for r in jobs.read_status(spark, str(tmp_path / "table")).collect()}
     late = lambda i: i % 3 and 1000 + i + 100 <= 1299
     assert got == {f"j{i}": ("failed", True) if late(i) else ("completed", False) if i % 3 == 0 else ("running", False) for i in range(300)}
+
+
+WORDS = ["Viele Wörter stehen hier SSñ und noch mehr ABé. " * 20, "ñSS 5 %" * 40, "a aüb 10.1234/xé " * 30]
+LINES = ["Hier endet es chllaía\nCiónued hier weiter. Und so", "So geht es í\nABé weiter gerade", "Der Rest, stabilityé nun\nThé Device Wort", "ein Ding ía\nThé Wörter Dinge"]
+
+
+@pytest.mark.parametrize("name, texts", [("truncation_flags", [w[:n] for w in WORDS for n in range(150, 700, 13)]), ("merge_paragraphs", LINES), ("merge_fragments", LINES), ("subheading_test", LINES)])
+def test_words_end_where_sql_lets_them_end(spark, tmp_path, name, texts):
+    rows = [(i, t, "a", "de", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = against_sql(spark, tmp_path, name)
+    assert got == want
