@@ -28,6 +28,11 @@ def has(text: Column, pattern: str, ignore_case: bool = True, ascii_words: bool
     return F.coalesce(text, F.lit("")).rlike(rx(pattern, ignore_case, ascii_words))
 
 
+def folded(text: Column) -> Column:
+    """A text in lower case, with the two letters that a pattern without case takes for s and i."""
+    return F.lower(F.replace(F.replace(text, F.lit("ſ"), F.lit("s")), F.lit("İ"), F.lit("i")))
+
+
 def find(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     return F.regexp_extract(text, rx(pattern, ignore_case), group)
 

@@ -8,6 +8,7 @@ field, so the whole cascade is a projection over one row per document.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class Rule:
     check_journal: bool = False
     unless_set: tuple[str, ...] = ()  # skipped when all of these are set
     clear_others: bool = False
+    words: tuple[tuple[str, ...], ...] = ()  # every match holds a word of each of these, in lower case
 
 
 # Citation styles, in order (RULES, PIPES and LATER).
@@ -42,14 +44,14 @@ _year, _vol, _page, _name = fixed.YEAR, fixed.VOLUME, fixed.PAGES, fixed.NAME
 _both = ("journal", "year")
 RULES = [
     Rule("subject", rf"^([A-Z][A-Za-z &]+)\s+{_year}\.{_vol}:(\d+(?:[-–]\d+)?)", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, ignore_case=False, source="subject"),
-    Rule("cite_as", rf"Cite this article as:.{{0,260}}?\b(Nature)\s+https?://doi\.org/\S+.*?\b{_year}\b", {"journal": 1, "year": 2}, overwrite=True),
-    Rule("head_vol_no", rf"\b(IEEE\s+[A-Z][A-Z0-9 &/\-]+?)\s*,?\s+VOL\.?\s*{_vol}(?:\s*,?\s+NO\.?\s*{_vol})?.{{0,80}}?\b{_year}\b", {"journal": 1, "volume": 2, "issue": 3, "year": 4}, overwrite=True, clear_others=True),
-    Rule("name_vol_year_pages", rf"{_name}\s+(\d{{1,4}}[A-Za-z]?)\s*\({_year}\)\s*{_page}", {"journal": 1, "volume": 2, "year": 3, "pages": 4}, check_journal=True, unless_set=_both),
-    Rule("name_comma_year", rf"{_name},\s*{_year},\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*([A-Za-z]?\d+(?:[-−–]\d+)?|[A-Za-z]\d{{4,}})", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both),
-    Rule("name_year_vol", rf"{_name}\s+{_year},\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*([A-Za-z]?\d+(?:[-−–]\d+)?|[A-Za-z]\d{{4,}})", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both),
-    Rule("short_name_year", rf"(Adv(?:anced)?\.?\s+[A-Za-z &]+|Angew(?:andte)?\.?\s+[A-Za-z &]+|Small|Solar RRL)\s*,?\s*{_year}\s*,\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*{_page}", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both),
-    Rule("vol_no_pp", rf"(IEEE\s+[A-Z][A-Za-z. &/]+?),\s*vol\.?\s*{_vol}(?:,\s*no\.?\s*{_vol})?(?:,\s*(?:pp?\.?\s*)?([A-Za-z]?\d+(?:[-–]\d+)?))?,?\s*(?:[A-Z][a-z]{{2,8}}\.?)?\s*{_year}", {"journal": 1, "volume": 2, "issue": 3, "pages": 4, "year": 5}, check_journal=True, unless_set=_both),
-    Rule("review", rf"(Phys(?:ical)?\.?\s*Rev(?:iew)?\.?\s*[A-Za-z &]+?)\s+{_vol}\s*,\s*([A-Za-z]?\d+)\s*\({_year}\)", {"journal": 1, "volume": 2, "pages": 3, "year": 4}, check_journal=True, unless_set=_both),
+    Rule("cite_as", rf"Cite this article as:.{{0,260}}?\b(Nature)\s+https?://doi\.org/\S+.*?\b{_year}\b", {"journal": 1, "year": 2}, overwrite=True, words=(("cite this article as:",), ("doi.org",))),
+    Rule("head_vol_no", rf"\b(IEEE\s+[A-Z][A-Z0-9 &/\-]+?)\s*,?\s+VOL\.?\s*{_vol}(?:\s*,?\s+NO\.?\s*{_vol})?.{{0,80}}?\b{_year}\b", {"journal": 1, "volume": 2, "issue": 3, "year": 4}, overwrite=True, clear_others=True, words=(("ieee",), ("vol",))),
+    Rule("name_vol_year_pages", rf"{_name}\s+(\d{{1,4}}[A-Za-z]?)\s*\({_year}\)\s*{_page}", {"journal": 1, "volume": 2, "year": 3, "pages": 4}, check_journal=True, unless_set=_both, words=(("(",),)),
+    Rule("name_comma_year", rf"{_name},\s*{_year},\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*([A-Za-z]?\d+(?:[-−–]\d+)?|[A-Za-z]\d{{4,}})", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both, words=((",",),)),
+    Rule("name_year_vol", rf"{_name}\s+{_year},\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*([A-Za-z]?\d+(?:[-−–]\d+)?|[A-Za-z]\d{{4,}})", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both, words=((",",),)),
+    Rule("short_name_year", rf"(Adv(?:anced)?\.?\s+[A-Za-z &]+|Angew(?:andte)?\.?\s+[A-Za-z &]+|Small|Solar RRL)\s*,?\s*{_year}\s*,\s*(\d{{1,4}}[A-Za-z]?)\s*,\s*{_page}", {"journal": 1, "year": 2, "volume": 3, "pages": 4}, check_journal=True, unless_set=_both, words=(("adv", "angew", "small", "solar rrl"), (",",))),
+    Rule("vol_no_pp", rf"(IEEE\s+[A-Z][A-Za-z. &/]+?),\s*vol\.?\s*{_vol}(?:,\s*no\.?\s*{_vol})?(?:,\s*(?:pp?\.?\s*)?([A-Za-z]?\d+(?:[-–]\d+)?))?,?\s*(?:[A-Z][a-z]{{2,8}}\.?)?\s*{_year}", {"journal": 1, "volume": 2, "issue": 3, "pages": 4, "year": 5}, check_journal=True, unless_set=_both, words=(("ieee",), ("vol",))),
+    Rule("review", rf"(Phys(?:ical)?\.?\s*Rev(?:iew)?\.?\s*[A-Za-z &]+?)\s+{_vol}\s*,\s*([A-Za-z]?\d+)\s*\({_year}\)", {"journal": 1, "volume": 2, "pages": 3, "year": 4}, check_journal=True, unless_set=_both, words=(("phys",), ("rev",), ("(",))),
 ]
 _piped = r"([A-Z][A-Za-z0-9 &+\-]+?)\s*\|\s*\(?((?:19|20)\d{2})\)?\s*"
 _end = r"\s*[:;,]\s*([A-Za-z]?\d+(?:[-–]\d+)?)"
@@ -59,9 +61,9 @@ PIPES = [
     (rf"([A-Z][A-Za-z0-9 &+\-]{{3,80}}?)\s+\(?{_year}\)?\s+{_vol}\s*(?:\(([^)]+)\))?{_end}", {"journal": 1, "year": 2, "volume": 3, "issue": 4, "pages": 5}),
 ]
 LATER = [
-    Rule("letters", rf"\bACS Energy Lett\.\s*{_year},\s*(\d+),\s*{_page}", {"year": 1, "volume": 2, "pages": 3}, overwrite=True, constants={"journal": "ACS Energy Letters"}),
-    Rule("commun", rf"\bNat(?:ure)?\s+Commun(?:ications)?\s*\({_year}\)", {"year": 1}, overwrite=True, constants={"journal": "Nature Communications"}),
-    Rule("review_again", rf"\b(Phys(?:ical)?\.?\s*Rev(?:iew)?\.?\s*[A-Za-z]+|[A-Z][a-z]+\.?\s*Rev\.?\s*[A-Za-z]+)\s+{_vol}\s*,\s*([A-Za-z]?\d+)\s*\({_year}\)", {"journal": 1, "volume": 2, "pages": 3, "year": 4}, unless_set=("journal", "volume")),
+    Rule("letters", rf"\bACS Energy Lett\.\s*{_year},\s*(\d+),\s*{_page}", {"year": 1, "volume": 2, "pages": 3}, overwrite=True, constants={"journal": "ACS Energy Letters"}, words=(("acs energy lett",),)),
+    Rule("commun", rf"\bNat(?:ure)?\s+Commun(?:ications)?\s*\({_year}\)", {"year": 1}, overwrite=True, constants={"journal": "Nature Communications"}, words=(("nat",), ("commun",), ("(",))),
+    Rule("review_again", rf"\b(Phys(?:ical)?\.?\s*Rev(?:iew)?\.?\s*[A-Za-z]+|[A-Z][a-z]+\.?\s*Rev\.?\s*[A-Za-z]+)\s+{_vol}\s*,\s*([A-Za-z]?\d+)\s*\({_year}\)", {"journal": 1, "volume": 2, "pages": 3, "year": 4}, unless_set=("journal", "volume"), words=(("rev",), ("(",))),
 ]
 
 
@@ -69,9 +71,16 @@ def _tidy(x: Column) -> Column:
     return F.translate(strip(x, " .,:;|"), "−–", "--")
 
 
+def _holding(words: tuple[tuple[str, ...], ...], found: Column) -> Column:
+    """What a search finds, but for texts without the words that each of its matches holds: those are not searched."""
+    if not words:
+        return found
+    return F.when(reduce(Column.__and__, [reduce(Column.__or__, [F.contains("_low", F.lit(w)) for w in ws]) for ws in words]), found).otherwise(EMPTY)
+
+
 def _apply(df: DataFrame, rule: Rule) -> DataFrame:
     """Search for the rule's pattern once; hits and groups are then read from the short text that it matched."""
-    df = df.withColumn("_m", find(F.col(rule.source), rule.pattern, 0, rule.ignore_case))
+    df = df.withColumn("_m", _holding(rule.words, find(F.col(rule.source), rule.pattern, 0, rule.ignore_case)))
     group = lambda g: find(F.col("_m"), rule.pattern, g, rule.ignore_case)
     hit = F.col("_m") != EMPTY
     got = {f: _tidy(group(g)) for f, g in rule.groups.items()}
@@ -95,6 +104,7 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
     """
     texts = pages.where("page <= 4").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     df = texts.select("doc_id", squeeze(F.array_join(F.transform("p", lambda x: x["text"]), "\n")).alias("text"))
+    df = df.withColumn("_low", T.folded(F.col("text")))
     if metadata is not None:
         df = df.join(metadata.select("doc_id", "subject"), "doc_id", "left")
         df = df.withColumn("subject", F.coalesce("subject", F.lit("")))
@@ -103,7 +113,7 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
     df = df.withColumns({f: F.lit(EMPTY) for f in FIELDS})
     for rule in RULES:
         df = _apply(df, rule)
-    df = df.withColumns({f"_p{n}": find(F.col("text"), p, 0, False) for n, (p, _) in enumerate(PIPES)})
+    df = df.withColumns({f"_p{n}": _holding((("|",),) if n < 2 else ((":", ";", ","),), find(F.col("text"), p, 0, False)) for n, (p, _) in enumerate(PIPES)})
     pick = lambda f: F.coalesce(*[F.when(F.col(f"_p{n}") != EMPTY, strip(find(F.col(f"_p{n}"), p, g[f], False), " .,:;|") if f in g else F.lit(EMPTY)) for n, (p, g) in enumerate(PIPES)], F.col(f))
     df = df.withColumns({f: T.clean_journal(pick(f)) if f == "journal" else pick(f) for f in FIELDS}).drop(*[f"_p{n}" for n in range(len(PIPES))])
     known = find(F.col("text"), rf"\b({'|'.join(fixed.JOURNALS)})\b")
@@ -112,7 +122,7 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
         df = _apply(df, rule)
     t = F.col("text")
     vol_issue = fixed.VOLUME_AND_ISSUE
-    df = df.withColumn("_m", F.when(F.col("volume") == EMPTY, find(t, vol_issue, 0)).otherwise(EMPTY))
+    df = df.withColumn("_m", F.when(F.col("volume") == EMPTY, _holding((("(",),), find(t, vol_issue, 0))).otherwise(EMPTY))
     m, hit = F.col("_m"), F.col("_m") != EMPTY
     issue = strip(find(m, vol_issue, 2))
     df = df.withColumns({
@@ -121,15 +131,15 @@ def publication(pages: DataFrame, metadata: DataFrame | None = None) -> DataFram
         "pages": F.when(hit, _tidy(find(m, vol_issue, 3))).otherwise(F.col("pages")),
     }).drop("_m")
     fill = lambda f, value: F.when(F.col(f) == EMPTY, value).otherwise(F.col(f))
-    df = df.withColumn("volume", fill("volume", find(t, fixed.VOLUME_WORD)))
-    number = find(t, fixed.ISSUE_WORD)
+    df = df.withColumn("volume", fill("volume", _holding((("vol",),), find(t, fixed.VOLUME_WORD))))
+    number = _holding((("issue", "no"),), find(t, fixed.ISSUE_WORD))
     df = df.withColumn("issue", fill("issue", F.when(has(number, fixed.NOT_ISSUES), EMPTY).otherwise(number)))
     df = df.withColumn("pages", fill("pages", _tidy(find(t, fixed.PAGES_WORD))))
     piped = fixed.PIPED_PAGES
-    df = df.withColumn("_m", F.when(F.col("pages") == EMPTY, find(t, piped, 0)).otherwise(EMPTY))
+    df = df.withColumn("_m", F.when(F.col("pages") == EMPTY, _holding((("|",),), find(t, piped, 0))).otherwise(EMPTY))
     df = df.withColumns({f: F.when(hit & (F.col(f) == EMPTY), _tidy(find(m, piped, g))).otherwise(F.col(f)) for f, g in (("year", 1), ("volume", 2), ("pages", 3))}).drop("_m")
-    said = find(t, fixed.PUBLISHED_YEAR)
-    year = F.coalesce(nullif(said), nullif(find(t, fixed.ACCEPTED_YEAR)), find(t, rf"\b{_year}\b"))
+    said = _holding((("published", "copyright", "cite this"),), find(t, fixed.PUBLISHED_YEAR))
+    year = F.coalesce(nullif(said), nullif(_holding((("accepted:",),), find(t, fixed.ACCEPTED_YEAR))), find(t, rf"\b{_year}\b"))
     return df.withColumn("year", fill("year", year)).select("doc_id", *FIELDS)
 
 
@@ -167,8 +177,11 @@ def title(paragraphs: DataFrame, metadata: DataFrame | None = None) -> DataFrame
     t = F.col("text")
     after = T.clean_title(F.substr(t, F.instr(t, find(t, fixed.DOI, 0)) + F.length(find(t, fixed.DOI, 0))))
     by_doi = has(t, fixed.DOI) & (F.length(t) > F.instr(t, find(t, fixed.DOI, 0)) - 1 + F.length(find(t, fixed.DOI, 0)) + 20) & (after != "")
-    own = T.clean_title(t)
-    caption = rules.is_caption(own)
+    # Columns of their own: else each of the many tests that look at them would clean the title anew.
+    rows = rows.withColumn("_own", T.clean_title(t))
+    own = F.col("_own")
+    rows = rows.withColumn("_caption", (F.length(own) > 20) & (F.length(own) < 260) & rules.is_caption(own))
+    caption = F.col("_caption")
     reads = (F.length(own) > 20) & (F.length(own) < 260) & ~rules.is_title_noise(own) & ~has(own, fixed.DOI) & (rules.section_word(own) == "") & ~rules.is_non_content(own, caption, rules.is_heading(own, caption))
     rows = rows.withColumn("c", F.when(by_doi, after).when(reads, own))
     out = rows.groupBy("doc_id").agg(F.min_by("c", F.when(F.col("c").isNotNull(), F.col("seq"))).alias("title"))

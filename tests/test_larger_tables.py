@@ -5,6 +5,7 @@ import json
 import duckdb
 import pytest
 
+from leafwork.operators import bibliography
 from leafwork.plans import catalogue
 from leafwork.streaming import jobs, lifecycle
 
@@ -44,3 +45,23 @@ def test_words_end_where_sql_lets_them_end(spark, tmp_path, name, texts):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got, want = against_sql(spark, tmp_path, name)
     assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_title_is_cleaned_once(spark):
+    """And not anew in each of the tests that look at it."""
+    rows = spark.createDataFrame([(1, 1, "Article: On the making of many kinds of cells")], "doc_id long, seq long, text string")
+    df = bibliography.title(rows)
+    assert plan(df).count("^Nature Communications Article in Press") <= 3  # 74 times before
+    assert [r["title"] for r in df.collect()] == ["On the making of many kinds of cells"]
+
+
+def test_texts_without_its_words_are_not_searched_for_a_citation(spark):
+    texts = ["IEEE JOURNAL OF THINGS, VOL. 7, NO. 3, MAY 2021", "ieee journal of things", "Joule | 2020 | 4(3): 55", "ACS Energy Lett. 2019, 4, 12", "Accepted: 3 May 2018"]
+    df = bibliography.publication(spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, page int, text string"))
+    assert plan(df).count("Contains(_low") >= 10
+    got = {r["doc_id"]: (r["journal"], r["volume"], r["year"]) for r in df.collect()}
+    assert got == {0: ("IEEE JOURNAL OF THINGS", "7", "2021"), 1: ("ieee journal of things", "", ""), 2: ("Joule", "4", "2020"), 3: ("ACS Energy Letters", "4", "2019"), 4: ("", "", "2018")}
