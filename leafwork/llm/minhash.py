@@ -24,47 +24,80 @@ FUNCTIONS, BAND = 128, 6
 EMPTY = 0xFFFFFFFF  # what every function has for a text without words
 
 
-class _Words(dict):
-    """Hashes of words, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class Sketcher:
-    """Shingles and signatures of texts, with the hashes of words seen last."""
+    """Shingles and signatures of texts.
+
+    A word's hash is a polynomial of a random value for each byte (one for both cases of A-Z), mod 2^64; those of all words
+    come from one running sum over the text.
+    """
 
     def __init__(self, functions: int = FUNCTIONS, width: int = 5, seed: int = 7):
         draw = np.random.default_rng(seed)
         self.a = draw.integers(0, 1 << 31, functions, np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = draw.integers(0, 1 << 32, functions, np.uint32)
-        self.width, self.words = width, _Words()
-
-    def shingles(self, text: bytes) -> np.ndarray:
-        """The distinct shingles of a text as sorted 64-bit hashes."""
-        words = text.lower().split()  # of bytes, so that only A-Z change
-        if len(self.words) > 1 << 20:
-            self.words.clear()
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        self.value = draw.integers(0, 1 << 64, 256, np.uint64)
+        self.value[ord("A") : ord("Z") + 1] = self.value[ord("a") : ord("z") + 1]
+        self.base = int(draw.integers(0, 1 << 61)) * 8 + 5
+        self.power = self.back = np.ones(1, np.uint64)  # powers of the base and of its inverse
+        self.inner = np.ones(256, bool)
+        self.inner[list(b" \t\n\r\x0b\x0c")] = False
+        self.room, self.width = np.empty((1024, functions), np.uint32), width
+
+    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, ends): of each word of a text, in order."""
+        b, u = np.frombuffer(text, np.uint8), np.uint64
+        inner = self.inner[b]
+        edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if len(b) >= len(self.power):
+            steps = np.full(2 * len(b), self.base, u), np.full(2 * len(b), pow(self.base, -1, 1 << 64), u)
+            self.power, self.back = (np.concatenate([np.ones(1, u), np.cumprod(s)]) for s in steps)
+        sums = np.zeros(len(b) + 1, u)
+        np.cumsum(self.value[b] * self.power[: len(b)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.back[starts]
+        h ^= h >> u(32)
+        h *= u(0xD6E8FEB86659FD93)
+        h ^= h >> u(32)
+        return h, ends
+
+    def runs(self, h: np.ndarray) -> np.ndarray:
+        """The shingles of hashed words as 64-bit hashes, in order, repeats included."""
         n, width = len(h), min(self.width, len(h))
         if not n:
             return h
         out, u = np.full(n - width + 1, width, np.uint64), np.uint64
         for j in range(width):
-            out = out * u(0x9E3779B97F4A7C15) + h[j : n - width + 1 + j]
+            out *= u(0x9E3779B97F4A7C15)
+            out += h[j : n - width + 1 + j]
             out ^= out >> u(29)
-        return np.unique(out * u(0xBF58476D1CE4E5B9))
+        out *= u(0xBF58476D1CE4E5B9)
+        return out
+
+    def shingles(self, text: bytes) -> np.ndarray:
+        """The distinct shingles of a text as sorted 64-bit hashes."""
+        return distinct(self.runs(self.words(text)[0]))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """Each function's least value: a x + b mod 2^32, a permutation as a is odd, x being the upper half of a shingle."""
+        """Each function's least value: a x + b mod 2^32, a permutation as a is odd, x being the upper half of a shingle.
+
+        Repeats do no harm, and the signature of a union is the least of the signatures.
+        """
         out = np.full(len(self.a), EMPTY, np.uint32)
         x = (shingles >> np.uint64(32)).astype(np.uint32)
-        for i in range(0, len(x), 4096):
-            out = np.minimum(out, (self.a[:, None] * x[None, i : i + 4096] + self.b[:, None]).min(axis=1))
+        for i in range(0, len(x), len(self.room)):
+            part = x[i : i + len(self.room)]
+            room = self.room[: len(part)]
+            np.multiply(part[:, None], self.a, out=room)
+            room += self.b
+            np.minimum(out, room.min(axis=0), out=out)
         return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share of functions on which two signatures agree."""
     return float((a == b).mean())
@@ -150,10 +183,8 @@ def _compared(rows: DataFrame) -> DataFrame:
                 if what == 0:
                     known = (doc_id, same, class_id)
                     continue
-                raw = unpack(raw)
-                own = sketch.shingles(raw)
-                now = (doc_id, raw.decode("utf-8", "replace"), own, sketch.signature(own), known[2] if known[:2] == (doc_id, same) and known[2] is not None else doc_id, what == 2)
-                if held is not None and not held[-1]:
+                now = _sketched(sketch, unpack(raw)) | {"doc_id": doc_id, "class_id": known[2] if known[:2] == (doc_id, same) and known[2] is not None else doc_id, "last": what == 2}
+                if held is not None and not held["last"]:
                     out.append(_against(sketch, held, now))
                 held = now
                 if len(out) >= 512:
@@ -165,32 +196,43 @@ def _compared(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "same", "text", "class_id", "kind").mapInArrow(run, kind)
 
 
-def _against(sketch: Sketcher, this: tuple, after: tuple) -> tuple:
-    doc_id, text, own, signature, class_id, _ = this
-    new = edited(text, after[1])
-    data = new.encode()
-    other = sketch.shingles(data)
-    changed = sketch.signature(other)
+def _sketched(sketch: Sketcher, raw: bytes) -> dict:
+    """A text, its shingles and signature, and how many shingles, with what signature, stay as they are when its end is edited."""
+    text = raw.decode("utf-8", "replace")
+    kept = text[: len(text) - len(text) // 4].encode()
+    h, ends = sketch.words(raw)
+    whole = int(np.searchsorted(ends, len(kept))) if raw.startswith(kept) else 0  # words with a gap after them before the cut
+    runs, stay = sketch.runs(h), max(0, whole - sketch.width + 1)
+    head = sketch.signature(runs[:stay])
+    return {"text": text, "own": distinct(runs), "stay": stay, "head": head, "signature": np.minimum(head, sketch.signature(runs[stay:]))}
+
+
+def _against(sketch: Sketcher, this: dict, after: dict) -> tuple:
+    data = edited(this["text"], after["text"]).encode()
+    runs, own, signature = sketch.runs(sketch.words(data)[0]), this["own"], this["signature"]
+    changed = np.minimum(this["head"], sketch.signature(runs[this["stay"] :]))
     return (
-        doc_id, len(text), sha256(data).hexdigest(), as_text(signature), as_text(changed),
-        likeness(signature, changed), likeness(signature, after[3]), jaccard(own, other), jaccard(own, after[2]), class_id,
+        this["doc_id"], len(this["text"]), sha256(data).hexdigest(), as_text(signature), as_text(changed),
+        likeness(signature, changed), likeness(signature, after["signature"]), jaccard(own, distinct(runs)), jaccard(own, after["own"]), this["class_id"],
     )
 
 
 def bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: int = BAND) -> DataFrame:
-    """(key, same): for every band of every text the key of its values, once for equal texts; rows without an id are left out."""
+    """(key, same, size): for every band of every text the key of its values, once for equal texts, all rows of a key in one
+    partition, with the text's count of shingles, repeats included; rows without an id are left out."""
     def run(batches):
         sketch = Sketcher()
         for b in batches:
             same, first = np.unique(b.column(0).to_numpy(), return_index=True)
             for at in np.array_split(first, len(first) // 1024 + 1):
-                signs = np.array([sketch.signature(sketch.shingles(b.column(1)[i].as_py())) for i in at.tolist()]).reshape(len(at), -1)
+                runs = [sketch.runs(sketch.words(b.column(1)[i].as_py())[0]) for i in at.tolist()]
+                signs = np.array([sketch.signature(r) for r in runs]).reshape(len(at), -1)
                 count = signs.shape[1] // band
                 keys = [xxhash.xxh64_intdigest(s[j * band : (j + 1) * band].tobytes(), j) for s in signs for j in range(count)]
-                own = b.column(0).take(pa.array(np.repeat(at, count)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), own], ["key", "same"])
+                own, size = b.column(0).take(pa.array(np.repeat(at, count))), np.repeat(np.array([len(r) for r in runs], np.int64), count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), own, pa.array(size)], ["key", "same", "size"])
 
-    return _texts(docs, id_col, text_col).select("same", "text").mapInArrow(run, "key long, same long").distinct()
+    return _texts(docs, id_col, text_col).select("same", "text").mapInArrow(run, "key long, same long, size long").repartition("key").distinct()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,68 +240,107 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("same", F.xxhash64("text"))
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = BAND, leaders: int = 1) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = BAND, leaders: int = 1, room: int = 1 << 18) -> DataFrame:
     """(same, class_id) of all texts that have a copy or near copy: ``same`` is the hash of the text (xxhash64), class_id the smallest
     id of the rows whose texts verified links connect.  Null texts count as empty, texts without words are copies of each other's
     shingles, and rows without an id take no part.  An empty table gives no rows.
 
-    Links are pairs with a Jaccard similarity of ``least`` or more that share a band.  In each bucket the first texts (its
-    leaders) are compared with the others; texts that become connected are not compared again, and what is left goes on with
-    twice as many leaders, until every two texts of a bucket are connected or compared.
+    Links are pairs with a Jaccard similarity of ``least`` or more that share a band.  Buckets of the same texts count once.  A
+    bucket is cut into blocks of at most about ``room`` shingles, and its texts travel, compressed, to a group for every two of its
+    blocks, where ``leaders`` texts at a time are compared with all others, until those left are connected.
     """
     ids = _texts(docs, id_col, text_col).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    shared = bands(docs, id_col, text_col, band).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    open_ = cut(shared.select("key", "same"))
+    by_key = Window.partitionBy("key")
+    shared = bands(docs, id_col, text_col, band).withColumns({"n": F.count(F.lit(1)).over(by_key), "all": F.bit_xor(F.xxhash64("same")).over(by_key)}).where("n > 1")
+    open_ = cut(shared.select(F.xxhash64("n", "all").alias("key"), "same", "size").distinct())
     names = cut(open_.select("same").distinct())
-    texts = _candidates(docs, names, text_col)
-    labels, edges, begin = names.select("same", F.col("same").alias("component")), None, 0
-    while True:
-        rows = open_.join(labels, "same")
-        mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where(f"a < b and n > {begin + 1}").select("key")
-        rows = rows.join(mixed, "key").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("same")) - 1)
-        heads = rows.where(f"i >= {begin} and i < {begin + leaders}").select("key", F.col("same").alias("u"), F.col("component").alias("cu"), F.col("i").alias("iu"))
-        pairs = heads.join(rows.where(f"i > {begin}").select("key", F.col("same").alias("v"), F.col("component").alias("cv"), F.col("i").alias("iv")), "key").where("iv > iu and cu <> cv")
-        pairs = cut(pairs.select("u", "v").distinct())
-        if pairs.isEmpty():
-            break
-        new = cut(_verified(pairs, texts, least))
-        edges = new if edges is None else cut(edges.unionByName(new))
-        linked = components(edges)
-        labels = cut(names.join(linked.withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("component", "same").alias("component")))
-        begin, leaders = begin + leaders, 2 * leaders
+    edges = cut(_verified(_candidates(docs, names, text_col), _dealt(open_, room), least, leaders))
+    labels = cut(names.join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", F.coalesce("component", "same").alias("component")))
     ids = ids.join(labels, "same", "left").withColumn("component", F.coalesce("component", "same"))
     classes = ids.where("copies > 1 or component <> same").select("component").union(labels.where("component <> same").select("component")).distinct()
     ids = cut(ids.join(classes, "component", "left_semi").select("same", "component", "doc_id"))
     out = cut(ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("same", "class_id"))
-    drop(open_, texts)
+    drop(open_, edges)
     return out
 
 
+def _dealt(buckets: DataFrame, room: int) -> DataFrame:
+    """(part, same): buckets (key, same, size) as groups of one block, if that holds all, else of every two blocks."""
+    by_key = Window.partitionBy("key")
+    before = F.sum(F.least(F.col("size"), F.lit(room)) + 1).over(by_key.orderBy("same").rowsBetween(Window.unboundedPreceding, -1))
+    rows = buckets.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / (room + 1))).withColumn("last", F.max("block").over(by_key))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda b: b != F.col("block"))
+    other = F.explode(F.when(F.col("last") == 0, F.array(F.col("block"))).otherwise(others))
+    return rows.select("key", "same", "block", other.alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "same")
+
+
 def _candidates(docs: DataFrame, wanted: DataFrame, text_col: str, log_bits: int = 27) -> DataFrame:
-    """(same, shingles) of the wanted texts, once each; a filter of constant size leaves most of the others behind."""
+    """(same, text) of the wanted texts, compressed, once each; a filter of constant size leaves most of the others behind, not all."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, log_bits))
 
     def run(batches):
-        sketch = Sketcher()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             same = b.column(0).to_numpy()
             _, first = np.unique(same, return_index=True)
             at = first[passes(same[first].view(np.uint64), bits.value, log_bits)]
             for i in np.array_split(at, len(at) // 1024 + 1):
-                own = [sketch.shingles(b.column(1)[j].as_py()).view(np.int64) for j in i.tolist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(own, pa.list_(pa.int64()))], ["same", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array([pack(b.column(1)[j].as_py()) for j in i.tolist()], pa.binary())], ["same", "text"])
 
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(run, "same long, shingles array<long>")
-    return cut(rows.join(wanted, "same", "left_semi").dropDuplicates(["same"]))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingles have a Jaccard similarity of ``least`` or more.  The shingles of v travel to those of u,
-    which are few, as they are leaders."""
-    left = pairs.join(texts.select(F.col("same").alias("v"), F.col("shingles").alias("b")), "v")
-    right = texts.join(pairs.select(F.col("u").alias("same")).distinct(), "same", "left_semi").select(F.col("same").alias("u"), F.col("shingles").alias("a"))
-    both = left.join(right, "u")
-    shared = F.size(F.array_intersect("a", "b"))
-    likeness = F.when((F.size("a") == 0) & (F.size("b") == 0), 1.0).otherwise(shared / (F.size("a") + F.size("b") - shared))
-    return both.where(likeness >= least).select("u", "v")
+    return docs.select(F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(run, "same long, text binary").dropDuplicates(["same"])
+
+
+def _verified(texts: DataFrame, dealt: DataFrame, least: float, leaders: int) -> DataFrame:
+    """(u, v): links that connect what all pairs of a group with a Jaccard similarity of ``least`` or more would connect, fewer than its texts."""
+    def run(batches):
+        sketch, unpack = Sketcher(), zstandard.ZstdDecompressor().decompress
+        part, names, sets, out = None, [], [], []
+        as_rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+        found = lambda: [(names[i], names[j]) for i, j in linked(sets, least, leaders)]
+        for b in batches:
+            for this, same, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if this != part:
+                    out += found()
+                    part, names, sets = this, [], []
+                    if len(out) >= 4096:
+                        yield as_rows()
+                        out = []
+                names.append(same)
+                sets.append(sketch.shingles(unpack(raw)))
+        out += found()
+        if out:
+            yield as_rows()
+
+    return texts.join(dealt, "same").select("part", "same", "text").repartition("part").sortWithinPartitions("part", "same").mapInArrow(run, "u long, v long")
+
+
+def linked(sets: list[np.ndarray], least: float, leaders: int = 1) -> list[tuple[int, int]]:
+    """Links (i, j) of sets of shingles, a forest that connects what all pairs with a Jaccard similarity of ``least`` or more connect.
+
+    A set is compared with all others at once, through the places of its shingles; sets of the smallest components come first,
+    and none is left to compare when those not yet taken are connected.
+    """
+    n, out = len(sets), []
+    if n < 3:
+        return [(0, 1)] if n == 2 and jaccard(*sets) >= least else out
+    sizes, label, left = np.array([len(s) for s in sets]), np.arange(n), np.arange(n)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    while len(left):
+        own, count = label[left], np.bincount(label[left])
+        if count[own[0]] == len(left):
+            break
+        order = np.argsort(count[own], kind="stable")
+        for i in left[order[:leaders]].tolist():
+            low, high = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
+            skip = np.repeat(high - np.cumsum(high - low), high - low)
+            both = np.bincount(owner[skip + np.arange(len(skip))], minlength=n)
+            alike = both / (sizes[i] + sizes - both) >= least if sizes[i] else sizes == 0
+            labels, first = np.unique(label[alike], return_index=True)
+            out += [(i, int(j)) for l, j in zip(labels.tolist(), np.flatnonzero(alike)[first].tolist()) if l != label[i]]
+            label[np.isin(label, labels)] = labels.min()
+        left = left[order[leaders:]]
+        left.sort()
+    return out

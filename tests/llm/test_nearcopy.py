@@ -56,3 +56,37 @@ def test_pipeline_stage_leaves_no_near_copies(spark, sf):
     want, near = slow_kept({r["doc_id"]: r["text"] for r in table.collect()})
     assert (1, 177) in near
     assert sorted(r["doc_id"] for r in corpus_pipeline.no_near_copies(spark, table, sf).collect()) == want
+
+
+def test_links_of_a_bucket_are_a_forest_and_blocks_lose_none(spark):
+    """F op12: links of a large group are fewer than its texts, and equal all pairs' also where a bucket is cut into blocks."""
+    import random
+
+    import numpy as np
+
+    from leafwork.llm import minhash
+
+    draw, sketch, docs = random.Random(11), minhash.Sketcher(), []
+    base = [f"b{draw.randrange(10**5)}" for _ in range(200)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(draw.randrange(1, 4)):
+            words[draw.randrange(200)] = f"c{draw.randrange(10**5)}"
+        docs.append((i, " ".join(words)))
+    docs += [(200, " "), (201, "\n"), (202, "\t\t")]
+    sets = [sketch.shingles(t.encode()) for _, t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if minhash.jaccard(sets[i], sets[j]) >= 0.8]
+
+    def roots(links):
+        root = list(range(len(docs)))
+        for _ in range(len(docs)):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    got = minhash.linked(sets, 0.8)
+    root = roots(pairs)
+    assert roots(got) == root and len(got) < len(docs) < len(pairs)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [{(r["same"], r["class_id"]) for r in minhash.near_copies(table, room=n).collect()} for n in (1 << 18, 2000)]
+    assert found[0] == found[1] and {c for _, c in found[0]} == {docs[k][0] for k in np.unique(root) if root.count(k) > 1}
