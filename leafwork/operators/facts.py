@@ -128,11 +128,15 @@ def spans(text: Column, pattern: str) -> Column:
 DEVICE_PATTERNS, STABILITY_PATTERNS = ("pce", "pce_reverse"), ("stability", "stability_reverse", "loss")
 
 
-def matches(evidence: DataFrame, names: tuple[str, ...] = (*DEVICE_PATTERNS, *STABILITY_PATTERNS)) -> DataFrame:
-    """Evidence rows (doc_id, item, page, section, figure_id, text) as rows of matches: pattern, start, qualifier, number, count, unit, sentence."""
+def matches(evidence: DataFrame, names: tuple[str, ...] = (*DEVICE_PATTERNS, *STABILITY_PATTERNS), told=None) -> DataFrame:
+    """Evidence rows (doc_id, item, page, section, figure_id, text) as rows of matches: pattern, start, qualifier, number, count, unit, sentence.
+
+    A text is searched once, however many rows have it, and rows meet what was found in their text by a join.  ``told``
+    (device_values or stability_values) adds a column of that name, also made once a text.
+    """
     carried = ["doc_id", "item", "page", "section", "figure_id"]
     text = F.col("text")
-    rows = spread(evidence.where(F.contains(text, F.lit("%"))).where(T.mentions(text, [*fixed.EFFICIENCY, *fixed.RETAINED, *fixed.LOST])).select(*carried, "text"))
+    rows = evidence.where(F.contains(text, F.lit("%"))).select(*carried, "text")
     empty = F.array().cast("array<struct<pattern:string,start:int,qualifier:string,number:string,count:string,unit:string>>")
 
     def of(name: str) -> Column:
@@ -142,8 +146,12 @@ def matches(evidence: DataFrame, names: tuple[str, ...] = (*DEVICE_PATTERNS, *ST
         return F.when(F.regexp_like(F.col("_low"), F.lit(_gate(name))), F.transform(spans(text, pattern), row)).otherwise(empty)
 
     each = [of(name) for name in PATTERNS if name in names]
-    rows = rows.withColumn("_low", F.lower("text"))
-    return rows.select(*carried, F.explode(with_sentences(text, F.concat(*each))).alias("m")).select(*carried, "m.*")
+    found = with_sentences(text, F.concat(*each))
+    found = found if told is None else F.transform(found, lambda m: m.withField("told", told(m)))
+    found = F.when(T.mentions(text, [*fixed.EFFICIENCY, *fixed.RETAINED, *fixed.LOST]), found)
+    texts = spread(rows.select("text").distinct()).withColumn("_low", F.lower("text")).select("text", found.alias("_found"))
+    # No filter looks at _found, not even the one that explode implies: it would be pushed below distinct, and search every row.
+    return rows.join(texts, "text").select(*carried, F.explode_outer("_found").alias("m")).where("m is not null").select(*carried, "m.*")
 
 
 def first_sentences(evidence: DataFrame) -> DataFrame:
@@ -201,51 +209,70 @@ def _order() -> list[Column]:
     return [F.col("_item"), F.col("_pattern"), F.col("_start"), F.col("source_text")]
 
 
+def _with_told(found: DataFrame, names: tuple[str, ...], told) -> DataFrame:
+    rows = found.where(F.col("pattern").isin(*names))
+    return rows if "told" in found.columns else rows.withColumn("told", told({c: F.col(c) for c in found.columns}))
+
+
+def device_values(m) -> Column:
+    """What a match of an efficiency tells, whatever its document and page: other metrics, label and role, and whether it counts."""
+    s = m["sentence"]
+    n, metric = T.operator_number(m["number"]), lambda p: T.find(s, p).try_cast("double")
+    said = F.when(m["qualifier"].isNotNull(), m["qualifier"]).when(T.has(s, r"\bchampion\b"), "champion").when(T.has(s, r"\bcertified\b"), "certified").when(T.has(s, r"\bsteady[- ]state\b"), "steady-state").otherwise("")
+    values = {
+        "other_kind": rules.is_stability_sentence(s) | rules.is_retention(s) | rules.is_environment(s), "of_others": rules.is_other_work(s, F.lit(1)),
+        "label": said, "role": T.role(s), "pce": n["value"],
+        "voc": metric(rf"\bV(?:OC)?\b[^\d]{{0,20}}({fixed.NUMBER})\s*V"), "jsc": metric(rf"\bJSC\b[^\d]{{0,20}}({fixed.NUMBER})\s*mA\s*cm[-−]?\s*2"),
+        "ff": metric(rf"(?:\bFF\b|fill\s+factor)[^\d]{{0,20}}({fixed.NUMBER})\s*%"), "area": metric(rf"(?:active\s+area|area)[^\d]{{0,20}}({fixed.NUMBER})\s*cm\s*2"),
+        "source": T.bound(n["op"], lambda op: F.when(op != "", F.concat(s, F.lit(" [operator for PCE: "), op, F.lit("]"))).otherwise(s)),
+    }
+    return F.struct(*[c.alias(k) for k, c in values.items()])
+
+
 def device_performance(found: DataFrame) -> DataFrame:
     """Efficiencies with the voltage, current, fill factor and area of their sentence."""
-    s = F.col("sentence")
-    rows = found.where(F.col("pattern").isin(*DEVICE_PATTERNS))
-    rows = rows.where(~rules.is_stability_sentence(s) & ~rules.is_other_work(s, F.col("page")) & ~rules.is_retention(s) & ~rules.is_environment(s))
-    rows = rows.withColumn("n", T.operator_number(F.col("number")))
-    said = F.when(F.col("qualifier").isNotNull(), F.col("qualifier")).when(T.has(s, r"\bchampion\b"), "champion").when(T.has(s, r"\bcertified\b"), "certified").when(T.has(s, r"\bsteady[- ]state\b"), "steady-state").otherwise("")
-    rows = rows.withColumn("label", said)
-    metric = lambda p: T.find(s, p).try_cast("double")
-    pce = F.col("n.value")
+    rows = _with_told(found, DEVICE_PATTERNS, device_values)
+    t = lambda name: F.col(f"told.{name}")
+    rows = rows.where(~t("other_kind") & ~((F.col("page") <= 2) & t("of_others")))
     values = {
-        "device_label": F.col("label"), "sample_role": T.role(s), "pce_percent": pce,
-        "certified_pce_percent": F.when(F.lower("label") == "certified", pce), "steady_state_pce_percent": F.when(F.lower("label").contains("steady"), pce),
-        "voc_v": metric(rf"\bV(?:OC)?\b[^\d]{{0,20}}({fixed.NUMBER})\s*V"), "jsc_ma_cm2": metric(rf"\bJSC\b[^\d]{{0,20}}({fixed.NUMBER})\s*mA\s*cm[-−]?\s*2"),
-        "ff_percent": metric(rf"(?:\bFF\b|fill\s+factor)[^\d]{{0,20}}({fixed.NUMBER})\s*%"), "active_area_cm2": metric(rf"(?:active\s+area|area)[^\d]{{0,20}}({fixed.NUMBER})\s*cm\s*2"),
-        "source_text": F.when(F.col("n.op") != "", F.concat(s, F.lit(" [operator for PCE: "), F.col("n.op"), F.lit("]"))).otherwise(s),
-        "source_page": F.col("page"), "source_figure": F.col("figure_id"),
+        "device_label": t("label"), "sample_role": t("role"), "pce_percent": t("pce"),
+        "certified_pce_percent": F.when(F.lower(t("label")) == "certified", t("pce")), "steady_state_pce_percent": F.when(F.lower(t("label")).contains("steady"), t("pce")),
+        "voc_v": t("voc"), "jsc_ma_cm2": t("jsc"), "ff_percent": t("ff"), "active_area_cm2": t("area"),
+        "source_text": t("source"), "source_page": F.col("page"), "source_figure": F.col("figure_id"),
     }
     rows = rows.select("doc_id", F.col("item").alias("_item"), F.col("pattern").alias("_pattern"), F.col("start").alias("_start"), *_filled(schemas.DEVICE, values))
-    rows = unique_first(rows, ["doc_id", "pce_percent"], F.col("source_text"), _order())
+    rows = unique_first(rows.repartition("doc_id"), ["doc_id", "pce_percent"], F.col("source_text"), _order())
     return dedupe_devices(rows, _order()).drop("_item", "_pattern", "_start")
 
 
+def stability_values(m) -> Column:
+    """What a match of a retention or loss tells, whatever its document and page."""
+    s, n = m["sentence"], T.operator_number(m["number"])
+    values = {"op": n["op"], "value": n["value"], "role": T.role(s), "test": T.test_type(s), "celsius": T.temperature(s), "humidity": T.humidity(s), "steady": T.has(s, "no significant degradation")}
+    return F.struct(*[c.alias(k) for k, c in values.items()])
+
+
 def stability_tests(found: DataFrame, compat: bool = False) -> DataFrame:
     """Retention after hours or cycles, told forwards, backwards or as a loss (E1c, E1d, E1e).
 
     ``compat`` leaves losses without a number and ignores cycles when rows are deduplicated.
     """
     s, unit = F.col("sentence"), F.lower("unit")
-    rows = found.where(F.col("pattern").isin(*STABILITY_PATTERNS)).withColumn("n", T.operator_number(F.col("number")))
+    rows = _with_told(found, STABILITY_PATTERNS, stability_values)
+    t = lambda name: F.col(f"told.{name}")
     lost = F.col("pattern") == "loss"
-    loss = F.when(lost, F.lit(None).cast("double") if compat else F.col("n.value"))
-    kept = F.when(lost, round_even(100 - loss, 3)).otherwise(F.col("n.value"))
-    quality = F.when(loss.isNotNull(), F.concat(F.lit("reported efficiency loss "), F.col("n.op"), loss.cast("string"), F.lit("%"))).when(
-        (F.col("pattern") == "stability") & T.has(s, "no significant degradation"), "no significant degradation"
-    )
+    loss = F.when(lost, F.lit(None).cast("double") if compat else t("value"))
+    kept = F.when(lost, round_even(100 - loss, 3)).otherwise(t("value"))
+    quality = F.when(loss.isNotNull(), F.concat(F.lit("reported efficiency loss "), t("op"), loss.cast("string"), F.lit("%"))).when((F.col("pattern") == "stability") & t("steady"), "no significant degradation")
     values = {
-        "sample_role": T.role(s), "test_type": T.test_type(s), "duration_h": F.when(unit.startswith("h"), T.number(F.col("count"))),
+        "sample_role": t("role"), "test_type": t("test"), "duration_h": F.when(unit.startswith("h"), T.number(F.col("count"))),
         "cycles": F.when(unit.contains("cycle"), F.coalesce(T.number(F.col("count")), F.lit(0.0)).cast("int")),
-        "retained_pce_operator": F.when(loss.isNotNull(), "~").otherwise(F.col("n.op")), "retained_pce_percent": kept,
-        "temperature_c": T.temperature(s), "relative_humidity_percent": T.humidity(s), "qualitative_result": F.coalesce(quality, F.lit("")),
+        "retained_pce_operator": F.when(loss.isNotNull(), "~").otherwise(t("op")), "retained_pce_percent": kept,
+        "temperature_c": t("celsius"), "relative_humidity_percent": t("humidity"), "qualitative_result": F.coalesce(quality, F.lit("")),
         "source_text": s, "source_page": F.col("page"), "source_figure": F.col("figure_id"),
     }
     rows = rows.select("doc_id", F.col("item").alias("_item"), F.col("pattern").alias("_pattern"), F.col("start").alias("_start"), *_filled(schemas.STABILITY, values))
-    rows = unique_first(rows, ["doc_id", "retained_pce_percent", "duration_h", "cycles"], F.col("source_text"), _order())
+    rows = unique_first(rows.repartition("doc_id"), ["doc_id", "retained_pce_percent", "duration_h", "cycles"], F.col("source_text"), _order())
     return dedupe_stability(rows, _order(), not compat).drop("_item", "_pattern", "_start")
 
 
