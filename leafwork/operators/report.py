@@ -1,7 +1,8 @@
 """Markdown, HTML, JSON and spreadsheet reports.
 
 A report is a table of lines (doc_id, a, b, c, line): a is the part of the report, b and c the place within it.
-Lines of all parts are united and joined per document at the very end.
+Lines of all parts are united and joined per document at the very end.  Lines that stay together travel as one row, and what
+is the same in every document (headings, and what is said where a list is empty) is put in only there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import rules, text as T
-from .facts import first_per_document
 
 
 def lines(df: DataFrame, part: int, b, c, text: Column) -> DataFrame:
@@ -29,10 +29,19 @@ def lines(df: DataFrame, part: int, b, c, text: Column) -> DataFrame:
 
 def joined(rows: DataFrame, out: str = "markdown") -> DataFrame:
     """(doc_id, text): the lines of each document in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("a", "b", "c", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("a", "b", "c", "line")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(out))
 
 
+def _told(xs: Column, known: Column, part: int, heading: list[str], missing: str) -> Column:
+    """The lines of a list among the rows of a document: a heading, and a line that says so where there are none.
+
+    Only documents that are ``known``, and not just named by a stray row of the list, have these two.
+    """
+    own = F.transform(F.filter(xs, lambda x: x["a"] == part), lambda x: x["line"])
+    return F.when(known, F.concat(F.array(*map(F.lit, heading)), F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(missing))))).otherwise(own)
+
+
 def page_suffix(page: Column, figure: Column | None = None) -> Column:
     parts = [F.when(page > 0, F.concat(F.lit("p."), page.cast("string")))]
     if figure is not None:
@@ -49,19 +58,18 @@ def _label(labels: dict[str, str], value: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), value), value)
 
 
-def _bullets(docs: DataFrame, rows: DataFrame, part: int, title: str, order: list[Column], text: Column, limit: int, missing: str) -> DataFrame:
-    """A heading and at most ``limit`` bullets for each document; one that says so where there are none."""
-    kept = first_per_document(rows, order, limit).withColumn("_l", text)
-    numbered = kept.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    none = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-    head = F.array(F.lit(""), F.lit(f"### {title}"), F.lit(""))
-    out = lines(docs.select("doc_id", F.posexplode(head).alias("p", "l")), part, 0, F.col("p"), F.col("l"))
-    out = out.unionByName(lines(numbered, part, 1, F.col("_k"), F.concat(F.lit("- "), F.col("_l"))))
-    return out.unionByName(lines(none, part, 1, 0, F.lit(f"- {missing}")))
+def _bullets(rows: DataFrame, part: int, order: list[Column], text: Column, limit: int) -> DataFrame:
+    """At most ``limit`` bullets for each document, as lines."""
+    kept = rows.withColumns({"_l": text, "_k": F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))}).where(F.col("_k") <= limit)
+    return kept.select("doc_id", F.lit(part).alias("a"), F.lit(1).cast("long").alias("b"), F.col("_k").cast("long").alias("c"), F.concat(F.lit("- "), F.col("_l")).alias("line"))
 
 
-def summary_appendix(docs: DataFrame, facts: dict[str, DataFrame], part: int = 90) -> DataFrame:
-    """Lines of the structured summary: five lists with their caps of 8, 10, 20, 20 and 15 rows (K2)."""
+SUMMARY = 90
+_summary_head = ["", "## 自动结构化总结"]
+
+
+def _summary_lists(facts: dict[str, DataFrame]) -> list[tuple[int, list[str], str, DataFrame, DataFrame]]:
+    """(part, heading, what is said where there are none, rows, bullets) of the structured summary: five lists with their caps of 8, 10, 20, 20 and 15 rows (K2)."""
     p, f = F.col("source_page"), F.col("source_figure")
     src = F.left(plain(F.col("source_text")), F.lit(180))
     text = lambda v: v.cast("string")
@@ -80,9 +88,17 @@ def summary_appendix(docs: DataFrame, facts: dict[str, DataFrame], part: int = 9
         ("stability_tests", "稳定性测试", [F.col("source_page"), F.col("source_text"), F.col("duration_h"), F.col("retained_pce_percent")], stable, 20, "未自动识别到明确稳定性测试数据。"),
         ("characterization_methods", "表征手段", [F.col("source_page"), F.col("method"), F.col("source_text")], F.concat(F.col("method"), F.lit("："), F.left(said("purpose", "key_finding", "source_text"), F.lit(180)), page_suffix(p)), 15, "未自动识别到明确表征手段。"),
     ]
-    out = lines(docs.select("doc_id", F.posexplode(F.array(F.lit(""), F.lit("## 自动结构化总结"))).alias("p", "l")), part, 0, F.col("p"), F.col("l"))
-    for n, (name, heading, order, body, limit, missing) in enumerate(parts, 1):
-        out = out.unionByName(_bullets(docs, facts[name], part + n, heading, order, body, limit, missing))
+    return [(SUMMARY + n, ["", f"### {heading}", ""], f"- {missing}", facts[name], _bullets(facts[name], SUMMARY + n, order, body, limit)) for n, (name, heading, order, body, limit, missing) in enumerate(parts, 1)]
+
+
+def summary_appendix(docs: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Lines of the structured summary, one row each."""
+    texts = lambda xs: F.posexplode(F.array(*map(F.lit, xs))).alias("p", "l")
+    out = lines(docs.select("doc_id", texts(_summary_head)), SUMMARY, 0, F.col("p"), F.col("l"))
+    for part, heading, missing, rows, bullets in _summary_lists(facts):
+        none = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+        out = out.unionByName(lines(docs.select("doc_id", texts(heading)), part, 0, F.col("p"), F.col("l")))
+        out = out.unionByName(bullets.where("line is not null")).unionByName(lines(none, part, 1, 0, F.lit(missing)))
     return out
 
 
@@ -95,9 +111,29 @@ def figure_lines(caption: Column, image: Column, mime: Column, warning: Column)
 
 def body_references(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, seq, part, pos, ref): figures that body paragraphs refer to, in order."""
-    both = F.concat_ws("\n", "text", "text_zh")
     rows = paragraphs.where(~F.col("kind").isin("caption", "non_content", "heading"))
-    return rows.select("doc_id", "seq", "part", F.posexplode(T.figure_refs(both)).alias("pos", "ref"))
+    return rows.select("doc_id", "seq", "part", F.posexplode(_body_refs()).alias("pos", "ref"))
+
+
+def _body_refs() -> Column:
+    return T.figure_refs(F.concat_ws("\n", "text", "text_zh"))
+
+
+def _placed(paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
+    """(doc_id, fig_seq, at) of the figures that have a place in the text.
+
+    Texts, captions and figures of one reference key meet in one group; of each, only its first (and last) place goes there.
+    """
+    mark = lambda ref, pos, said: F.struct(ref.alias("ref"), pos.alias("pos"), F.lit(said).alias("said"))
+    said = F.transform(_body_refs(), lambda ref, i: mark(ref, i, True))
+    own = F.array(mark(T.ref_key(T.figure_id(F.col("text"))), F.lit(0), False))
+    marks = paragraphs.select("doc_id", "seq", "part", F.explode(F.when(F.col("kind") == "caption", own).when(~F.col("kind").isin("non_content", "heading"), said)).alias("m"))
+    at = F.struct("seq", "part", F.col("m.pos").alias("pos"))
+    marks = marks.where("m.ref <> ''").select("doc_id", "m.ref", F.when(F.col("m.said"), at).alias("said"), F.when(~F.col("m.said"), at).alias("own"))
+    rows = marks.unionByName(figures.select("doc_id", T.ref_key(F.col("figure_id")).alias("ref"), "fig_seq"), allowMissingColumns=True)
+    met = rows.groupBy("doc_id", "ref").agg(F.min("said").alias("said"), F.min("own").alias("own"), F.min("fig_seq").alias("first"), F.max("fig_seq").alias("last"))
+    met = met.select("doc_id", F.when(F.col("said").isNotNull(), F.col("last")).otherwise(F.col("first")).alias("fig_seq"), F.coalesce("said", "own").alias("at"))
+    return met.where("fig_seq is not null and at is not null").groupBy("doc_id", "fig_seq").agg(F.min("at").alias("at"))
 
 
 def figure_places(paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
@@ -106,17 +142,7 @@ def figure_places(paragraphs: DataFrame, figures: DataFrame) -> DataFrame:
     The first body paragraph that refers to it; else its own caption paragraph; else nowhere, with nulls.  Of figures
     with one reference key the last is meant by text and the first by a caption.
     """
-    keyed = figures.select("doc_id", "fig_seq", T.ref_key(F.col("figure_id")).alias("ref"))
-    last = keyed.groupBy("doc_id", "ref").agg(F.max("fig_seq").alias("fig_seq"))
-    refs = body_references(paragraphs)
-    at = F.struct("seq", "part", "pos")
-    by_text = refs.join(last, ["doc_id", "ref"]).groupBy("doc_id", "fig_seq").agg(F.min(at).alias("at"))
-    first = keyed.groupBy("doc_id", "ref").agg(F.min("fig_seq").alias("fig_seq"))
-    own = paragraphs.where("kind = 'caption'").withColumn("ref", T.ref_key(T.figure_id(F.col("text")))).where("ref <> ''")
-    own = own.join(refs.select("doc_id", "ref").distinct(), ["doc_id", "ref"], "left_anti").join(first, ["doc_id", "ref"])
-    by_caption = own.withColumn("pos", F.lit(0)).groupBy("doc_id", "fig_seq").agg(F.min(at).alias("at"))
-    placed = by_text.unionByName(by_caption).groupBy("doc_id", "fig_seq").agg(F.min("at").alias("at"))
-    return figures.select("doc_id", "fig_seq").join(placed, ["doc_id", "fig_seq"], "left").select("doc_id", "fig_seq", "at.*")
+    return figures.select("doc_id", "fig_seq").join(_placed(paragraphs, figures), ["doc_id", "fig_seq"], "left").select("doc_id", "fig_seq", "at.*")
 
 
 def split_subheading(section: Column, text: Column, rendered: Column) -> Column:
@@ -136,30 +162,44 @@ def translated_markdown(info: DataFrame, paragraphs: DataFrame, figures: DataFra
     names = F.when(F.size("authors") > 0, F.concat(F.lit("- 作者："), F.array_join("authors", ", ")))
     head = F.filter(F.array(F.concat(F.lit("# "), title), F.lit(""), F.lit("## 论文基本信息"), item("原文标题", "title"), names, item("DOI", "doi"), item("期刊", "journal"), item("卷", "volume"), item("期", "issue"), item("页码/文章编号", "pages"), item("年份", "year"), F.lit("")), lambda x: x.isNotNull())
     head = F.concat(head, F.when(abstract.isNotNull(), F.array(F.lit("## 摘要"), abstract, F.lit(""))).otherwise(F.array().cast("array<string>")))
-    out = lines(info.select("doc_id", F.posexplode(head).alias("p", "l")), 0, 0, F.col("p"), F.col("l"))
+    # Each kind of rows is dealt by document on its own, so that rows which lie so already (as paragraphs of merged blocks do) stay where they are.
+    row = lambda df, part, b, c, text, *more: df.repartition("doc_id").select("doc_id", part.alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"), F.array_join(text, "\n").alias("line"), *more)
+    out = row(info, F.lit(0), F.lit(0), F.lit(0), head, T.squeeze(F.col("abstract")).alias("abstract"))
 
     where = F.col("seq") * 4 + F.col("part")
-    body = paragraphs.where("kind <> 'non_content'").join(info.select("doc_id", "abstract"), "doc_id", "left")
-    body = body.where(~rules.is_duplicate_abstract(F.col("text"), F.coalesce("abstract", F.lit(""))) & (F.col("kind") != "caption"))
+    body = paragraphs.where("kind <> 'non_content' and kind <> 'caption'")
+    flat = F.when(F.length("text") > rules.ABSTRACT_CHARS, T.squeeze(F.col("text")))  # what may stand in the abstract
     shown = F.coalesce(T.nullif(F.col("text_zh")), F.col("text"))
     sub = split_subheading(F.col("section_title"), F.col("text"), shown)
     marks = F.repeat(F.lit("#"), F.least(F.col("heading_level") + 1, F.lit(5)))
     text = F.when(F.col("kind") == "heading", F.array(F.concat(marks, F.lit(" "), shown), F.lit(""))).when(
         sub["title"] != "", F.concat(F.array(F.concat(F.lit("### "), sub["title"]), F.lit("")), F.when(sub["body"] != "", F.array(sub["body"], F.lit(""))).otherwise(F.array().cast("array<string>")))
     )
-    out = out.unionByName(lines(body.select("doc_id", where.alias("w"), F.posexplode(text.otherwise(F.array(shown, F.lit("")))).alias("p", "l")), 1, F.col("w"), F.col("p"), F.col("l")))
+    out = out.unionByName(row(body, F.lit(1), where, F.lit(0), text.otherwise(F.array(shown, F.lit(""))), flat.alias("flat")), allowMissingColumns=True)
 
     images = [c for c in ("image", "image_mime") if c not in figures.columns]
     figures = figures.withColumns({c: F.lit(None).cast("binary" if c == "image" else "string") for c in images})
     caption = F.coalesce(T.nullif(F.col("caption_zh")), F.col("caption")) if "caption_zh" in figures.columns else F.col("caption")
-    placed = figures.join(figure_places(paragraphs, figures), ["doc_id", "fig_seq"])
+    # Null-safe: an equality would put a filter for nulls below one of the two uses of the paragraphs, which then share no shuffle.
+    places = _placed(paragraphs, figures).withColumnsRenamed({"doc_id": "_doc", "fig_seq": "_seq"})
+    here = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("fig_seq").eqNullSafe(F.col("_seq"))
+    placed = figures.where("doc_id is not null and fig_seq is not null").join(places, here, "left").withColumns({n: F.col("at")[n] for n in ("seq", "part", "pos")})
     own = figure_lines(caption, F.col("image"), F.col("image_mime"), F.col("warning"))
     lost = F.concat(F.array(F.lit(""), F.lit("<!-- 未能准确定位，按页面顺序补充的图 -->")), own)
-    placed = placed.select("doc_id", "fig_seq", "seq", where.alias("w"), F.coalesce("pos", F.lit(0)).alias("pos"), F.posexplode(F.when(F.col("seq").isNull(), lost).otherwise(own)).alias("p", "l"))
-    order = (F.col("pos") + 1) * 1_000_000 + F.col("fig_seq") * 10 + F.col("p")
-    out = out.unionByName(lines(placed.where("seq is not null"), 1, F.col("w"), order, F.col("l")))
-    out = out.unionByName(lines(placed.where("seq is null"), 2, F.col("fig_seq"), F.col("p"), F.col("l")))
-    return joined(out.unionByName(summary_appendix(info.select("doc_id"), facts)))
+    found = F.col("at").isNotNull()
+    order = (F.coalesce("pos", F.lit(0)) + 1) * 1_000_000 + F.col("fig_seq") * 10
+    at = row(placed, F.when(found, 1).otherwise(2), F.when(found, where).otherwise(F.col("fig_seq")), F.when(found, order).otherwise(0), F.when(found, own).otherwise(lost))
+    out = out.unionByName(at, allowMissingColumns=True)
+
+    lists = _summary_lists(facts)
+    for *_, bullets in lists:
+        out = out.unionByName(bullets.repartition("doc_id"), allowMissingColumns=True)
+    docs = out.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", "c", "line", "flat"))).alias("xs"), F.max("abstract").alias("abstract"))
+    xs, known = F.col("xs"), F.get("xs", F.lit(0))["a"] == 0
+    told = F.filter(xs, lambda x: (x["a"] < SUMMARY) & ~rules.stands_in_abstract(x["flat"], F.col("abstract")))
+    summary = [F.when(known, F.array(*map(F.lit, _summary_head))).otherwise(F.array().cast("array<string>"))]
+    summary += [_told(xs, known, part, heading, missing) for part, heading, missing, _, _ in lists]
+    return docs.select("doc_id", F.array_join(F.concat(F.transform(told, lambda x: x["line"]), *summary), "\n").alias("markdown"))
 
 
 def fallback_summary(info: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,8 @@ import json
 import duckdb
 import pytest
 
-from leafwork.operators import bibliography
+from leafwork import fixed
+from leafwork.operators import bibliography, report
 from leafwork.plans import catalogue
 from leafwork.streaming import jobs, lifecycle
 
@@ -65,3 +66,40 @@ def test_texts_without_its_words_are_not_searched_for_a_citation(spark):
     assert plan(df).count("Contains(_low") >= 10
     got = {r["doc_id"]: (r["journal"], r["volume"], r["year"]) for r in df.collect()}
     assert got == {0: ("IEEE JOURNAL OF THINGS", "7", "2021"), 1: ("ieee journal of things", "", ""), 2: ("Joule", "4", "2020"), 3: ("ACS Energy Letters", "4", "2019"), 4: ("", "", "2018")}
+
+
+NO_FACTS = {
+    "device_performance": "pce_percent double, certified_pce_percent double, steady_state_pce_percent double, voc_v double, jsc_ma_cm2 double, ff_percent double, sample_role string, source_figure string",
+    "stability_tests": "test_type string, duration_h double, cycles int, retained_pce_operator string, retained_pce_percent double, qualitative_result string, source_figure string", "key_innovations": "innovation string, explanation string",
+    "experimental_methods": "method_name string, description string", "characterization_methods": "method string, purpose string, key_finding string",
+}
+
+
+def no_facts(spark):
+    return {name: spark.createDataFrame([], f"doc_id long, source_page int, source_text string, {columns}") for name, columns in NO_FACTS.items()}
+
+
+def info_of(spark, *docs):
+    names = ["title", "title_zh", "doi", "journal", "volume", "issue", "pages", "year", "abstract", "abstract_zh"]
+    rows = [(d, [], *[f"T{d}" if n == "title" else ABSTRACT if n == "abstract" else "" for n in names]) for d in docs]
+    return spark.createDataFrame(rows, "doc_id long, authors array<string>, " + ", ".join(f"{n} string" for n in names))
+
+
+ABSTRACT = "A text of many words that is longer than the limit below which nothing is looked for. " * 2
+
+
+def test_lines_that_stay_together_travel_as_one_row(spark):
+    """And lines that all reports have do not travel at all."""
+    paragraphs = [(1, 1, "Other", 1, "paragraph", "See Fig. 1 here."), (1, 2, "Other", 1, "paragraph", ABSTRACT.replace(". ", ".  ")), (1, 3, "Other", 1, "heading", "Next"), (3, 1, "Other", 1, "paragraph", "Stray")]
+    paragraphs = spark.createDataFrame([(*p, 0, 1, "") for p in paragraphs], "doc_id long, seq long, section_title string, heading_level int, kind string, text string, part int, page int, text_zh string")
+    figs = spark.createDataFrame([(1, 1, "Fig. 1", 1, "Fig. 1 | a", ""), (2, 1, "Fig. 1", 1, "Fig. 1 | b", "small")], "doc_id long, fig_seq long, figure_id string, page int, caption string, warning string")
+    facts = no_facts(spark) | {"key_innovations": spark.createDataFrame([(2, 5, "s", "new", ""), (4, 1, "s", "stray", "")], "doc_id long, source_page int, source_text string, innovation string, explanation string")}
+    df = report.translated_markdown(info_of(spark, 1, 2), paragraphs, figs, facts)
+    assert "LeftAnti" not in plan(df) and "posexplode" not in plan(df)
+    got = {r["doc_id"]: r["markdown"].split("\n") for r in df.collect()}
+    head = lambda d: [f"# T{d}", "", "## 论文基本信息", f"- 原文标题：T{d}", "", "## 摘要", ABSTRACT, ""]
+    told = lambda new: ["", "## 自动结构化总结", "", "### 核心创新点", "", new] + [x for n, m in [("实验方法", "实验方法"), ("器件性能", "器件性能数据"), ("稳定性测试", "稳定性测试数据"), ("表征手段", "表征手段")] for x in ("", f"### {n}", "", f"- 未自动识别到明确{m}。")]
+    assert got == {
+        1: [*head(1), "See Fig. 1 here.", "", "> 图片裁切失败：未识别到图片区域", "*Fig. 1 | a*", "", "## Next", "", *told("- 未自动识别到明确创新点。")],
+        2: [*head(2), "", "<!-- 未能准确定位，按页面顺序补充的图 -->", "> 图片裁切失败：small", "*Fig. 1 | b*", "", *told("- new")], 3: ["Stray", ""], 4: ["- stray"],
+    }
