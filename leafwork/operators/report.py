@@ -208,7 +208,8 @@ def fallback_summary(info: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     field = lambda label, col: F.concat(F.lit(f"- {label}："), F.coalesce(T.nullif(F.col(col)), none))
     abstract = F.coalesce(T.nullif(F.col("abstract_zh")), T.nullif(F.col("abstract")), none)
     head = F.array(F.lit("# 论文结构化总结"), F.lit(""), F.lit("## 论文基本信息"), field("标题", "title"), field("DOI", "doi"), field("期刊", "journal"), field("卷", "volume"), field("期", "issue"), field("页码/文章编号", "pages"), field("年份", "year"), F.lit(""), F.lit("## 研究背景与核心问题"), abstract)
-    out = lines(info.select("doc_id", F.posexplode(head).alias("p", "l")), 0, 0, F.col("p"), F.col("l"))
+    # Dealt by document before rows are gathered, so that no task sorts what it reads first.
+    out = info.repartition("doc_id").select("doc_id", F.lit(0).alias("a"), F.lit(None).cast("long").alias("b"), F.array_join(head, "\n").alias("line"))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     src = F.left("source_text", F.lit(180))
     device = F.concat(F.lit("PCE="), value("pce_percent"), F.lit("%，VOC="), value("voc_v"), F.lit(" V，JSC="), value("jsc_ma_cm2"), F.lit(" mA cm-2，FF="), value("ff_percent"), F.lit("%，证据："), src)
@@ -221,14 +222,16 @@ def fallback_summary(info: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
         ("稳定性测试条件和保持率", "stability_tests", stable),
         ("核心表征手段及其作用", "characterization_methods", F.concat(F.col("method"), F.lit("："), purpose)),
     ]
-    docs = info.select("doc_id")
-    for n, (heading, name, text) in enumerate(parts, 1):
-        rows = facts[name].withColumn("_l", text).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source_page", "_l")))
-        out = out.unionByName(lines(docs.select("doc_id", F.posexplode(F.array(F.lit(""), F.lit(f"## {heading}"))).alias("p", "l")), n, 0, F.col("p"), F.col("l")))
-        out = out.unionByName(lines(rows, n, 1, F.col("_k"), F.concat(F.lit("- "), F.col("_l"))))
-        out = out.unionByName(lines(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_anti"), n, 1, 0, F.concat(F.lit("- "), none)))
+    for n, (_, name, text) in enumerate(parts, 1):
+        page = F.coalesce(F.col("source_page").cast("long"), F.lit(-(1 << 63)))
+        out = out.unionByName(facts[name].repartition("doc_id").select("doc_id", F.lit(n).alias("a"), page.alias("b"), F.concat(F.lit("- "), text).alias("line")))
+    docs = out.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", "line"))).alias("xs"))
+    xs, known = F.col("xs"), F.get("xs", F.lit(0))["a"] == 0
+    told = [F.transform(F.filter(xs, lambda x: x["a"] == 0), lambda x: x["line"])]
+    told += [_told(xs, known, n, ["", f"## {heading}"], "- " + fixed.NOT_FOUND) for n, (heading, _, _) in enumerate(parts, 1)]
     last = F.array(F.lit(""), F.lit("## 局限性与后续研究方向"), F.concat(F.lit("- "), none))
-    return joined(out.unionByName(lines(docs.select("doc_id", F.posexplode(last).alias("p", "l")), 9, 0, F.col("p"), F.col("l"))), "summary")
+    told.append(F.when(known, last).otherwise(F.array().cast("array<string>")))
+    return docs.select("doc_id", F.array_join(F.concat(*told), "\n").alias("summary"))
 
 
 def prompt_text(paragraphs: DataFrame, titles: list[str] | None, max_chars: int) -> DataFrame:

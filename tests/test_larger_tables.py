@@ -103,3 +103,13 @@ def test_lines_that_stay_together_travel_as_one_row(spark):
         1: [*head(1), "See Fig. 1 here.", "", "> 图片裁切失败：未识别到图片区域", "*Fig. 1 | a*", "", "## Next", "", *told("- 未自动识别到明确创新点。")],
         2: [*head(2), "", "<!-- 未能准确定位，按页面顺序补充的图 -->", "> 图片裁切失败：small", "*Fig. 1 | b*", "", *told("- new")], 3: ["Stray", ""], 4: ["- stray"],
     }
+
+
+def test_an_outline_takes_one_shuffle(spark):
+    told = [(1, 2, "s", "late", ""), (1, None, "s", "early", ""), (1, 2, "s", "at", ""), (2, 1, "s", None, None), (4, 1, "s", "stray", "")]
+    facts = no_facts(spark) | {"key_innovations": spark.createDataFrame(told, "doc_id long, source_page int, source_text string, innovation string, explanation string")}
+    df = report.fallback_summary(info_of(spark, 1, 2, 3), facts)
+    assert "LeftAnti" not in plan(df) and "Window" not in plan(df) and "posexplode" not in plan(df)
+    got = {r["doc_id"]: r["summary"].split("\n") for r in df.collect()}
+    part = lambda d: got[d][got[d].index("## 核心创新点") + 1 : got[d].index("## 不同材料 / 不同结构 / 不同尺寸电池的效率") - 1]
+    assert [part(d) for d in (1, 2, 3)] == [["- early", "- at", "- late"], [], ["- " + fixed.NOT_FOUND]] and got[4] == ["- stray"]
