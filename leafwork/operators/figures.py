@@ -33,11 +33,12 @@ def caption_texts(found: DataFrame, blocks: DataFrame) -> DataFrame:
     same_row = (F.abs(o["y0"] - c["y0"]) < 8) & (o["x0"] > c["x0"])
     below = o["y0"].between(c["y1"], c["y1"] + 16) & (o["x0"] <= c["x1"] + 20) & (F.length("o_text") > 40)
     part = F.when(F.col("o_seq").isNotNull(), F.struct(round_even(o["y0"], 1).alias("y"), round_even(o["x0"], 1).alias("x"), F.col("o_seq").alias("s"), F.col("o_text").alias("t"), o.alias("b")))
-    # A point more on either side, so that rounding loses nothing.
+    # A point more on either side, so that rounding loses nothing.  A caption comes once without a band, whatever it meets; else only what it meets goes on.
     reach = F.array_union(bands(c["y0"] - 9, c["y0"] + 9), bands(c["y1"] - 1, c["y1"] + 17))
-    rows = found.withColumn("_band", F.explode_outer(reach)).join(others, [*PAGE, "_band"], "left").withColumn("part", F.when(same_row | below, part)).drop("_band")
+    reach = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(reach, F.array().cast("array<bigint>")))
+    rows = found.withColumn("_band", F.explode(reach)).join(others, [*PAGE, "_band"], "left").where(F.col("_band").isNull() | same_row | below).select(*found.columns, part.alias("part"))
     keys = [c for c in found.columns if c not in ("text", "box")]
-    rows = rows.groupBy(*[F.col(k) for k in keys], "text", "box").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    rows = rows.groupBy(*[F.col(k) for k in keys], "text", "box").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     parts = F.col("parts")
     text = F.array_join(F.concat(F.array("text"), F.transform(parts, lambda p: p["t"])), " ")
     box = F.aggregate(F.transform(parts, lambda p: p["b"]), F.col("box").cast(G.BOX), lambda a, b: G.union(a, b))

@@ -4,9 +4,11 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from leafwork import fixed
-from leafwork.operators import bibliography, report
+from leafwork.functions import rules
+from leafwork.operators import bibliography, blocks as B, figures, report
 from leafwork.plans import catalogue
 from leafwork.streaming import jobs, lifecycle
 
@@ -113,3 +115,15 @@ def test_an_outline_takes_one_shuffle(spark):
     got = {r["doc_id"]: r["summary"].split("\n") for r in df.collect()}
     part = lambda d: got[d][got[d].index("## 核心创新点") + 1 : got[d].index("## 不同材料 / 不同结构 / 不同尺寸电池的效率") - 1]
     assert [part(d) for d in (1, 2, 3)] == [["- early", "- at", "- late"], [], ["- " + fixed.NOT_FOUND]] and got[4] == ["- stray"]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_the_label_of_a_caption_is_looked_for_once(spark):
+    texts = ["\x1cFig. 1 | A cell", "  Fig.\n2 | A cell", "This is a line", None, "Figure 3a. Overview of it", "ſcheme 4 | A path", "Extended  Data Fig. 5 | It", "Table 99 | Too many", "Supplementary Fig. 1 | A", "Fig. 1, shown"]
+    df = figures.captions(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    asked = df._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+    assert asked.count("Extended\\s+Data") == 1  # many times before
+    assert sorted(r["doc_id"] for r in df.collect()) == [1, 4, 5, 6]
