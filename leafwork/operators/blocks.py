@@ -87,21 +87,35 @@ def repeated_exact(blocks: DataFrame, min_pages: int = 3, max_spread: float = 30
     return groups.where((F.col("pages") >= min_pages) & (F.col("spread") < max_spread)).select("doc_id", "key")
 
 
-def repeated_fuzzy(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
-    """(doc_id, key) of running heads and feet that differ in the numbers at their ends (A2)."""
+def _keyed(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, y, key, fuzzy, head, edge): the keys of each text, and whether it stands at an edge of the first page's height, long enough
+    to be a running head, and of its own page's.  It lies by document, and what follows groups it there."""
     first = F.first("page_h").over(Window.partitionBy("doc_id").orderBy("page", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     y = (F.col("box.y0") + F.col("box.y1")) / 2
-    edge = lambda h: (y < h * 0.12) | (y > h * 0.88)
-    rows = blocks.select("doc_id", "page", "page_h", "box", "text", first.alias("h0"), T.fuzzy_key(T.squeeze(F.col("text"))).alias("fuzzy"), T.repeat_key(F.col("text")).alias("key"))
-    rows = rows.where(F.col("key") != "")
-    heads = rows.where((F.length(T.squeeze(F.col("text"))) > 5) & edge(F.col("h0")) & (F.length("fuzzy") > 3))
-    heads = heads.groupBy("doc_id", "fuzzy").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= min_pages)
-    return rows.where(edge(F.col("page_h"))).join(heads, ["doc_id", "fuzzy"], "left_semi").select("doc_id", "key").distinct()
+    rows = blocks.select("doc_id", "page", "seq", "page_h", y.alias("y"), "text").withColumn("h0", first)
+    rows = rows.select("doc_id", "page", "y", "page_h", "h0", T.squeeze(F.col("text")).alias("flat"))
+    rows = rows.withColumns({"fuzzy": T.fuzzy_key(F.col("flat")), "key": T.repeat_key(F.col("flat"))}).where("key <> ''")
+    edge = lambda h: (F.col("y") < h * 0.12) | (F.col("y") > h * 0.88)
+    head = F.col("doc_id").isNotNull() & (F.length("flat") > 5) & edge(F.col("h0")) & (F.length("fuzzy") > 3)
+    return rows.select("doc_id", "page", "y", "key", "fuzzy", F.coalesce(head, F.lit(False)).alias("head"), F.coalesce(edge(F.col("page_h")), F.lit(False)).alias("edge"))
 
 
-def repeated(blocks: DataFrame) -> DataFrame:
-    """Exact and fuzzy repeats together (U4)."""
-    return repeated_exact(blocks).union(repeated_fuzzy(blocks)).distinct()
+def repeated_fuzzy(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
+    """(doc_id, key) of running heads and feet that differ in the numbers at their ends (A2)."""
+    groups = _keyed(blocks).where("head or edge").groupBy("doc_id", "fuzzy").agg(F.size(F.collect_set(F.when(F.col("head"), F.col("page")))).alias("pages"), F.collect_set(F.when(F.col("edge"), F.col("key"))).alias("keys"))
+    return groups.where(F.col("pages") >= min_pages).select("doc_id", F.explode("keys").alias("key")).distinct()
+
+
+def repeated(blocks: DataFrame, min_pages: int = 3, max_spread: float = 30.0) -> DataFrame:
+    """Exact and fuzzy repeats together (U4), from one pass: each text goes to the group of its key and to that of its fuzzy key."""
+    exact = F.when(~F.col("key").rlike(r"(?U)^\d+$"), F.struct(F.lit(True).alias("exact"), F.col("key").alias("by")))
+    fuzzy = F.when(F.col("head") | F.col("edge"), F.struct(F.lit(False).alias("exact"), F.col("fuzzy").alias("by")))
+    rows = _keyed(blocks).withColumn("to", F.explode(F.array_compact(F.array(exact, fuzzy)))).select("*", "to.*")
+    pages = F.size(F.collect_set(F.when(F.col("exact") | F.col("head"), F.col("page"))))
+    keys = F.collect_set(F.when(~F.col("exact") & F.col("edge"), F.col("key")))
+    groups = rows.groupBy("doc_id", "exact", "by").agg(pages.alias("pages"), (F.max("y") - F.min("y")).alias("spread"), keys.alias("keys"))
+    groups = groups.where((F.col("pages") >= min_pages) & (~F.col("exact") | (F.col("spread") < max_spread)))
+    return groups.select("doc_id", F.explode(F.when(F.col("exact"), F.array("by")).otherwise(F.col("keys"))).alias("key")).distinct()
 
 
 def classify(blocks: DataFrame, body: DataFrame, preview: DataFrame) -> DataFrame:

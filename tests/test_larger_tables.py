@@ -127,3 +127,17 @@ def test_the_label_of_a_caption_is_looked_for_once(spark):
     asked = df._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
     assert asked.count("Extended\\s+Data") == 1  # many times before
     assert sorted(r["doc_id"] for r in df.collect()) == [1, 4, 5, 6]
+
+
+def heads(spark):
+    at = lambda y: (50.0, y, 300.0, y + 12)
+    rows = [(1, p, 1, f"Science 14 May 2026 {p}", at(20.0)) for p in range(1, 5)] + [(1, p, 2, "Plain  head", at(400.0)) for p in range(1, 4)] + [(1, 4, 3, "  ", at(10.0)), (1, 5, 1, "77", at(20.0)), (2, 1, 1, "Science 14 May 2026 1", at(20.0)), (2, 2, 1, "Science 14 May 2026 2", at(390.0))]
+    return spark.createDataFrame([(*r, 612.0, 792.0) for r in rows], "doc_id long, page int, seq int, text string, box struct<x0: double, y0: double, x1: double, y1: double>, page_w double, page_h double")
+
+
+def test_repeats_take_one_shuffle(spark):
+    """And no join: what is needed of each document lies together."""
+    fuzzy, both = B.repeated_fuzzy(heads(spark)), B.repeated(heads(spark))
+    assert [shuffles(df) for df in (fuzzy, both)] == [1, 1] and "Join" not in plan(fuzzy) + plan(both)
+    running = {(1, f"science 14 may 2026 {p}") for p in range(1, 5)}
+    assert sorted(map(tuple, fuzzy.collect())) == sorted(running) and sorted(map(tuple, both.collect())) == sorted(running | {(1, "plain head")})
