@@ -166,7 +166,7 @@ def layout_abstract(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     rows = paragraphs.join(titles.select("doc_id", "title"), "doc_id", "left")
     t, b = F.col("text"), F.col("box")
     fits = (F.length(t) >= 180) & b["y0"].between(180, 460) & (b["x1"] - b["x0"] <= 380) & (b["x0"] >= 5) & (b["x1"] <= 590)
-    other = rules.is_author_line(t) | rules.is_preview_noise(t) | has(t, r"^\p{Ll}", False) | rules.split_embedded_heading(t).isNotNull()
+    other = has(F.left(t, F.lit(1)), r"^\p{Ll}", False) | rules.is_author_line(t) | rules.is_preview_noise(t) | rules.split_embedded_heading(t).isNotNull()
     rows = rows.where((F.col("page") == 1) & (F.col("kind") != "non_content") & (t != F.coalesce("title", F.lit(""))) & fits & ~other)
     return rows.groupBy("doc_id").agg(F.min_by("text", F.struct("box.y0", "box.x0", "seq")).alias("abstract"))
 

@@ -152,3 +152,17 @@ def test_a_text_is_put_right_once_for_all_its_lines(spark, tmp_path):
     assert got == want and any(hit for *_, hit in got)
     told = plan(catalogue.QUERIES["duplicate_abstract"](spark, str(tmp_path)))
     assert told.index("posexplode") < told.index("Join")  # the plan's top comes first: lines are dealt out after the join
+
+
+def test_titles_of_layouts_come_from_one_row_a_document(spark, sf):
+    df = catalogue.QUERIES["layout_abstract_synth"](spark, sf)
+    assert plan(df).count("Relation [") <= 4  # 8 before
+
+
+def test_a_text_without_commas_is_not_searched_for_names(spark):
+    texts = ["Ann Lee, Bob Fox", "Ann Lee & Bob Fox", "ann, bob", "Ann Lee Bob Fox", "It is. Ann, Bob", "It is. Ann, Bob, Cy", None, "", "accelerated article, Preview", "A C C elerated Article\nPreview"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string")
+    df = rows.where(rules.is_author_line(F.col("text")))
+    asked = plan(df)
+    assert asked.index("Contains(text") < asked.index("RLIKE") and [r["n"] for r in df.collect()] == [0, 1, 5, 8]
+    assert [r["n"] for r in rows.where(rules.is_preview_noise(F.col("text"))).collect()] == [9]
