@@ -70,6 +70,15 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
 
 
+def core(pattern: str) -> str:
+    """The longest text that every match of a plain pattern holds; empty where its syntax is more than escapes, ends of words and optional letters."""
+    bare = re.sub(r"\\b|[^\\]\?", "\0", pattern)
+    if re.search(r"(?<!\\)\.", bare):
+        return ""
+    bare = bare.replace("\\.", ".")
+    return "" if set(bare) & set("\\?[](){}|*+^$") else max(bare.split("\0"), key=len)
+
+
 def mentions(text: Column, words: list[str]) -> Column:
     """Whether any of the words stands anywhere, whatever its case.  Plain words are found as substrings; only entries with
     pattern syntax cost a regular expression."""
@@ -77,7 +86,10 @@ def mentions(text: Column, words: list[str]) -> Column:
     patterns = [w for w in words if set(w) & set("\\?[](){}|*+^$.")]
     tests = [lambda t, w=w: F.contains(t, F.lit(w)) for w in plain]
     if patterns:
-        tests.append(lambda t: t.rlike(rx(any_of(patterns))))
+        # Searched only where the text holds what a match must hold, or a letter that a pattern without case takes for another.
+        cores = [core(p.lower()) for p in patterns]
+        gate = ["ſ", "ı", *cores] if all(cores) else [""]
+        tests.append(lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in gate]) & t.rlike(rx(any_of(patterns))))
     return bound(F.lower(F.coalesce(text, F.lit(""))), lambda t: reduce(Column.__or__, [f(t) for f in tests]))
 
 

@@ -126,7 +126,9 @@ def classify(blocks: DataFrame, body: DataFrame, preview: DataFrame) -> DataFram
     rows = blocks.where((F.col("block_type") != 1) & (T.strip(F.col("text")) != ""))
     rows = rows.join(body, DOC, "left").join(preview, DOC, "left").withColumn("preview", F.coalesce("preview", F.lit(False)))
     rows = reading_order(rows, F.col("preview"), "page_seq")
-    rows = rows.withColumn("text", T.clean_text(F.col("text"), F.col("preview") & (F.col("page") > 1))).where(F.col("text") != "")
+    # Dealt out of an array, so that the test for blank texts does not clean each text once more.
+    clean = F.filter(F.array(T.clean_text(F.col("text"), F.col("preview") & (F.col("page") > 1))), lambda t: t != "")
+    rows = rows.withColumn("text", F.explode(clean))
     t, b, w, h = F.col("text"), F.col("box"), F.col("page_w"), F.col("page_h")
     rows = rows.withColumn("is_caption", is_caption(t))
     rows = rows.withColumn("is_heading", rules.is_heading(t, F.col("is_caption")))

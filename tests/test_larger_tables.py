@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork import fixed
-from leafwork.functions import rules
+from leafwork.functions import rules, text as T
 from leafwork.operators import bibliography, blocks as B, figures, report
 from leafwork.plans import catalogue
 from leafwork.streaming import jobs, lifecycle
@@ -166,3 +166,16 @@ def test_a_text_without_commas_is_not_searched_for_names(spark):
     asked = plan(df)
     assert asked.index("Contains(text") < asked.index("RLIKE") and [r["n"] for r in df.collect()] == [0, 1, 5, 8]
     assert [r["n"] for r in rows.where(rules.is_preview_noise(F.col("text"))).collect()] == [9]
+
+
+def test_a_block_is_cleaned_once(spark, sf):
+    df = catalogue.QUERIES["corpus_blocks"](spark, sf)
+    assert plan(df).count("sqrt($1)") == 2  # with line numbers and without; 4 before, again for the test whether it is blank
+
+
+def test_patterns_are_searched_where_their_letters_stand(spark):
+    assert [T.core(p) for p in (r"https?://", r"publisher'?s note", r"references\b", r"www\.", "a.c", "(?:a|b)c", r"\d+ pages")] == ["http", "s note", "references", "www.", "", "", ""]
+    texts = ["HTTPS://x", "Publishers Note", "preference", "Referenceſ", "bıbliography", "a www.b", "www b", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string")
+    found = rows.where(T.mentions(F.col("text"), fixed.BOILERPLATE))
+    assert "Contains" in plan(found) and sorted(r["n"] for r in found.collect()) == [0, 1, 3, 4, 5]
