@@ -174,7 +174,7 @@ def test_a_block_is_cleaned_once(spark, sf):
 
 
 def test_patterns_are_searched_where_their_letters_stand(spark):
-    assert [T.core(p) for p in (r"https?://", r"publisher'?s note", r"references\b", r"www\.", "a.c", "(?:a|b)c", r"\d+ pages")] == ["http", "s note", "references", "www.", "", "", ""]
+    assert [T.core(p) for p in (r"https?://", r"publisher'?s note", r"references\b", r"www\.", "a.c", "(?:a|b)c", r"\d+ pages")] == ["http", "publisher", "references", "www.", "", "", ""]
     texts = ["HTTPS://x", "Publishers Note", "preference", "Referenceſ", "bıbliography", "a www.b", "www b", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string")
     found = rows.where(T.mentions(F.col("text"), fixed.BOILERPLATE))
